@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpuslens.llm import language_id, quality_classifier, quality_rules, toxicity
+from corpuslens.llm import chat_format, decontamination, language_id, quality_classifier, quality_rules, sharding, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,9 +27,25 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.classify_quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.conversation_digests(spark, read(spark, sf_dir, "conversations"))
+
+
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_law(read(spark, sf_dir, "documents"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_quality_rules, op4_toxicity, op6_quality_classifier, op10_language_id)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES: dict[str, Query] = {
+    f.__name__: f
+    for f in (op1_quality_rules, op4_toxicity, op6_quality_classifier, op7_decontamination, op8_chat_format, op9_sharding, op10_language_id)
+}
+#: Where SQL can express the rows; the others are tested against brute force or by held-out accuracy.
+ORACLE_SQL: dict[str, str] = {"op7_decontamination": decontamination.SQL, "op8_chat_format": chat_format.digests_sql()}
