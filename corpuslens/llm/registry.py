@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpuslens.llm import chat_format, decontamination, language_id, quality_classifier, quality_rules, sharding, toxicity
+from corpuslens.llm import chat_format, decontamination, language_id, packing, quality_classifier, quality_rules, sharding, token_counts, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,10 +19,18 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.score_quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read(spark, sf_dir, "documents"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_edited(read(spark, sf_dir, "documents"))
+
+
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.classify_quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -45,7 +53,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op1_quality_rules, op4_toxicity, op6_quality_classifier, op7_decontamination, op8_chat_format, op9_sharding, op10_language_id)
+    for f in (
+        op1_quality_rules, op3_best_fit_packing, op4_toxicity, op5_token_counts, op6_quality_classifier,
+        op7_decontamination, op8_chat_format, op9_sharding, op10_language_id,
+    )
 }
 #: Where SQL can express the rows; the others are tested against brute force or by held-out accuracy.
 ORACLE_SQL: dict[str, str] = {"op7_decontamination": decontamination.SQL, "op8_chat_format": chat_format.digests_sql()}
