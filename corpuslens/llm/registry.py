@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpuslens.llm import chat_format, decontamination, language_id, packing, quality_classifier, quality_rules, sharding, token_counts, toxicity
+from corpuslens.llm import chat_format, decontamination, language_id, minhash_dedup, packing, quality_classifier, quality_rules, sharding, token_counts, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +19,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.score_quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"))
 
@@ -54,7 +58,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        op1_quality_rules, op3_best_fit_packing, op4_toxicity, op5_token_counts, op6_quality_classifier,
+        op1_quality_rules, op2_minhash_dedup, op3_best_fit_packing, op4_toxicity, op5_token_counts, op6_quality_classifier,
         op7_decontamination, op8_chat_format, op9_sharding, op10_language_id,
     )
 }
