@@ -323,6 +323,6 @@ def folder_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").filter(R.fuzzy_terms(F.col("p_name"), "a ee")).select("p_partkey", "p_name")
 
 
-@query("SELECT doc_id, CASE WHEN b < 1024 THEN b || ' B' WHEN b < 1048576 THEN printf('%.1f', b / 1024.0) || ' KB' ELSE printf('%.1f', b / 1048576.0) || ' MB' END AS size FROM (SELECT doc_id, n_chars AS b FROM documents)")
+@query("SELECT doc_id, CASE WHEN b < 1024 THEN b || ' B' WHEN b < 1048576 THEN printf('%.1f', floor(b / 1024.0 * 10 + 0.5) / 10) || ' KB' ELSE printf('%.1f', floor(b / 1048576.0 * 10 + 0.5) / 10) || ' MB' END AS size FROM (SELECT doc_id, n_chars AS b FROM documents)")
 def byte_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", T.byte_size("n_chars").alias("size"))

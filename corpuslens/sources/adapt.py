@@ -61,7 +61,7 @@ RUNS_SQL = """runs AS (
   SELECT event_id AS run_id, CASE WHEN none THEN 'ALL' ELSE 'KNOWLEDGE_FOLDER' END AS scope_type, CASE WHEN NOT none THEN user_id END AS scope_id,
     event_type AS status, c AS created_at, CASE WHEN event_id % 5 <> 0 THEN c + 10 END AS queued_at, CASE WHEN event_id % 3 <> 0 THEN c + 100 END AS started_at,
     CASE WHEN event_id % 2 <> 0 THEN c + 100 + CAST(floor(abs(value) * 10) AS BIGINT) - 50 END AS completed_at, props AS current_item
-  FROM (SELECT *, epoch_ms(ts) AS c, user_id = (SELECT min(user_id) FROM events) AS none FROM events)
+  FROM (SELECT *, epoch_us(ts) // 1000 AS c, user_id = (SELECT min(user_id) FROM events) AS none FROM events)
 )"""
 
 
