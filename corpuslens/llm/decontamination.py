@@ -25,9 +25,9 @@ from corpuslens.llm import sparkutil
 WINDOW, K = 13, 5
 WINNOW = WINDOW - K + 1
 #: A document is worked on in pieces of so many words (plus the overlap of a window).
-PIECE = 1 << 16
+PIECE = 1 << 20
 #: Bits of a packed fingerprint that hold its place in a piece.
-_PLACE_BITS = 18
+_PLACE_BITS = 21
 #: Most benchmark words that are broadcast; beyond it the joins shuffle.
 BROADCAST_WORDS = 2_000_000
 CONTAMINATED_SHARE = 20
@@ -39,30 +39,60 @@ _SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 def words(text: str | Column) -> Column:
     """Lower-cased (A-Z only) words of a text, in order."""
     c = F.col(text) if isinstance(text, str) else text
-    parts = F.split(F.translate(F.coalesce(c, F.lit("")), _UPPER, _LOWER), _SEPARATORS)
-    # only the first and the last part can be empty
-    parts = F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
-    return F.when(F.size(parts) == 0, parts).when(F.get(parts, F.lit(0)) == "", F.slice(parts, 2, F.size(parts))).otherwise(parts)
+    return F.array_remove(F.split(F.translate(F.coalesce(c, F.lit("")), _UPPER, _LOWER), _SEPARATORS), "")
+
+
+def _folded_hashes(text: str) -> Column:
+    """Hashes of the words of a text in full lower case: equal wherever :func:`words` are, at the same places.
+
+    Lower-casing never makes or removes a separator, and it costs far less than replacing A-Z alone; fingerprints
+    only propose, and what they propose is compared by :func:`words`.
+    """
+    w = F.array_remove(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), _SEPARATORS), "")
+    return F.transform(w, lambda x: F.xxhash64(x))
+
+
+def count_words(text: str) -> Column:
+    parts = F.split(F.coalesce(F.col(text), F.lit("")), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+    return F.size(F.array_remove(parts, ""))
 
 
 def _grams(w: str, k: int) -> Column:
-    """Hash of each k-gram of the word array ``w``, which has at least k words."""
+    """Hash of each k-gram of the array of word hashes ``w``, which has at least k of them."""
     return F.transform(F.sequence(F.lit(1), F.size(w) - k + 1), lambda i: F.xxhash64(F.slice(F.col(w), i, k)))
 
 
-def fingerprints(rows: DataFrame, w: str, *keep: str) -> DataFrame:
-    """``keep``, ``place`` and ``hash`` of every winnowed fingerprint of the word arrays ``w``."""
-    n = F.size(w)
-    starts = F.sequence(F.lit(0), n - WINDOW, F.lit(PIECE))
-    rows = rows.filter(n >= WINDOW).select(*keep, F.col(w).alias("_all"), F.explode(starts).alias("_base"))
-    piece = F.when(F.size("_all") <= PIECE, F.col("_all")).otherwise(F.slice("_all", F.col("_base") + 1, PIECE + WINDOW - 1))
-    rows = rows.select(*keep, "_base", piece.alias("_w"))
+def _sliding(rows: DataFrame, column: str, width: int, join, *keep: str) -> DataFrame:
+    """``column`` folded over each window of ``width`` neighbours, by doubling: each step is one pass over the array.
+
+    The last ``width - 1`` values cover what is left of the array.
+    """
+    rows = rows.select(*keep, F.col(column).alias("_one"), F.col(column).alias("_acc"))
+    done, n = 1, F.size("_one")
+    for bit in bin(width)[3:]:
+        rows = rows.select(*keep, "_one", F.zip_with("_acc", F.slice("_acc", done + 1, n), join).alias("_acc"))
+        done *= 2
+        if bit == "1":
+            rows = rows.select(*keep, "_one", F.zip_with("_acc", F.slice("_one", done + 1, n), join).alias("_acc"))
+            done += 1
+    return rows.select(*keep, F.col("_acc").alias(column))
+
+
+def fingerprints(rows: DataFrame, h: str, *keep: str) -> DataFrame:
+    """``keep``, ``place`` and ``hash`` of every winnowed fingerprint of the word hashes ``h``."""
+    starts = F.sequence(F.lit(0), F.greatest(F.size(h) - WINDOW, F.lit(0)), F.lit(PIECE))
+    piece = F.when(F.size(h) <= PIECE, F.array(F.struct(F.lit(0).alias("base"), F.col(h).alias("h")))).otherwise(
+        F.transform(starts, lambda s: F.struct(s.alias("base"), F.slice(F.col(h), s + 1, PIECE + WINDOW - 1).alias("h")))
+    )
+    rows = rows.select(*keep, F.explode(piece).alias("_p")).select(*keep, F.col("_p.base").alias("_base"), F.col("_p.h").alias("_h"))
+    every = [*keep, "_base"]
+    rows = _sliding(rows, "_h", K, lambda a, b: F.xxhash64(a, b), *every)
     # hash above, place below: the smallest packed value is the smallest hash, leftmost on ties
-    packed = F.transform(_grams("_w", K), lambda h, i: h.bitwiseAND(F.lit(~((1 << _PLACE_BITS) - 1))).bitwiseOR(i.cast("long")))
-    rows = rows.select(*keep, "_base", packed.alias("_p"))
-    least = F.transform(F.sequence(F.lit(1), F.size("_p") - WINNOW + 1), lambda i: F.array_min(F.slice(F.col("_p"), i, WINNOW)))
-    rows = rows.select(*keep, "_base", F.explode(F.array_distinct(least)).alias("_f"))
     low = (1 << _PLACE_BITS) - 1
+    rows = rows.select(*every, F.transform("_h", lambda v, i: v.bitwiseAND(F.lit(~low)).bitwiseOR(i.cast("long"))).alias("_h"))
+    rows = _sliding(rows, "_h", WINNOW, lambda a, b: F.least(a, b), *every)
+    kept = F.array_distinct(F.slice("_h", 1, F.greatest(F.size("_h") - WINDOW + 1, F.lit(0))))
+    rows = rows.select(*every, F.explode(kept).alias("_f"))
     place = F.col("_base") + F.col("_f").bitwiseAND(F.lit(low)).cast("int")
     return rows.select(*keep, place.alias("place"), F.shiftright("_f", _PLACE_BITS).alias("hash"))
 
@@ -79,19 +109,19 @@ def _short(rows: DataFrame, w: str, lengths: list[int], *keep: str) -> DataFrame
 
 def find_hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, ``text_key``, ``n_hit`` and ``items`` of each distinct row of ``docs`` that has a hit."""
-    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), words("text").alias("iw"))
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), words("text").alias("iw"), _folded_hashes("text").alias("h"))
     items = sparkutil.table(items.filter(F.size("iw") > 0).distinct().withColumn("item", F.xxhash64("item_id", "iw")), "items")
     shape = items.agg(F.sum(F.size("iw")).alias("n"), F.collect_set(F.when(F.size("iw") < WINDOW, F.size("iw"))).alias("short")).first()
     near = F.broadcast if (shape["n"] or 0) <= BROADCAST_WORDS else (lambda df: df)
 
     # an item shorter than a window has one window: itself
-    whole = items.filter(F.size("iw") < WINDOW).select("item", F.lit(0).alias("place"), F.xxhash64(F.xxhash64("iw"), F.size("iw")).alias("hash"))
-    marks = fingerprints(items, "iw", "item").unionByName(whole).withColumnRenamed("place", "item_place")
+    whole = items.filter(F.size("iw") < WINDOW).select("item", F.lit(0).alias("place"), F.xxhash64(F.xxhash64("h"), F.size("h")).alias("hash"))
+    marks = fingerprints(items, "h", "item").unionByName(whole).withColumnRenamed("place", "item_place")
 
     key = ["doc_id", "text_key"]
-    base = docs.select("doc_id", F.xxhash64("text").alias("text_key"), words("text").alias("w"))
-    fps = fingerprints(base, "w", *key)
-    short_fps = _short(base, "w", sorted(shape["short"]), *key)
+    base = docs.select("doc_id", F.xxhash64("text").alias("text_key"), _folded_hashes("text").alias("h"))
+    fps = fingerprints(base, "h", *key)
+    short_fps = _short(base, "h", sorted(shape["short"]), *key)
     if short_fps is not None:
         fps = fps.unionByName(short_fps)
     diagonals = fps.join(near(marks), "hash").select(*key, "item", (F.col("place") - F.col("item_place")).alias("shift")).distinct()
@@ -123,7 +153,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The columns of the contract for each row of ``docs``."""
     hits = sparkutil.table(find_hits(docs, benchmark), "hits")
     few = sparkutil.small(hits)
-    rows = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.size(words("text")).cast("long").alias("n_words"))
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_key"), count_words("text").cast("long").alias("n_words"))
     joined = rows.join(few, rows["doc_id"].eqNullSafe(few["doc_id"]) & (rows["text_key"] == few["text_key"]), "left")
     n_hit, items = F.coalesce("n_hit", F.lit(0)), F.coalesce("items", F.array().cast("array<string>"))
     return joined.select(
