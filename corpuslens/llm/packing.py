@@ -14,9 +14,11 @@ repeated rows are packed once each; an empty table gives an empty result; other
 from __future__ import annotations
 
 import os
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -30,7 +32,7 @@ from corpuslens.llm import sparkutil
 LENGTH = 2048
 END_ID = 0
 #: Most patterns that are fitted, and entries of a worker's token cache.
-PATTERNS, CACHE = 24_000, 300_000
+PATTERNS, CACHE = 24_000, 800_000
 
 
 def default_tokenizer() -> str:
@@ -42,7 +44,7 @@ def default_tokenizer() -> str:
 class ChunkTokenizer:
     """Ids of whole texts, with a cache for the chunks between blanks.
 
-    Exact for tokenizers that drop white space and never join pieces across it.
+    Exact for lower-casing tokenizers that drop white space and never join pieces across it.
     """
 
     def __init__(self, path: str):
@@ -50,25 +52,60 @@ class ChunkTokenizer:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._cache: dict[str, list[int]] = {}
-
-    def _learn(self, chunks: list[str]) -> None:
-        if len(self._cache) + len(chunks) > CACHE:
+        self._kind = np.uint16 if self._tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
+        self._cache: dict[str, bytes] = {}
+
+    @staticmethod
+    def _chunks(text: str) -> list[str]:
+        # lower case now, so that more chunks are equal; not where it depends on neighbours or makes a special token
+        if "<|" not in text and "\u03a3" not in text and "\u0130" not in text and unicodedata.is_normalized("NFC", text):
+            text = text.lower()
+        return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+
+    def ids(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text; chunks that aren't cached are encoded in one call."""
+        chunks = [self._chunks(t) for t in texts]
+        every = set().union(*chunks)
+        if len(self._cache) > CACHE:
             self._cache.clear()
-        for c, e in zip(chunks, self._tokenizer.encode_batch(chunks, add_special_tokens=False), strict=True):
-            self._cache[c] = e.ids
-
-    def ids(self, text: str) -> np.ndarray:
-        chunks = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        new = set(chunks).difference(self._cache)
-        if new:
-            if len(new) > CACHE:  # more than the cache holds
-                return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-            if len(self._cache) + len(new) > CACHE:
-                self._cache.clear()
-                new = set(chunks)
-            self._learn(list(new))
-        return np.fromiter(chain.from_iterable(map(self._cache.__getitem__, chunks)), np.uint32)
+        new = every.difference(self._cache)
+        cache = self._cache
+        # a letter and one mark after it are never one pre-token: such a chunk is the ids of both
+        ended = [c for c in new if len(c) > 1 and c[-1] in ",." and c[-2].isalpha() and "<|" not in c]
+        new.difference_update(ended)
+        new.update(c for c in (*",.", *(c[:-1] for c in ended)) if c not in cache)
+        new = list(new)
+        for c, e in zip(new, self._tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
+            cache[c] = np.array(e.ids, self._kind).tobytes()
+        for c in ended:
+            cache[c] = cache[c[:-1]] + cache[c[-1]]
+        new += ended
+        out = [np.frombuffer(b"".join(map(cache.__getitem__, c)), self._kind) for c in chunks]
+        for c in new:
+            if len(c) > 64:  # rare and large
+                del cache[c]
+        return out
+
+
+@lru_cache(maxsize=2)
+def _tokenizer(path: str) -> ChunkTokenizer:
+    """One for each worker process, which may run many tasks."""
+    return ChunkTokenizer(path)
+
+
+def _portions(texts: pa.Array, most: int = 1 << 21) -> Iterator[list[str]]:
+    """Texts of a batch in lists of about ``most`` characters."""
+    held: list[str] = []
+    size = 0
+    for t in texts:
+        t = t.as_py() or ""
+        held.append(t)
+        size += len(t)
+        if size >= most:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
 
 
 def pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH, with_ids: bool = False) -> DataFrame:
@@ -77,11 +114,11 @@ def pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH, with_ids: bool
     schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, part int, nth long" + ", ids array<int>" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok, seen, part = ChunkTokenizer(tokenizer), np.zeros(length + 1, np.int64), TaskContext.get().partitionId()
+        tok, seen, part = _tokenizer(tokenizer), np.zeros(length + 1, np.int64), TaskContext.get().partitionId()
         for batch in batches:
             own, piece, size, crc, nth, all_ids = [], [], [], [], [], []
-            for i, text in enumerate(batch.column("text")):
-                ids = np.append(tok.ids(text.as_py() or ""), np.uint32(END_ID)).astype("<u4")
+            for i, ids in enumerate(chain.from_iterable(map(tok.ids, _portions(batch.column("text"))))):
+                ids = np.append(ids, ids.dtype.type(END_ID)).astype("<u4")
                 for p in range(-(-len(ids) // length)):
                     cut = ids[p * length : (p + 1) * length]
                     own.append(i)
