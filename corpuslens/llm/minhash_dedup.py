@@ -33,11 +33,9 @@ WORDS, THRESHOLD = 5, 0.8
 SKETCHES, ELL = 16, 3
 #: Members, and shingles of them all, that one block of a bucket holds.
 BLOCK_ROWS, BLOCK_SHINGLES = 1500, 1_000_000
-#: Candidates whose smallest values agree in fewer sketches than this are taken for chance (similarity 0.8: 13 of 16).
-MIN_AGREE = 4
 
 _SEEDS = tk.mix(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
-_SKETCH = "sketches array<long>, minima array<int>, n int"
+_SKETCH = "sketches array<long>, n int"
 
 
 def shingles(s: tk.Slice) -> tuple[np.ndarray, np.ndarray]:
@@ -72,8 +70,8 @@ def shingles(s: tk.Slice) -> tuple[np.ndarray, np.ndarray]:
     return label, np.searchsorted(own, np.arange(s.rows + 1))
 
 
-def sketch(label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order MinHash of one document: SKETCHES values of ELL shingles in text order, and the smallest of each."""
+def sketch(label: np.ndarray) -> np.ndarray:
+    """Order MinHash of one document: SKETCHES values, each of ELL shingles in text order."""
     v = label.astype(np.uint64)[None, :] * _SEEDS[:, None]
     v ^= v >> np.uint64(32)
     v *= np.uint64(0xD6E8FEB86659FD93)
@@ -83,31 +81,27 @@ def sketch(label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at = np.argpartition(v, ell - 1, axis=1)[:, :ell]
     else:
         at = np.broadcast_to(np.arange(ell), (SKETCHES, ell))
-    low = np.take_along_axis(v, at, 1).min(1)
     at = np.sort(at, axis=1)
     acc = np.full(SKETCHES, ell, np.uint64)
     for i in range(ell):
         acc = tk.mix(acc + label[at[:, i]].astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
-    return acc, (low >> np.uint64(32)).astype(np.uint32)
+    return acc
 
 
 def _sketch_column(text="text"):
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            keys, lows, sizes = [], [], []
+            keys, sizes = [], []
             for s in tk.slices(texts):
                 label, off = shingles(s)
                 for i in range(s.rows):
                     own = label[off[i] : off[i + 1]]
                     sizes.append(len(own))
                     if len(own):
-                        k, low = sketch(own)
-                        keys.append(k)
-                        lows.append(low)
+                        keys.append(sketch(own))
             ptr = np.concatenate([[0], np.cumsum(np.array(sizes, np.int64) > 0)]).astype(np.int32) * SKETCHES
-            flat = [np.concatenate(x) if x else np.zeros(0, t) for x, t in ((keys, np.uint64), (lows, np.uint32))]
-            lists = [pa.ListArray.from_arrays(pa.array(ptr), pa.array(flat[0].view(np.int64))), pa.ListArray.from_arrays(pa.array(ptr), pa.array(flat[1].view(np.int32)))]
-            yield pa.StructArray.from_arrays([*lists, pa.array(sizes, pa.int32())], ["sketches", "minima", "n"])
+            flat = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
+            yield pa.StructArray.from_arrays([pa.ListArray.from_arrays(pa.array(ptr), pa.array(flat.view(np.int64))), pa.array(sizes, pa.int32())], ["sketches", "n"])
 
     return F.arrow_udf(run, _SKETCH)(F.col(text))
 
@@ -157,12 +151,14 @@ def aligned(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> bool:
     return size >= need
 
 
-def link_block(keys: list, sketches: np.ndarray, minima: np.ndarray, shingle: list[np.ndarray], number: int, left: np.ndarray, cross: bool) -> Iterator[tuple[int, int]]:
+def link_block(sketches: np.ndarray, shingle: list[np.ndarray], number: int, left: np.ndarray, cross: bool) -> Iterator[tuple[int, int]]:
     """Links that connect the members of one block (or of two: pairs of ``left`` and not ``left``).
 
-    Only pairs whose first common sketch is ``number`` are looked at, and only until they are connected.
+    Only pairs whose first common sketch is ``number`` are looked at, and only until they are connected.  How many
+    shingles a member shares with each of those before it is counted for all of them in one pass; pairs that share
+    enough are aligned, those that share most first.
     """
-    n = len(keys)
+    n = len(shingle)
     parent = list(range(n))
 
     def root(x: int) -> int:
@@ -172,19 +168,26 @@ def link_block(keys: list, sketches: np.ndarray, minima: np.ndarray, shingle: li
         return x
 
     sizes = np.array([len(x) for x in shingle])
+    need = THRESHOLD / (1 + THRESHOLD)
+    off = np.concatenate([[0], np.cumsum(sizes)])
+    _, ids = np.unique(np.concatenate(shingle), return_inverse=True)
+    mark = np.zeros(len(ids), np.int32)
     for i in range(1, n):
-        agree = (minima[:i] == minima[i]).sum(1)
-        ok = (agree >= MIN_AGREE) & (np.minimum(sizes[:i], sizes[i]) >= THRESHOLD * np.maximum(sizes[:i], sizes[i]))
+        own = ids[off[i] : off[i + 1]]
+        mark[own] = 1
+        shared = np.add.reduceat(mark[ids[: off[i]]], off[:i])
+        mark[own] = 0
+        ok = shared >= need * (sizes[:i] + sizes[i]) - 1e-9
         if number:
             ok &= ~(sketches[:i, :number] == sketches[i, :number]).any(1)
         if cross:
             ok &= left[:i] != left[i]
         found = np.flatnonzero(ok)
-        for j in found[np.argsort(-agree[found], kind="stable")]:
-            a, b = root(i), root(int(j))
+        for j in found[np.argsort(-shared[found], kind="stable")].tolist():
+            a, b = root(i), root(j)
             if a != b and aligned(shingle[i], shingle[j]):
                 parent[a] = b
-                yield i, int(j)
+                yield i, j
 
 
 def _link_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,14 +197,14 @@ def _link_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def work(rows: pa.Table) -> pa.RecordBatch:
         keys, number = rows.column("key").to_pylist(), int(rows.column("number")[0].as_py())
-        wide = lambda c, t: pa.concat_arrays(rows.column(c).chunks).flatten().to_numpy().view(t).reshape(len(keys), SKETCHES)
+        sketches = pa.concat_arrays(rows.column("sketches").chunks).flatten().to_numpy().reshape(len(keys), SKETCHES)
         lists = pa.concat_arrays(rows.column("shingles").chunks)
         off = lists.offsets.to_numpy()
         base, flat = off[0], lists.flatten().to_numpy().view(np.uint32)
         shingle = [flat[off[i] - base : off[i + 1] - base] for i in range(len(keys))]
         left = rows.column("block").to_numpy() == rows.column("first").to_numpy()
         cross = rows.column("first")[0].as_py() != rows.column("second")[0].as_py()
-        pairs = list(link_block(keys, wide("sketches", np.uint64), wide("minima", np.uint32), shingle, number, left, cross))
+        pairs = list(link_block(sketches, shingle, number, left, cross))
         return pa.RecordBatch.from_arrays([pa.array([keys[a] for a, _ in pairs], pa.binary()), pa.array([keys[b] for _, b in pairs], pa.binary())], ["a", "b"])
 
     for batch in batches:
@@ -236,7 +239,7 @@ def find_links(docs: DataFrame) -> DataFrame:
     texts = docs.filter(F.col("text").isNotNull()).select("text", _key(F.col("text")).alias("key"))
     sketched = texts.select("key", _sketch_column().alias("s")).select("key", "s.*").filter("n > 0")
     # copies of a text have the same sketches: one row for each text
-    first = sketched.groupBy("key").agg(F.first("sketches").alias("sketches"), F.first("minima").alias("minima"), F.first("n").alias("n"))
+    first = sketched.groupBy("key").agg(F.first("sketches").alias("sketches"), F.first("n").alias("n"))
     first = sparkutil.table(first, "sketches")
     members = first.select("key", "n", F.posexplode("sketches").alias("number", "bucket"))
     shared = members.groupBy("number", "bucket").agg(F.count("*").alias("rows"), F.sum(F.col("n").cast("long")).alias("total")).filter("rows > 1")
@@ -247,7 +250,7 @@ def find_links(docs: DataFrame) -> DataFrame:
     needed = sparkutil.small(needed)
     own = texts.join(needed, "key", "left_semi").select("key", _shingle_column().alias("shingles"))
     own = own.groupBy("key").agg(F.first("shingles").alias("shingles"))
-    own = sparkutil.table(own.join(first.select("key", "sketches", "minima"), "key"), "bucket-shingles")
+    own = sparkutil.table(own.join(first.select("key", "sketches"), "key"), "bucket-shingles")
     block = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     units = met.select("key", "number", "bucket", block.alias("block"), other).select(
@@ -255,7 +258,7 @@ def find_links(docs: DataFrame) -> DataFrame:
     )
     units = units.withColumn("unit_hash", F.xxhash64("number", "bucket", "first", "second")).join(own, "key")
     order = ["unit_hash", "number", "bucket", "first", "second"]
-    links = units.repartition("unit_hash").sortWithinPartitions(*order).select(*order, "key", "block", "sketches", "minima", "shingles").mapInArrow(_link_units, "a binary, b binary")
+    links = units.repartition("unit_hash").sortWithinPartitions(*order).select(*order, "key", "block", "sketches", "shingles").mapInArrow(_link_units, "a binary, b binary")
     return sparkutil.table(links.distinct(), "links")
 
 
