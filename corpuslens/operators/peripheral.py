@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -149,8 +150,6 @@ def activate(configs: DataFrame, config_id: str) -> DataFrame:
 
 def embed(rows: DataFrame, text: str, embedder, dimensions: int, batch: int = 16) -> DataFrame:
     """``embedding`` of a text column by an injected function of a list of texts; sizes are checked."""
-    import pandas as pd
-
     batch = max(1, min(128, batch))
 
     def run(texts: pd.Series) -> pd.Series:
