@@ -161,3 +161,23 @@ def render_history(messages: DataFrame, last: int = 6) -> DataFrame:
 def agent_type(stored: Column, role: Column, mode: Column) -> Column:
     """The agent of a message; older rows show it by their retrieval mode, users have none."""
     return F.when(stored.isNotNull(), stored).when(role != "ASSISTANT", F.lit(None)).when(mode.isNotNull(), "KNOWLEDGE_BASE").otherwise("GENERAL_CHAT")
+
+
+def isolated(messages: DataFrame, agent: str) -> DataFrame:
+    """Answers of another agent become background for this one."""
+    other = (F.col("role") == "ASSISTANT") & F.col("agent").isNotNull() & (F.col("agent") != agent)
+    return messages.withColumn("role", F.when(other, "BACKGROUND").otherwise(F.col("role")))
+
+
+def stored_answers(events: DataFrame) -> DataFrame:
+    """What is stored of answer streams (stream_id, n, event, data): (stream_id, text, status).
+
+    Deltas are joined up to the first end; ``done`` is DONE, ``error`` is ERROR, no end is STOPPED; blank answers
+    aren't stored.
+    """
+    w = Window.partitionBy("stream_id").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+    ended = F.coalesce(F.max(F.col("event").isin("done", "error").cast("int")).over(w), F.lit(0))
+    rows = events.withColumn("_e", ended).filter("_e = 0")
+    deltas = F.array_sort(F.collect_list(F.when(F.col("event") == "delta", F.struct("n", "data"))))
+    out = rows.groupBy("stream_id").agg(F.array_join(F.transform(deltas, lambda x: x["data"]), "").alias("text"), F.max(F.when(F.col("event").isin("done", "error"), F.upper("event"))).alias("_s"))
+    return out.filter(~T.is_blank("text")).select("stream_id", "text", F.coalesce("_s", F.lit("STOPPED")).alias("status"))

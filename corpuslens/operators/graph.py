@@ -170,3 +170,53 @@ def co_occurrences(docs: DataFrame, most: int = MAX_NODES) -> tuple[DataFrame, D
     mentions = rows.select("doc_id", F.explode("w").alias("node"))
     pairs = F.filter(F.transform("w", lambda x, i: F.struct(x.alias("source"), F.get("w", i + 1).alias("target"))), lambda p: p["target"].isNotNull())
     return mentions, rows.select("doc_id", F.explode(pairs).alias("p")).select("doc_id", "p.source", "p.target")
+
+
+def evidence_star(evidence: DataFrame, chunks: DataFrame, documents: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Evidence with its chunk and document, its node or its edge, and the edge's ends; best first."""
+    n = nodes.select("id", "name")
+    end = lambda c: n.select(F.col("id").alias(f"_{c}"), F.col("name").alias(c))
+    out = evidence.join(chunks.select("chunk_id", "chunk_index"), "chunk_id").join(documents.select("document_id", "file_name"), "document_id")
+    out = out.join(end("node_name"), F.col("node_id") == F.col("_node_name"), "left")
+    out = out.join(edges.select(F.col("id").alias("_e"), "source", "target", "label"), F.col("edge_id") == F.col("_e"), "left")
+    out = out.join(end("source_name"), F.col("source") == F.col("_source_name"), "left").join(end("target_name"), F.col("target") == F.col("_target_name"), "left")
+    return out.select("id", "file_name", "chunk_index", "quote", "confidence", "node_name", "label", "source_name", "target_name")
+
+
+def enrich_view(view_edges: DataFrame, edges: DataFrame) -> DataFrame:
+    """Edges of a stored view, with what older views lack taken from the edge table."""
+    e = edges.select(F.col("id").alias("_id"), F.col("label").alias("_label"), F.col("description").alias("_description"), F.col("confidence").alias("_confidence"))
+    out = view_edges.join(e, F.col("id") == F.col("_id"), "left")
+    pick = lambda c: F.coalesce(F.nullif(F.col(c), F.lit("")), F.col(f"_{c}"))
+    return out.select("id", pick("label").alias("label"), pick("description").alias("description"), F.coalesce("confidence", "_confidence").alias("confidence"))
+
+
+def scope_documents(docs: DataFrame, scope_type: str, scope_id=None) -> DataFrame:
+    """The documents of a scope; a folder that is off, or isn't there, is an error."""
+    if scope_type == "ALL":
+        return docs.filter(F.col("folder").isNull() | F.col("enabled"))
+    found = docs.filter(F.col("folder" if scope_type == "KNOWLEDGE_FOLDER" else "doc_id") == scope_id)
+    if found.filter("enabled").isEmpty():
+        raise ValueError(f"no documents to use in {scope_type} {scope_id}")
+    return found.filter("enabled")
+
+
+def scope_names(flags: DataFrame, names: DataFrame, gone: str = "(deleted)") -> DataFrame:
+    """Scopes with the names of what they stand for, or a stand-in where that is gone."""
+    n = names.select(F.col("scope_type").alias("_t"), F.col("scope_id").alias("_i"), "name")
+    out = flags.join(n, (F.col("scope_type") == F.col("_t")) & F.col("scope_id").eqNullSafe(F.col("_i")), "left")
+    return out.select(*flags.columns, F.when(F.col("scope_type") == "ALL", "ALL").otherwise(F.coalesce("name", F.lit(gone))).alias("name"))
+
+
+def graph_status(runs: DataFrame, nodes: DataFrame, edges: DataFrame, views: DataFrame) -> DataFrame:
+    """One row for each scope with runs: its latest status, node and edge counts, and when its views were made."""
+    key = ["scope_type", "scope_id"]
+    last = runs.groupBy(*key).agg(F.max_by("status", F.struct("created_at", "run_id")).alias("status"), F.count("*").alias("runs"))
+
+    def counted(rows: DataFrame, name: str, what=None) -> DataFrame:
+        return rows.groupBy(F.col("scope_type").alias(f"_{name}t"), F.col("scope_id").alias(f"_{name}i")).agg((F.count("*") if what is None else what).alias(name))
+
+    for rows, name, what in ((nodes, "nodes", None), (edges, "edges", None), (views, "generated_at", F.max("updated_at"))):
+        c = counted(rows, name, what)
+        last = last.join(c, (F.col("scope_type") == F.col(f"_{name}t")) & F.col("scope_id").eqNullSafe(F.col(f"_{name}i")), "left").drop(f"_{name}t", f"_{name}i")
+    return last.withColumns({"nodes": F.coalesce("nodes", F.lit(0)).cast("long"), "edges": F.coalesce("edges", F.lit(0)).cast("long")})

@@ -159,3 +159,37 @@ def index_consistency(expected_docs: DataFrame, index_rows: DataFrame, key: str
     b = index_rows.agg(F.count_distinct(key).alias("indexed_documents"), F.count("*").alias("indexed_chunks"))
     same = (F.col("expected_documents") == F.col("indexed_documents")) & (F.col("expected_chunks") == F.col("indexed_chunks"))
     return a.join(F.broadcast(b)).withColumn("consistent", same)
+
+
+def system_issues(spark, summary: DataFrame, consistency: DataFrame, duplicates: DataFrame, versions: DataFrame, stale: DataFrame, embedding: bool) -> DataFrame:
+    """(code, severity, action, count) of what is wrong with the corpus as a whole; each part is one small row."""
+    parts = [
+        ("INDEX_INCONSISTENT", "ERROR", "REBUILD_INDEX", consistency.agg(F.count_if(~F.col("consistent")).alias("n"))),
+        ("EMBEDDING_UNCONFIGURED", "WARNING", "CONFIGURE_EMBEDDING", summary.agg((F.coalesce(F.sum(F.when(F.col("enabled"), F.col("documents"))), F.lit(0)) > 0).cast("int").alias("n")).withColumn("n", F.lit(0) if embedding else F.col("n"))),
+        ("GRAPH_STALE", "WARNING", "REBUILD_GRAPH", stale.agg(F.count_if("stale").alias("n"))),
+        ("DUPLICATE_DOCUMENT_CONTENT", "WARNING", "VIEW_CONFLICTS", duplicates.agg(F.coalesce(F.sum("copies"), F.lit(0)).alias("n"))),
+        ("POSSIBLE_VERSION_CONFLICT", "WARNING", "VIEW_CONFLICTS", versions.agg(F.count("*").alias("n"))),
+    ]
+    out = None
+    for code, severity, action, rows in parts:
+        one = rows.select(F.lit(code).alias("code"), F.lit(severity).alias("severity"), F.lit(action).alias("action"), F.col("n").cast("long").alias("count"))
+        out = one if out is None else out.unionByName(one)
+    return out.filter(F.col("count") > 0)
+
+
+def answer_readiness(issues: DataFrame) -> DataFrame:
+    """One row of issue counts by kind, and whether answers can be trusted."""
+    n = lambda *codes: F.count_if(F.col("code").isin(*codes))
+    row = issues.agg(
+        n("UNINDEXED_DOCUMENTS", "INDEX_INCONSISTENT").alias("search"), n("MISSING_LOCAL_FILES", "STALE_LOCAL_FILES", "NEW_LOCAL_FILES", "PARSE_FAILED").alias("sync"),
+        n("EMBEDDING_UNCONFIGURED").alias("retrieval"), n("DUPLICATE_DOCUMENT_CONTENT", "POSSIBLE_VERSION_CONFLICT").alias("conflicts"),
+    )
+    return row.withColumn("ready", (F.col("search") == 0) & (F.col("sync") == 0))
+
+
+def problem_documents(docs: DataFrame, probed: DataFrame) -> DataFrame:
+    """(problem, id): failed and unindexed documents of folders that are on, and missing, stale and new files."""
+    on = docs.filter("enabled")
+    failed = on.filter("status = 'FAILED'").select(F.lit("FAILED").alias("problem"), F.col("doc_id").alias("id"))
+    waiting = on.filter("status = 'PARSED' AND indexed_at IS NULL").select(F.lit("UNINDEXED").alias("problem"), F.col("doc_id").alias("id"))
+    return failed.unionByName(waiting).unionByName(probed.filter("state <> 'SAME'").select(F.col("state").alias("problem"), "id"))
