@@ -14,14 +14,16 @@ from corpuslens.session import ship
 #: Rows that may be broadcast once they have been counted; beyond it, joins shuffle.
 BROADCAST_ROWS = 1_000_000
 _written: list[tuple[SparkSession, str]] = []
+#: Folders of sessions that name none, by application.
+_own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder from ``spark.checkpoint.dir``; a local one only where that is unset."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = tempfile.mkdtemp(prefix="corpuslens-checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        found = _own.setdefault(spark.sparkContext.applicationId, "") or tempfile.mkdtemp(prefix="corpuslens-checkpoint-")
+        _own[spark.sparkContext.applicationId] = found
     return found.rstrip("/")
 
 
@@ -52,7 +54,7 @@ def small(df: DataFrame, rows: int | None = None, bound: int = BROADCAST_ROWS) -
     return F.broadcast(df) if n <= bound else df
 
 
-def batches(spark: SparkSession, rows: int = 2000, size: str = "16m") -> None:
+def batches(spark: SparkSession, rows: int = 1000, size: str = "4m") -> None:
     """Bound what one Arrow batch holds, in rows and in bytes, and let workers import this package."""
     ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
