@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from corpuslens.functions import text as T
 from corpuslens.session import ship
+from corpuslens.sources.pdf import pdf_pages
 
 SUFFIXES = {"MARKDOWN": (".md", ".markdown"), "TEXT": (".txt",), "DOCX": (".docx",), "PDF": (".pdf",)}
 SECTIONS = "array<struct<content: string, heading: string, page_number: int>>"
@@ -67,13 +68,13 @@ def docx_text(data: bytes) -> str:
 
 
 #: Parsers of types that no built-in function reads: bytes to (content, heading, page) sections.
-PARSERS: dict[str, Callable[[bytes], list[dict]]] = {"DOCX": lambda data: [{"content": docx_text(data), "heading": None, "page_number": None}]}
+PARSERS: dict[str, Callable[[bytes], list[dict]]] = {"DOCX": lambda data: [{"content": docx_text(data), "heading": None, "page_number": None}], "PDF": pdf_pages}
 
 
 def parse(files: DataFrame, parsers: dict[str, Callable[[bytes], list[dict]]] | None = None) -> DataFrame:
     """``sections`` and ``error`` of each scanned file; a file that can't be read, or has no text, is an error row.
 
-    Give a parser for PDF pages: there is none here.
+    ``parsers`` adds to or replaces those of PARSERS.
     """
     ship(files.sparkSession)
     known = PARSERS | (parsers or {})

@@ -180,7 +180,7 @@ def test_files_and_ingest(spark, tmp_path):
     got = {r.file_name: r for r in files.parse(scanned).collect()}
     assert got["a.md"].sections[0].heading == "Head" and got["a.md"].error is None
     assert got["d.docx"].sections[0].content == "Para\ntwo"
-    assert got["empty.txt"].error == "no text" and "PDF" in got["p.pdf"].error and "skip.exe" not in got
+    assert got["empty.txt"].error == "no text" and got["p.pdf"].error and "skip.exe" not in got
     records = ingest.ingest_batch(scanned, spark.createDataFrame([], ingest.RECORD), keep_failed=False)
     rows = spark.createDataFrame(records.collect(), ingest.RECORD)
     assert {r.file_name: r.status for r in rows.collect()}["a.md"] == "PARSED"
@@ -190,6 +190,38 @@ def test_files_and_ingest(spark, tmp_path):
     assert "a.md" not in {r.file_name for r in ingest.remove_missing(rows, files.scan(spark, str(folder))).collect()}
 
 
+def make_pdf(pages, compress=True):
+    """A small PDF: each page is a list of lines."""
+    import zlib
+
+    objects = [b"<< /Type /Catalog /Pages 2 0 R >>", b"<< /Type /Pages /Kids [" + b" ".join(b"%d 0 R" % (4 + 2 * i) for i in range(len(pages))) + b"] /Count %d >>" % len(pages), b"<< /Type /Font /Subtype /Type1 /BaseFont /Helvetica >>"]
+    for i, lines in enumerate(pages):
+        body = b"BT /F1 12 Tf 72 700 Td " + b" 0 -14 Td ".join(b"(" + x.encode("cp1252").replace(b"(", b"\\(").replace(b")", b"\\)") + b") Tj" for x in lines) + b" ET"
+        packed = zlib.compress(body) if compress else body
+        objects.append(b"<< /Type /Page /Parent 2 0 R /Resources << /Font << /F1 3 0 R >> >> /Contents %d 0 R >>" % (5 + 2 * i))
+        objects.append(b"<< /Length %d%s >>\nstream\n" % (len(packed), b" /Filter /FlateDecode" if compress else b"") + packed + b"\nendstream")
+    return b"%PDF-1.4\n" + b"".join(b"%d 0 obj\n%s\nendobj\n" % (i + 1, o) for i, o in enumerate(objects)) + b"trailer << /Root 1 0 R >>\n%%EOF"
+
+
+@pytest.mark.parametrize("compress", [True, False])
+def test_pdf_pages(compress):
+    from corpuslens.sources.pdf import PdfError, pdf_pages
+
+    got = pdf_pages(make_pdf([["First (page)", "caf\xe9"], [], ["Third"]], compress))
+    assert [(s["page_number"], s["content"]) for s in got] == [(1, "First (page)\ncaf\xe9"), (3, "Third")]
+    assert pdf_pages(make_pdf([[], []])) == []
+    for bad in (b"%PDF-1.4 1 0 obj << /Encrypt 3 0 R >> endobj", b"hello"):
+        with pytest.raises(PdfError):
+            pdf_pages(bad)
+
+
+def test_pdf_strings_with_unicode_maps():
+    from corpuslens.sources.pdf import _cmap, _page_text
+
+    cmap = _cmap(b"1 beginbfchar <0001> <0041> endbfchar 1 beginbfrange <0010> <0012> <4E00> endbfrange")
+    assert _page_text(b"BT /F1 1 Tf [<00010010> -300 <0012>] TJ T* <0011> ' ET", {b"/F1": cmap}) == "A\u4e00 \u4e02\n\u4e01"
+
+
 def test_streaming_ingest_goes_on_where_it_stopped(spark, tmp_path):
     folder, table, check = tmp_path / "in", str(tmp_path / "records"), str(tmp_path / "check")
     folder.mkdir()
