@@ -91,6 +91,7 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, rows: int = SAMPLE_RO
     part = F.create_map(*[F.lit(v) for r in counts for v in (r["lang"], min(1.0, share / r["count"]))])
     sample = known.filter(sparkutil.unit_hash("doc_id", salt="lang") < F.coalesce(part[F.col("lang")], F.lit(0.0)))
 
+    @tk.tidy
     def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for s in tk.slices(batch.column("text")):
@@ -117,6 +118,7 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, rows: int = SAMPLE_RO
 def predict_column(model: LanguageModel, text="text"):
     """Struct column: lang_pred, score, rejected."""
 
+    @tk.tidy
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         names = np.array([*model.languages, "und"], object)
         for texts in batches:

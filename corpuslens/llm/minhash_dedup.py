@@ -32,7 +32,7 @@ WORDS, THRESHOLD = 5, 0.8
 #: Sketches of a document, and shingles in a sketch: texts with similarity 0.8 meet in one of them but for 1 in 10^5.
 SKETCHES, ELL = 16, 3
 #: Members, and shingles of them all, that one block of a bucket holds.
-BLOCK_ROWS, BLOCK_SHINGLES = 1500, 1_000_000
+BLOCK_ROWS, BLOCK_SHINGLES = 600, 1_000_000
 
 _SEEDS = tk.mix(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _SKETCH = "sketches array<long>, n int"
@@ -89,6 +89,7 @@ def sketch(label: np.ndarray) -> np.ndarray:
 
 
 def _sketch_column(text="text"):
+    @tk.tidy
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
             keys, sizes = [], []

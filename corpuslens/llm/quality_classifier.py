@@ -65,6 +65,7 @@ def statistics(s: tk.Slice) -> np.ndarray:
 def statistics_column(text="text") -> Column:
     """Struct of the statistics of a whole text."""
 
+    @tk.tidy
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
             parts = [statistics(s) for s in tk.slices(texts)]

@@ -110,6 +110,7 @@ def linear_score(s: tk.Slice, words, row, weights) -> np.ndarray:
 
 
 def _verdicts(model: QualityModel):
+    @tk.tidy
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
             parts = []
@@ -130,6 +131,7 @@ def _verdicts(model: QualityModel):
     return run
 
 
+@tk.tidy
 def _sample_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for s in tk.slices(batch.column("text")):

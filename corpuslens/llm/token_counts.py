@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuslens.llm import sparkutil
+from corpuslens.llm import textkernel as tk
 
 #: Pre-tokens of a leaf when it is made; entries of a worker's count cache.
 LEAF, CACHE = 32, 400_000
@@ -165,6 +166,7 @@ def build_trees(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     sparkutil.batches(docs.sparkSession)
     path = tokenizer or default_tokenizer()
 
+    @tk.tidy
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         counter = PretokenCounter(path)
         for texts in batches:
@@ -185,6 +187,7 @@ def apply_edits(trees: DataFrame, tokenizer: str | None = None, keep_text: bool
     sparkutil.batches(trees.sparkSession)
     path = tokenizer or default_tokenizer()
 
+    @tk.tidy
     def run(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
         counter = PretokenCounter(path)
         for texts, chars, pretokens, tokens, edits in batches:

@@ -123,6 +123,7 @@ def dense_features(s: tk.Slice, lex: Lexicon) -> np.ndarray:
     return np.stack(out, 1).astype(np.float64)
 
 
+@tk.tidy
 def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for s in tk.slices(batch.column("text")):
@@ -184,6 +185,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Toxic
     crossed = [_lexicon(*flat, y, fold != k) for k in range(FOLDS)]
     lexicon = _lexicon(*flat, y, np.ones(len(y), bool))
 
+    @tk.tidy
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fold = batch.column("fold").to_numpy()
@@ -207,6 +209,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Toxic
 
 
 def score_column(model: ToxicityModel, text="text"):
+    @tk.tidy
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
             parts = [model.score(s) for s in tk.slices(texts)]
