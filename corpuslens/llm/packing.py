@@ -16,6 +16,7 @@ from __future__ import annotations
 import os
 import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -28,11 +29,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuslens.llm import sparkutil
+from corpuslens.llm import textkernel as tk
 
 LENGTH = 2048
 END_ID = 0
 #: Most patterns that are fitted, and entries of a worker's token cache.
-PATTERNS, CACHE = 24_000, 800_000
+PATTERNS, CACHE = 24_000, 500_000
 
 
 def default_tokenizer() -> str:
@@ -52,8 +54,25 @@ class ChunkTokenizer:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._kind = np.uint16 if self._tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
+        self._kind, self._code = (np.uint16, "H") if self._tokenizer.get_vocab_size() <= 1 << 16 else (np.uint32, "I")
         self._cache: dict[str, bytes] = {}
+        # the characters that byte-level tokenizers write bytes as
+        plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+        rest = [b for b in range(256) if b not in plain]
+        self._byte_chars = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+    def _encode(self, chunks: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Ids of chunks; a lower-case run of Latin letters is one pre-token and goes straight to the model."""
+        tokenize, table, code = self._tokenizer.model.tokenize, self._byte_chars, self._code
+        mixed = []
+        for c in chunks:
+            if c.isalpha() and c == c.lower() and (c.isascii() or max(c) < "\u02b0"):
+                name = c if c.isascii() else "".join(map(table.__getitem__, c.encode()))
+                yield c, array(code, [t.id for t in tokenize(name)]).tobytes()
+            else:
+                mixed.append(c)
+        for c, e in zip(mixed, self._tokenizer.encode_batch_fast(mixed, add_special_tokens=False), strict=True):
+            yield c, array(code, e.ids).tobytes()
 
     @staticmethod
     def _chunks(text: str) -> list[str]:
@@ -62,6 +81,9 @@ class ChunkTokenizer:
             text = text.lower()
         return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
 
+    def forget(self) -> None:
+        self._cache.clear()
+
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text; chunks that aren't cached are encoded in one call."""
         chunks = [self._chunks(t) for t in texts]
@@ -75,8 +97,7 @@ class ChunkTokenizer:
         new.difference_update(ended)
         new.update(c for c in (*",.", *(c[:-1] for c in ended)) if c not in cache)
         new = list(new)
-        for c, e in zip(new, self._tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            cache[c] = np.array(e.ids, self._kind).tobytes()
+        cache.update(self._encode(new))
         for c in ended:
             cache[c] = cache[c[:-1]] + cache[c[-1]]
         new += ended
@@ -89,7 +110,7 @@ class ChunkTokenizer:
 
 @lru_cache(maxsize=2)
 def _tokenizer(path: str) -> ChunkTokenizer:
-    """One for each worker process, which may run many tasks."""
+    """One for each worker process, which may run many tasks; each of them forgets its chunks."""
     return ChunkTokenizer(path)
 
 
@@ -113,31 +134,35 @@ def pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH, with_ids: bool
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, part int, nth long" + ", ids array<int>" * with_ids
 
+    @tk.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok, seen, part = _tokenizer(tokenizer), np.zeros(length + 1, np.int64), TaskContext.get().partitionId()
-        for batch in batches:
-            own, piece, size, crc, nth, all_ids = [], [], [], [], [], []
-            for i, ids in enumerate(chain.from_iterable(map(tok.ids, _portions(batch.column("text"))))):
-                ids = np.append(ids, ids.dtype.type(END_ID)).astype("<u4")
-                for p in range(-(-len(ids) // length)):
-                    cut = ids[p * length : (p + 1) * length]
-                    own.append(i)
-                    piece.append(p)
-                    size.append(len(cut))
-                    crc.append(zlib.crc32(cut.tobytes()))
-                    nth.append(seen[len(cut)])
-                    seen[len(cut)] += 1
-                    if with_ids:
-                        all_ids.append(cut.astype(np.int32))
-            cols = [
-                batch.column("doc_id").take(pa.array(own, pa.int64())), pa.array(piece, pa.int32()), pa.array(np.array(piece, np.int64) * length), pa.array(size, pa.int64()),
-                pa.array(crc, pa.int64()), pa.array(np.full(len(own), part, np.int32)), pa.array(nth, pa.int64()),
-            ]
-            names = ["doc_id", "piece", "start", "length", "ids_crc32", "part", "nth"]
-            if with_ids:
-                cols.append(pa.array(all_ids, pa.list_(pa.int32())))
-                names.append("ids")
-            yield pa.RecordBatch.from_arrays(cols, names)
+        try:
+            for batch in batches:
+                own, piece, size, crc, nth, all_ids = [], [], [], [], [], []
+                for i, ids in enumerate(chain.from_iterable(map(tok.ids, _portions(batch.column("text"))))):
+                    ids = np.append(ids, ids.dtype.type(END_ID)).astype("<u4")
+                    for p in range(-(-len(ids) // length)):
+                        cut = ids[p * length : (p + 1) * length]
+                        own.append(i)
+                        piece.append(p)
+                        size.append(len(cut))
+                        crc.append(zlib.crc32(cut.tobytes()))
+                        nth.append(seen[len(cut)])
+                        seen[len(cut)] += 1
+                        if with_ids:
+                            all_ids.append(cut.astype(np.int32))
+                cols = [
+                    batch.column("doc_id").take(pa.array(own, pa.int64())), pa.array(piece, pa.int32()), pa.array(np.array(piece, np.int64) * length), pa.array(size, pa.int64()),
+                    pa.array(crc, pa.int64()), pa.array(np.full(len(own), part, np.int32)), pa.array(nth, pa.int64()),
+                ]
+                names = ["doc_id", "piece", "start", "length", "ids_crc32", "part", "nth"]
+                if with_ids:
+                    cols.append(pa.array(all_ids, pa.list_(pa.int32())))
+                    names.append("ids")
+                yield pa.RecordBatch.from_arrays(cols, names)
+        finally:
+            tok.forget()
 
     sparkutil.batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(run, schema)
