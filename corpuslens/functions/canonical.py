@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from corpuslens.functions.text import collapse_ws
+from corpuslens.functions.text import collapse_ws, let
 
 DEFAULT_LABEL, LABEL_CHARS = "相关", 8
 
@@ -43,7 +43,7 @@ def snake_upper(x: str | Column, default: str) -> Column:
     """Letters and digits in capitals, anything between them as one underscore; ``default`` if nothing is left."""
     x = F.col(x) if isinstance(x, str) else x
     out = F.regexp_replace(F.regexp_replace(F.upper(F.coalesce(x, F.lit(""))), r"[^\p{L}\p{Nd}]+", "_"), "^_+|_+$", "")
-    return F.when(out == "", F.lit(default)).otherwise(out)
+    return let(out, lambda v: F.when(v == "", F.lit(default)).otherwise(v))
 
 
 def node_type(x: str | Column) -> Column:
@@ -52,19 +52,20 @@ def node_type(x: str | Column) -> Column:
 
 def relation_type(x: str | Column) -> Column:
     """One of the relation classes: by its own name, by an older name, or RELATED."""
-    name = snake_upper(x, "RELATED")
-    out = F.when(name.isin(*RELATION_CLASSES), name)
-    for kind, names in RELATION_ALIASES.items():
-        out = out.when(name.isin(*names.split()), F.lit(kind))
-    return out.otherwise(F.lit("RELATED"))
+    known = {c: c for c in RELATION_CLASSES} | {n: kind for kind, names in RELATION_ALIASES.items() for n in names.split()}
+    table = F.create_map(*[F.lit(v) for pair in known.items() for v in pair])
+    return F.coalesce(F.try_element_at(table, snake_upper(x, "RELATED")), F.lit("RELATED"))
 
 
 def display_label(x: str | Column) -> Column:
     """A short Han label without white space or Latin letters, or the default."""
     x = F.col(x) if isinstance(x, str) else x
-    v = F.regexp_replace(F.coalesce(x, F.lit("")), r"\s+", "")
-    good = (F.length(v) <= LABEL_CHARS) & v.rlike(r"\p{IsHan}") & ~v.rlike("[A-Za-z]")
-    return F.when(good, v).otherwise(F.lit(DEFAULT_LABEL))
+
+    def shortened(v: Column) -> Column:
+        good = (F.length(v) <= LABEL_CHARS) & v.rlike(r"\p{IsHan}") & ~v.rlike("[A-Za-z]")
+        return F.when(good, v).otherwise(F.lit(DEFAULT_LABEL))
+
+    return let(F.regexp_replace(F.coalesce(x, F.lit("")), r"\s+", ""), shortened)
 
 
 def shown(x: str | Column, most: int) -> Column:
@@ -84,6 +85,8 @@ def evidence_text(x: Column) -> Column:
     return F.regexp_replace(F.lower(x), r"[\s\p{P}\p{Z}]+", "")
 
 
-def quote_found(content: Column, quote: Column) -> Column:
-    c, q = evidence_text(F.coalesce(content, F.lit(""))), evidence_text(F.coalesce(quote, F.lit("")))
+def quote_found(content: Column, quote: Column, prepared: bool = False) -> Column:
+    """Whether a quote stands in a content; ``prepared`` says that the content is evidence text already."""
+    c = content if prepared else evidence_text(F.coalesce(content, F.lit("")))
+    q = evidence_text(F.coalesce(quote, F.lit("")))
     return (q != "") & F.contains(c, q)

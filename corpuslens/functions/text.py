@@ -15,6 +15,11 @@ def _c(x: str | Column) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def let(x: Column, f) -> Column:
+    """``f`` of a value that is evaluated once, however often ``f`` names it."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def trim_ws(x: str | Column) -> Column:
     return F.btrim(_c(x), F.lit(WS))
 
@@ -78,7 +83,7 @@ def mixed_tokens(x: str | Column) -> Column:
 
 def terms(x: str | Column) -> Column:
     """Search terms: lower-case runs of letters, digits and underscores; Han characters stand alone."""
-    return F.regexp_extract_all(F.lower(F.coalesce(_c(x), F.lit(""))), F.lit(r"[\p{IsHan}]|(?:(?![\p{IsHan}])[\p{L}\p{Nd}_])+"), F.lit(0))
+    return F.regexp_extract_all(F.lower(F.coalesce(_c(x), F.lit(""))), F.lit(r"[\p{L}\p{Nd}_&&[^\p{IsHan}]]+|\p{IsHan}"), F.lit(0))
 
 
 # fixed values: what an identifier is, and the words that mark diagrams
@@ -162,10 +167,12 @@ def strip_extension(name: str | Column) -> Column:
 
 def version_family(name: str | Column) -> Column:
     """Key of the files that look like versions of one document; null without a sign of a version in the name."""
-    base = strip_extension(name)
+    return let(strip_extension(name), _version_family)
+
+
+def _version_family(base: Column) -> Column:
     marked = F.lower(base).rlike(f"{VERSION_TOKEN}|{VERSION_SUFFIXES}|{VERSION_DATE_MARK}")
     key = F.translate(F.lower(base), "（）()[]_-.", " " * 9)
     for pattern in (VERSION_TOKEN, VERSION_DATE, f"({VERSION_SUFFIXES})$"):
         key = F.regexp_replace(key, pattern, " ")
-    key = collapse_ws(key)
-    return F.when(marked & (F.length(key) >= 2) & ~key.isin(*GENERIC_NAMES), key)
+    return let(collapse_ws(key), lambda k: F.when(marked & (F.length(k) >= 2) & ~k.isin(*GENERIC_NAMES), k))

@@ -99,7 +99,10 @@ def has_topic(x: Column) -> Column:
 
 def follow_up_score(question: Column) -> Column:
     """How much a question leans on the conversation before it."""
-    q = T.collapse_ws(F.coalesce(question, F.lit("")))
+    return T.let(T.collapse_ws(F.coalesce(question, F.lit(""))), _score)
+
+
+def _score(q: Column) -> Column:
     n, topic, points = F.length(q), has_topic(q), lambda c, k: F.when(c, k).otherwise(0)
     refers, refines = q.rlike(REFERENCE_WORDS), q.rlike(ENGLISH_REFINEMENT)
     fragment = ~topic & ((n <= SHORT) | q.endswith("呢"))

@@ -17,11 +17,14 @@ _TRIM = "".join(map(chr, range(33)))
 
 def windows(text: str | Column, width: int = T.CHUNK_CHARS, overlap: int = T.OVERLAP_CHARS) -> Column:
     """Array of overlapping windows of a text, trimmed, without blank ones; built-in functions only."""
-    c = F.col(text) if isinstance(text, str) else text
     step = width - overlap
-    starts = F.sequence(F.lit(0), F.greatest(F.ceil((F.length(c) - width) / step), F.lit(0)).cast("int"))
-    cut = F.transform(starts, lambda i: T.trim_ws(c.substr(i * step + 1, F.lit(width))))
-    return F.filter(cut, lambda w: w != "")
+
+    def cut(c: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.ceil((F.length(c) - width) / step), F.lit(0)).cast("int"))
+        return F.filter(F.transform(starts, lambda i: T.trim_ws(c.substr(i * step + 1, F.lit(width)))), lambda w: w != "")
+
+    # bound by a lambda, so that an expression is evaluated once and not for every window
+    return T.let(F.col(text) if isinstance(text, str) else text, cut)
 
 
 def chunk_plain(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,7 +49,7 @@ def sanitise(payload: Column) -> Column:
 def parse_extractions(rows: DataFrame) -> DataFrame:
     """chunk_id, document_id, content and the sanitised payload of ``extraction_json``."""
     p = F.from_json(salvage_json("extraction_json"), PAYLOAD, {"mode": "PERMISSIVE"})
-    return rows.withColumn("_p", p).filter("_p IS NOT NULL").select("chunk_id", "document_id", "content", sanitise(F.col("_p")).alias("payload"))
+    return rows.select("chunk_id", "document_id", "content", T.let(p, sanitise).alias("payload"))
 
 
 def merge(parsed: DataFrame, canonical=C.canonical_name) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -58,14 +59,16 @@ def merge(parsed: DataFrame, canonical=C.canonical_name) -> tuple[DataFrame, Dat
     An accepted edge is evidence for its ends.  The evidence of one node is counted once for each chunk and quote.
     """
     order = ["document_id", "chunk_id", "pos"]
-    nodes = parsed.select("document_id", "chunk_id", "content", F.posexplode("payload.nodes").alias("pos", "n"))
-    nodes = nodes.select("document_id", "chunk_id", "content", "pos", "n.*").withColumn("canonical", canonical(F.col("name")))
+    # contents are prepared once, before their rows are multiplied; kept, as nodes and edges read them several times
+    parsed = parsed.withColumn("_text", C.evidence_text(F.coalesce("content", F.lit("")))).select("document_id", "chunk_id", "_text", "payload").persist(StorageLevel.MEMORY_AND_DISK)
+    nodes = parsed.select("document_id", "chunk_id", "_text", F.posexplode("payload.nodes").alias("pos", "n"))
+    nodes = nodes.select("document_id", "chunk_id", "_text", "pos", "n.*").withColumn("canonical", canonical(F.col("name")))
     local = nodes.withColumn("_r", F.row_number().over(Window.partitionBy("chunk_id", "canonical").orderBy("pos"))).filter("_r = 1").select("chunk_id", "canonical", F.col("type").alias("node_type"), "name")
-    found = nodes.filter(C.quote_found(F.col("content"), F.col("quote")))
+    found = nodes.filter(C.quote_found(F.col("_text"), F.col("quote"), prepared=True))
     node_ev = found.select(*order, "canonical", F.col("type").alias("node_type"), "name", "description", "confidence", "quote", F.lit(0).alias("kind"))
 
-    edges = parsed.select("document_id", "chunk_id", "content", F.posexplode("payload.edges").alias("pos", "e"))
-    edges = edges.select("document_id", "chunk_id", "content", "pos", "e.*").filter(C.quote_found(F.col("content"), F.col("quote")))
+    edges = parsed.select("document_id", "chunk_id", "_text", F.posexplode("payload.edges").alias("pos", "e"))
+    edges = edges.select("document_id", "chunk_id", "_text", "pos", "e.*").filter(C.quote_found(F.col("_text"), F.col("quote"), prepared=True)).drop("_text")
     edges = edges.withColumns({"_s": canonical(F.col("source")), "_t": canonical(F.col("target"))})
 
     def end(c: str) -> DataFrame:
