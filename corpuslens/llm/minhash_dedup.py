@@ -108,6 +108,7 @@ def _sketch_column(text="text"):
 
 
 def _shingle_column(text="text"):
+    @tk.tidy
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
             parts, ptr = [], [np.zeros(1, np.int64)]
@@ -191,6 +192,7 @@ def link_block(sketches: np.ndarray, shingle: list[np.ndarray], number: int, lef
                 yield i, j
 
 
+@tk.tidy
 def _link_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links of each unit (bucket and pair of blocks); rows of a unit come one after another."""
     held: list[pa.RecordBatch] = []
