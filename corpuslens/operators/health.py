@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuslens.functions import text as T
@@ -118,13 +118,10 @@ def _live(docs: DataFrame) -> DataFrame:
 
 
 def duplicate_groups(docs: DataFrame) -> DataFrame:
-    """(hash, copies, examples) of texts that more than one live document has; at most five examples, by id.
-
-    Sizes come from a plain count; only the few examples are gathered, by a bounded heap of each partition.
-    """
+    """(hash, copies, first_id) of texts that more than one live document has; :func:`capped_examples` names a few."""
     rows = _live(docs).select("doc_id", T.content_hash("text").alias("hash")).filter(~T.is_blank("hash"))
-    groups = rows.groupBy("hash").agg(F.count("*").alias("copies"), *[F.min("doc_id").alias("first_id")]).filter("copies > 1")
-    return groups
+    groups = rows.groupBy("hash").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_id"))
+    return groups.filter("copies > 1")
 
 
 def capped_examples(rows: DataFrame, group: str, value: str, most: int = MAX_EXAMPLES) -> DataFrame:
@@ -132,8 +129,6 @@ def capped_examples(rows: DataFrame, group: str, value: str, most: int = MAX_EXA
 
     Values are thinned inside hash slices of a group first, so that no task holds a whole hot group.
     """
-    from pyspark.sql import Window
-
     part = F.pmod(F.xxhash64(value), F.lit(64))
     thin = rows.select(group, value).withColumn("_s", part)
     thin = thin.withColumn("_r", F.row_number().over(Window.partitionBy(group, "_s").orderBy(value))).filter(F.col("_r") <= most)

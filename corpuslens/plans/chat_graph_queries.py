@@ -95,7 +95,10 @@ def history_rendering(spark: SparkSession, sf_dir: str) -> DataFrame:
 cut AS (SELECT *, coalesce(sum(len) OVER (PARTITION BY conv_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM refs WHERE n <= 5)
 SELECT conv_id, seq AS message_id, substring(substring(text, 1, 1200), 1, CAST(greatest(0, 4000 - before) AS BIGINT)) AS snippet FROM cut WHERE before < 4000""")
 def reference_limiter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    refs = adapt.messages(spark, sf_dir).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct(F.col("seq").alias("message_id"), F.col("text").alias("snippet")))).alias("refs"))
+    # no more than the limiter keeps is gathered
+    w = Window.partitionBy("conv_id").orderBy("seq")
+    rows = adapt.messages(spark, sf_dir).filter(~T.is_blank("text")).withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= chat.MAX_REFERENCES)
+    refs = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct(F.col("seq").alias("message_id"), F.col("text").alias("snippet")))).alias("refs"))
     return refs.select("conv_id", F.explode(chat.limit_references(F.col("refs"))).alias("r")).select("conv_id", "r.*")
 
 
