@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -62,7 +63,7 @@ class PretokenCounter:
                 self._cache.clear()
                 new = set(pretokens)
             new = list(new)
-            for p, e in zip(new, self._tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
+            for p, e in zip(new, self._tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
                 self._cache[p] = len(e.ids)
         found = list(map(self._cache.__getitem__, pretokens))
         if len(self._cache) > CACHE:
@@ -170,7 +171,7 @@ def build_trees(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         counter = PretokenCounter(path)
         for texts in batches:
-            parts = [build(t.as_py() or "", counter).nodes for t in texts]
+            parts = [build(t or "", counter).nodes for t in texts.to_pylist()]
             ptr = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
             flat = np.concatenate(parts) if parts else np.zeros((0, 3), np.int32)
             yield pa.StructArray.from_arrays([pa.ListArray.from_arrays(pa.array(ptr), pa.array(np.ascontiguousarray(flat[:, i]))) for i in range(3)], ["chars", "pretokens", "tokens"])
@@ -192,11 +193,13 @@ def apply_edits(trees: DataFrame, tokenizer: str | None = None, keep_text: bool
         counter = PretokenCounter(path)
         for texts, chars, pretokens, tokens, edits in batches:
             out_text, out_tree, out_n = [], [], []
-            for t, c, p, k, e in zip(texts, chars, pretokens, tokens, edits, strict=True):
-                text = t.as_py() or ""
-                tree = SegmentTree(np.stack([np.array(x.values) for x in (c, p, k)], 1))
+            flat = np.stack([x.flatten().to_numpy(zero_copy_only=False) for x in (chars, pretokens, tokens)], 1)
+            end = np.cumsum([0, *pc.list_value_length(chars).to_numpy(zero_copy_only=False)])
+            for i, (text, todo) in enumerate(zip(texts.to_pylist(), edits.to_pylist(), strict=True)):
+                text = text or ""
+                tree = SegmentTree(flat[end[i] : end[i + 1]].copy())
                 before = counter.encoded
-                for one in e.as_py() or ():
+                for one in todo or ():
                     if one is not None:
                         text, tree = edit(text, tree, one["start"] or 0, one["length"] or 0, one["insertion"] or "", counter)
                 out_text.append(text if keep_text else None)
