@@ -184,3 +184,8 @@ def stored_answers(events: DataFrame) -> DataFrame:
     deltas = F.array_sort(F.collect_list(F.when(F.col("event") == "delta", F.struct("n", "data"))))
     out = rows.groupBy("stream_id").agg(F.array_join(F.transform(deltas, lambda x: x["data"]), "").alias("text"), F.max(F.when(F.col("event").isin("done", "error"), F.upper("event"))).alias("_s"))
     return out.filter(~T.is_blank("text")).select("stream_id", "text", F.coalesce("_s", F.lit("STOPPED")).alias("status"))
+
+
+def route(use_knowledge_base: Column) -> Column:
+    """The agent that answers a message."""
+    return F.when(F.coalesce(use_knowledge_base, F.lit(False)), "KNOWLEDGE_BASE").otherwise("GENERAL_CHAT")

@@ -223,3 +223,29 @@ def graph_status(runs: DataFrame, nodes: DataFrame, edges: DataFrame, views: Dat
         c = counted(rows, name, what)
         last = last.join(c, (F.col("scope_type") == F.col(f"_{name}t")) & F.col("scope_id").eqNullSafe(F.col(f"_{name}i")), "left").drop(f"_{name}t", f"_{name}i")
     return last.withColumns({"nodes": F.coalesce("nodes", F.lit(0)).cast("long"), "edges": F.coalesce("edges", F.lit(0)).cast("long")})
+
+
+def mind_map_markdown(top: DataFrame, docs: DataFrame, title: str) -> DataFrame:
+    """(markdown): the mind map as an outline: scope, documents by name, headings in order, entities with counts.
+
+    A view is one text; it is bounded by its scope and by the entities kept under each heading.
+    """
+    entity = F.format_string("#### %s [%s] x%d", F.col("node"), F.col("type"), F.col("n"))
+    heads = top.groupBy("doc_id", "heading").agg(F.array_sort(F.collect_list(F.struct("rank", entity.alias("line")))).alias("e"))
+    lines = F.array_join(F.concat(F.array(F.concat(F.lit("### "), F.col("heading"))), F.transform("e", lambda x: x["line"])), "\n")
+    per = heads.select("doc_id", F.struct("heading", lines.alias("lines")).alias("h")).groupBy("doc_id").agg(F.array_sort(F.collect_list("h")).alias("hs"))
+    per = per.join(docs.select("doc_id", "file_name"), "doc_id")
+    text = F.array_join(F.concat(F.array(F.concat(F.lit("## "), F.col("file_name"))), F.transform("hs", lambda x: x["lines"])), "\n")
+    whole = per.agg(F.array_sort(F.collect_list(F.struct(F.lower(F.upper("file_name")).alias("o"), "doc_id", text.alias("t")))).alias("d"))
+    return whole.select(F.array_join(F.concat(F.array(F.lit(f"# {title}")), F.transform("d", lambda x: x["t"])), "\n").alias("markdown"))
+
+
+def graph_view(nodes: DataFrame, edges: DataFrame, most: int = TOP_NODES) -> DataFrame:
+    """One row: the payload of a graph view with its shown nodes, hidden count, induced edges and histograms."""
+    top = top_nodes(nodes, edges, most)
+    shown = top.agg(F.count("*").alias("shown"), F.array_sort(F.collect_list(F.struct(F.negative("mentions").alias("o"), "node", "mentions", "degree"))).alias("nodes"))
+    total = nodes.agg(F.count("*").alias("total"))
+    inside = induced(edges, top).agg(F.count("*").alias("edge_count"), F.array_sort(F.collect_list(F.struct("source", "target"))).alias("edges"))
+    kinds = histogram(nodes, "type").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("type", "n")))).alias("types"))
+    row = shown.join(F.broadcast(total)).join(F.broadcast(inside)).join(F.broadcast(kinds))  # one row each
+    return row.select("total", "shown", (F.col("total") - F.col("shown")).alias("hidden"), "edge_count", F.transform("nodes", lambda x: x.dropFields("o")).alias("nodes"), "edges", "types")

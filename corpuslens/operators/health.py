@@ -188,3 +188,14 @@ def problem_documents(docs: DataFrame, probed: DataFrame) -> DataFrame:
     failed = on.filter("status = 'FAILED'").select(F.lit("FAILED").alias("problem"), F.col("doc_id").alias("id"))
     waiting = on.filter("status = 'PARSED' AND indexed_at IS NULL").select(F.lit("UNINDEXED").alias("problem"), F.col("doc_id").alias("id"))
     return failed.unionByName(waiting).unionByName(probed.filter("state <> 'SAME'").select(F.col("state").alias("problem"), "id"))
+
+
+def ingest_summary(results: DataFrame, most: int = MAX_EXAMPLES) -> DataFrame:
+    """One row of an ingest: scanned, parsed, skipped and failed files, and the first few failures by file name."""
+    counts = results.agg(
+        F.count("*").alias("scanned"), F.count_if(F.col("status") == "PARSED").alias("parsed"), F.count_if(F.col("status") == "SKIPPED").alias("skipped"),
+        F.count_if(F.col("status") == "FAILED").alias("failed"),
+    )
+    few = results.filter("status = 'FAILED'").orderBy("file_name").limit(most).agg(F.array_sort(F.collect_list(F.struct("file_name", "error"))).alias("f"))
+    text = F.array_join(F.transform("f", lambda x: F.concat_ws(": ", x["file_name"], x["error"])), "; ")
+    return counts.join(F.broadcast(few)).select("scanned", "parsed", "skipped", "failed", text.alias("failures"))

@@ -266,3 +266,42 @@ def run_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS INT) AS k FROM events WHERE CAST(json_extract(props, '$.k') AS INT) >= 50")
 def json_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k int")["k"].alias("k")).filter("k >= 50")
+
+
+@query(f"""WITH {DERIVED_SQL}, kinds AS (SELECT CASE WHEN type = '' THEN 'UNKNOWN' ELSE type END AS type, count(*) AS n FROM nodes GROUP BY 1)
+SELECT (SELECT count(*) FROM nodes) AS total, (SELECT count(*) FROM best) AS shown, (SELECT count(*) FROM nodes) - (SELECT count(*) FROM best) AS hidden,
+  (SELECT count(*) FROM edges WHERE source IN (SELECT node FROM best) AND target IN (SELECT node FROM best)) AS edge_count,
+  (SELECT string_agg(node, ',' ORDER BY mentions DESC, node) FROM best) AS nodes, (SELECT string_agg(type || '=' || n, ',' ORDER BY type) FROM kinds) AS types""")
+def graph_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, nodes, edges = _derived(spark, sf_dir)
+    v = graph.graph_view(nodes, edges)
+    kinds = F.array_join(F.transform(F.map_entries("types"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ",")
+    return v.select("total", "shown", "hidden", "edge_count", F.array_join(F.transform("nodes", lambda x: x["node"]), ",").alias("nodes"), kinds.alias("types"))
+
+
+@query(f"""WITH {ENTITIES_SQL}, m AS (SELECT doc_id, CASE WHEN length(node) % 2 = 0 THEN 'even' ELSE 'odd' END AS heading, node FROM mentions WHERE doc_id < 40), c AS (SELECT doc_id, heading, node, count(*) AS n FROM m GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, heading ORDER BY n DESC, lower(upper(node)), node) AS rank FROM c QUALIFY rank <= 12),
+h AS (SELECT doc_id, heading, '### ' || heading || chr(10) || string_agg('#### ' || node || ' [ENTITY] x' || n, chr(10) ORDER BY rank) AS t FROM r GROUP BY doc_id, heading),
+d AS (SELECT doc_id, 'file' || doc_id % 7 || '.md' AS f, '## ' || 'file' || doc_id % 7 || '.md' || chr(10) || string_agg(t, chr(10) ORDER BY heading) AS t FROM h GROUP BY doc_id)
+SELECT '# All' || chr(10) || string_agg(t, chr(10) ORDER BY lower(upper(f)), doc_id) AS markdown FROM d""")
+def mindmap_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mind map of the first documents, as an outline."""
+    m = _derived(spark, sf_dir)[0].filter("doc_id < 40")
+    top = graph.top_entities(m.select("doc_id", F.when(F.length("node") % 2 == 0, "even").otherwise("odd").alias("heading"), "node")).withColumn("type", F.lit("ENTITY"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("file"), (F.col("doc_id") % 7).cast("string"), F.lit(".md")).alias("file_name"))
+    return graph.mind_map_markdown(top, docs, "All")
+
+
+@query("SELECT count(*) AS scanned, count(*) FILTER (WHERE page_id % 5 > 1) AS parsed, count(*) FILTER (WHERE page_id % 5 = 1) AS skipped, count(*) FILTER (WHERE page_id % 5 = 0) AS failed, (SELECT string_agg(url || ': no text', '; ' ORDER BY url) FROM (SELECT url FROM pages WHERE page_id % 5 = 0 ORDER BY url LIMIT 5)) AS failures FROM pages")
+def ingest_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpuslens.operators import health
+
+    k = F.col("page_id") % 5
+    status = F.when(k == 0, "FAILED").when(k == 1, "SKIPPED").otherwise("PARSED")
+    return health.ingest_summary(table(spark, sf_dir, "pages").select(F.col("url").alias("file_name"), status.alias("status"), F.when(k == 0, "no text").alias("error")))
+
+
+@query(f"WITH {MESSAGES_SQL} SELECT conv_id, CASE WHEN conv_id % 2 = 0 THEN 'KNOWLEDGE_BASE' ELSE 'GENERAL_CHAT' END AS agent, count(*) AS n FROM msgs GROUP BY conv_id")
+def message_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = adapt.messages(spark, sf_dir).withColumn("agent", chat.route(F.when(F.col("conv_id") % 2 == 0, True)))
+    return rows.groupBy("conv_id", "agent").agg(F.count("*").alias("n"))
