@@ -34,7 +34,7 @@ from corpuslens.llm import textkernel as tk
 LENGTH = 2048
 END_ID = 0
 #: Most patterns that are fitted, and entries of a worker's token cache.
-PATTERNS, CACHE = 24_000, 500_000
+PATTERNS, CACHE = 24_000, 350_000
 
 
 def default_tokenizer() -> str:
