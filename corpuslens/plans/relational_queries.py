@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corpuslens.functions import text as T
 from corpuslens.operators import chunk, health
 from corpuslens.operators import relational as R
-from corpuslens.plans.registry import query
+from corpuslens.plans.registry import ORACLE_SQL, query
 from corpuslens.plans.text_queries import CHUNKS_SQL
 from corpuslens.sources import adapt
 from corpuslens.sources.adapt import DOCUMENTS_SQL, RUNS_SQL, table
@@ -98,8 +98,14 @@ def queue_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {RUNS_SQL} SELECT run_id, status FROM runs ORDER BY CASE WHEN status = 'purchase' THEN 0 WHEN status = 'click' THEN 1 ELSE 2 END, queued_at NULLS FIRST, created_at, run_id LIMIT 50")
 def queue_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The head of the queue."""
+    return queue_order_whole(spark, sf_dir).limit(50)
+
+
+@query(ORACLE_SQL["queue_order"].removesuffix(" LIMIT 50"))
+def queue_order_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     rank = F.when(F.col("status") == "purchase", 0).when(F.col("status") == "click", 1).otherwise(2)
-    return adapt.runs(spark, sf_dir).orderBy(rank, F.col("queued_at").asc_nulls_first(), "created_at", "run_id").limit(50).select("run_id", "status")
+    return adapt.runs(spark, sf_dir).orderBy(rank, F.col("queued_at").asc_nulls_first(), "created_at", "run_id").select("run_id", "status")
 
 
 @query("WITH ids AS (SELECT CAST((i * 37) % 1000 AS BIGINT) AS doc_id, i AS pos FROM range(0, 500) t(i)) SELECT d.doc_id, lang, CAST(pos AS INT) AS pos FROM documents d JOIN ids USING (doc_id)")
@@ -110,11 +116,16 @@ def ordered_in_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {RUNS_SQL} SELECT a.run_id, count(*) AS same_scope FROM (SELECT * FROM runs WHERE run_id % 100 = 0) a JOIN runs b ON a.scope_type = b.scope_type AND a.scope_id IS NOT DISTINCT FROM b.scope_id GROUP BY a.run_id")
 def scope_null_safe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of the same scope as each hundredth run."""
+    return scope_null_safe_whole(spark, sf_dir).filter("run_id % 100 = 0")
+
+
+@query(f"WITH {RUNS_SQL} SELECT run_id, count(*) OVER (PARTITION BY scope_type, scope_id) AS same_scope FROM runs")
+def scope_null_safe_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of the same scope, null ids being equal; scopes are counted before the join."""
     rows = adapt.runs(spark, sf_dir)
     n = rows.groupBy(F.col("scope_type").alias("_t"), F.col("scope_id").alias("_i")).agg(F.count("*").alias("same_scope"))
-    few = rows.filter("run_id % 100 = 0")
-    return few.join(n, (F.col("scope_type") == F.col("_t")) & R.same_scope(F.col("scope_id"), F.col("_i"))).select("run_id", "same_scope")
+    return rows.join(n, (F.col("scope_type") == F.col("_t")) & R.same_scope(F.col("scope_id"), F.col("_i"))).select("run_id", "same_scope")
 
 
 @query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_orderkey IS NOT NULL)")
@@ -138,7 +149,15 @@ def scoped_keep(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {RUNS_SQL} SELECT status IN ('purchase', 'signup') AS deleted, count(*) AS n, min(run_id) AS first_id FROM runs WHERE run_id % 7 = 0 GROUP BY 1")
 def terminal_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = adapt.runs(spark, sf_dir).filter("run_id % 7 = 0")
+    return _terminal_split(adapt.runs(spark, sf_dir).filter("run_id % 7 = 0"))
+
+
+@query(ORACLE_SQL["terminal_split"].replace(" WHERE run_id % 7 = 0", ""))
+def terminal_split_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _terminal_split(adapt.runs(spark, sf_dir))
+
+
+def _terminal_split(rows: DataFrame) -> DataFrame:
     return rows.groupBy(F.col("status").isin("purchase", "signup").alias("deleted")).agg(F.count("*").alias("n"), F.min("run_id").alias("first_id"))
 
 

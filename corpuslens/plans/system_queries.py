@@ -63,10 +63,19 @@ evidence AS (SELECT 'n' || l_orderkey || '_' || l_linenumber || '_' || l_partkey
 FROM (SELECT *, 'q' || chunk_id AS l_returnflag_q FROM evidence) e JOIN orders o ON o.o_orderkey = e.chunk_id JOIN customer c ON c.c_custkey = e.document_id
 LEFT JOIN nodes n ON n.id = e.node_id LEFT JOIN edges g ON g.id = e.edge_id LEFT JOIN nodes a ON a.id = g.source LEFT JOIN nodes b ON b.id = g.target""")
 def evidence_star(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The seven-way star of evidence, over line items."""
+    """The seven-way star of evidence, over every tenth order's line items."""
+    return _evidence_star(spark, sf_dir, table(spark, sf_dir, "lineitem").filter("l_orderkey % 10 = 0"))
+
+
+@query(ORACLE_SQL["evidence_star"].replace(" WHERE l_orderkey % 10 = 0", ""))
+def evidence_star_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The seven-way star of evidence, over all line items."""
+    return _evidence_star(spark, sf_dir, table(spark, sf_dir, "lineitem"))
+
+
+def _evidence_star(spark: SparkSession, sf_dir: str, li: DataFrame) -> DataFrame:
     tag = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
     nodes = table(spark, sf_dir, "supplier").select(tag("s", "s_suppkey").alias("id"), F.col("s_name").alias("name")).unionByName(table(spark, sf_dir, "part").select(tag("p", "p_partkey").alias("id"), F.col("p_name").alias("name")))
-    li = table(spark, sf_dir, "lineitem").filter("l_orderkey % 10 = 0")
     edge_id = F.concat(tag("s", "l_suppkey"), tag("p", "l_partkey"))
     edges = li.select(edge_id.alias("id"), tag("s", "l_suppkey").alias("source"), tag("p", "l_partkey").alias("target"), F.lit("sells").alias("label")).distinct()
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
