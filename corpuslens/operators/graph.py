@@ -164,9 +164,9 @@ def delete_scope(tables: dict[str, DataFrame], scope_type: str, scope_id: str |
 
 
 def co_occurrences(docs: DataFrame, most: int = MAX_NODES) -> tuple[DataFrame, DataFrame]:
-    """A stand-in extractor: capitalised words are entities, neighbours in a document's list of them are related.
+    """A stand-in extractor: capitalised words are entities, neighbours in a row's list of them are related.
 
-    Returns mentions (doc_id, node) and edges (doc_id, source, target); a document gives at most ``most`` entities.
+    Returns mentions (doc_id, node) and edges (doc_id, source, target); a row, which should be a chunk, gives at most ``most`` entities.
     """
     words = F.slice(F.array_distinct(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[A-Z][a-z]{3,}"), F.lit(0))), 1, most)
     rows = docs.select("doc_id", words.alias("w"))

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpuslens.functions import canonical as C
 from corpuslens.functions import text as T
-from corpuslens.operators import chat, graph
-from corpuslens.plans.registry import query
-from corpuslens.plans.text_queries import collapse_sql, trim_sql
+from corpuslens.operators import chat, chunk, graph
+from corpuslens.plans.registry import ORACLE_SQL, query
+from corpuslens.plans.text_queries import CHUNKS_SQL, collapse_sql, trim_sql
 from corpuslens.sources import adapt
 from corpuslens.sources.adapt import MESSAGES_SQL, table
 
@@ -133,9 +135,23 @@ ranked AS (SELECT doc_id, node, row_number() OVER (PARTITION BY doc_id ORDER BY
 mentions AS (SELECT doc_id, node FROM ranked), pairs AS (SELECT a.doc_id, a.node AS source, b.node AS target FROM ranked a JOIN ranked b ON a.doc_id = b.doc_id AND b.r = a.r + 1)"""
 
 
-def _derived(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+#: The same over chunks, so that whole texts are covered; the bound holds for a chunk, as in the reference.
+WHOLE_ENTITIES_SQL = f"""{CHUNKS_SQL}, ents AS (SELECT doc_id, chunk_index, regexp_extract_all(content, '[A-Z][a-z]{{3,}}') AS l FROM chunks),
+firsts AS (SELECT doc_id, chunk_index, node, min(i) AS i FROM (SELECT doc_id, chunk_index, unnest(l) AS node, generate_subscripts(l, 1) AS i FROM ents) GROUP BY ALL),
+ranked AS (SELECT doc_id, chunk_index, node, row_number() OVER (PARTITION BY doc_id, chunk_index ORDER BY i) AS r FROM firsts QUALIFY r <= {graph.MAX_NODES}),
+mentions AS (SELECT doc_id, node FROM ranked),
+pairs AS (SELECT a.doc_id, a.node AS source, b.node AS target FROM ranked a JOIN ranked b ON a.doc_id = b.doc_id AND a.chunk_index = b.chunk_index AND b.r = a.r + 1)"""
+
+
+def _texts(spark: SparkSession, sf_dir: str, whole: bool) -> DataFrame:
+    """What the stand-in extractor reads: texts of documents, or of all their chunks."""
+    d = table(spark, sf_dir, "documents")
+    return chunk.chunk_plain(d).withColumnRenamed("content", "text") if whole else d
+
+
+def _derived(spark: SparkSession, sf_dir: str, whole: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Mentions, nodes (node, mentions, type) and edges (source, target, weight, relation) of the stand-in extractor."""
-    mentions, pairs = graph.co_occurrences(table(spark, sf_dir, "documents"))
+    mentions, pairs = graph.co_occurrences(_texts(spark, sf_dir, whole))
     nodes = mentions.groupBy("node").agg(F.count("*").alias("mentions")).withColumn("type", F.when(F.length("node") < 6, "SHORT").when(F.length("node") < 9, "MEDIUM").otherwise(""))
     edges = pairs.groupBy("source", "target").agg(F.count("*").alias("weight")).withColumn("relation", F.when(F.col("weight") > 1, "STRUCTURAL").otherwise("RELATED"))
     return mentions, nodes, edges
@@ -148,25 +164,25 @@ best AS (SELECT node, mentions, type, coalesce(degree, 0) AS degree FROM nodes L
 
 
 @query(f"WITH {DERIVED_SQL} SELECT * FROM degs")
-def graph_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.degrees(_derived(spark, sf_dir)[2])
+def graph_degree(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    return graph.degrees(_derived(spark, sf_dir, whole)[2])
 
 
 @query(f"WITH {DERIVED_SQL} SELECT node, mentions, type, degree FROM best")
-def graph_top_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, nodes, edges = _derived(spark, sf_dir)
+def graph_top_nodes(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    _, nodes, edges = _derived(spark, sf_dir, whole)
     return graph.top_nodes(nodes, edges)
 
 
 @query(f"WITH {DERIVED_SQL} SELECT e.* FROM edges e WHERE source IN (SELECT node FROM best) AND target IN (SELECT node FROM best)")
-def graph_view_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, nodes, edges = _derived(spark, sf_dir)
+def graph_view_edges(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    _, nodes, edges = _derived(spark, sf_dir, whole)
     return graph.induced(edges, graph.top_nodes(nodes, edges))
 
 
 @query(f"WITH {DERIVED_SQL} SELECT CASE WHEN type = '' THEN 'UNKNOWN' ELSE type END AS type, count(*) AS n FROM nodes GROUP BY 1")
-def graph_type_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.histogram(_derived(spark, sf_dir)[1], "type")
+def graph_type_counts(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    return graph.histogram(_derived(spark, sf_dir, whole)[1], "type")
 
 
 @query(f"""WITH {ENTITIES_SQL}, m AS (SELECT doc_id % 50 AS doc_id, CASE WHEN doc_id % 3 = 0 THEN 'intro' ELSE 'body' END AS heading, node FROM mentions), c AS (SELECT doc_id, heading, node, count(*) AS n FROM m GROUP BY ALL)
@@ -185,15 +201,15 @@ def graph_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"WITH {DERIVED_SQL}, kept AS (SELECT node FROM nodes WHERE type IN ('SHORT', 'MEDIUM') AND contains(lower(node), 'th')) SELECT e.* FROM edges e WHERE weight >= 2 AND relation IN ('STRUCTURAL') AND source IN (SELECT node FROM kept) AND target IN (SELECT node FROM kept)")
-def explorer_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, nodes, edges = _derived(spark, sf_dir)
+def explorer_filter(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    _, nodes, edges = _derived(spark, sf_dir, whole)
     return graph.explorer_filter(nodes, edges, ["SHORT", "MEDIUM"], " TH ", ["STRUCTURAL"], 2)[1]
 
 
 @query(f"""WITH {DERIVED_SQL} SELECT source, s.type AS source_type, target, t.type AS target_type, weight, CAST(row_number() OVER (PARTITION BY source ORDER BY weight DESC, target) AS INT) AS place
 FROM edges JOIN nodes s ON s.node = source JOIN nodes t ON t.node = target WHERE relation = 'STRUCTURAL' AND contains(lower(source || ' ' || target), 'er')""")
-def adjacency_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, nodes, edges = _derived(spark, sf_dir)
+def adjacency_list(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    _, nodes, edges = _derived(spark, sf_dir, whole)
     end = lambda c: nodes.select(F.col("node").alias(c), F.col("type").alias(f"{c}_type"))
     rows = edges.filter((F.col("relation") == "STRUCTURAL") & F.contains(F.lower(F.concat_ws(" ", "source", "target")), F.lit("er"))).join(end("source"), "source").join(end("target"), "target")
     place = F.row_number().over(Window.partitionBy("source").orderBy(F.desc("weight"), "target"))
@@ -212,6 +228,26 @@ def _extractions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(F.col("doc_id").alias("chunk_id"), F.col("doc_id").alias("document_id"), F.col("text").alias("content"), F.concat(F.lit("noise "), payload, F.lit(" tail")).alias("extraction_json"))
 
 
+def _chunk_extractions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored extractions of all chunks: capitalised words, quoted by themselves, and a relation of each to the next."""
+    words = F.slice(F.array_distinct(F.regexp_extract_all("content", F.lit("[A-Z][a-z]{3,}"), F.lit(0))), 1, graph.MAX_NODES)
+    d = chunk.chunk_plain(table(spark, sf_dir, "documents")).withColumn("w", words)
+    node = lambda x: F.struct(x.alias("name"), F.lit("word").alias("type"), F.lit("").alias("description"), F.lit(0.5).alias("confidence"), x.alias("quote"))
+    edge = lambda x, i: F.struct(
+        x.alias("source"), F.get("w", i + 1).alias("target"), F.lit("part of").alias("type"), F.lit("依赖").alias("displayLabel"), F.lit("").alias("description"),
+        F.lit(1.5).alias("confidence"), F.when(F.col("doc_id") % 4 == 0, "not there at all").otherwise(x).alias("quote"),
+    )
+    edges = F.slice(F.filter(F.transform("w", edge), lambda e: e["target"].isNotNull()), 1, graph.MAX_EDGES)
+    payload = F.to_json(F.struct(F.transform("w", node).alias("nodes"), edges.alias("edges")))
+    chunk_id = F.concat_ws("_", F.col("doc_id").cast("string"), F.col("chunk_index").cast("string"))
+    return d.select(chunk_id.alias("chunk_id"), F.col("doc_id").alias("document_id"), "content", F.concat(F.lit("noise "), payload, F.lit(" tail")).alias("extraction_json"))
+
+
+def _merged(spark: SparkSession, sf_dir: str, whole: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    rows = (_chunk_extractions if whole else _extractions)(spark, sf_dir)
+    return graph.merge(graph.parse_extractions(rows), canonical=lambda c: F.lower(T.collapse_ws(c)))
+
+
 MERGE_SQL = """raw AS (SELECT doc_id, text, regexp_extract_all(text, '[A-Z][a-z]{3,}') AS l FROM documents),
 firsts AS (SELECT doc_id, node, min(i) AS i FROM (SELECT doc_id, unnest(l) AS node, generate_subscripts(l, 1) AS i FROM raw) GROUP BY ALL),
 ranked AS (SELECT doc_id, node, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS r FROM firsts QUALIFY r <= 3),
@@ -223,20 +259,20 @@ evidence AS (SELECT * FROM own UNION ALL SELECT * FROM ends)"""
 
 
 @query(f"WITH {MERGE_SQL} SELECT canonical, count(*) AS mention_count, round(avg(confidence), 6) AS confidence FROM evidence GROUP BY canonical")
-def graph_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes, _, _ = graph.merge(graph.parse_extractions(_extractions(spark, sf_dir)), canonical=lambda c: F.lower(T.collapse_ws(c)))
+def graph_nodes(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    nodes, _, _ = _merged(spark, sf_dir, whole)
     return nodes.select("canonical", "mention_count", F.round("confidence", 6).alias("confidence"))
 
 
 @query(f"WITH {MERGE_SQL} SELECT lower(source) AS a_name, lower(target) AS b_name, 'STRUCTURAL' AS type, '依赖' AS label, count(*) AS mention_count, CAST(1.0 AS DOUBLE) AS confidence FROM es GROUP BY 1, 2")
-def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, edges, _ = graph.merge(graph.parse_extractions(_extractions(spark, sf_dir)), canonical=lambda c: F.lower(T.collapse_ws(c)))
+def graph_edges(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    _, edges, _ = _merged(spark, sf_dir, whole)
     return edges.select("a_name", "b_name", "type", "label", "mention_count", F.round("confidence", 6).alias("confidence"))
 
 
 @query(f"""WITH {MERGE_SQL} SELECT canonical, doc_id AS document_id, d.source AS folder, quote, confidence FROM evidence JOIN documents d USING (doc_id)""")
-def evidence_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, _, evidence = graph.merge(graph.parse_extractions(_extractions(spark, sf_dir)), canonical=lambda c: F.lower(T.collapse_ws(c)))
+def evidence_detail(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    _, _, evidence = _merged(spark, sf_dir, whole)
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), F.col("source").alias("folder"))
     return evidence.join(d, "document_id").select("canonical", "document_id", "folder", F.lower("quote").alias("quote"), F.col("confidence"))
 
@@ -272,8 +308,8 @@ def json_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT (SELECT count(*) FROM nodes) AS total, (SELECT count(*) FROM best) AS shown, (SELECT count(*) FROM nodes) - (SELECT count(*) FROM best) AS hidden,
   (SELECT count(*) FROM edges WHERE source IN (SELECT node FROM best) AND target IN (SELECT node FROM best)) AS edge_count,
   (SELECT string_agg(node, ',' ORDER BY mentions DESC, node) FROM best) AS nodes, (SELECT string_agg(type || '=' || n, ',' ORDER BY type) FROM kinds) AS types""")
-def graph_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, nodes, edges = _derived(spark, sf_dir)
+def graph_view(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    _, nodes, edges = _derived(spark, sf_dir, whole)
     v = graph.graph_view(nodes, edges)
     kinds = F.array_join(F.transform(F.map_entries("types"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ",")
     return v.select("total", "shown", "hidden", "edge_count", F.array_join(F.transform("nodes", lambda x: x["node"]), ",").alias("nodes"), kinds.alias("types"))
@@ -305,3 +341,22 @@ def ingest_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 def message_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = adapt.messages(spark, sf_dir).withColumn("agent", chat.route(F.when(F.col("conv_id") % 2 == 0, True)))
     return rows.groupBy("conv_id", "agent").agg(F.count("*").alias("n"))
+
+
+WHOLE_MERGE_SQL = f"""{WHOLE_ENTITIES_SQL}, own AS (SELECT doc_id, lower(node) AS canonical, lower(node) AS quote, CAST(0.5 AS DOUBLE) AS confidence FROM ranked),
+es AS (SELECT * FROM pairs WHERE doc_id % 4 <> 0),
+ends AS (SELECT doc_id, lower(target) AS canonical, lower(source) AS quote, CAST(1.0 AS DOUBLE) AS confidence FROM es),
+evidence AS (SELECT * FROM own UNION ALL SELECT * FROM ends)"""
+
+
+def _add_whole(f, old: str, new: str) -> None:
+    """Register the form of a query over all chunks, beside the one over the openings of the documents."""
+    q = partial(f, whole=True)
+    q.__name__ = f"{f.__name__}_whole"
+    query(ORACLE_SQL[f.__name__].replace(old, new))(q)
+
+
+for _f in (graph_degree, graph_top_nodes, graph_view_edges, graph_type_counts, explorer_filter, adjacency_list, graph_view):
+    _add_whole(_f, ENTITIES_SQL, WHOLE_ENTITIES_SQL)
+for _f in (graph_nodes, graph_edges, evidence_detail):
+    _add_whole(_f, MERGE_SQL, WHOLE_MERGE_SQL)

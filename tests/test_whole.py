@@ -11,10 +11,31 @@ def rows_of(spark, name):
     return spark.read.parquet(f"{SF}/{name}.parquet")
 
 
-@pytest.mark.parametrize("name, source", [("evidence_star_whole", "lineitem"), ("scope_null_safe_whole", "events"), ("queue_order_whole", "events")])
-def test_a_row_for_each_row(spark, name, source):
-    assert QUERIES[name](spark, SF).count() == rows_of(spark, source).count()
+@pytest.mark.parametrize("query, source", [("evidence_star_whole", "lineitem"), ("scope_null_safe_whole", "events"), ("queue_order_whole", "events")])
+def test_a_row_for_each_row(spark, query, source):
+    assert QUERIES[query](spark, SF).count() == rows_of(spark, source).count()
 
 
 def test_terminal_split_counts_all_runs(spark):
     assert sum(r["n"] for r in QUERIES["terminal_split_whole"](spark, SF).collect()) == rows_of(spark, "events").count()
+
+
+def name(i):
+    return "Name" + "".join(chr(97 + int(c)) for c in f"{i:03d}")
+
+
+@pytest.fixture
+def long_text(spark, tmp_path):
+    """A document with a word of its own in every chunk, long after its first words, and one with a single word."""
+    text = " ".join(name(i) + " filler" * 20 for i in range(200))
+    spark.createDataFrame([(1, text, "s"), (2, "only Single here", "s")], "doc_id long, text string, source string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    return str(tmp_path)
+
+
+def test_graph_covers_whole_texts(spark, long_text):
+    nodes = {r["canonical"] for r in QUERIES["graph_nodes_whole"](spark, long_text).collect()}
+    every = {name(i).lower() for i in range(200)} | {"single"}
+    assert every <= nodes  # a window can begin or end inside a word
+    assert QUERIES["graph_type_counts_whole"](spark, long_text).agg({"n": "sum"}).first()[0] == len(nodes)
+    assert QUERIES["graph_edges_whole"](spark, long_text).count() > 150
+    assert QUERIES["evidence_detail_whole"](spark, long_text).filter("canonical = 'namebjj'").count() > 0
