@@ -81,12 +81,22 @@ def followup_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.follow_ups(_short(spark, sf_dir))
 
 
+@query(ORACLE_SQL["followup_score"].replace(SHORT_SQL, MESSAGES_SQL))
+def followup_score_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.follow_ups(adapt.messages(spark, sf_dir))
+
+
 @query(f"""WITH {SHORT_SQL}, t AS (SELECT *, CASE WHEN role = 'USER' AND (regexp_matches({collapse_sql('text')}, '{chat.LATIN_TOPIC}') OR regexp_matches({collapse_sql('text')}, '{_HAN}')) THEN seq END AS own FROM msgs)
 SELECT conv_id, seq, topic_seq FROM (SELECT *, last_value(own IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS topic_seq FROM t) WHERE role = 'USER'""")
 def latest_topic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.latest_topics(_short(spark, sf_dir))
 
 
+@query(ORACLE_SQL["latest_topic"].replace(SHORT_SQL, MESSAGES_SQL))
+def latest_topic_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.latest_topics(adapt.messages(spark, sf_dir))
+
+
 @query(f"""WITH {MESSAGES_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY seq DESC) AS n FROM msgs)
 SELECT conv_id, string_agg(role || ': ' || {collapse_sql('text')}, chr(10) ORDER BY seq) AS history FROM r WHERE n <= 6 GROUP BY conv_id""")
 def history_rendering(spark: SparkSession, sf_dir: str) -> DataFrame:

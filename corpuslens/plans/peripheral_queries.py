@@ -32,6 +32,13 @@ def web_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.web_results(rows)
 
 
+@query(f"SELECT DISTINCT 'web:' || substring(sha256(url), 1, 24) AS id, url, {trim_sql('html')} AS title, html || chr(10) || url AS content, CASE WHEN page_id % 3 = 0 THEN 0.0::DOUBLE ELSE page_id / 10.0 END AS score FROM pages WHERE page_id % 7 <> 0")
+def web_results_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "pages")
+    rows = p.select(F.when(F.col("page_id") % 7 != 0, F.col("url")).alias("url"), F.col("html").alias("title"), F.array("html", "url").alias("highlights"), F.when(F.col("page_id") % 3 != 0, F.col("page_id") / 10.0).alias("score"))
+    return P.web_results(rows)
+
+
 @query("SELECT p_brand || '-' || p_size AS id, min(p_type) AS owner FROM part WHERE p_size % 9 <> 0 GROUP BY 1")
 def model_options(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Catalogues of a brand each, as JSON."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuslens.functions import text as T
@@ -120,13 +120,23 @@ def graph_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT a.conv_id, a.seq, CASE WHEN b.text IS NULL THEN q ELSE substring(substring({collapse_sql('b.text')}, 1, CAST(greatest(0, 800 - length(q) - 1) AS BIGINT)) || ' ' || q, 1, 800) END AS query
 FROM (SELECT *, {collapse_sql('substring(text, 1, 60)')} AS q FROM t WHERE role = 'USER') a LEFT JOIN msgs b ON a.conv_id = b.conv_id AND a.p = b.seq""")
 def fallback_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each question after the latest earlier topic (here: every third message)."""
+    """The start of each question after the latest earlier topic (here: every third message)."""
+    return _fallback_queries(spark, sf_dir, F.substring("text", 1, 60))
+
+
+@query(ORACLE_SQL["fallback_queries"].replace("substring(text, 1, 60)", "text"))
+def fallback_queries_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each question, whole, after the latest earlier topic."""
+    return _fallback_queries(spark, sf_dir, F.col("text"))
+
+
+def _fallback_queries(spark: SparkSession, sf_dir: str, question: Column) -> DataFrame:
     from pyspark.sql import Window
 
     w = Window.partitionBy("conv_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     topic = F.last(F.when((F.col("role") == "USER") & (F.col("seq") % 3 == 0), F.col("text")), ignorenulls=True).over(w)
     rows = adapt.messages(spark, sf_dir).withColumn("topic", topic).filter("role = 'USER'")
-    return rows.select("conv_id", "seq", chat.fallback_query(F.col("topic"), F.substring("text", 1, 60)).alias("query"))
+    return rows.select("conv_id", "seq", chat.fallback_query(F.col("topic"), question).alias("query"))
 
 
 @query(f"WITH {MESSAGES_SQL} SELECT conv_id, seq, CASE WHEN role = 'ASSISTANT' AND seq % 4 = 0 THEN 'BACKGROUND' ELSE role END AS role FROM msgs")

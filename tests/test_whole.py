@@ -39,3 +39,18 @@ def test_graph_covers_whole_texts(spark, long_text):
     assert QUERIES["graph_type_counts_whole"](spark, long_text).agg({"n": "sum"}).first()[0] == len(nodes)
     assert QUERIES["graph_edges_whole"](spark, long_text).count() > 150
     assert QUERIES["evidence_detail_whole"](spark, long_text).filter("canonical = 'namebjj'").count() > 0
+
+
+def test_messages_count_whole(spark, tmp_path):
+    end = "we have looked at the first half of this; how about Kubernetes"
+    rows = [(1, 0, "user", "hello there"), (1, 1, "user", "so far " * 12 + end), (1, 2, "user", "well then")]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    spark.createDataFrame([(1, "u", "<p>" + "x" * 50 + "end</p>")], "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    topics = {r["seq"]: r["topic_seq"] for r in QUERIES["latest_topic_whole"](spark, str(tmp_path)).collect()}
+    assert topics[3] == 2
+    scores = {r["seq"]: r["score"] for r in QUERIES["followup_score_whole"](spark, str(tmp_path)).collect()}
+    assert scores[2] == 2  # the refinement stands at the end
+    asked = {r["seq"]: r["query"] for r in QUERIES["fallback_queries_whole"](spark, str(tmp_path)).collect()}
+    assert asked[2].endswith(end)
+    page = QUERIES["web_results_whole"](spark, str(tmp_path)).first()
+    assert page["title"].endswith("end</p>") and "end</p>" in page["content"]
