@@ -225,21 +225,31 @@ def graph_status(runs: DataFrame, nodes: DataFrame, edges: DataFrame, views: Dat
     return last.withColumns({"nodes": F.coalesce("nodes", F.lit(0)).cast("long"), "edges": F.coalesce("edges", F.lit(0)).cast("long")})
 
 
-def mind_map_markdown(top: DataFrame, docs: DataFrame, title: str) -> DataFrame:
-    """(markdown): the mind map as an outline: scope, documents by name, headings in order, entities with counts.
-
-    A view is one text; it is bounded by its scope and by the entities kept under each heading.
-    """
+def _outlines(top: DataFrame, docs: DataFrame) -> DataFrame:
+    """(doc_id, file_name, t): the outline of each document: its name, headings in order, entities with counts."""
     entity = F.format_string("#### %s [%s] x%d", F.col("node"), F.col("type"), F.col("n"))
     heads = top.groupBy("doc_id", "heading").agg(F.array_sort(F.collect_list(F.struct("rank", entity.alias("line")))).alias("e"))
     lines = F.array_join(F.concat(F.array(F.concat(F.lit("### "), F.col("heading"))), F.transform("e", lambda x: x["line"])), "\n")
     per = heads.select("doc_id", F.struct("heading", lines.alias("lines")).alias("h")).groupBy("doc_id").agg(F.array_sort(F.collect_list("h")).alias("hs"))
     per = per.join(docs.select("doc_id", "file_name"), "doc_id")
     text = F.array_join(F.concat(F.array(F.concat(F.lit("## "), F.col("file_name"))), F.transform("hs", lambda x: x["lines"])), "\n")
-    whole = per.agg(F.array_sort(F.collect_list(F.struct(F.lower(F.upper("file_name")).alias("o"), "doc_id", text.alias("t")))).alias("d"))
+    return per.select("doc_id", "file_name", text.alias("t"))
+
+
+def mind_map_markdown(top: DataFrame, docs: DataFrame, title: str) -> DataFrame:
+    """(markdown): the mind map as an outline: scope, documents by name, headings in order, entities with counts.
+
+    A view is one text; it is bounded by its scope and by the entities kept under each heading.
+    """
+    whole = _outlines(top, docs).agg(F.array_sort(F.collect_list(F.struct(F.lower(F.upper("file_name")).alias("o"), "doc_id", "t"))).alias("d"))
     return whole.select(F.array_join(F.concat(F.array(F.lit(f"# {title}")), F.transform("d", lambda x: x["t"])), "\n").alias("markdown"))
 
 
+def document_markdown(top: DataFrame, docs: DataFrame) -> DataFrame:
+    """(doc_id, markdown): the outline of each document's own scope, so that no text has to hold them all."""
+    return _outlines(top, docs).select("doc_id", F.concat(F.lit("# "), "file_name", F.lit("\n"), "t").alias("markdown"))
+
+
 def graph_view(nodes: DataFrame, edges: DataFrame, most: int = TOP_NODES) -> DataFrame:
     """One row: the payload of a graph view with its shown nodes, hidden count, induced edges and histograms."""
     top = top_nodes(nodes, edges, most)

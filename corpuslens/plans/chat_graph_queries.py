@@ -370,3 +370,22 @@ for _f in (graph_degree, graph_top_nodes, graph_view_edges, graph_type_counts, e
     _add_whole(_f, ENTITIES_SQL, WHOLE_ENTITIES_SQL)
 for _f in (graph_nodes, graph_edges, evidence_detail):
     _add_whole(_f, MERGE_SQL, WHOLE_MERGE_SQL)
+
+
+@query(ORACLE_SQL["mindmap_topk"].replace(ENTITIES_SQL, WHOLE_ENTITIES_SQL).replace("doc_id % 50 AS doc_id", "doc_id"))
+def mindmap_topk_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The top entities of each document and heading, over all its chunks."""
+    m = _derived(spark, sf_dir, whole=True)[0]
+    return graph.top_entities(m.select("doc_id", F.when(F.col("doc_id") % 3 == 0, "intro").otherwise("body").alias("heading"), "node"))
+
+
+_ONE_OUTLINE = "SELECT '# All' || chr(10) || string_agg(t, chr(10) ORDER BY lower(upper(f)), doc_id) AS markdown FROM d"
+
+
+@query(ORACLE_SQL["mindmap_markdown"].replace(ENTITIES_SQL, WHOLE_ENTITIES_SQL).replace(" WHERE doc_id < 40", "").replace(_ONE_OUTLINE, "SELECT doc_id, '# ' || f || chr(10) || t AS markdown FROM d"))
+def mindmap_markdown_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mind map of every document, an outline each."""
+    m = _derived(spark, sf_dir, whole=True)[0]
+    top = graph.top_entities(m.select("doc_id", F.when(F.length("node") % 2 == 0, "even").otherwise("odd").alias("heading"), "node")).withColumn("type", F.lit("ENTITY"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("file"), (F.col("doc_id") % 7).cast("string"), F.lit(".md")).alias("file_name"))
+    return graph.document_markdown(top, docs)

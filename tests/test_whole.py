@@ -54,3 +54,12 @@ def test_messages_count_whole(spark, tmp_path):
     assert asked[2].endswith(end)
     page = QUERIES["web_results_whole"](spark, str(tmp_path)).first()
     assert page["title"].endswith("end</p>") and "end</p>" in page["content"]
+
+
+def test_mind_maps_of_every_document(spark, tmp_path):
+    rows = [(i, f"Common words, then Rare{chr(97 + i % 26)}{chr(97 + i // 26)} words.", "s") for i in range(120)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    top = QUERIES["mindmap_topk_whole"](spark, str(tmp_path))
+    assert {r["doc_id"] for r in top.collect()} == set(range(120)) and top.count() == 240
+    maps = {r["doc_id"]: r["markdown"] for r in QUERIES["mindmap_markdown_whole"](spark, str(tmp_path)).collect()}
+    assert set(maps) == set(range(120)) and "#### Rarepe [ENTITY] x1" in maps[119]
