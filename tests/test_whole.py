@@ -63,3 +63,11 @@ def test_mind_maps_of_every_document(spark, tmp_path):
     assert {r["doc_id"] for r in top.collect()} == set(range(120)) and top.count() == 240
     maps = {r["doc_id"]: r["markdown"] for r in QUERIES["mindmap_markdown_whole"](spark, str(tmp_path)).collect()}
     assert set(maps) == set(range(120)) and "#### Rarepe [ENTITY] x1" in maps[119]
+
+
+def test_searches_take_whole_queries(spark):
+    due = rows_of(spark, "embeddings").filter("vec_id % 20 = 0").count()
+    assert QUERIES["vector_topk_whole"](spark, SF).select("query_id").distinct().count() == due
+    least = {r["query_id"]: r["score"] for r in QUERIES["bm25_topk"](spark, SF).filter("rank = 1").collect()}
+    found = {r["query_id"]: r["score"] for r in QUERIES["bm25_topk_whole"](spark, SF).filter("rank = 1").collect()}
+    assert all(found[q] > x for q, x in least.items())
