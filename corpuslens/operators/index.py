@@ -8,10 +8,14 @@ from pyspark.sql import functions as F
 from corpuslens.functions import text as T
 
 
-def postings(rows: DataFrame, fields: dict[str, str], key: str = "chunk_id") -> DataFrame:
-    """(field, term, key, tf) of the text columns named by ``fields``: field name to column."""
+def postings(rows: DataFrame, fields: dict[str, str], key: str = "chunk_id", positions: bool = False) -> DataFrame:
+    """(field, term, key, tf) of the text columns named by ``fields``: field name to column; with ``positions``, which phrases need, also where."""
     every = F.array(*[F.struct(F.lit(f).alias("field"), T.terms(c).alias("terms")) for f, c in fields.items()])
-    flat = rows.select(key, F.explode(every).alias("_f")).select(key, "_f.field", F.explode("_f.terms").alias("term"))
+    flat = rows.select(key, F.explode(every).alias("_f"))
+    if positions:
+        flat = flat.select(key, "_f.field", F.posexplode("_f.terms").alias("_p", "term"))
+        return flat.groupBy("field", "term", key).agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("_p")).alias("positions"))
+    flat = flat.select(key, "_f.field", F.explode("_f.terms").alias("term"))
     return flat.groupBy("field", "term", key).agg(F.count("*").alias("tf"))
 
 

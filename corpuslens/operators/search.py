@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -92,13 +92,14 @@ class Clause:
     occur: str = "should"  # should, must, must_not
     kind: str = "term"  # term, phrase, prefix, wildcard, fuzzy
     boost: float = 1.0
+    slop: int = 0  # of a phrase
 
 
 class QuerySyntaxError(ValueError):
     pass
 
 
-_CLAUSE = re.compile(r'\s*([+\-!]?)\s*(?:(\w+):)?(?:"([^"]*)"(?:~\d+)?|([^\s"()\[\]{}:^~]+)(~[\d.]*)?)(?:\^([\d.]+))?')
+_CLAUSE = re.compile(r'\s*([+\-!]?)\s*(?:(\w+):)?(?:"([^"]*)"(?:~(\d+))?|([^\s"()\[\]{}:^~]+)(~[\d.]*)?)(?:\^([\d.]+))?')
 
 
 def parse_query(query: str) -> list[Clause]:
@@ -112,14 +113,14 @@ def parse_query(query: str) -> list[Clause]:
         m = _CLAUSE.match(query, at)
         if not m or m.end() == at:
             raise QuerySyntaxError(query)
-        sign, name, phrase, word, fuzzy, boost = m.groups()
+        sign, name, phrase, slop, word, fuzzy, boost = m.groups()
         at = m.end()
         if word in ("AND", "OR", "NOT", "&&", "||") and not (sign or name or fuzzy or boost):
             if joint and word != "NOT" or not out and word != "NOT":
                 raise QuerySyntaxError(query)
             joint = {"&&": "AND", "||": "OR"}.get(word, word)
             if joint == "AND" and out[-1].occur == "should":
-                out[-1] = Clause(out[-1].text, out[-1].field, "must", out[-1].kind, out[-1].boost)
+                out[-1] = replace(out[-1], occur="must")
             continue
         occur = "must_not" if sign in ("-", "!") and sign or joint == "NOT" else "must" if sign == "+" or joint == "AND" else "should"
         if phrase is not None:
@@ -130,7 +131,7 @@ def parse_query(query: str) -> list[Clause]:
             kind, word = "prefix", word[:-1]
         else:
             kind = "wildcard" if re.search(r"[*?]", word) else "term"
-        out.append(Clause(word, name, occur, kind, float(boost or 1)))
+        out.append(Clause(word, name, occur, kind, float(boost or 1), int(slop or 0)))
         joint = ""
     if joint:
         raise QuerySyntaxError(query)
@@ -145,8 +146,44 @@ def query_clauses(query: str) -> list[Clause]:
         return [Clause(w) for w in re.sub(r"[^\w\s]", " ", query).split()] or [Clause(query)]
 
 
+def _in_order(at: Column, terms: list[str], slop: int) -> Column:
+    """Whether ``at``, term to positions, has the terms in order, their moves from a common start differing by ``slop`` at most."""
+
+    def starts(i: int, term: str) -> Column:
+        return F.transform(at[term], lambda p: p - i)
+
+    def fits(v: Column) -> Column:
+        ok = F.lit(True)
+        for term in dict.fromkeys(terms):
+            last = F.lit(-1)
+            for i in (i for i, t in enumerate(terms) if t == term):  # a repeated term takes a place of its own each time
+                last = _first_after(at[term], v + i, last)
+                ok = ok & F.coalesce(last <= v + i + slop, F.lit(False))
+        return ok
+
+    return F.exists(F.flatten(F.array(*[starts(i, t) for i, t in enumerate(terms)])), fits)
+
+
+def _first_after(positions: Column, start: Column, last: Column) -> Column:
+    return F.array_min(F.filter(positions, lambda p: (p >= start) & (p > last)))
+
+
+def with_phrase(posts: DataFrame, terms: list[str], slop: int, key: str) -> DataFrame:
+    """The keys of rows that have the terms of a phrase in one field."""
+    if not terms:
+        return posts.select(key).limit(0)
+    own, n = posts.filter(F.col("term").isin(*set(terms))), len(set(terms))
+    if "positions" not in posts.columns:
+        return own.groupBy("field", key).agg(F.count_distinct("term").alias("n")).filter(F.col("n") == n).select(key).distinct()
+    at = own.groupBy("field", key).agg(F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("at")).filter(F.size("at") == n)
+    return at.filter(_in_order(F.col("at"), terms, slop)).select(key).distinct()
+
+
 def search_clauses(posts: DataFrame, query: str, key: str = "chunk_id") -> DataFrame:
-    """(key, score) for a query in the syntax of :func:`parse_query`; phrases ask for all of their words."""
+    """(key, score) for a query in the syntax of :func:`parse_query`.
+
+    A phrase is looked up by the ``positions`` of postings that have them; without, it asks for all of its words.
+    """
     spark: SparkSession = posts.sparkSession
     clauses = query_clauses(query)
     scored: DataFrame | None = None
@@ -164,9 +201,8 @@ def search_clauses(posts: DataFrame, query: str, key: str = "chunk_id") -> DataF
             words = spark.range(1).select(F.explode(T.terms(F.lit(low))).alias("term")).distinct()
         found = bm25(own, words.withColumn("query_id", F.lit(i)), key)
         if c.kind == "phrase":
-            n = words.count()
-            whole = own.join(F.broadcast(words), "term").groupBy("field", key).agg(F.count_distinct("term").alias("n")).filter(F.col("n") == n).select(key).distinct()
-            found = found.join(whole, key, "left_semi")
+            terms = spark.range(1).select(T.terms(F.lit(low)).alias("t")).first()["t"]
+            found = found.join(with_phrase(own, terms, c.slop, key), key, "left_semi")
         if c.occur == "must_not":
             must.append(posts.select(key).distinct().join(found.select(key), key, "left_anti"))
             continue

@@ -2,6 +2,7 @@
 
 import pytest
 
+from corpuslens.operators import index, search
 from corpuslens.plans.query_set import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -71,3 +72,16 @@ def test_searches_take_whole_queries(spark):
     least = {r["query_id"]: r["score"] for r in QUERIES["bm25_topk"](spark, SF).filter("rank = 1").collect()}
     found = {r["query_id"]: r["score"] for r in QUERIES["bm25_topk_whole"](spark, SF).filter("rank = 1").collect()}
     assert all(found[q] > x for q, x in least.items())
+
+
+def test_phrases_ask_for_order(spark):
+    texts = ["alpha gamma", "gamma alpha", "alpha " + "beta " * 300 + "gamma", "alpha beta gamma", "alpha", "so so it goes"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "chunk_id int, text string")
+    posts = index.postings(rows, {"content": "text"}, positions=True)
+    found = lambda q: {r["chunk_id"] for r in search.search_clauses(posts, q).collect()}
+    assert found('"alpha gamma"') == {0}
+    assert found('"alpha gamma"~1') == {0, 3}
+    assert found('"alpha gamma"~2') == {0, 1, 3}
+    assert found('"alpha gamma"~300') == {0, 1, 2, 3}
+    assert found('"so so"') == {5} and found('"alpha alpha"~3') == set()
+    assert found('alpha -"alpha gamma"') == {1, 2, 3, 4}
