@@ -46,9 +46,10 @@ def _folded_hashes(text: str) -> Column:
     """Hashes of the words of a text in full lower case: equal wherever :func:`words` are, at the same places.
 
     Lower-casing never makes or removes a separator, and it costs far less than replacing A-Z alone; fingerprints
-    only propose, and what they propose is compared by :func:`words`.
+    only propose, and what they propose is compared by :func:`words`.  A capital sigma becomes a final one or not by
+    what follows its word, so final sigmas are folded into the other form.
     """
-    w = F.array_remove(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), _SEPARATORS), "")
+    w = F.array_remove(F.split(F.replace(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit("ς"), F.lit("σ")), _SEPARATORS), "")
     return F.transform(w, lambda x: F.xxhash64(x))
 
 
