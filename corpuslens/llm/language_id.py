@@ -25,8 +25,9 @@ from corpuslens.llm import textkernel as tk
 
 DIMS = 2048
 WIDTH = DIMS + 256
-#: Bounds of the learning sample: rows of one language, and of all together.
+#: Bounds of the learning sample: rows of one language, and of all together; but each language gets some rows.
 PER_LANGUAGE, SAMPLE_ROWS = 1000, 6000
+LEAST = 20
 CENTROIDS, ROUNDS = 4, 12
 HELD_MODULUS, HELD = 4, 2
 #: A text whose best cosine is under this is marked as rejected.
@@ -84,12 +85,12 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, rows: int = SAMPLE_RO
     """Learn from a bounded sample of the rows that have a language and aren't held out."""
     sparkutil.batches(docs.sparkSession)
     known = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (sparkutil.id_crc() % HELD_MODULUS != HELD))
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(rows // 10).collect()
+    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()
     if not counts:
         return LanguageModel()
-    share = min(per_language, rows // len(counts))
-    part = F.create_map(*[F.lit(v) for r in counts for v in (r["lang"], min(1.0, share / r["count"]))])
-    sample = known.filter(sparkutil.unit_hash("doc_id", salt="lang") < F.coalesce(part[F.col("lang")], F.lit(0.0)))
+    share = min(per_language, max(LEAST, rows // len(counts)))
+    part = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, share / r["count"])) for r in counts], "lang string, part double")
+    sample = known.join(F.broadcast(part), "lang").filter(sparkutil.unit_hash("doc_id", salt="lang") < F.col("part"))
 
     @tk.tidy
     def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,8 +111,11 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, rows: int = SAMPLE_RO
     x[np.repeat(np.arange(len(lang)), np.diff(lists.offsets.to_numpy())), lists.values.to_numpy()] = vals.values.to_numpy()
     idf = (np.log((len(x) + 1) / ((x > 0).sum(0) + 1)) + 0.1).astype(np.float32)
     x = _unit(x * idf)
-    languages = [r["lang"] for r in counts if (lang == r["lang"]).any()]
-    found = [_cluster(x[lang == name], CENTROIDS) for name in languages]
+    at: dict[str, list[int]] = {}
+    for i, name in enumerate(lang):
+        at.setdefault(name, []).append(i)
+    languages = [r["lang"] for r in counts if r["lang"] in at]
+    found = [_cluster(x[at[name]], CENTROIDS) for name in languages]
     return LanguageModel(languages, idf, np.concatenate(found), np.repeat(np.arange(len(found)), [len(c) for c in found]))
 
 
