@@ -2,7 +2,6 @@
 
 import pytest
 
-from corpuslens.llm import decontamination, language_id
 from corpuslens.operators import index, search
 from corpuslens.plans.query_set import QUERIES
 
@@ -86,15 +85,3 @@ def test_phrases_ask_for_order(spark):
     assert found('"alpha gamma"~300') == {0, 1, 2, 3}
     assert found('"so so"') == {5} and found('"alpha alpha"~3') == set()
     assert found('alpha -"alpha gamma"') == {1, 2, 3, 4}
-
-
-def test_final_sigma_hides_no_hit(spark):
-    docs = spark.createDataFrame([(1, "x ΟΔΟΣ.Α y"), (2, "x ΟΔΟΣ Α y"), (3, "ΟΔΟΣ")], "doc_id long, text string")
-    items = spark.createDataFrame([(7, "ΟΔΟΣ Α")], "item_id long, text string")
-    assert {r["doc_id"]: r["n_hit"] for r in decontamination.decontaminate(docs, items).collect()} == {1: 2, 2: 2, 3: 0}
-
-
-def test_every_language_is_learned(spark):
-    rows = [(10 * i + j, f"{chr(97 + i) * 4} {chr(98 + i) * 5} text", f"l{i}") for i in range(5) for j in range(8)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    assert set(language_id.fit(docs, rows=20).languages) == {f"l{i}" for i in range(5)}
