@@ -2,10 +2,11 @@
 
 Of every ``WINNOW`` consecutive k-gram hashes of a text the smallest one (the leftmost on ties) is kept as a
 fingerprint, so any span of ``K + WINNOW - 1`` = 13 words that a document and a benchmark item share leaves the
-same fingerprint in both.  Fingerprints that meet give diagonals (document, item, shift); along each diagonal the
-words themselves are compared, and every window of 13 equal words is a hit.  Items shorter than 13 words, for which
-no fingerprint is guaranteed, are looked up by the hash of their whole word sequence, one pass for each length
-that occurs.
+same fingerprint in both, at the same place of the span.  A fingerprint that meets one of the benchmark is extended to
+every window of 13 words around it, and those windows are compared, word by word, with the windows of the items.
+Items shorter than 13 words, for which no fingerprint is guaranteed, are looked up by the hash of their whole word
+sequence, in one pass for all lengths.  What is gathered for a text is the places of its own words, never pairs of
+places in a text and an item, so repetitive texts and items cost no more than their words.
 
 Defined cases: a null or empty text has no words, and so no hits; a null doc_id is a document like others; repeated
 rows give repeated results; repeated item rows count once, and rows of one item_id with different texts count as
@@ -16,7 +17,7 @@ Native: DataFrame functions only.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuslens.llm import sparkutil
@@ -28,8 +29,6 @@ WINNOW = WINDOW - K + 1
 PIECE = 1 << 20
 #: Bits of a packed fingerprint that hold its place in a piece.
 _PLACE_BITS = 21
-#: Most benchmark words that are broadcast; beyond it the joins shuffle.
-BROADCAST_WORDS = 2_000_000
 CONTAMINATED_SHARE = 20
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -46,8 +45,8 @@ def _folded_hashes(text: str) -> Column:
     """Hashes of the words of a text in full lower case: equal wherever :func:`words` are, at the same places.
 
     Lower-casing never makes or removes a separator, and it costs far less than replacing A-Z alone; fingerprints
-    only propose, and what they propose is compared by :func:`words`.  A capital sigma becomes a final one or not by
-    what follows its word, so final sigmas are folded into the other form.
+    only propose, and what they propose is compared by :func:`words`.  Of all characters only the capital sigma is
+    lower-cased by what stands beyond its word, to a final one or not; so final sigmas are folded into the other form.
     """
     w = F.array_remove(F.split(F.replace(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit("ς"), F.lit("σ")), _SEPARATORS), "")
     return F.transform(w, lambda x: F.xxhash64(x))
@@ -58,11 +57,6 @@ def count_words(text: str) -> Column:
     return F.size(F.array_remove(parts, ""))
 
 
-def _grams(w: str, k: int) -> Column:
-    """Hash of each k-gram of the array of word hashes ``w``, which has at least k of them."""
-    return F.transform(F.sequence(F.lit(1), F.size(w) - k + 1), lambda i: F.xxhash64(F.slice(F.col(w), i, k)))
-
-
 def _sliding(rows: DataFrame, column: str, width: int, join, *keep: str) -> DataFrame:
     """``column`` folded over each window of ``width`` neighbours, by doubling: each step is one pass over the array.
 
@@ -98,56 +92,60 @@ def fingerprints(rows: DataFrame, h: str, *keep: str) -> DataFrame:
     return rows.select(*keep, place.alias("place"), F.shiftright("_f", _PLACE_BITS).alias("hash"))
 
 
-def _short(rows: DataFrame, w: str, lengths: list[int], *keep: str) -> DataFrame | None:
-    """``keep``, ``place`` and ``hash`` of every window of each of the given lengths."""
-    out = None
-    for k in lengths:
-        found = rows.filter(F.size(w) >= k).select(*keep, F.posexplode(_grams(w, k)).alias("place", "_h"))
-        found = found.select(*keep, "place", F.xxhash64("_h", F.lit(k).cast("int")).alias("hash"))
-        out = found if out is None else out.unionByName(found)
-    return out
+def _short(rows: DataFrame, h: str, lengths: list[int], *keep: str) -> DataFrame:
+    """``keep``, ``place``, ``k`` and ``hash`` of every window of each of the given lengths."""
+    grams = lambda k: F.transform(F.sequence(F.lit(1), F.size(h) - k + 1), lambda i: _whole_hash(F.slice(F.col(h), i, k)))
+    every = F.array(*[F.struct(F.lit(k).alias("k"), F.when(F.size(h) >= k, grams(k)).alias("hs")) for k in lengths])
+    return rows.select(*keep, F.explode(every).alias("_s")).select(*keep, F.col("_s.k").alias("k"), F.posexplode("_s.hs").alias("place", "hash"))
+
+
+def _whole_hash(h: Column) -> Column:
+    return F.xxhash64(h, F.size(h))
+
+
+def _window(w: str, start: Column, k: Column) -> Column:
+    """The words of a window as one text; no word holds a blank."""
+    return F.array_join(F.slice(F.col(w), start + 1, k), " ")
 
 
 def find_hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, ``text_key``, ``n_hit`` and ``items`` of each distinct row of ``docs`` that has a hit."""
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), words("text").alias("iw"), _folded_hashes("text").alias("h"))
-    items = sparkutil.table(items.filter(F.size("iw") > 0).distinct().withColumn("item", F.xxhash64("item_id", "iw")), "items")
-    shape = items.agg(F.sum(F.size("iw")).alias("n"), F.collect_set(F.when(F.size("iw") < WINDOW, F.size("iw"))).alias("short")).first()
-    near = F.broadcast if (shape["n"] or 0) <= BROADCAST_WORDS else (lambda df: df)
-
+    items = sparkutil.table(items.filter(F.size("iw") > 0).distinct(), "items")
+    short = items.filter(F.size("iw") < WINDOW)
+    lengths = sorted(r["n"] for r in short.select(F.size("iw").alias("n")).distinct().collect())  # 12 at most
+    marks = fingerprints(items, "h", "item_id").select("hash").unionByName(short.select(_whole_hash(F.col("h")).alias("hash")))
+    marks = sparkutil.small(sparkutil.table(marks.distinct(), "marks"))
     # an item shorter than a window has one window: itself
-    whole = items.filter(F.size("iw") < WINDOW).select("item", F.lit(0).alias("place"), F.xxhash64(F.xxhash64("h"), F.size("h")).alias("hash"))
-    marks = fingerprints(items, "h", "item").unionByName(whole).withColumnRenamed("place", "item_place")
+    k = F.least(F.size("iw"), F.lit(WINDOW))
+    windows = items.select("item_id", "iw", k.alias("k"), F.explode(F.sequence(F.lit(0), F.size("iw") - k)).alias("start"))
+    windows = sparkutil.small(sparkutil.table(windows.select("item_id", _window("iw", F.col("start"), F.col("k")).alias("window")).distinct(), "windows"))
 
     key = ["doc_id", "text_key"]
     base = docs.select("doc_id", F.xxhash64("text").alias("text_key"), _folded_hashes("text").alias("h"))
-    fps = fingerprints(base, "h", *key)
-    short_fps = _short(base, "h", sorted(shape["short"]), *key)
-    if short_fps is not None:
-        fps = fps.unionByName(short_fps)
-    diagonals = fps.join(near(marks), "hash").select(*key, "item", (F.col("place") - F.col("item_place")).alias("shift")).distinct()
-    candidates = sparkutil.table(diagonals.groupBy(*key).agg(F.collect_set(F.struct("item", "shift")).alias("diagonals")), "candidates")
-    few = sparkutil.small(candidates)
-
-    matched = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
-    same = matched["doc_id"].eqNullSafe(few["doc_id"]) & (matched["text_key"] == few["text_key"])
-    matched = matched.join(few, same).select(matched["doc_id"], matched["text_key"], "diagonals", words("text").alias("w"))
-    matched = matched.select(*key, "w", F.explode("diagonals").alias("d")).select(*key, F.col("d.item").alias("item"), F.col("d.shift").alias("shift"), "w")
-    matched = matched.join(near(items), "item")
-    # what faces the item along the diagonal: document words from "from", item words from "from - shift"
-    start = F.greatest("shift", F.lit(0))
-    size = F.least(F.size("w") - start, F.size("iw") - (start - F.col("shift")))
-    matched = matched.select(
-        *key, "item_id", start.alias("from"), F.slice("w", start + 1, size).alias("a"), F.slice("iw", start - F.col("shift") + 1, size).alias("b"),
-        F.least(F.size("iw"), F.lit(WINDOW)).alias("k"),
-    )
-    equal = lambda i: F.slice(F.col("a"), i, F.col("k")) == F.slice(F.col("b"), i, F.col("k"))
-    runs = F.filter(F.sequence(F.lit(1), F.size("a") - F.col("k") + 1), equal)
-    matched = matched.filter(F.size("a") >= F.col("k")).select(*key, "item_id", "from", "k", runs.alias("starts")).filter(F.size("starts") > 0)
-    places = F.array_distinct(F.flatten(F.transform("starts", lambda i: F.sequence(F.col("from") + i - 1, F.col("from") + i + F.col("k") - 2))))
-    hits = matched.select(*key, "item_id", F.explode(places).alias("place")).groupBy(*key, "place").agg(F.collect_set("item_id").alias("s"))
-    hits = hits.groupBy(*key).agg(F.count("*").alias("n_hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("s")))).alias("items"))
-    return hits
+    around = [F.greatest(F.col("place") - (WINNOW - 1), F.lit(0)).alias("first"), F.col("place").alias("last"), F.lit(WINDOW).alias("k")]
+    met = fingerprints(base, "h", *key).join(marks, "hash", "left_semi").select(*key, *around)
+    if lengths:
+        own = _short(base, "h", lengths, *key).join(marks, "hash", "left_semi")
+        met = met.unionByName(own.select(*key, F.col("place").alias("first"), F.col("place").alias("last"), "k"))
+    # places of the text itself, as many as it has words at most
+    met = sparkutil.table(met.groupBy(*key).agg(F.collect_set(F.struct("first", "last", "k")).alias("met")), "candidates")
+    met = sparkutil.small(met)
+
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
+    rows = rows.join(met, rows["doc_id"].eqNullSafe(met["doc_id"]) & (rows["text_key"] == met["text_key"])).select(rows["doc_id"], rows["text_key"], "met", words("text").alias("w"))
+    at = lambda m: F.transform(F.filter(F.sequence(m["first"], m["last"]), lambda i: i + m["k"] <= F.size("w")), lambda i: F.struct(i.alias("start"), m["k"].alias("k")))
+    rows = rows.select(*key, "w", F.explode(F.array_distinct(F.flatten(F.transform("met", at)))).alias("_a"))
+    rows = rows.select(*key, "_a.start", "_a.k", _window("w", F.col("_a.start"), F.col("_a.k")).alias("window"))
+    hits = sparkutil.table(rows.join(windows, "window").select(*key, "start", "k", "item_id").distinct(), "window-hits")
+
+    # words under any window: each window adds what the ones before it don't reach
+    end = F.col("start") + F.col("k")
+    before = F.max(end).over(Window.partitionBy(*key).orderBy("start", "k").rowsBetween(Window.unboundedPreceding, -1))
+    added = hits.select(*key, "start", "k").distinct().select(*key, F.greatest(end - F.greatest("start", F.coalesce(before, F.lit(0))), F.lit(0)).alias("added"))
+    counted = added.groupBy(*key).agg(F.sum("added").alias("n_hit")).withColumn("items", F.lit(None).cast("array<string>"))
+    named = hits.groupBy(*key).agg(F.array_sort(F.collect_set("item_id")).alias("items")).withColumn("n_hit", F.lit(None).cast("long"))
+    return counted.unionByName(named).groupBy(*key).agg(F.max("n_hit").alias("n_hit"), F.first("items", ignorenulls=True).alias("items"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

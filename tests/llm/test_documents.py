@@ -4,13 +4,16 @@ import hashlib
 import random
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
+from pathlib import Path
 
 import duckdb
 import numpy as np
+import pyarrow.parquet as pq
 from tokenizers import Tokenizer
 
-from corpuslens.llm import chat_format, decontamination, minhash_dedup, packing, sharding, token_counts
+from corpuslens.llm import chat_format, decontamination, minhash_dedup, packing, sharding, sparkutil, token_counts
+from tests.llm import recall_near_duplicates
 from tests.llm.conftest import SCHEMA, prose, row
 
 
@@ -74,6 +77,44 @@ def test_blocks_give_the_same_classes(spark, monkeypatch):
     assert sorted(map(tuple, minhash_dedup.near_duplicates(df).collect())) == whole
 
 
+def drifting_corpus():
+    """Chains in which each text is near to the next one only, a large group of near copies, and stragglers of it."""
+    rng = random.Random(12)
+    texts = []
+    for _ in range(2):
+        words = prose(rng, 80).split()
+        for _ in range(25):
+            words[rng.randrange(len(words))] = f"new{rng.randrange(10**6)}"
+            texts.append(" ".join(words))
+    base = prose(rng, 120).split()
+    for i in range(90):
+        words = list(base)
+        for _ in range(1 if i % 6 else rng.choice([2, 3, 4])):
+            words[rng.randrange(len(words))] = f"new{rng.randrange(10**6)}"
+        texts.append(" ".join(words))
+    rng.shuffle(texts)
+    return list(enumerate(texts))
+
+
+def test_large_buckets_lose_no_link(spark, monkeypatch):
+    rows = drifting_corpus()
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    expect = brute_classes(rows)
+    for block, pivots in ((200, 4), (4, 4), (3, 1)):
+        monkeypatch.setattr(minhash_dedup, "BLOCK_ROWS", block)
+        monkeypatch.setattr(minhash_dedup, "PIVOTS", pivots)
+        groups = defaultdict(list)
+        for r in minhash_dedup.near_duplicates(df).collect():
+            groups[r.class_id].append(r.doc_id)
+        assert sorted(sorted(map(repr, g)) for g in groups.values()) == expect
+
+
+def test_recall_against_all_pairs(spark):
+    """Every text of a table against all of its rows."""
+    found = recall_near_duplicates.measure(spark, "/root/testdata/sf0.01", every=1)
+    assert found["pairs"] > 20 and found["found"] >= 0.99 * found["pairs"]
+
+
 def test_keep_one(spark, odd, none):
     kept = minhash_dedup.keep_one(odd)
     assert kept.schema == odd.schema
@@ -221,6 +262,27 @@ def test_decontamination_equals_sql(spark, odd, none):
     assert sorted(repr(r.doc_id) for r in kept.collect()) == sorted(map(repr, clean)) and kept.schema == docs.schema
 
 
+def test_case_folding_hides_no_hit(spark):
+    """Words are equal by A-Z only, whatever full lower-casing makes of sigma, dotted I, sharp S and the Kelvin sign."""
+    docs = spark.createDataFrame(
+        [(1, "x ΟΔΟΣ.Α y"), (2, "x ΟΔΟΣ Α y"), (3, "ΟΔΟΣ"), (4, "x ΟΔΟΣ'ΑΒ y"), (5, "a İstanbul'da b"), (6, "a \u212aelvin b kelvin"), (7, "STRASSE STRAẞE straße"), (8, "i̇stanbul da"), (9, " ".join(["ΣΑΣ"] * 20)), (10, ".".join(["ΣΑΣ"] * 20))],
+        "doc_id long, text string",
+    )
+    items = spark.createDataFrame([(7, "ΟΔΟΣ Α"), (8, "ΟΔΟΣ ΑΒ"), (9, "İstanbul-DA"), (10, "\u212aELVIN"), (11, "STRAẞE"), (12, "ΣΑΣ " * 14)], "item_id long, text string")
+    same_rows(decontamination.decontaminate(docs, items), decontamination.SQL, documents=docs, benchmark=items)
+    found = {r["doc_id"]: r["n_hit"] for r in decontamination.decontaminate(docs, items).collect()}
+    assert found == {1: 2, 2: 2, 3: 0, 4: 2, 5: 2, 6: 1, 7: 1, 8: 0, 9: 20, 10: 20}
+
+
+def test_repeated_phrases_and_many_short_items(spark):
+    rng = random.Random(6)
+    phrase = prose(rng, 15)
+    docs = spark.createDataFrame([(i, " ".join([prose(rng, 5, 30), phrase] * (1 + 40 * (i % 2)) + ["x"] * 300 * (i % 3))) for i in range(12)], "doc_id long, text string")
+    items = [(k, " ".join(["x"] * 30)) for k in (100, 101)] + [(200, f"{phrase} {phrase} {phrase}"), (201, phrase)] + [(k, prose(rng, k, 30)) for k in range(1, 13)] + [(20 + k, " ".join(phrase.split()[:k])) for k in range(1, 13)]
+    items = spark.createDataFrame(items, "item_id long, text string")
+    same_rows(decontamination.decontaminate(docs, items), decontamination.SQL, documents=docs, benchmark=items)
+
+
 def test_long_texts_are_worked_on_in_pieces(spark, monkeypatch):
     monkeypatch.setattr(decontamination, "PIECE", 16)
     rng = random.Random(2)
@@ -275,5 +337,52 @@ def test_sharding_law(spark, odd, none, tmp_path):
     assert sorted(map(repr, (tuple(r) for r in back.select("doc_id", "text").collect()))) == sorted(map(repr, rows))
 
 
+def test_written_shards_hold_whole_rows(spark, none, tmp_path):
+    rows = [(1, "a b", "en", "s1", 5, 9), (1, "a b", "de", "s2", 6, 8), (2, None, "fr", "s3", None, 7), (2, "", "it", "s3", 0, 6), (None, "x", "x", "x", 1, 1), (None, "x", "x", "x", 1, 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, shard int, slot int")
+    path = str(tmp_path / "odd")
+    name = sharding.write_shards(df, path, 3)
+    assert name == "_shard"
+    back = spark.read.parquet(path)
+    assert sorted(map(repr, (tuple(r) for r in back.select(*df.columns).collect()))) == sorted(map(repr, rows))
+    assert sharding.write_shards(none, str(tmp_path / "none")) == "shard"
+    # files of a shard in the order of their names give the slots
+    many = spark.createDataFrame([(i, "same text" if i % 3 else f"text {i}") for i in range(4000)], "doc_id long, text string")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sharding.write_shards(many, str(tmp_path / "many"), 2)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files = sorted((tmp_path / "many" / "shard=0").glob("*.parquet"))
+    ids = [r for f in files for r in pq.read_table(f, partitioning=None).column("doc_id").to_pylist()]
+    expect = [r.doc_id for r in sharding.assign(many, 2).filter("shard = 0").orderBy("slot").collect()]
+    assert len(files) > 1 and ids == expect
+
+
+def test_copies_with_one_id_fill_many_ranges(spark):
+    df = spark.range(3000).selectExpr("CAST(NULL AS BIGINT) AS doc_id", "'one text' AS text")
+    got = sharding.shard_law(df).collect()
+    count = Counter(r.shard for r in got)
+    assert len(count) == 24 and max(count.values()) - min(count.values()) <= 1
+    assert all(sorted(r.slot for r in got if r.shard == s) == list(range(n)) for s, n in count.items())
+
+
+def test_conversations_with_text_ids(spark):
+    df = spark.createDataFrame([("a", "0", "user", "x"), ("a", "1", "assistant", "y"), ("7", "z", "user", "<s>")], "conv_id string, turn string, role string, text string")
+    got = {r.conv_id: r.n_turns for r in chat_format.conversation_digests(spark, df).collect()}
+    assert got == {"a": 2, "7": 1, "-1": 2}
+
+
+def test_intermediate_tables(spark):
+    kept = sparkutil.table(spark.range(3), "kept")
+    with sparkutil.scratch():
+        gone, lasting = sparkutil.table(spark.range(3), "gone"), sparkutil.table(spark.range(4), "lasting", lasting=True)
+        assert gone.count() == 3
+    folder = sparkutil.shared_dir(spark).removeprefix("file:")
+    names = [p.name for p in Path(folder).iterdir()]
+    assert not any("-gone-" in n for n in names) and any("-kept-" in n for n in names)
+    assert kept.count() == 3 and lasting.count() == 4
+
+
 def test_hash_of_no_items():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
