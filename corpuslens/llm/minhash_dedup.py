@@ -8,8 +8,11 @@ threshold allows, keeps at least 0.8 of all their shingles: matched / (n1 + n2 -
 
 Equal texts are folded into one representative before sketching meets, and classes are the connected components
 of the links.  Inside a bucket, pairs are compared only while they aren't connected yet, most similar first, so no
-link between different classes is lost and no bucket writes out all its pairs.  Buckets over a bound are dealt
-into blocks, and every pair of blocks is one unit of work.
+link between different classes is lost and no bucket writes out all its pairs.  Buckets whose members are those of
+an earlier one are dropped.  Buckets over a bound are dealt into blocks, and a pivot, the bucket's smallest member,
+joins each block; that connects a group of near copies, however large, in work that grows with its size.  Only if
+the members of such a bucket then lie in several components are those outside its largest one compared with all the
+others, block by block: no link between classes is lost, and what was connected isn't compared again.
 
 Defined cases: null texts are alone in their class; empty texts (and all texts without words) are alike only if
 they are equal; a null doc_id takes part, and a class whose ids are all null has a null class id; repeated rows are
@@ -22,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuslens.llm import sparkutil
@@ -31,8 +34,10 @@ from corpuslens.llm import textkernel as tk
 WORDS, THRESHOLD = 5, 0.8
 #: Sketches of a document, and shingles in a sketch: texts with similarity 0.8 meet in one of them but for 1 in 10^5.
 SKETCHES, ELL = 16, 3
-#: Members, and shingles of them all, that one block of a bucket holds.
-BLOCK_ROWS, BLOCK_SHINGLES = 600, 1_000_000
+#: Members, and shingles of them all, that one block of a bucket holds on average.
+BLOCK_ROWS, BLOCK_SHINGLES = 200, 1_000_000
+#: Buckets over the bound in which a member meets a pivot; the others are looked at if that left them unconnected.
+PIVOTS = 4
 
 _SEEDS = tk.mix(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _SKETCH = "sketches array<long>, n int"
@@ -153,15 +158,16 @@ def aligned(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> bool:
     return size >= need
 
 
-def link_block(sketches: np.ndarray, shingle: list[np.ndarray], number: int, left: np.ndarray, cross: bool) -> Iterator[tuple[int, int]]:
-    """Links that connect the members of one block (or of two: pairs of ``left`` and not ``left``).
+def link_block(sketches: np.ndarray, shingle: list[np.ndarray], number: int, group: np.ndarray, left: np.ndarray | None = None) -> Iterator[tuple[int, int]]:
+    """Links that connect the members of one block (with ``left``: only pairs of ``left`` and not ``left``).
 
-    Only pairs whose first common sketch is ``number`` are looked at, and only until they are connected.  How many
-    shingles a member shares with each of those before it is counted for all of them in one pass; pairs that share
-    enough are aligned, those that share most first.
+    Only pairs whose first common sketch is ``number`` are looked at, and only until they are connected; members of
+    one ``group`` are from the start.  How many shingles a member shares with each of those before it is counted for
+    all of them in one pass; pairs that share enough are aligned, those that share most first.
     """
     n = len(shingle)
-    parent = list(range(n))
+    _, parent, known = np.unique(group, return_index=True, return_inverse=True)
+    parent = parent[known].tolist()
 
     def root(x: int) -> int:
         while parent[x] != x:
@@ -169,6 +175,8 @@ def link_block(sketches: np.ndarray, shingle: list[np.ndarray], number: int, lef
             x = parent[x]
         return x
 
+    if len(set(parent)) == 1:
+        return
     sizes = np.array([len(x) for x in shingle])
     need = THRESHOLD / (1 + THRESHOLD)
     off = np.concatenate([[0], np.cumsum(sizes)])
@@ -182,7 +190,8 @@ def link_block(sketches: np.ndarray, shingle: list[np.ndarray], number: int, lef
         ok = shared >= need * (sizes[:i] + sizes[i]) - 1e-9
         if number:
             ok &= ~(sketches[:i, :number] == sketches[i, :number]).any(1)
-        if cross:
+        ok &= known[:i] != known[i]
+        if left is not None:
             ok &= left[:i] != left[i]
         found = np.flatnonzero(ok)
         for j in found[np.argsort(-shared[found], kind="stable")].tolist():
@@ -192,11 +201,14 @@ def link_block(sketches: np.ndarray, shingle: list[np.ndarray], number: int, lef
                 yield i, j
 
 
+_UNIT = ["unit_hash", "number", "bucket", "first", "second"]
+
+
 @tk.tidy
 def _link_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links of each unit (bucket and pair of blocks); rows of a unit come one after another."""
     held: list[pa.RecordBatch] = []
-    names = ["unit_hash", "number", "bucket", "first", "second"]
+    names = _UNIT
 
     def work(rows: pa.Table) -> pa.RecordBatch:
         keys, number = rows.column("key").to_pylist(), int(rows.column("number")[0].as_py())
@@ -205,9 +217,11 @@ def _link_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         off = lists.offsets.to_numpy()
         base, flat = off[0], lists.flatten().to_numpy().view(np.uint32)
         shingle = [flat[off[i] - base : off[i + 1] - base] for i in range(len(keys))]
-        left = rows.column("block").to_numpy() == rows.column("first").to_numpy()
-        cross = rows.column("first")[0].as_py() != rows.column("second")[0].as_py()
-        pairs = list(link_block(sketches, shingle, number, left, cross))
+        first, second = rows.column("first")[0].as_py(), rows.column("second")[0].as_py()
+        left = None if first == second else rows.column("block").to_numpy() == first
+        roots = rows.column("root")
+        group = np.arange(len(keys)) if roots.null_count else np.array(roots.to_pylist(), object)
+        pairs = list(link_block(sketches, shingle, number if rows.column("skip")[0].as_py() else 0, group, left))
         return pa.RecordBatch.from_arrays([pa.array([keys[a] for a, _ in pairs], pa.binary()), pa.array([keys[b] for _, b in pairs], pa.binary())], ["a", "b"])
 
     for batch in batches:
@@ -245,24 +259,58 @@ def find_links(docs: DataFrame) -> DataFrame:
     first = sketched.groupBy("key").agg(F.first("sketches").alias("sketches"), F.first("n").alias("n"))
     first = sparkutil.table(first, "sketches")
     members = first.select("key", "n", F.posexplode("sketches").alias("number", "bucket"))
-    shared = members.groupBy("number", "bucket").agg(F.count("*").alias("rows"), F.sum(F.col("n").cast("long")).alias("total")).filter("rows > 1")
-    blocks = F.greatest(F.ceil(F.col("rows") / BLOCK_ROWS), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int")
-    shared = shared.select("number", "bucket", blocks.alias("blocks"))
-    met = sparkutil.table(members.join(shared, ["number", "bucket"]).select("key", "number", "bucket", "blocks"), "buckets")
-    needed = sparkutil.table(met.select("key").distinct(), "bucket-keys")
-    needed = sparkutil.small(needed)
+    shared = members.groupBy("number", "bucket").agg(
+        F.count("*").alias("rows"), F.sum(F.col("n").cast("long")).alias("total"), F.min("key").alias("pivot"),
+        F.bit_xor(F.xxhash64("key")).alias("xor"), F.bit_xor(F.xxhash64("key", F.lit(1))).alias("xor2"),
+    ).filter("rows > 1")
+    # of buckets with the same members the first one
+    same = F.struct("number", "bucket", "pivot", F.greatest(F.ceil(F.col("rows") / BLOCK_ROWS), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    shared = shared.groupBy("rows", "xor", "xor2").agg(F.min(same).alias("s")).select("s.*")
+    shared = sparkutil.small(sparkutil.table(shared, "shared-buckets"))
+    # a bucket that holds a large share of all rows is a skewed key of this join, which AQE splits: its rows are slim
+    met = sparkutil.table(members.join(shared, ["number", "bucket"]).select("key", "number", "bucket", "blocks", "pivot"), "buckets")
+    needed = sparkutil.small(sparkutil.table(met.select("key").distinct(), "bucket-keys"))
     own = texts.join(needed, "key", "left_semi").select("key", _shingle_column().alias("shingles"))
     own = own.groupBy("key").agg(F.first("shingles").alias("shingles"))
     own = sparkutil.table(own.join(first.select("key", "sketches"), "key"), "bucket-shingles")
-    block = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    units = met.select("key", "number", "bucket", block.alias("block"), other).select(
-        "key", "number", "bucket", "block", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second")
-    )
+
+    zero, block = F.lit(0), F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
+    lone = met.filter("blocks = 1").select("key", "number", "bucket", zero.alias("block"), zero.alias("first"), zero.alias("second"), F.lit(True).alias("skip"))
+    big = met.filter("blocks > 1")
+    nth = F.row_number().over(Window.partitionBy("key").orderBy("number"))  # 16 rows of a key at most
+    dealt = big.withColumn("_n", nth).filter(F.col("_n") <= PIVOTS).select("key", "number", "bucket", block.alias("block"), block.alias("first"), block.alias("second"), F.lit(False).alias("skip"))
+    each = F.explode(F.sequence(zero, F.col("blocks") - 1)).alias("block")
+    pivots = big.select("number", "bucket", "blocks", "pivot").distinct().select(F.col("pivot").alias("key"), "number", "bucket", each)
+    dealt = dealt.unionByName(pivots.select("key", "number", "bucket", "block", F.col("block").alias("first"), F.col("block").alias("second"), F.lit(False).alias("skip"))).distinct()
+    links = _work(lone.unionByName(dealt).withColumn("root", F.lit(None).cast("binary")), own, "links")
+    if big.isEmpty():
+        return links
+
+    # buckets over the bound whose members aren't all connected by now
+    roots = components(links).select(F.col("node").alias("key"), "root")
+    rooted = sparkutil.table(big.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key")), "bucket-roots")
+    sizes = rooted.groupBy("number", "bucket", "root").agg(F.count("*").alias("n"))
+    parts = sizes.groupBy("number", "bucket").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("parts"), F.sum("n").alias("all"), F.max("n").alias("most")).filter("parts > 1")
+    parts = sparkutil.small(sparkutil.table(parts, "bucket-parts"))
+    left = rooted.join(parts, ["number", "bucket"]).withColumn("rest", F.col("root") != F.col("main"))
+    # blocks of the rest are numbered from 0, those of the largest component go on after them
+    rest_blocks = F.ceil((F.col("all") - F.col("most")) / F.col("all") * F.col("blocks")).cast("int")
+    left = left.withColumn("_r", rest_blocks).withColumn("block", F.when(F.col("rest"), F.pmod(F.xxhash64("key"), F.col("_r"))).otherwise(F.col("_r") + block).cast("int"))
+    other = F.explode(F.sequence(zero, F.when(F.col("rest"), F.col("_r") + F.col("blocks") - 1).otherwise(F.col("_r") - 1))).alias("other")
+    again = left.select("key", "number", "bucket", "root", "block", other)
+    again = again.select("key", "number", "bucket", "root", "block", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"), F.lit(True).alias("skip"))
+    more = _work(again, own, "more-links")
+    return links.unionByName(more)
+
+
+def _work(units: DataFrame, own: DataFrame, name: str) -> DataFrame:
+    """Links found in units: (key, number, bucket, block, first, second, skip, root), with the members' shingles joined on.
+
+    A null root says that nothing is connected yet.
+    """
     units = units.withColumn("unit_hash", F.xxhash64("number", "bucket", "first", "second")).join(own, "key")
-    order = ["unit_hash", "number", "bucket", "first", "second"]
-    links = units.repartition("unit_hash").sortWithinPartitions(*order).select(*order, "key", "block", "sketches", "shingles").mapInArrow(_link_units, "a binary, b binary")
-    return sparkutil.table(links.distinct(), "links")
+    rows = units.repartition("unit_hash").sortWithinPartitions(*_UNIT).select(*_UNIT, "key", "block", "skip", "root", "sketches", "shingles")
+    return sparkutil.table(rows.mapInArrow(_link_units, "a binary, b binary").distinct(), name)
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
