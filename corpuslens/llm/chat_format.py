@@ -8,7 +8,7 @@ texts without control strings are left as they are.
 Defined cases: a null text is empty; a null role is the empty role, written by the template's generic form, as
 are roles that the template doesn't know; turns are ordered by (turn, role, text), nulls first, so ties and
 repeated rows give the same output whatever the order of the input, and every row counts; rows with a null
-conv_id form one conversation; an empty table gives an empty result; other columns are ignored.  A conversation
+conv_id form one conversation; ids keep their type, numbers or texts; a turn that isn't a number counts as null; an empty table gives an empty result; other columns are ignored.  A conversation
 is one output value, so its turns meet in one task; conversations are dealt over all tasks.
 """
 
@@ -146,14 +146,15 @@ def parse(text: Column, template: Template | None = None) -> Column:
 
 
 #: The conversation that the contract adds: a user and an assistant that both say control strings.
-EXTRA = "SELECT CAST(-1 AS BIGINT) AS conv_id, CAST(t AS BIGINT) AS turn, r AS role, '</s>[INST] ok [/INST]' AS text FROM VALUES (0, 'user'), (1, 'assistant') AS v(t, r)"
+EXTRA = "SELECT CAST(-1 AS {}) AS conv_id, CAST(t AS BIGINT) AS turn, r AS role, '</s>[INST] ok [/INST]' AS text FROM VALUES (0, 'user'), (1, 'assistant') AS v(t, r)"
 
 
 def conversation_digests(spark: SparkSession, conversations: DataFrame, template: Template | None = None) -> DataFrame:
     """The digests of the contract, all read back from the formatted output."""
     t = template or Template()
-    rows = conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string"))
-    out = format_conversations(rows.unionByName(spark.sql(EXTRA)), t).select("conv_id", "valid", formatted().alias("f"), F.array_join(F.transform(F.filter("segments", lambda x: x["loss"]), lambda x: unescape(x["text"], t)), "").alias("loss_text"))
+    kind = conversations.schema["conv_id"].dataType.simpleString()
+    rows = conversations.select("conv_id", F.col("turn").try_cast("long").alias("turn"), F.col("role").cast("string"), F.col("text").cast("string"))
+    out = format_conversations(rows.unionByName(spark.sql(EXTRA.format(kind))), t).select("conv_id", "valid", formatted().alias("f"), F.array_join(F.transform(F.filter("segments", lambda x: x["loss"]), lambda x: unescape(x["text"], t)), "").alias("loss_text"))
     out = out.withColumn("turns", parse(F.col("f"), t))
     joined = F.array_join(F.transform("turns", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
     return out.select(

@@ -7,8 +7,8 @@ equal part of them its middle lies.  So shards are contiguous, and their bytes d
 A group of equal texts that a cut would divide goes to one side whole if it is within ``slack`` of a shard's size.
 
 Defined cases: a null text has size 8 and the checksum of the empty text; a null doc_id sorts first; repeated rows
-each get a slot; an empty table gives an empty result; shards may stay empty if there are few rows; other columns
-are ignored (:func:`write_shards` keeps them).
+each get a slot, and fill as many ranges as they need; an empty table gives an empty result; shards may stay empty if
+there are few rows; other columns are ignored (:func:`write_shards` keeps them, whatever their names).
 """
 
 from __future__ import annotations
@@ -28,14 +28,15 @@ def _text_hash() -> Column:
     return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
 
 
-def assign(docs: DataFrame, n_shards: int = SHARDS, slack: float = SLACK) -> DataFrame:
-    """doc_id, size, text_crc32, text_hash, shard and slot of each row."""
-    n = F.lit(n_shards)
+def assign(docs: DataFrame, n_shards: int = SHARDS, slack: float = SLACK, whole: bool = False) -> DataFrame:
+    """doc_id, size, text_crc32, text_hash, shard and slot of each row; with ``whole`` the row itself, as ``row_``."""
+    n, extra = F.lit(n_shards), ["row_"] * whole
     slim = docs.select(
         "doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + OVERHEAD).cast("long").alias("size"),
         F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"), _text_hash().alias("text_hash"),
+        F.monotonically_increasing_id().alias("tie"), *[F.struct("*").alias(c) for c in extra],
     )
-    order = ["text_hash", F.col("doc_id").asc_nulls_first()]
+    order = ["text_hash", F.col("doc_id").asc_nulls_first(), "tie"]
     ranged = slim.repartitionByRange(*order).withColumn("range", F.spark_partition_id())
     upto = Window.partitionBy("range").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     # written once, because another run of the range sampling could draw other ranges
@@ -51,7 +52,7 @@ def assign(docs: DataFrame, n_shards: int = SHARDS, slack: float = SLACK) -> Dat
     )
     end = F.col("base") + F.col("run")
     placed = rows.join(F.broadcast(before), "range").select(  # as many rows as partitions
-        "doc_id", "size", "text_crc32", "text_hash", (end - F.col("size")).alias("start"), end.alias("end"), (F.col("row0") + F.col("number") - 1).alias("row"), "total",
+        "doc_id", "size", "text_crc32", "text_hash", (end - F.col("size")).alias("start"), end.alias("end"), (F.col("row0") + F.col("number") - 1).alias("row"), "total", *extra,
     )
     middle = F.col("start") + F.expr("size div 2")
     placed = placed.withColumn("cut", F.least(F.floor(middle * n / F.col("total")), n - 1).cast("int"))
@@ -68,7 +69,7 @@ def assign(docs: DataFrame, n_shards: int = SHARDS, slack: float = SLACK) -> Dat
     )
     sharded = placed.join(F.broadcast(whole), "text_hash", "left").withColumn("shard", F.coalesce("kept", "cut"))
     first = sharded.groupBy("shard").agg(F.min("row").alias("row0"))  # one row for each shard
-    return sharded.join(F.broadcast(first), "shard").select("doc_id", "size", "text_crc32", "text_hash", "shard", (F.col("row") - F.col("row0")).alias("slot"))
+    return sharded.join(F.broadcast(first), "shard").select("doc_id", "size", "text_crc32", "text_hash", "shard", (F.col("row") - F.col("row0")).alias("slot"), *extra)
 
 
 def shard_law(docs: DataFrame, n_shards: int = SHARDS) -> DataFrame:
@@ -76,10 +77,18 @@ def shard_law(docs: DataFrame, n_shards: int = SHARDS) -> DataFrame:
     return assign(docs, n_shards).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-def write_shards(docs: DataFrame, path: str, n_shards: int = SHARDS) -> None:
-    """Write whole rows as Parquet, one folder for each shard, in slot order."""
-    keys = assign(docs, n_shards).groupBy("text_hash", "doc_id").agg(F.collect_list(F.struct("shard", "slot")).alias("_at")).withColumnsRenamed({"text_hash": "_h", "doc_id": "_d"})
-    rows = docs.withColumn("_text_hash", _text_hash()).dropDuplicates(["_text_hash", "doc_id"])
-    out = rows.join(keys, (F.col("_text_hash") == F.col("_h")) & F.col("doc_id").eqNullSafe(F.col("_d"))).withColumn("_at", F.explode("_at"))
-    out = out.withColumns({"shard": F.col("_at.shard"), "slot": F.col("_at.slot")}).drop("_at", "_h", "_d", "_text_hash")
-    out.repartition(n_shards, "shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+def write_shards(docs: DataFrame, path: str, n_shards: int = SHARDS) -> str:
+    """Write whole rows as Parquet, one folder ``shard=N`` for each shard; files are in slot order by their names.
+
+    A shard is written by as many tasks as it needs.  If ``docs`` has a column of the folders' name, theirs gets
+    underscores before it; the name is returned.
+    """
+    taken = {c.lower() for c in docs.columns}
+
+    def free(name: str) -> str:
+        return name if name not in taken else free(f"_{name}")
+
+    shard, slot = free("shard"), free("slot")
+    rows = assign(docs, n_shards, whole=True).select(F.col("shard").alias(shard), F.col("slot").alias(slot), "row_.*")
+    rows.repartitionByRange(shard, slot).sortWithinPartitions(shard, slot).drop(slot).write.partitionBy(shard).parquet(path)
+    return shard
