@@ -1,13 +1,13 @@
 """Language identification: nearest of several clustered TF-IDF centroids per language, by cosine.
 
-A text becomes a unit vector of square-root counts of hashed byte 1- to 3-grams (lower-cased, everything but
+A text becomes a unit vector of square-root counts of hashed character 1- to 3-grams (lower-cased, everything but
 letters folded to one blank), times inverse document frequencies of the learning sample.  Each language has a few
 centroids from spherical k-means; the nearest centroid's language wins, and a text whose cosine is under
 ``REJECT`` is marked as rejected.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; a text that has no feature in common
 with any centroid gets the most frequent learned language with score 0; repeated rows get equal results; an empty
-table gives an empty result; without learned languages everything is ``und``; other columns are ignored.
+table gives an empty result; rows of one id and text count once in learning; without learned languages everything is ``und``; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuslens.llm import sparkutil
@@ -25,9 +25,8 @@ from corpuslens.llm import textkernel as tk
 
 DIMS = 2048
 WIDTH = DIMS + 256
-#: Bounds of the learning sample: rows of one language, and of all together; but each language gets some rows.
+#: Bounds of the learning sample: rows of one language, and of all together; but each language gets a row at least.
 PER_LANGUAGE, SAMPLE_ROWS = 1000, 6000
-LEAST = 20
 CENTROIDS, ROUNDS = 4, 12
 HELD_MODULUS, HELD = 4, 2
 #: A text whose best cosine is under this is marked as rejected.
@@ -43,11 +42,13 @@ _LATIN[0x41:0x5B] = _LATIN[0x61:0x7B] = True
 def vectors(s: tk.Slice) -> np.ndarray:
     """Square-root counts of each row, rows by WIDTH."""
     folded = _FOLD[tk.lower_latin(s.buf)]
-    blank = folded == 0x20
-    row = np.repeat(np.arange(s.rows), np.diff(s.off))
-    out = np.bincount(row[~blank] * WIDTH + DIMS + folded[~blank], minlength=s.rows * WIDTH)
+    value, off = tk.chars(s, folded)
+    blank = value == 0x20
+    row = np.repeat(np.arange(s.rows), np.diff(off))
+    one = np.where(value < 128, value, 128 + (value * np.uint32(0x9E3779B1) >> np.uint32(25))).astype(np.int64)
+    out = np.bincount(row[~blank] * WIDTH + DIMS + one[~blank], minlength=s.rows * WIDTH)
     for k, salt in ((2, 0), (3, 0x51)):
-        gram, at = tk.char_grams(s, folded, k)
+        gram, at = tk.char_grams(value, off, k)
         bucket = ((gram + np.uint32(salt)) * np.uint32(0xC2B2AE35) >> np.uint32(21)).astype(np.int64)
         keep = ~(blank[at] & blank[at + 1])
         out += np.bincount(row[at[keep]] * WIDTH + bucket[keep], minlength=s.rows * WIDTH)
@@ -88,9 +89,13 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, rows: int = SAMPLE_RO
     counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()
     if not counts:
         return LanguageModel()
-    share = min(per_language, max(LEAST, rows // len(counts)))
-    part = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, share / r["count"])) for r in counts], "lang string, part double")
-    sample = known.join(F.broadcast(part), "lang").filter(sparkutil.unit_hash("doc_id", salt="lang") < F.col("part"))
+    share = max(1, min(per_language, rows // len(counts)))
+    # the hash keeps a few more than are wanted, of which exactly "share" are taken
+    part = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, (1.2 * share + 100) / r["count"])) for r in counts], "lang string, part double")
+    place = sparkutil.unit_hash("doc_id", "text", salt="lang")
+    sample = known.join(F.broadcast(part), "lang").withColumn("_place", place).filter(F.col("_place") < F.col("part"))
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("_place", "doc_id"))
+    sample = sample.dropDuplicates(["lang", "_place"]).withColumn("_nth", nth).filter(F.col("_nth") <= share).select("text", "lang")
 
     @tk.tidy
     def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

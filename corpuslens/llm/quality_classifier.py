@@ -4,7 +4,8 @@ Boosted trees over text statistics give conjunctive rules (the paths to their no
 a few of them; what is kept becomes one Spark expression over the statistics of a text.
 
 Defined cases: a null or empty text has all-zero statistics and gets the score of such a text; repeated rows get
-equal scores; an empty table gives an empty result; without labels of both classes every score is that of the one
+equal scores; an empty table gives an empty result; labels other than 0 and 1 aren't used, nor more than one row of an
+id; without labels of both classes every score is that of the one
 class (1 without labels); other columns are ignored.
 """
 
@@ -112,7 +113,7 @@ def _paths(trees) -> list[tuple[Condition, ...]]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> RuleEnsemble:
-    """Learn rules from at most about ``per_class`` labelled rows of each class."""
+    """Learn rules from at most ``per_class`` labelled rows of each class."""
     sparkutil.batches(docs.sparkSession)
     sample, weight = sparkutil.labelled_sample(docs, labels, "quality", HELD_MODULUS, HELD, per_class)
     got = sample.select(statistics_column().alias("s"), "label").select("s.*", "label").toArrow()

@@ -1,12 +1,12 @@
 """Quality rules: exact base counts, then a calibrated hashed n-gram logistic regression.
 
-Words are ``[^\\x20\\x09-\\x0D]+``.  Features are hashed byte 4-grams, words and word pairs (a word that repeats
+Words are ``[^\\x20\\x09-\\x0D]+``.  Features are hashed character 4-grams, words and word pairs (a word that repeats
 the one before it is written as a back reference), each group as shares of its own total.  The weights are
 learned from a bounded sample of labelled rows, calibrated on rows left out of the fit, and every text is scored
 whole, in Arrow batches, against fixed thresholds.
 
 Defined cases: a null or empty text has no words, so ``base_failed``; repeated rows give repeated results; an
-empty table gives an empty result; without labels of both classes the verdict is that of the base rules alone;
+empty table gives an empty result; labels other than 0 and 1 aren't used, nor more than one row of an id; without labels of both classes the verdict is that of the base rules alone;
 columns of other names are kept by :func:`filter_quality` and ignored by :func:`score_quality`.
 """
 
@@ -86,8 +86,9 @@ def base_counts(s: tk.Slice):
 def hashed_features(s: tk.Slice, words, row) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each group of features: the row and the bucket of every occurrence, rows ascending."""
     top = np.uint64(64 - 17)
-    gram, at = tk.char_grams(s, s.buf, 4)
-    yield np.searchsorted(s.off, at, "right") - 1, (gram >> np.uint32(32 - 17)).astype(np.int64)
+    value, off = tk.chars(s, s.buf)
+    gram, at = tk.char_grams(value, off, 4)
+    yield np.searchsorted(off, at, "right") - 1, (gram >> np.uint32(32 - 17)).astype(np.int64)
     yield row, (tk.mix(words + np.uint64(11)) >> top).astype(np.int64)
     n = len(words)
     if n < 2:
@@ -158,7 +159,7 @@ def _sample_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> QualityModel:
-    """Fit on at most about ``per_class`` labelled rows of each class; four folds learn, one calibrates."""
+    """Fit on at most ``per_class`` labelled rows of each class; four folds learn, one calibrates."""
     sparkutil.batches(docs.sparkSession)
     sample, weight = sparkutil.labelled_sample(docs, labels, "quality", HELD_MODULUS, HELD, per_class)
     got = sample.mapInArrow(_sample_rows, "idx array<int>, val array<float>, label int, fold int").toArrow()

@@ -164,17 +164,33 @@ def word_grams(hashes: np.ndarray, row: np.ndarray, k: int) -> tuple[np.ndarray,
     return mix(acc[at]), at
 
 
-def char_grams(s: Slice, buf: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """32-bit hash of each window of ``k`` bytes within a row, and the offset of its first byte."""
-    n = len(buf) - k + 1
+def chars(s: Slice, buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One value for each character (its UTF-8 bytes, the first one lowest), and where each row's begin."""
+    if not len(buf) or buf.max() < 0x80:
+        return buf.astype(np.uint32), s.off
+    at = np.flatnonzero((buf & 0xC0) != 0x80)
+    value = buf[at].astype(np.uint32)
+    wide = np.flatnonzero(value >= 0xC0)
+    padded = np.concatenate([buf, np.zeros(3, np.uint8)])
+    inside = np.ones(len(wide), bool)
+    for j in (1, 2, 3):
+        b = padded[at[wide] + j]
+        inside &= (b & 0xC0) == 0x80
+        value[wide] |= np.where(inside, b, 0).astype(np.uint32) << np.uint32(8 * j)
+    return value, np.searchsorted(at, s.off)
+
+
+def char_grams(value: np.ndarray, off: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """32-bit hash of each window of ``k`` characters within a row, and the place of its first one."""
+    n = len(value) - k + 1
     if n <= 0:
         return np.zeros(0, np.uint32), np.zeros(0, np.int64)
     acc = np.zeros(n, np.uint32)
     for i in range(k):
-        acc = (acc + buf[i : i + n]) * np.uint32(0x9E3779B1)
+        acc = (acc + value[i : i + n]) * np.uint32(0x9E3779B1)
         acc ^= acc >> np.uint32(15)
     ok = np.ones(n, bool)
-    cut = (s.off[1:-1, None] - np.arange(1, k)).ravel()
+    cut = (off[1:-1, None] - np.arange(1, k)).ravel()
     ok[cut[(cut >= 0) & (cut < n)]] = False
     at = np.flatnonzero(ok)
     return acc[at] * np.uint32(0x85EBCA6B), at

@@ -6,7 +6,8 @@ punctuation and obfuscation rates.  Lexicons of the training rows are cross-fitt
 lexicon learned without its fold.
 
 Defined cases: a null or empty text has all-zero features and gets the score of such a text; repeated rows get
-equal scores; an empty table gives an empty result; without labels of both classes every score is 0 (or 1 if all
+equal scores; an empty table gives an empty result; labels other than 0 and 1 aren't used, nor more than one row of an
+id; without labels of both classes every score is 0 (or 1 if all
 labels are 1); other columns are kept by :func:`filter_toxic` and ignored by :func:`score_toxicity`.
 """
 
@@ -170,7 +171,7 @@ class ToxicityModel:
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> ToxicityModel:
-    """Fit on at most about ``per_class`` labelled rows of each class."""
+    """Fit on at most ``per_class`` labelled rows of each class."""
     sparkutil.batches(docs.sparkSession)
     sample, weight = sparkutil.labelled_sample(docs, labels, "toxic", HELD_MODULUS, HELD, per_class)
     sample = sparkutil.table(sample.filter(F.col("text").isNotNull()).groupBy("text").agg(F.max("label").alias("label"), F.min("fold").alias("fold")), "toxic-sample")

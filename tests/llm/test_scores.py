@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corpuslens.llm import language_id, models, quality_classifier, quality_rules, toxicity
+from corpuslens.llm import language_id, models, quality_classifier, quality_rules, sparkutil, toxicity
 from corpuslens.llm import textkernel as tk
 from tests.llm.conftest import SCHEMA
 
@@ -72,6 +72,54 @@ def test_language_held_out(spark):
     assert sum(r.lang_pred != r.lang for r in held) <= 0.02 * len(held)
 
 
+def test_every_language_is_learned(spark):
+    rows = [(10 * i + j, f"{chr(97 + i) * 4} {chr(98 + i) * 5} text", f"l{i}") for i in range(5) for j in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert set(language_id.fit(docs, rows=20).languages) == {f"l{i}" for i in range(5)}
+
+
+def test_samples_are_bounded(spark):
+    """One id with many rows, null ids, labels that are no class, texts over the bound on bytes."""
+    rows = [(1, f"text {i}") for i in range(20_000)] + [(None, "none")] * 50 + [(i, f"own {i}") for i in range(2, 900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, None) for i in range(1, 900)] + [(None, 1, 1)] * 9 + [(3, 2, 5), (5, None, 7), (1, 0, 0)], "doc_id long, quality int, toxic int")
+    sample, weight = sparkutil.labelled_sample(docs, labels, "quality", 5, 0, 120)
+    got = sample.collect()
+    assert sum(r.label == 0 for r in got) == sum(r.label == 1 for r in got) == 120 and set(weight) == {0, 1}
+    assert all(2 < w < 4 for w in weight.values())
+    few = sparkutil.labelled_sample(docs, labels, "quality", 5, 0, 120, most=200)[0].collect()
+    assert 20 < len(few) < 120 and sum(len(r.text) for r in few) <= 400
+    assert sparkutil.labelled_sample(docs, labels, "toxic", 5, 0, 120)[0].count() <= 1
+
+
+def test_hundreds_of_languages(spark):
+    rows = [(10 * i + j, f"{chr(97 + i % 26)}{chr(97 + i // 26)}{chr(97 + (i * 7) % 26)} " * 5 + str(j), f"l{i}") for i in range(700) for j in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert len(language_id.fit(docs, rows=600).languages) == 700
+    same = spark.createDataFrame([(None, "bonjour", "fr")] * 500 + [(None, "hello", "en")], "doc_id long, text string, lang string")
+    assert set(language_id.fit(same).languages) == {"fr", "en"}
+
+
+def grams_of(text, k):
+    return [text[i : i + k] for i in range(len(text) - k + 1)]
+
+
+def test_character_grams_are_of_characters():
+    import pyarrow as pa
+
+    texts = ["日本語のテキスト", "naïve café", "", "ab", "x" * 9, "ÄÖ", "a😀b😀c"]
+    s = next(tk.slices(pa.array(texts)))
+    value, off = tk.chars(s, s.buf)
+    assert np.diff(off).tolist() == list(map(len, texts))
+    for k in (2, 3, 4):
+        gram, at = tk.char_grams(value, off, k)
+        row = np.searchsorted(off, at, "right") - 1
+        assert [int((row == i).sum()) for i in range(len(texts))] == [len(grams_of(t, k)) for t in texts]
+        # equal grams, equal hashes, and no others
+        names = [g for t in texts for g in grams_of(t, k)]
+        assert len(set(names)) == len(set(zip(names, gram.tolist(), strict=True))) == len(set(gram.tolist()))
+
+
 def test_language_edge_cases(odd):
     got = {(r.doc_id, r.score > 0): r.lang_pred for r in language_id.identify(odd).collect()}
     assert got[(2, False)] == got[(3, False)] == got[(7, False)] == got[(9, False)] == "und"
