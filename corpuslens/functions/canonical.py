@@ -12,17 +12,57 @@ from corpuslens.functions.text import collapse_ws, let
 
 DEFAULT_LABEL, LABEL_CHARS = "相关", 8
 
-# fixed values: the relation classes, and older names of relations by class
+# fixed values: the relation classes, and the classes of older names of relations
 RELATION_CLASSES = ["RELATED", "STRUCTURAL", "FUNCTIONAL", "CAUSAL", "SEQUENCE", "OWNERSHIP", "COMPARISON", "CONSTRAINT"]
 RELATION_ALIASES = {
-    "RELATED": "RELATED_TO RELATES_TO",
-    "STRUCTURAL": "HAS HAS_PART PART_OF CONTAINS INCLUDES TYPE_OF INSTANCE_OF IS_A",
-    "FUNCTIONAL": "USES USED_FOR BUILT_WITH CALLS READS WRITES STORES QUERIES CREATES PRODUCES CONSUMES CONFIGURES IMPLEMENTS",
-    "CAUSAL": "CAUSES CAUSED_BY RESULTS_IN LEADS_TO TRIGGERS NOTIFIES NOTIFIES_ABOUT",
-    "SEQUENCE": "PRECEDES FOLLOWS",
-    "OWNERSHIP": "OWNS OWNED_BY MANAGES MANAGED_BY CONTROLLED_BY",
-    "COMPARISON": "COMPARED_WITH CONTRASTS_WITH ALTERNATIVE_TO SIMILAR_TO EVALUATES",
-    "CONSTRAINT": "REQUIRES DEPENDS_ON GOVERNED_BY PROTECTS_AGAINST PREVENTS AVOIDS",
+    "RELATED_TO": "RELATED",
+    "RELATES_TO": "RELATED",
+    "HAS": "STRUCTURAL",
+    "HAS_PART": "STRUCTURAL",
+    "PART_OF": "STRUCTURAL",
+    "CONTAINS": "STRUCTURAL",
+    "INCLUDES": "STRUCTURAL",
+    "TYPE_OF": "STRUCTURAL",
+    "INSTANCE_OF": "STRUCTURAL",
+    "IS_A": "STRUCTURAL",
+    "USES": "FUNCTIONAL",
+    "USED_FOR": "FUNCTIONAL",
+    "BUILT_WITH": "FUNCTIONAL",
+    "CALLS": "FUNCTIONAL",
+    "READS": "FUNCTIONAL",
+    "WRITES": "FUNCTIONAL",
+    "STORES": "FUNCTIONAL",
+    "QUERIES": "FUNCTIONAL",
+    "CREATES": "FUNCTIONAL",
+    "PRODUCES": "FUNCTIONAL",
+    "CONSUMES": "FUNCTIONAL",
+    "CONFIGURES": "FUNCTIONAL",
+    "IMPLEMENTS": "FUNCTIONAL",
+    "CAUSES": "CAUSAL",
+    "CAUSED_BY": "CAUSAL",
+    "RESULTS_IN": "CAUSAL",
+    "LEADS_TO": "CAUSAL",
+    "TRIGGERS": "CAUSAL",
+    "NOTIFIES": "CAUSAL",
+    "NOTIFIES_ABOUT": "CAUSAL",
+    "PRECEDES": "SEQUENCE",
+    "FOLLOWS": "SEQUENCE",
+    "OWNS": "OWNERSHIP",
+    "OWNED_BY": "OWNERSHIP",
+    "MANAGES": "OWNERSHIP",
+    "MANAGED_BY": "OWNERSHIP",
+    "CONTROLLED_BY": "OWNERSHIP",
+    "COMPARED_WITH": "COMPARISON",
+    "CONTRASTS_WITH": "COMPARISON",
+    "ALTERNATIVE_TO": "COMPARISON",
+    "SIMILAR_TO": "COMPARISON",
+    "EVALUATES": "COMPARISON",
+    "REQUIRES": "CONSTRAINT",
+    "DEPENDS_ON": "CONSTRAINT",
+    "GOVERNED_BY": "CONSTRAINT",
+    "PROTECTS_AGAINST": "CONSTRAINT",
+    "PREVENTS": "CONSTRAINT",
+    "AVOIDS": "CONSTRAINT",
 }
 
 
@@ -52,7 +92,7 @@ def node_type(x: str | Column) -> Column:
 
 def relation_type(x: str | Column) -> Column:
     """One of the relation classes: by its own name, by an older name, or RELATED."""
-    known = {c: c for c in RELATION_CLASSES} | {n: kind for kind, names in RELATION_ALIASES.items() for n in names.split()}
+    known = {c: c for c in RELATION_CLASSES} | RELATION_ALIASES
     table = F.create_map(*[F.lit(v) for pair in known.items() for v in pair])
     return F.coalesce(F.try_element_at(table, snake_upper(x, "RELATED")), F.lit("RELATED"))
 
@@ -81,8 +121,10 @@ def relation_description(source: Column, target: Column, label: Column, text: Co
 
 
 def evidence_text(x: Column) -> Column:
-    """Text as evidence is compared: lower case, without white space and punctuation."""
-    return F.regexp_replace(F.lower(x), r"[\s\p{P}\p{Z}]+", "")
+    """Text as evidence is compared: compatibility forms composed, lower case, without white space and punctuation."""
+    # texts in ASCII have no other forms; Python gets nulls in their place
+    composed = F.coalesce(nfkc(F.when(x.rlike(r"[^\x00-\x7F]"), x)), x)
+    return F.regexp_replace(F.lower(composed), r"[\s\p{P}\p{Z}]+", "")
 
 
 def quote_found(content: Column, quote: Column, prepared: bool = False) -> Column:

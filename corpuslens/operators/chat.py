@@ -13,6 +13,9 @@ SUMMARY_LINE, SUMMARY_CHARS = 240, 4000
 MAX_REFERENCES, REFERENCE_CHARS, REFERENCES_TOTAL = 5, 1200, 4000
 VERY_SHORT, SHORT, INVOKE = 12, 24, 3
 
+# fixed values: the heading of a rolling summary, and its last line where messages were left out
+SUMMARY_HEAD = "以下是本会话较早内容的滚动摘要，按时间顺序保留关键事实；每条都带有当时的 Agent 模式：\n"
+SUMMARY_TAIL = "- 更早的细节仍保存在 SQLite 原始消息中，本轮仅注入摘要视图。\n"
 # fixed values: signs that a question leans on what was said before
 REFERENCE_WORDS = (
     "(它|他们|她们|这个|那个|这些|那些|这种|那种|这段|那段|这份|那份|这条|那条|这里|上面|前面|上文|前文|之前|刚才|刚刚|刚提到|刚说|上面提到|前面提到|你说的|"
@@ -82,15 +85,30 @@ def context_usage(messages: DataFrame, window: int, minimum: int = MIN_MESSAGES)
     )
 
 
-def rolling_summary(messages: DataFrame, minimum: int = MIN_MESSAGES, line: int = SUMMARY_LINE, most: int = SUMMARY_CHARS) -> DataFrame:
-    """(conv_id, up_to, summary): all but the newest ``minimum`` messages, a line each, cut at ``most`` characters."""
+def messages_between(messages: DataFrame, after: int | None, up_to: int | None = None) -> DataFrame:
+    """Messages that come after a sequence, up to another one with it; None leaves a side open."""
+    rows = messages if after is None else messages.filter(F.col("seq") > after)
+    return rows if up_to is None else rows.filter(F.col("seq") <= up_to)
+
+
+def rolling_summary(messages: DataFrame, minimum: int = MIN_MESSAGES, line: int = SUMMARY_LINE, most: int = SUMMARY_CHARS, agent: Column | None = None) -> DataFrame:
+    """(conv_id, up_to, summary): all but the newest ``minimum`` messages, after a heading a line each with agent and role.
+
+    Lines stop at the first one that goes beyond ``most`` characters, and a last line says so; ``up_to`` covers all of
+    these messages even so.  ``agent`` is null where a message has none.
+    """
     newest = Window.partitionBy("conv_id").orderBy(F.col("seq").desc())
     oldest = Window.partitionBy("conv_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     rows = messages.withColumn("_n", F.row_number().over(newest)).filter(F.col("_n") > minimum)
-    rows = rows.withColumn("_line", F.concat("role", F.lit(": "), T.ellipsis(T.collapse_ws("text"), line))).filter(T.collapse_ws("text") != "")
-    rows = rows.withColumn("_end", F.sum(F.length("_line") + 1).over(oldest)).filter(F.col("_end") - 1 <= most)
-    lines = F.transform(F.array_sort(F.collect_list(F.struct("seq", "_line"))), lambda x: x["_line"])
-    return rows.groupBy("conv_id").agg(F.max("seq").alias("up_to"), F.array_join(lines, "\n").alias("summary"))
+    who = F.when(F.col("role") == "USER", "用户").otherwise("助手")
+    name = F.coalesce(F.lit(None).cast("string") if agent is None else agent, F.lit("UNKNOWN"))
+    rows = rows.withColumn("_line", F.concat(F.lit("- ["), name, F.lit("] "), who, F.lit("："), T.ellipsis(T.collapse_ws(F.coalesce("text", F.lit(""))), line), F.lit("\n")))
+    fits = F.lit(len(SUMMARY_HEAD)) + F.sum(F.length("_line")).over(oldest) <= most
+    rows = rows.withColumn("_fits", fits).groupBy("conv_id").agg(
+        F.max("seq").alias("up_to"), F.every("_fits").alias("_all"), F.array_sort(F.collect_list(F.when(F.col("_fits"), F.struct("seq", "_line")))).alias("_lines")
+    )
+    text = F.concat(F.lit(SUMMARY_HEAD), F.array_join(F.transform("_lines", lambda x: x["_line"]), ""), F.when(F.col("_all"), "").otherwise(SUMMARY_TAIL))
+    return rows.select("conv_id", "up_to", T.trim_ws(text).alias("summary"))
 
 
 def has_topic(x: Column) -> Column:

@@ -141,6 +141,47 @@ def view_flags(views: DataFrame) -> DataFrame:
     return views.groupBy("scope_type", "scope_id").agg(F.bool_or(F.col("view_type") == "MINDMAP").alias("has_mindmap"), F.bool_or(F.col("view_type") == "GRAPH").alias("has_graph"))
 
 
+def filter_generated(graphs: DataFrame, keyword: str | None = None, scope_type: str | None = None, view: str | None = None) -> DataFrame:
+    """Generated graphs whose name, subtitle or kind of scope has the keyword, of one kind of scope, and with a view that is ready.
+
+    ``graphs`` has scope_type, scope_name, scope_subtitle, has_mindmap and has_graph; None leaves a part out.
+    """
+    word = (keyword or "").strip().lower()
+    if word:
+        blank = lambda c: F.nullif(F.col(c), F.lit(""))
+        graphs = graphs.filter(F.contains(F.lower(F.concat_ws(" ", blank("scope_name"), blank("scope_subtitle"), blank("scope_type"))), F.lit(word)))
+    if scope_type:
+        graphs = graphs.filter(F.col("scope_type") == scope_type)
+    return graphs if view is None else graphs.filter({"MINDMAP": "has_mindmap", "GRAPH": "has_graph"}[view])
+
+
+def mind_map_filter(nodes: DataFrame, edges: DataFrame, query: str | None = None, types: list[str] | None = None, depth: int = 4) -> tuple[DataFrame, DataFrame]:
+    """Nodes of a mind map that match, with all their ancestors and their own children, and the edges between those.
+
+    ``nodes`` has id, label, kind and type, ``edges`` source (the parent) and target; a map has at most ``depth``
+    levels (scope, document, heading, entity).  Types hold for entities only.  Where nothing matches and no query was
+    given, everything is shown.
+    """
+    word = (query or "").strip().lower()
+    kinds = (F.col("kind") != "entity") | F.col("type").isin(*types) if types else F.lit(True)
+    hit = nodes.filter(kinds & (F.contains(F.lower("label"), F.lit(word)) if word else F.lit(True))).select("id")
+    kept, level = hit, hit
+    for _ in range(depth - 1):
+        level = edges.join(level, F.col("target") == F.col("id"), "left_semi").select(F.col("source").alias("id"))
+        kept = kept.unionByName(level)
+    kept = kept.unionByName(edges.join(hit, F.col("source") == F.col("id"), "left_semi").select(F.col("target").alias("id"))).distinct()
+    if not word:
+        none = hit.agg((F.count("*") == 0).alias("none"))  # one row
+        kept = kept.unionByName(nodes.join(F.broadcast(none)).filter("none").select("id")).distinct()
+    shown = nodes.join(kept, "id", "left_semi")
+    return shown, induced(edges, shown, "id")
+
+
+def evidence_order(evidence: DataFrame) -> DataFrame:
+    """Evidence as it is listed: most confident first, then newest, then by id."""
+    return evidence.orderBy(F.desc("confidence"), F.desc("created_at"), "id")
+
+
 def explorer_filter(nodes: DataFrame, edges: DataFrame, types: list[str] | None, label: str | None, relations: list[str] | None, min_weight: int) -> tuple[DataFrame, DataFrame]:
     """Nodes by type and label; edges between kept nodes by relation and weight."""
     if types:

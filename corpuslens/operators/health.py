@@ -156,7 +156,7 @@ def index_consistency(expected_docs: DataFrame, index_rows: DataFrame, key: str
     return a.join(F.broadcast(b)).withColumn("consistent", same)
 
 
-def system_issues(spark, summary: DataFrame, consistency: DataFrame, duplicates: DataFrame, versions: DataFrame, stale: DataFrame, embedding: bool) -> DataFrame:
+def system_issues(summary: DataFrame, consistency: DataFrame, duplicates: DataFrame, versions: DataFrame, stale: DataFrame, embedding: bool) -> DataFrame:
     """(code, severity, action, count) of what is wrong with the corpus as a whole; each part is one small row."""
     parts = [
         ("INDEX_INCONSISTENT", "ERROR", "REBUILD_INDEX", consistency.agg(F.count_if(~F.col("consistent")).alias("n"))),
@@ -172,14 +172,22 @@ def system_issues(spark, summary: DataFrame, consistency: DataFrame, duplicates:
     return out.filter(F.col("count") > 0)
 
 
-def answer_readiness(issues: DataFrame) -> DataFrame:
-    """One row of issue counts by kind, and whether answers can be trusted."""
-    n = lambda *codes: F.count_if(F.col("code").isin(*codes))
-    row = issues.agg(
-        n("UNINDEXED_DOCUMENTS", "INDEX_INCONSISTENT").alias("search"), n("MISSING_LOCAL_FILES", "STALE_LOCAL_FILES", "NEW_LOCAL_FILES", "PARSE_FAILED").alias("sync"),
-        n("EMBEDDING_UNCONFIGURED").alias("retrieval"), n("DUPLICATE_DOCUMENT_CONTENT", "POSSIBLE_VERSION_CONFLICT").alias("conflicts"),
-    )
-    return row.withColumn("ready", (F.col("search") == 0) & (F.col("sync") == 0))
+def answer_readiness(summary: DataFrame, consistency: DataFrame, duplicates: DataFrame, versions: DataFrame, embedding: bool) -> DataFrame:
+    """One row: searchable documents, counts of issues by kind, and whether answers can be trusted.
+
+    ``summary`` has a row for each folder with its probe, of which those that are on count.  Ready means that there
+    are documents, some can be searched, none has failed or waits for the index, no file differs, and the index agrees.
+    """
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c)
+    row = summary.filter("enabled").agg(*map(total, ("documents", "parsed", "failed", "unindexed", "missing", "stale", "new_files")))
+    row = row.join(F.broadcast(consistency.select("consistent"))).join(F.broadcast(duplicates.agg(F.coalesce(F.sum("copies"), F.lit(0)).alias("copies"))))
+    row = row.join(F.broadcast(versions.agg(F.count("*").alias("families"))))  # one row each
+    searchable = F.greatest(F.lit(0), F.col("parsed") - F.col("unindexed")).cast("long")
+    sync = F.col("missing") + F.col("stale") + F.col("new_files")
+    no_embedding = F.lit(0) if embedding else (F.col("documents") > 0).cast("int")
+    retrieval = F.col("failed") + F.col("unindexed") + (~F.col("consistent")).cast("int") + no_embedding
+    ready = (F.col("documents") > 0) & (searchable > 0) & (sync == 0) & (F.col("failed") == 0) & (F.col("unindexed") == 0) & F.col("consistent")
+    return row.select(searchable.alias("searchable"), sync.alias("sync"), retrieval.alias("retrieval"), (F.col("copies") + F.col("families")).cast("long").alias("conflicts"), ready.alias("ready"))
 
 
 def problem_documents(docs: DataFrame, probed: DataFrame) -> DataFrame:

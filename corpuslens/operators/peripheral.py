@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -163,3 +165,31 @@ def embed(rows: DataFrame, text: str, embedder, dimensions: int, batch: int = 16
         return pd.Series(out)
 
     return rows.withColumn("embedding", F.pandas_udf(run, "array<float>")(text))
+
+
+class SearchTool:
+    """The one tool a model may call: a web search with a cap on the calls of a turn; failures are returned as data.
+
+    ``search`` takes a query and gives results; every call is recorded with its query, result and success.
+    """
+
+    def __init__(self, search: Callable[[str], list[dict]], max_calls: int = 3):
+        self._search, self._max, self._calls = search, max_calls, 0
+        self.records: list[dict] = []
+
+    def __call__(self, query: str | None) -> dict:
+        text = " ".join((query or "").split())[:300]
+        if not text:
+            return self._record("", {"success": False, "message": "the query is empty", "results": []})
+        try:
+            self._calls += 1
+            if self._calls > self._max:
+                raise RuntimeError("no more searches in this turn")
+            out = {"success": True, "message": None, "results": list(self._search(text))}
+        except Exception as e:  # noqa: BLE001  a failure is an answer
+            out = {"success": False, "message": str(e), "results": []}
+        return self._record(text, out)
+
+    def _record(self, query: str, out: dict) -> dict:
+        self.records.append({"tool": "searchWeb", "query": query, **out})
+        return out

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpuslens.session import written_once
+
 MAX_IDS, PAGE_DEFAULT, PAGE_MAX = 500, 10, 100
 
 
@@ -103,8 +105,14 @@ def duration() -> Column:
 
 
 def queue_positions(rows: DataFrame, *order: str) -> DataFrame:
-    """Places in the queue from 1, first come first served; the queue is one ordered list."""
-    return rows.withColumn("position", F.row_number().over(Window.orderBy(*[F.col(c).asc_nulls_first() for c in order])))
+    """Places in the queue from 1, first come first served: places inside ranges of the order, after the ranges before."""
+    cols = [F.col(c).asc_nulls_first() for c in order]
+    ranged = written_once(rows.repartitionByRange(*cols).withColumn("_range", F.spark_partition_id()))
+    counts = ranged.groupBy("_range").agg(F.count("*").alias("_n"))  # one row for each range
+    earlier = F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    before = counts.select("_range", F.coalesce(earlier, F.lit(0)).alias("_before"))
+    place = F.col("_before") + F.row_number().over(Window.partitionBy("_range").orderBy(*cols))
+    return ranged.join(F.broadcast(before), "_range").withColumn("position", place.cast("int")).drop("_range", "_before")
 
 
 def next_sequence(log: DataFrame, new: DataFrame, key: str, seq: str, *order: str) -> DataFrame:

@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpuslens.functions import text as T
+from corpuslens.session import few
 
 K1, B = 1.2, 0.65
 TOP_K, MAX_K = 8, 50
@@ -31,12 +35,14 @@ def bm25(posts: DataFrame, query: DataFrame, key: str = "chunk_id", k1: float =
     """
     from corpuslens.operators.index import collection_stats, doc_stats
 
-    hit = posts.join(F.broadcast(query.select("term").distinct()), "term", "left_semi")
+    words = few(query.select("term").distinct())
+    hit = posts.join(words, "term", "left_semi")
     df = hit.groupBy("field", "term").agg(F.count("*").alias("df"))
-    weighted = hit.join(F.broadcast(df), ["field", "term"]).join(F.broadcast(collection_stats(posts, key)), "field").join(doc_stats(posts, key), ["field", key])
+    # statistics have a row for each field; the planner sees the size of the others when they are there
+    weighted = hit.join(df, ["field", "term"]).join(F.broadcast(collection_stats(posts, key)), "field").join(doc_stats(posts, key), ["field", key])
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighted = weighted.select(key, "term", (idf * F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))).alias("w"))
-    return weighted.join(F.broadcast(query), "term").groupBy("query_id", key).agg(F.sum("w").alias("score"))
+    return weighted.join(few(query), "term").groupBy("query_id", key).agg(F.sum("w").alias("score"))
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -45,10 +51,54 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
+#: Vectors, or query vectors, that one block holds.
+BLOCK = 2048
+
+
+def _unit_rows(flat: np.ndarray, dims: int) -> np.ndarray:
+    x = flat.astype(np.float64).reshape(-1, dims)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 def vector_topk(vectors: DataFrame, query: DataFrame, k: int, key: str = "vec_id") -> DataFrame:
-    """(query_id, key, score, rank): exact nearest rows by (1 + cosine) / 2; ``query`` is a stated set of vectors."""
-    scored = vectors.select(key, "embedding").join(F.broadcast(query.select("query_id", F.col("embedding").alias("_q"))))
-    scored = scored.select("query_id", key, ((1 + cosine(F.col("embedding"), F.col("_q"))) / 2).alias("score"))
+    """(query_id, key, score, rank): exact nearest rows by (1 + cosine) / 2; ``query`` is a stated set of vectors.
+
+    Queries are dealt into blocks of about ``BLOCK``, and each block of vectors meets each of them in one matrix
+    product, of which only the best ``k`` of each query go on.  Null and all-zero vectors are near to nothing.
+    """
+    long_enough = F.exists("embedding", lambda v: v != 0)
+    query = query.select("query_id", "embedding").filter(long_enough)
+    kinds = {c: t.dataType.simpleString() for c, t in (("query_id", query.schema["query_id"]), (key, vectors.schema[key]))}
+    blocks = max(1, -(-query.count() // BLOCK))
+    packed = query.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("_block")).agg(F.collect_list(F.struct("query_id", "embedding")).alias("_q"))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, BLOCK):
+                part = batch.slice(at, BLOCK)
+                values = part.column("embedding")
+                flat = values.flatten().cast(pa.float64())
+                cols = [pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column(key)), pa.ListArray.from_arrays(pa.array([0, len(flat)], pa.int32()), flat)]
+                yield pa.RecordBatch.from_arrays(cols, ["_keys", "_flat"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                keys, flat, asked = (batch.column(c)[i].values for c in ("_keys", "_flat", "_q"))
+                dims = len(flat) // len(keys)
+                x = _unit_rows(flat.to_numpy(), dims)
+                y = _unit_rows(asked.field("embedding").flatten().to_numpy(), dims)
+                score = (1 + y @ x.T) / 2
+                if k < len(keys):  # what may tie with the k-th stays
+                    least = -np.partition(-score, k - 1, axis=1)[:, k - 1 : k]
+                    q, v = np.nonzero(score >= least - 2e-9)
+                else:
+                    q, v = np.indices(score.shape).reshape(2, -1)
+                yield pa.RecordBatch.from_arrays([asked.field("query_id").take(pa.array(q)), keys.take(pa.array(v)), pa.array(score[q, v])], ["query_id", key, "score"])
+
+    rows = vectors.select(key, "embedding").filter(long_enough).mapInArrow(pack, f"_keys array<{kinds[key]}>, _flat array<double>")
+    pairs = rows.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(packed, "_block").select("_keys", "_flat", "_q")
+    scored = pairs.mapInArrow(meet, f"query_id {kinds['query_id']}, {key} {kinds[key]}, score double")
     return top(scored, k, key)
 
 
@@ -60,7 +110,7 @@ def top(scored: DataFrame, k: int, key: str) -> DataFrame:
 
 def hydrate(hits: DataFrame, docs: DataFrame, key: str) -> DataFrame:
     """Hits with their rows, without those whose row is gone or whose folder is off; after the limit, so fewer may be left."""
-    return docs.filter(F.col("folder").isNull() | F.col("enabled")).join(F.broadcast(hits), key)
+    return docs.filter(F.col("folder").isNull() | F.col("enabled")).join(hits, key)
 
 
 def rerank(hits: DataFrame) -> DataFrame:

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpuslens.functions import canonical as C
 from corpuslens.functions import text as T
 from corpuslens.operators import chat, chunk, graph
-from corpuslens.plans.registry import ORACLE_SQL, query
+from corpuslens.plans.registry import query
 from corpuslens.plans.text_queries import CHUNKS_SQL, collapse_sql, trim_sql
 from corpuslens.sources import adapt
 from corpuslens.sources.adapt import MESSAGES_SQL, table
@@ -49,25 +47,20 @@ def context_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.context_usage(adapt.messages(spark, sf_dir), 1024, 3)
 
 
-@query(f"""WITH {MESSAGES_SQL}, old AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY seq DESC) AS n, {collapse_sql('text')} AS t FROM msgs),
-lines AS (SELECT conv_id, seq, role || ': ' || CASE WHEN length(t) <= 240 THEN t ELSE substring(t, 1, 240) || '...' END AS line FROM old WHERE n > 2 AND t <> ''),
-ends AS (SELECT *, sum(length(line) + 1) OVER (PARTITION BY conv_id ORDER BY seq ROWS UNBOUNDED PRECEDING) - 1 AS e FROM lines)
-SELECT conv_id, max(seq) AS up_to, string_agg(line, chr(10) ORDER BY seq) AS summary FROM ends WHERE e <= 700 GROUP BY conv_id""")
-def rolling_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.rolling_summary(adapt.messages(spark, sf_dir), 2, most=700)
+_HEAD, _TAIL = "以下是本会话较早内容的滚动摘要，按时间顺序保留关键事实；每条都带有当时的 Agent 模式：", "- 更早的细节仍保存在 SQLite 原始消息中，本轮仅注入摘要视图。"
 
 
-def _short(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Messages cut short, so that questions of all kinds occur."""
-    how = F.array(*map(F.lit, ("", "what about ", "继续 ", "它 ", "Xx是什么 ")))
-    text = F.concat(F.get(how, (F.col("seq") % 5).cast("int")), F.substring("text", 1, 8))
-    return adapt.messages(spark, sf_dir).withColumn("text", text)
+@query(f"""WITH {MESSAGES_SQL}, old AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY seq DESC) AS n, {collapse_sql('text')} AS t FROM msgs),
+lines AS (SELECT conv_id, seq, '- [' || CASE WHEN seq % 3 = 0 THEN 'KNOWLEDGE_BASE' ELSE 'UNKNOWN' END || '] ' || CASE WHEN role = 'USER' THEN '用户' ELSE '助手' END || '：' || CASE WHEN length(t) <= 240 THEN t ELSE substring(t, 1, 240) || '...' END || chr(10) AS line FROM old WHERE n > 2),
+ends AS (SELECT *, length('{_HEAD}') + 1 + sum(length(line)) OVER (PARTITION BY conv_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS e FROM lines)
+SELECT conv_id, max(seq) AS up_to, {trim_sql(f"'{_HEAD}' || chr(10) || coalesce(string_agg(line, '' ORDER BY seq) FILTER (WHERE e <= 700), '') || CASE WHEN bool_and(e <= 700) THEN '' ELSE '{_TAIL}' END")} AS summary FROM ends GROUP BY conv_id""")
+def rolling_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.rolling_summary(adapt.messages(spark, sf_dir), 2, most=700, agent=F.when(F.col("seq") % 3 == 0, "KNOWLEDGE_BASE"))
 
 
-SHORT_SQL = "msgs AS (SELECT conv_id, turn + 1 AS seq, upper(role) AS role, ['', 'what about ', '继续 ', '它 ', 'Xx是什么 '][(turn + 1) % 5 + 1] || substring(coalesce(text, ''), 1, 8) AS text FROM conversations)"
 _EN = r"\b((in|for|about|within|on)\s+[A-Za-z][A-Za-z0-9_+#.\-]{2,}|what about|how about|and then|also|more about|continue|details?|example|code sample|implementation|compare|difference|pros and cons|summari[sz]e)\b"
 _HAN = chat.HAN_TOPIC.replace(r"\p{IsHan}", r"\p{Han}")
-SCORE_SQL = f"""{SHORT_SQL}, numbered AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY seq) AS n, {collapse_sql('text')} AS q FROM msgs WHERE role <> 'SYSTEM'),
+SCORE_SQL = f"""{MESSAGES_SQL}, numbered AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY seq) AS n, {collapse_sql('text')} AS q FROM msgs WHERE role <> 'SYSTEM'),
 signs AS (SELECT *, length(q) AS len, regexp_matches(q, '{chat.LATIN_TOPIC}') OR regexp_matches(q, '{_HAN}') AS topic, regexp_matches(q, '{chat.REFERENCE_WORDS}') AS refers,
   regexp_matches(q, '{_EN}', 'i') AS refines, regexp_matches(q, '{chat.CONTINUATION_WORDS}') AS goes_on, regexp_matches(q, '{chat.ELLIPSIS_WORDS}') AS omits FROM numbered WHERE role = 'USER'),
 scored AS (SELECT conv_id, seq, n, q, CASE WHEN n = 1 OR q = '' THEN 0 ELSE CASE WHEN len <= 12 THEN 2 WHEN len <= 24 THEN 1 ELSE 0 END + CASE WHEN refers THEN 4 ELSE 0 END + CASE WHEN goes_on THEN 2 ELSE 0 END
@@ -78,22 +71,12 @@ scored AS (SELECT conv_id, seq, n, q, CASE WHEN n = 1 OR q = '' THEN 0 ELSE CASE
 @query(f"""WITH {SCORE_SQL} SELECT conv_id, seq, CAST(score AS INT) AS score, CASE WHEN n = 1 THEN 'auto_no_history' WHEN q = '' THEN 'auto_blank_question' WHEN score >= 3 THEN 'auto_follow_up_score' ELSE 'auto_standalone_question' END AS reason,
   score >= 3 AS invoke FROM scored""")
 def followup_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.follow_ups(_short(spark, sf_dir))
-
-
-@query(ORACLE_SQL["followup_score"].replace(SHORT_SQL, MESSAGES_SQL))
-def followup_score_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.follow_ups(adapt.messages(spark, sf_dir))
 
 
-@query(f"""WITH {SHORT_SQL}, t AS (SELECT *, CASE WHEN role = 'USER' AND (regexp_matches({collapse_sql('text')}, '{chat.LATIN_TOPIC}') OR regexp_matches({collapse_sql('text')}, '{_HAN}')) THEN seq END AS own FROM msgs)
+@query(f"""WITH {MESSAGES_SQL}, t AS (SELECT *, CASE WHEN role = 'USER' AND (regexp_matches({collapse_sql('text')}, '{chat.LATIN_TOPIC}') OR regexp_matches({collapse_sql('text')}, '{_HAN}')) THEN seq END AS own FROM msgs)
 SELECT conv_id, seq, topic_seq FROM (SELECT *, last_value(own IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS topic_seq FROM t) WHERE role = 'USER'""")
 def latest_topic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.latest_topics(_short(spark, sf_dir))
-
-
-@query(ORACLE_SQL["latest_topic"].replace(SHORT_SQL, MESSAGES_SQL))
-def latest_topic_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.latest_topics(adapt.messages(spark, sf_dir))
 
 
@@ -119,13 +102,22 @@ def snake_upper(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "nation").select("n_nationkey", C.node_type(F.concat("n_name", F.lit(" - "), F.col("n_nationkey").cast("string"), F.lit("!"))).alias("node_type"))
 
 
-_VALUES = [*C.RELATION_CLASSES, *" ".join(C.RELATION_ALIASES.values()).split(), "part of", "depends-on", "unknown", ""]
-_KINDS = {n: k for k, names in C.RELATION_ALIASES.items() for n in names.split()} | {c: c for c in C.RELATION_CLASSES} | {"part of": "STRUCTURAL", "depends-on": "CONSTRAINT"}
-
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{v}', '{_KINDS.get(v, 'RELATED')}')" for v in _VALUES) + ") t(name, relation)")
+# fixed values: what each name of a relation has to become
+@query("""SELECT * FROM (VALUES
+('RELATED', 'RELATED'), ('STRUCTURAL', 'STRUCTURAL'), ('FUNCTIONAL', 'FUNCTIONAL'), ('CAUSAL', 'CAUSAL'), ('SEQUENCE', 'SEQUENCE'), ('OWNERSHIP', 'OWNERSHIP'),
+('COMPARISON', 'COMPARISON'), ('CONSTRAINT', 'CONSTRAINT'), ('RELATED_TO', 'RELATED'), ('RELATES_TO', 'RELATED'), ('HAS', 'STRUCTURAL'), ('HAS_PART', 'STRUCTURAL'),
+('PART_OF', 'STRUCTURAL'), ('CONTAINS', 'STRUCTURAL'), ('INCLUDES', 'STRUCTURAL'), ('TYPE_OF', 'STRUCTURAL'), ('INSTANCE_OF', 'STRUCTURAL'), ('IS_A', 'STRUCTURAL'),
+('USES', 'FUNCTIONAL'), ('USED_FOR', 'FUNCTIONAL'), ('BUILT_WITH', 'FUNCTIONAL'), ('CALLS', 'FUNCTIONAL'), ('READS', 'FUNCTIONAL'), ('WRITES', 'FUNCTIONAL'),
+('STORES', 'FUNCTIONAL'), ('QUERIES', 'FUNCTIONAL'), ('CREATES', 'FUNCTIONAL'), ('PRODUCES', 'FUNCTIONAL'), ('CONSUMES', 'FUNCTIONAL'), ('CONFIGURES', 'FUNCTIONAL'),
+('IMPLEMENTS', 'FUNCTIONAL'), ('CAUSES', 'CAUSAL'), ('CAUSED_BY', 'CAUSAL'), ('RESULTS_IN', 'CAUSAL'), ('LEADS_TO', 'CAUSAL'), ('TRIGGERS', 'CAUSAL'),
+('NOTIFIES', 'CAUSAL'), ('NOTIFIES_ABOUT', 'CAUSAL'), ('PRECEDES', 'SEQUENCE'), ('FOLLOWS', 'SEQUENCE'), ('OWNS', 'OWNERSHIP'), ('OWNED_BY', 'OWNERSHIP'),
+('MANAGES', 'OWNERSHIP'), ('MANAGED_BY', 'OWNERSHIP'), ('CONTROLLED_BY', 'OWNERSHIP'), ('COMPARED_WITH', 'COMPARISON'), ('CONTRASTS_WITH', 'COMPARISON'),
+('ALTERNATIVE_TO', 'COMPARISON'), ('SIMILAR_TO', 'COMPARISON'), ('EVALUATES', 'COMPARISON'), ('REQUIRES', 'CONSTRAINT'), ('DEPENDS_ON', 'CONSTRAINT'),
+('GOVERNED_BY', 'CONSTRAINT'), ('PROTECTS_AGAINST', 'CONSTRAINT'), ('PREVENTS', 'CONSTRAINT'), ('AVOIDS', 'CONSTRAINT'), ('part of', 'STRUCTURAL'),
+('depends-on', 'CONSTRAINT'), ('unknown', 'RELATED'), ('', 'RELATED')
+) t(name, relation)""")
 def relation_types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = spark.range(1).select(F.explode(F.array(*map(F.lit, _VALUES))).alias("name"))
+    names = spark.range(1).select(F.explode(F.array(*map(F.lit, [*C.RELATION_CLASSES, *C.RELATION_ALIASES, "part of", "depends-on", "unknown", ""]))).alias("name"))
     return names.select("name", C.relation_type("name").alias("relation"))
 
 
@@ -139,29 +131,17 @@ def display_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("label", C.display_label("label").alias("shown"))
 
 
-ENTITIES_SQL = """ents AS (SELECT doc_id, list_distinct(regexp_extract_all(coalesce(text, ''), '[A-Z][a-z]{3,}')) AS w, regexp_extract_all(coalesce(text, ''), '[A-Z][a-z]{3,}') AS l FROM documents),
-firsts AS (SELECT doc_id, node, min(i) AS i FROM (SELECT doc_id, unnest(l) AS node, generate_subscripts(l, 1) AS i FROM ents) GROUP BY doc_id, node),
-ranked AS (SELECT doc_id, node, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS r FROM firsts QUALIFY r <= 24),
-mentions AS (SELECT doc_id, node FROM ranked), pairs AS (SELECT a.doc_id, a.node AS source, b.node AS target FROM ranked a JOIN ranked b ON a.doc_id = b.doc_id AND b.r = a.r + 1)"""
-
-
-#: The same over chunks, so that whole texts are covered; the bound holds for a chunk, as in the reference.
-WHOLE_ENTITIES_SQL = f"""{CHUNKS_SQL}, ents AS (SELECT doc_id, chunk_index, regexp_extract_all(content, '[A-Z][a-z]{{3,}}') AS l FROM chunks),
+#: Entities of chunks, so that whole texts are covered; the bound holds for a chunk.
+ENTITIES_SQL = f"""{CHUNKS_SQL}, ents AS (SELECT doc_id, chunk_index, regexp_extract_all(content, '[A-Z][a-z]{{3,}}') AS l FROM chunks),
 firsts AS (SELECT doc_id, chunk_index, node, min(i) AS i FROM (SELECT doc_id, chunk_index, unnest(l) AS node, generate_subscripts(l, 1) AS i FROM ents) GROUP BY ALL),
 ranked AS (SELECT doc_id, chunk_index, node, row_number() OVER (PARTITION BY doc_id, chunk_index ORDER BY i) AS r FROM firsts QUALIFY r <= {graph.MAX_NODES}),
 mentions AS (SELECT doc_id, node FROM ranked),
 pairs AS (SELECT a.doc_id, a.node AS source, b.node AS target FROM ranked a JOIN ranked b ON a.doc_id = b.doc_id AND a.chunk_index = b.chunk_index AND b.r = a.r + 1)"""
 
 
-def _texts(spark: SparkSession, sf_dir: str, whole: bool) -> DataFrame:
-    """What the stand-in extractor reads: texts of documents, or of all their chunks."""
-    d = table(spark, sf_dir, "documents")
-    return chunk.chunk_plain(d).withColumnRenamed("content", "text") if whole else d
-
-
-def _derived(spark: SparkSession, sf_dir: str, whole: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _derived(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Mentions, nodes (node, mentions, type) and edges (source, target, weight, relation) of the stand-in extractor."""
-    mentions, pairs = graph.co_occurrences(_texts(spark, sf_dir, whole))
+    mentions, pairs = graph.co_occurrences(chunk.chunk_plain(table(spark, sf_dir, "documents")).withColumnRenamed("content", "text"))
     nodes = mentions.groupBy("node").agg(F.count("*").alias("mentions")).withColumn("type", F.when(F.length("node") < 6, "SHORT").when(F.length("node") < 9, "MEDIUM").otherwise(""))
     edges = pairs.groupBy("source", "target").agg(F.count("*").alias("weight")).withColumn("relation", F.when(F.col("weight") > 1, "STRUCTURAL").otherwise("RELATED"))
     return mentions, nodes, edges
@@ -174,32 +154,33 @@ best AS (SELECT node, mentions, type, coalesce(degree, 0) AS degree FROM nodes L
 
 
 @query(f"WITH {DERIVED_SQL} SELECT * FROM degs")
-def graph_degree(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    return graph.degrees(_derived(spark, sf_dir, whole)[2])
+def graph_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.degrees(_derived(spark, sf_dir)[2])
 
 
 @query(f"WITH {DERIVED_SQL} SELECT node, mentions, type, degree FROM best")
-def graph_top_nodes(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    _, nodes, edges = _derived(spark, sf_dir, whole)
+def graph_top_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, nodes, edges = _derived(spark, sf_dir)
     return graph.top_nodes(nodes, edges)
 
 
 @query(f"WITH {DERIVED_SQL} SELECT e.* FROM edges e WHERE source IN (SELECT node FROM best) AND target IN (SELECT node FROM best)")
-def graph_view_edges(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    _, nodes, edges = _derived(spark, sf_dir, whole)
+def graph_view_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, nodes, edges = _derived(spark, sf_dir)
     return graph.induced(edges, graph.top_nodes(nodes, edges))
 
 
 @query(f"WITH {DERIVED_SQL} SELECT CASE WHEN type = '' THEN 'UNKNOWN' ELSE type END AS type, count(*) AS n FROM nodes GROUP BY 1")
-def graph_type_counts(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    return graph.histogram(_derived(spark, sf_dir, whole)[1], "type")
+def graph_type_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.histogram(_derived(spark, sf_dir)[1], "type")
 
 
-@query(f"""WITH {ENTITIES_SQL}, m AS (SELECT doc_id % 50 AS doc_id, CASE WHEN doc_id % 3 = 0 THEN 'intro' ELSE 'body' END AS heading, node FROM mentions), c AS (SELECT doc_id, heading, node, count(*) AS n FROM m GROUP BY ALL)
+@query(f"""WITH {ENTITIES_SQL}, m AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'intro' ELSE 'body' END AS heading, node FROM mentions), c AS (SELECT doc_id, heading, node, count(*) AS n FROM m GROUP BY ALL)
 SELECT doc_id, heading, node, n, CAST(row_number() OVER (PARTITION BY doc_id, heading ORDER BY n DESC, lower(upper(node)), node) AS INT) AS rank FROM c QUALIFY rank <= 12""")
 def mindmap_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The top entities of each document and heading, over all its chunks."""
     m = _derived(spark, sf_dir)[0]
-    return graph.top_entities(m.select((F.col("doc_id") % 50).alias("doc_id"), F.when(F.col("doc_id") % 3 == 0, "intro").otherwise("body").alias("heading"), "node"))
+    return graph.top_entities(m.select("doc_id", F.when(F.col("doc_id") % 3 == 0, "intro").otherwise("body").alias("heading"), "node"))
 
 
 @query("""SELECT CASE WHEN user_id % 3 = 0 THEN 'ALL' ELSE 'DOCUMENT' END AS scope_type, CASE WHEN user_id % 3 <> 0 THEN user_id END AS scope_id, bool_or(event_type = 'view') AS has_mindmap, bool_or(event_type = 'click') AS has_graph FROM events GROUP BY 1, 2""")
@@ -211,15 +192,15 @@ def graph_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"WITH {DERIVED_SQL}, kept AS (SELECT node FROM nodes WHERE type IN ('SHORT', 'MEDIUM') AND contains(lower(node), 'th')) SELECT e.* FROM edges e WHERE weight >= 2 AND relation IN ('STRUCTURAL') AND source IN (SELECT node FROM kept) AND target IN (SELECT node FROM kept)")
-def explorer_filter(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    _, nodes, edges = _derived(spark, sf_dir, whole)
+def explorer_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, nodes, edges = _derived(spark, sf_dir)
     return graph.explorer_filter(nodes, edges, ["SHORT", "MEDIUM"], " TH ", ["STRUCTURAL"], 2)[1]
 
 
 @query(f"""WITH {DERIVED_SQL} SELECT source, s.type AS source_type, target, t.type AS target_type, weight, CAST(row_number() OVER (PARTITION BY source ORDER BY weight DESC, target) AS INT) AS place
 FROM edges JOIN nodes s ON s.node = source JOIN nodes t ON t.node = target WHERE relation = 'STRUCTURAL' AND contains(lower(source || ' ' || target), 'er')""")
-def adjacency_list(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    _, nodes, edges = _derived(spark, sf_dir, whole)
+def adjacency_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, nodes, edges = _derived(spark, sf_dir)
     end = lambda c: nodes.select(F.col("node").alias(c), F.col("type").alias(f"{c}_type"))
     rows = edges.filter((F.col("relation") == "STRUCTURAL") & F.contains(F.lower(F.concat_ws(" ", "source", "target")), F.lit("er"))).join(end("source"), "source").join(end("target"), "target")
     place = F.row_number().over(Window.partitionBy("source").orderBy(F.desc("weight"), "target"))
@@ -227,18 +208,6 @@ def adjacency_list(spark: SparkSession, sf_dir: str, whole: bool = False) -> Dat
 
 
 def _extractions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stored extractions: the first capitalised words of each document are its entities, quoted by themselves."""
-    d = table(spark, sf_dir, "documents").withColumn("w", F.slice(F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Z][a-z]{3,}"), F.lit(0))), 1, 3)).filter("size(w) >= 2")
-    node = lambda x: F.struct(x.alias("name"), F.lit("word").alias("type"), F.lit("").alias("description"), F.lit(0.5).alias("confidence"), x.alias("quote"))
-    edge = F.struct(
-        F.get("w", F.lit(0)).alias("source"), F.get("w", F.lit(1)).alias("target"), F.lit("part of").alias("type"), F.lit("依赖").alias("displayLabel"), F.lit("").alias("description"),
-        F.lit(1.5).alias("confidence"), F.when(F.col("doc_id") % 4 == 0, "not there at all").otherwise(F.get("w", F.lit(0))).alias("quote"),
-    )
-    payload = F.to_json(F.struct(F.transform("w", node).alias("nodes"), F.array(edge).alias("edges")))
-    return d.select(F.col("doc_id").alias("chunk_id"), F.col("doc_id").alias("document_id"), F.col("text").alias("content"), F.concat(F.lit("noise "), payload, F.lit(" tail")).alias("extraction_json"))
-
-
-def _chunk_extractions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored extractions of all chunks: capitalised words, quoted by themselves, and a relation of each to the next."""
     words = F.slice(F.array_distinct(F.regexp_extract_all("content", F.lit("[A-Z][a-z]{3,}"), F.lit(0))), 1, graph.MAX_NODES)
     d = chunk.chunk_plain(table(spark, sf_dir, "documents")).withColumn("w", words)
@@ -253,36 +222,31 @@ def _chunk_extractions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(chunk_id.alias("chunk_id"), F.col("doc_id").alias("document_id"), "content", F.concat(F.lit("noise "), payload, F.lit(" tail")).alias("extraction_json"))
 
 
-def _merged(spark: SparkSession, sf_dir: str, whole: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
-    rows = (_chunk_extractions if whole else _extractions)(spark, sf_dir)
-    return graph.merge(graph.parse_extractions(rows), canonical=lambda c: F.lower(T.collapse_ws(c)))
+def _merged(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return graph.merge(graph.parse_extractions(_extractions(spark, sf_dir)))
 
 
-MERGE_SQL = """raw AS (SELECT doc_id, text, regexp_extract_all(text, '[A-Z][a-z]{3,}') AS l FROM documents),
-firsts AS (SELECT doc_id, node, min(i) AS i FROM (SELECT doc_id, unnest(l) AS node, generate_subscripts(l, 1) AS i FROM raw) GROUP BY ALL),
-ranked AS (SELECT doc_id, node, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS r FROM firsts QUALIFY r <= 3),
-ok AS (SELECT * FROM ranked WHERE doc_id IN (SELECT doc_id FROM ranked WHERE r = 2)),
-own AS (SELECT doc_id, lower(node) AS canonical, lower(node) AS quote, CAST(0.5 AS DOUBLE) AS confidence FROM ok),
-es AS (SELECT a.doc_id, a.node AS source, b.node AS target FROM ok a JOIN ok b ON a.doc_id = b.doc_id AND a.r = 1 AND b.r = 2 WHERE a.doc_id % 4 <> 0 AND lower(a.node) <> lower(b.node)),
+MERGE_SQL = f"""{ENTITIES_SQL}, own AS (SELECT doc_id, lower(node) AS canonical, lower(node) AS quote, CAST(0.5 AS DOUBLE) AS confidence FROM ranked),
+es AS (SELECT * FROM pairs WHERE doc_id % 4 <> 0),
 ends AS (SELECT doc_id, lower(target) AS canonical, lower(source) AS quote, CAST(1.0 AS DOUBLE) AS confidence FROM es),
 evidence AS (SELECT * FROM own UNION ALL SELECT * FROM ends)"""
 
 
 @query(f"WITH {MERGE_SQL} SELECT canonical, count(*) AS mention_count, round(avg(confidence), 6) AS confidence FROM evidence GROUP BY canonical")
-def graph_nodes(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    nodes, _, _ = _merged(spark, sf_dir, whole)
+def graph_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, _, _ = _merged(spark, sf_dir)
     return nodes.select("canonical", "mention_count", F.round("confidence", 6).alias("confidence"))
 
 
 @query(f"WITH {MERGE_SQL} SELECT lower(source) AS a_name, lower(target) AS b_name, 'STRUCTURAL' AS type, '依赖' AS label, count(*) AS mention_count, CAST(1.0 AS DOUBLE) AS confidence FROM es GROUP BY 1, 2")
-def graph_edges(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    _, edges, _ = _merged(spark, sf_dir, whole)
+def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, edges, _ = _merged(spark, sf_dir)
     return edges.select("a_name", "b_name", "type", "label", "mention_count", F.round("confidence", 6).alias("confidence"))
 
 
 @query(f"""WITH {MERGE_SQL} SELECT canonical, doc_id AS document_id, d.source AS folder, quote, confidence FROM evidence JOIN documents d USING (doc_id)""")
-def evidence_detail(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    _, _, evidence = _merged(spark, sf_dir, whole)
+def evidence_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, _, evidence = _merged(spark, sf_dir)
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), F.col("source").alias("folder"))
     return evidence.join(d, "document_id").select("canonical", "document_id", "folder", F.lower("quote").alias("quote"), F.col("confidence"))
 
@@ -318,24 +282,24 @@ def json_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT (SELECT count(*) FROM nodes) AS total, (SELECT count(*) FROM best) AS shown, (SELECT count(*) FROM nodes) - (SELECT count(*) FROM best) AS hidden,
   (SELECT count(*) FROM edges WHERE source IN (SELECT node FROM best) AND target IN (SELECT node FROM best)) AS edge_count,
   (SELECT string_agg(node, ',' ORDER BY mentions DESC, node) FROM best) AS nodes, (SELECT string_agg(type || '=' || n, ',' ORDER BY type) FROM kinds) AS types""")
-def graph_view(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    _, nodes, edges = _derived(spark, sf_dir, whole)
+def graph_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, nodes, edges = _derived(spark, sf_dir)
     v = graph.graph_view(nodes, edges)
     kinds = F.array_join(F.transform(F.map_entries("types"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ",")
     return v.select("total", "shown", "hidden", "edge_count", F.array_join(F.transform("nodes", lambda x: x["node"]), ",").alias("nodes"), kinds.alias("types"))
 
 
-@query(f"""WITH {ENTITIES_SQL}, m AS (SELECT doc_id, CASE WHEN length(node) % 2 = 0 THEN 'even' ELSE 'odd' END AS heading, node FROM mentions WHERE doc_id < 40), c AS (SELECT doc_id, heading, node, count(*) AS n FROM m GROUP BY ALL),
+@query(f"""WITH {ENTITIES_SQL}, m AS (SELECT doc_id, CASE WHEN length(node) % 2 = 0 THEN 'even' ELSE 'odd' END AS heading, node FROM mentions), c AS (SELECT doc_id, heading, node, count(*) AS n FROM m GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, heading ORDER BY n DESC, lower(upper(node)), node) AS rank FROM c QUALIFY rank <= 12),
 h AS (SELECT doc_id, heading, '### ' || heading || chr(10) || string_agg('#### ' || node || ' [ENTITY] x' || n, chr(10) ORDER BY rank) AS t FROM r GROUP BY doc_id, heading),
 d AS (SELECT doc_id, 'file' || doc_id % 7 || '.md' AS f, '## ' || 'file' || doc_id % 7 || '.md' || chr(10) || string_agg(t, chr(10) ORDER BY heading) AS t FROM h GROUP BY doc_id)
-SELECT '# All' || chr(10) || string_agg(t, chr(10) ORDER BY lower(upper(f)), doc_id) AS markdown FROM d""")
+SELECT doc_id, '# ' || f || chr(10) || t AS markdown FROM d""")
 def mindmap_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The mind map of the first documents, as an outline."""
-    m = _derived(spark, sf_dir)[0].filter("doc_id < 40")
+    """The mind map of every document, an outline each."""
+    m = _derived(spark, sf_dir)[0]
     top = graph.top_entities(m.select("doc_id", F.when(F.length("node") % 2 == 0, "even").otherwise("odd").alias("heading"), "node")).withColumn("type", F.lit("ENTITY"))
     docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("file"), (F.col("doc_id") % 7).cast("string"), F.lit(".md")).alias("file_name"))
-    return graph.mind_map_markdown(top, docs, "All")
+    return graph.document_markdown(top, docs)
 
 
 @query("SELECT count(*) AS scanned, count(*) FILTER (WHERE page_id % 5 > 1) AS parsed, count(*) FILTER (WHERE page_id % 5 = 1) AS skipped, count(*) FILTER (WHERE page_id % 5 = 0) AS failed, (SELECT string_agg(url || ': no text', '; ' ORDER BY url) FROM (SELECT url FROM pages WHERE page_id % 5 = 0 ORDER BY url LIMIT 5)) AS failures FROM pages")
@@ -351,41 +315,3 @@ def ingest_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 def message_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = adapt.messages(spark, sf_dir).withColumn("agent", chat.route(F.when(F.col("conv_id") % 2 == 0, True)))
     return rows.groupBy("conv_id", "agent").agg(F.count("*").alias("n"))
-
-
-WHOLE_MERGE_SQL = f"""{WHOLE_ENTITIES_SQL}, own AS (SELECT doc_id, lower(node) AS canonical, lower(node) AS quote, CAST(0.5 AS DOUBLE) AS confidence FROM ranked),
-es AS (SELECT * FROM pairs WHERE doc_id % 4 <> 0),
-ends AS (SELECT doc_id, lower(target) AS canonical, lower(source) AS quote, CAST(1.0 AS DOUBLE) AS confidence FROM es),
-evidence AS (SELECT * FROM own UNION ALL SELECT * FROM ends)"""
-
-
-def _add_whole(f, old: str, new: str) -> None:
-    """Register the form of a query over all chunks, beside the one over the openings of the documents."""
-    q = partial(f, whole=True)
-    q.__name__ = f"{f.__name__}_whole"
-    query(ORACLE_SQL[f.__name__].replace(old, new))(q)
-
-
-for _f in (graph_degree, graph_top_nodes, graph_view_edges, graph_type_counts, explorer_filter, adjacency_list, graph_view):
-    _add_whole(_f, ENTITIES_SQL, WHOLE_ENTITIES_SQL)
-for _f in (graph_nodes, graph_edges, evidence_detail):
-    _add_whole(_f, MERGE_SQL, WHOLE_MERGE_SQL)
-
-
-@query(ORACLE_SQL["mindmap_topk"].replace(ENTITIES_SQL, WHOLE_ENTITIES_SQL).replace("doc_id % 50 AS doc_id", "doc_id"))
-def mindmap_topk_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The top entities of each document and heading, over all its chunks."""
-    m = _derived(spark, sf_dir, whole=True)[0]
-    return graph.top_entities(m.select("doc_id", F.when(F.col("doc_id") % 3 == 0, "intro").otherwise("body").alias("heading"), "node"))
-
-
-_ONE_OUTLINE = "SELECT '# All' || chr(10) || string_agg(t, chr(10) ORDER BY lower(upper(f)), doc_id) AS markdown FROM d"
-
-
-@query(ORACLE_SQL["mindmap_markdown"].replace(ENTITIES_SQL, WHOLE_ENTITIES_SQL).replace(" WHERE doc_id < 40", "").replace(_ONE_OUTLINE, "SELECT doc_id, '# ' || f || chr(10) || t AS markdown FROM d"))
-def mindmap_markdown_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The mind map of every document, an outline each."""
-    m = _derived(spark, sf_dir, whole=True)[0]
-    top = graph.top_entities(m.select("doc_id", F.when(F.length("node") % 2 == 0, "even").otherwise("odd").alias("heading"), "node")).withColumn("type", F.lit("ENTITY"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("file"), (F.col("doc_id") % 7).cast("string"), F.lit(".md")).alias("file_name"))
-    return graph.document_markdown(top, docs)

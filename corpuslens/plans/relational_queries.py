@@ -96,14 +96,8 @@ def queue_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.queue_positions(queued, "queued_at", "created_at", "run_id").select("run_id", "position")
 
 
-@query(f"WITH {RUNS_SQL} SELECT run_id, status FROM runs ORDER BY CASE WHEN status = 'purchase' THEN 0 WHEN status = 'click' THEN 1 ELSE 2 END, queued_at NULLS FIRST, created_at, run_id LIMIT 50")
+@query(f"WITH {RUNS_SQL} SELECT run_id, status FROM runs ORDER BY CASE WHEN status = 'purchase' THEN 0 WHEN status = 'click' THEN 1 ELSE 2 END, queued_at NULLS FIRST, created_at, run_id")
 def queue_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The head of the queue."""
-    return queue_order_whole(spark, sf_dir).limit(50)
-
-
-@query(ORACLE_SQL["queue_order"].removesuffix(" LIMIT 50"))
-def queue_order_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     rank = F.when(F.col("status") == "purchase", 0).when(F.col("status") == "click", 1).otherwise(2)
     return adapt.runs(spark, sf_dir).orderBy(rank, F.col("queued_at").asc_nulls_first(), "created_at", "run_id").select("run_id", "status")
 
@@ -114,14 +108,8 @@ def ordered_in_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.ordered_lookup(table(spark, sf_dir, "documents").select("doc_id", "lang"), ids, "doc_id")
 
 
-@query(f"WITH {RUNS_SQL} SELECT a.run_id, count(*) AS same_scope FROM (SELECT * FROM runs WHERE run_id % 100 = 0) a JOIN runs b ON a.scope_type = b.scope_type AND a.scope_id IS NOT DISTINCT FROM b.scope_id GROUP BY a.run_id")
-def scope_null_safe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Runs of the same scope as each hundredth run."""
-    return scope_null_safe_whole(spark, sf_dir).filter("run_id % 100 = 0")
-
-
 @query(f"WITH {RUNS_SQL} SELECT run_id, count(*) OVER (PARTITION BY scope_type, scope_id) AS same_scope FROM runs")
-def scope_null_safe_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+def scope_null_safe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of the same scope, null ids being equal; scopes are counted before the join."""
     rows = adapt.runs(spark, sf_dir)
     n = rows.groupBy(F.col("scope_type").alias("_t"), F.col("scope_id").alias("_i")).agg(F.count("*").alias("same_scope"))
@@ -147,17 +135,9 @@ def scoped_keep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows
 
 
-@query(f"WITH {RUNS_SQL} SELECT status IN ('purchase', 'signup') AS deleted, count(*) AS n, min(run_id) AS first_id FROM runs WHERE run_id % 7 = 0 GROUP BY 1")
+@query(f"WITH {RUNS_SQL} SELECT status IN ('purchase', 'signup') AS deleted, count(*) AS n, min(run_id) AS first_id FROM runs GROUP BY 1")
 def terminal_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _terminal_split(adapt.runs(spark, sf_dir).filter("run_id % 7 = 0"))
-
-
-@query(ORACLE_SQL["terminal_split"].replace(" WHERE run_id % 7 = 0", ""))
-def terminal_split_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _terminal_split(adapt.runs(spark, sf_dir))
-
-
-def _terminal_split(rows: DataFrame) -> DataFrame:
+    rows = adapt.runs(spark, sf_dir)
     return rows.groupBy(F.col("status").isin("purchase", "signup").alias("deleted")).agg(F.count("*").alias("n"), F.min("run_id").alias("first_id"))
 
 
@@ -269,7 +249,7 @@ def file_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return health.probe(records, scan)
 
 
-def _probed_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+def probed_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     scan, records = _scan(spark, sf_dir)
     return health.with_probe(_summary(spark, sf_dir), health.probe(records, scan))
 
@@ -291,19 +271,19 @@ issues AS (
 
 @query(f"WITH {ISSUES_SQL} SELECT * FROM issues")
 def folder_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return health.folder_issues(_probed_summary(spark, sf_dir))
+    return health.folder_issues(probed_summary(spark, sf_dir))
 
 
 @query(f"""WITH {ISSUES_SQL} SELECT f.folder, CASE WHEN NOT enabled THEN 'DISABLED' WHEN e THEN 'ERROR' WHEN w THEN 'WARNING' WHEN documents = 0 THEN 'EMPTY' ELSE 'HEALTHY' END AS health
 FROM full_folders f LEFT JOIN (SELECT folder, bool_or(severity = 'ERROR') AS e, bool_or(severity = 'WARNING') AS w FROM issues GROUP BY folder) USING (folder)""")
 def folder_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = _probed_summary(spark, sf_dir)
+    s = probed_summary(spark, sf_dir)
     return health.folder_status(s, health.folder_issues(s))
 
 
 @query(f"WITH {ISSUES_SQL} SELECT code, min_by(severity, pos) AS severity, min_by(action, pos) AS action, CAST(sum(count) AS BIGINT) AS count FROM issues GROUP BY code")
 def issue_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return health.issue_rollup(health.folder_issues(_probed_summary(spark, sf_dir)))
+    return health.issue_rollup(health.folder_issues(probed_summary(spark, sf_dir)))
 
 
 @query(f"""WITH {FOLDERS_SQL} SELECT count(*) AS folders, count(*) FILTER (WHERE enabled) AS enabled_folders, {', '.join(f"CAST(coalesce(sum(CASE WHEN enabled THEN {c} END), 0) AS BIGINT) AS {c}" for c in ("documents", "parsed", "failed", "indexed", "unindexed", "chunks"))},
@@ -314,7 +294,7 @@ def health_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {ISSUES_SQL} SELECT CASE WHEN bool_or(severity = 'ERROR') THEN 'ERROR' WHEN count(*) > 0 THEN 'WARNING' ELSE 'HEALTHY' END AS health FROM issues")
 def corpus_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = _probed_summary(spark, sf_dir)
+    s = probed_summary(spark, sf_dir)
     return health.corpus_status(s, health.folder_status(s, health.folder_issues(s)))
 
 

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpuslens.functions import text as T
-from corpuslens.operators import chat, graph, health
+from corpuslens.operators import chat, chunk, graph, health, index
 from corpuslens.plans import relational_queries as RQ
 from corpuslens.plans.registry import ORACLE_SQL, query
-from corpuslens.plans.text_queries import collapse_sql
+from corpuslens.plans.text_queries import CHUNKS_SQL, collapse_sql
 from corpuslens.sources import adapt
 from corpuslens.sources.adapt import DOCUMENTS_SQL, MESSAGES_SQL, RUNS_SQL, table
+from corpuslens.streaming import runs as run_control
+
+#: Chunks of each document, and whether its first one can't be embedded.
+CHUNKED_SQL = f"WITH {CHUNKS_SQL} SELECT doc_id, count(*) AS n, bool_or(doc_id % 7 = 0 AND chunk_index = 0) AS bad FROM chunks GROUP BY doc_id"
 
 
 @query(f"""WITH {RUNS_SQL} SELECT run_id, f.source AS folder, f.n AS folder_documents FROM runs r
@@ -40,40 +44,92 @@ def _count(sql: str, what: str) -> str:
 def system_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = adapt.documents(spark, sf_dir)
     return health.system_issues(
-        spark, health.folder_summary(d), RQ.index_consistency(spark, sf_dir), health.duplicate_groups(d), RQ.version_conflicts(spark, sf_dir), RQ.freshness(spark, sf_dir), embedding=False
+        health.folder_summary(d), RQ.index_consistency(spark, sf_dir), health.duplicate_groups(d), RQ.version_conflicts(spark, sf_dir), RQ.freshness(spark, sf_dir), embedding=False
     )
 
 
-@query(f"""WITH {RQ.ISSUES_SQL} SELECT count(*) FILTER (WHERE code IN ('UNINDEXED_DOCUMENTS', 'INDEX_INCONSISTENT')) AS search,
-  count(*) FILTER (WHERE code IN ('MISSING_LOCAL_FILES', 'STALE_LOCAL_FILES', 'NEW_LOCAL_FILES', 'PARSE_FAILED')) AS sync, count(*) FILTER (WHERE code = 'EMBEDDING_UNCONFIGURED') AS retrieval,
-  count(*) FILTER (WHERE code IN ('DUPLICATE_DOCUMENT_CONTENT', 'POSSIBLE_VERSION_CONFLICT')) AS conflicts, false AS ready FROM issues""")
+@query(f"""WITH {RQ.ISSUES_SQL}, f AS (SELECT CAST(coalesce(sum(documents), 0) AS BIGINT) AS documents, CAST(coalesce(sum(parsed), 0) AS BIGINT) AS parsed, CAST(coalesce(sum(failed), 0) AS BIGINT) AS failed,
+    CAST(coalesce(sum(unindexed), 0) AS BIGINT) AS unindexed, CAST(coalesce(sum(missing + stale + new_files), 0) AS BIGINT) AS sync FROM full_folders WHERE enabled),
+  i AS ({ORACLE_SQL['index_consistency']}), c AS (SELECT coalesce(sum(copies), 0) AS copies FROM ({ORACLE_SQL['duplicate_groups']})), v AS (SELECT count(*) AS families FROM ({ORACLE_SQL['version_conflicts']}))
+SELECT greatest(0, parsed - unindexed) AS searchable, sync, failed + unindexed + CASE WHEN consistent THEN 0 ELSE 1 END + CASE WHEN documents > 0 THEN 1 ELSE 0 END AS retrieval, CAST(copies + families AS BIGINT) AS conflicts,
+  documents > 0 AND parsed - unindexed > 0 AND sync = 0 AND failed = 0 AND unindexed = 0 AND consistent AS ready FROM f, i, c, v""")
 def answer_readiness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return health.answer_readiness(RQ.folder_issues(spark, sf_dir))
+    d = adapt.documents(spark, sf_dir)
+    return health.answer_readiness(RQ.probed_summary(spark, sf_dir), RQ.index_consistency(spark, sf_dir), health.duplicate_groups(d), RQ.version_conflicts(spark, sf_dir), embedding=False)
+
+
+@query(f"""WITH {DOCUMENTS_SQL} SELECT doc_id, CASE WHEN NOT (status = 'PARSED' AND indexed_at IS NULL) THEN indexed_at WHEN bad THEN NULL ELSE 5 END AS indexed_at,
+  CASE WHEN status = 'PARSED' AND indexed_at IS NULL AND NOT bad THEN n END AS indexed_chunks, CASE WHEN status = 'PARSED' AND indexed_at IS NULL THEN NOT bad END AS rebuilt
+FROM (SELECT docs.*, coalesce(bad, false) AS bad, coalesce(n, 0) AS n FROM docs LEFT JOIN ({CHUNKED_SQL}) p USING (doc_id))""")
+def index_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index of documents that aren't in it yet is made; a chunk that can't be embedded fails its document."""
+    d = adapt.documents(spark, sf_dir)
+    error = F.when((F.col("doc_id") % 7 == 0) & (F.col("chunk_index") == 0), "no embedding")
+    return index.rebuild(d, chunk.chunk_plain(d).withColumn("error", error), F.col("indexed_at").isNull(), F.lit(5).cast("long")).select("doc_id", "indexed_at", "indexed_chunks", "rebuilt")
+
+
+@query("""WITH g AS (SELECT n_nationkey AS id, CASE n_nationkey % 3 WHEN 0 THEN 'ALL' WHEN 1 THEN 'KNOWLEDGE_FOLDER' ELSE 'DOCUMENT' END AS t, n_name, r_name, n_nationkey % 2 = 0 AS m FROM nation JOIN region ON n_regionkey = r_regionkey)
+SELECT id FROM g WHERE contains(lower(n_name || ' ' || r_name || ' ' || t), 'a') AND t = 'DOCUMENT' AND m""")
+def generated_graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The list of generated graphs under its filter."""
+    i = F.col("n_nationkey")
+    n = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    kind = F.when(i % 3 == 0, "ALL").when(i % 3 == 1, "KNOWLEDGE_FOLDER").otherwise("DOCUMENT")
+    graphs = n.select(i.alias("id"), kind.alias("scope_type"), F.col("n_name").alias("scope_name"), F.col("r_name").alias("scope_subtitle"), (i % 2 == 0).alias("has_mindmap"), (i % 2 == 1).alias("has_graph"))
+    return graph.filter_generated(graphs, " A ", "DOCUMENT", "MINDMAP").select("id")
+
+
+#: Regions, nations, customers and orders as the four levels of a mind map.
+MAP_SQL = """nodes AS (SELECT 'r' || r_regionkey AS id, r_name AS label, 'scope' AS kind, '' AS type FROM region UNION ALL SELECT 'n' || n_nationkey, n_name, 'document', '' FROM nation
+  UNION ALL SELECT 'c' || c_custkey, c_name, 'heading', '' FROM customer UNION ALL SELECT 'o' || o_orderkey, o_orderpriority || ' ' || o_orderkey, 'entity', o_orderstatus FROM orders),
+edges AS (SELECT 'r' || n_regionkey AS source, 'n' || n_nationkey AS target FROM nation UNION ALL SELECT 'n' || c_nationkey, 'c' || c_custkey FROM customer UNION ALL SELECT 'c' || o_custkey, 'o' || o_orderkey FROM orders)"""
+
+
+@query(f"""WITH {MAP_SQL}, hit AS (SELECT id FROM nodes WHERE (kind <> 'entity' OR type IN ('P')) AND contains(lower(label), 'urgent')), a1 AS (SELECT source AS id FROM edges WHERE target IN (FROM hit)),
+a2 AS (SELECT source AS id FROM edges WHERE target IN (FROM a1)), a3 AS (SELECT source AS id FROM edges WHERE target IN (FROM a2)), below AS (SELECT target AS id FROM edges WHERE source IN (FROM hit))
+SELECT id FROM nodes WHERE id IN (FROM hit UNION FROM a1 UNION FROM a2 UNION FROM a3 UNION FROM below)""")
+def mind_map_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a mind map shows of entities of one type with a word in their labels."""
+    tag = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    r, n, c, o = (table(spark, sf_dir, t) for t in ("region", "nation", "customer", "orders"))
+    node = lambda df, i, label, kind, t: df.select(i.alias("id"), label.alias("label"), F.lit(kind).alias("kind"), t.alias("type"))
+    none = F.lit("")
+    nodes = node(r, tag("r", "r_regionkey"), F.col("r_name"), "scope", none).unionByName(node(n, tag("n", "n_nationkey"), F.col("n_name"), "document", none)).unionByName(node(c, tag("c", "c_custkey"), F.col("c_name"), "heading", none))
+    nodes = nodes.unionByName(node(o, tag("o", "o_orderkey"), F.concat_ws(" ", "o_orderpriority", "o_orderkey"), "entity", F.col("o_orderstatus")))
+    edge = lambda df, a, b: df.select(a.alias("source"), b.alias("target"))
+    edges = edge(n, tag("r", "n_regionkey"), tag("n", "n_nationkey")).unionByName(edge(c, tag("n", "c_nationkey"), tag("c", "c_custkey"))).unionByName(edge(o, tag("c", "o_custkey"), tag("o", "o_orderkey")))
+    return graph.mind_map_filter(nodes, edges, " Urgent ", ["P"])[0].select("id")
+
+
+@query(f"WITH {MESSAGES_SQL} SELECT conv_id, seq, role FROM msgs WHERE seq > 1 AND seq <= 3")
+def messages_between(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.messages_between(adapt.messages(spark, sf_dir), 1, 3).select("conv_id", "seq", "role")
+
+
+@query("""WITH e AS (SELECT event_id, user_id, event_type, epoch_us(ts) // 1000 AS ms FROM events), c AS (SELECT user_id, max(ms) AS last_ms FROM e WHERE event_type = 'error' GROUP BY user_id)
+SELECT event_id AS id, coalesce(last_ms >= ms - 30000, false) AS cancelled FROM e LEFT JOIN c USING (user_id) WHERE event_type = 'click'""")
+def cancelled_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clicks as requests of their user, errors as cancellations."""
+    e = table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("request_id"), "event_type", F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"))
+    asked = e.filter("event_type = 'click'").select("request_id", F.col("ms").alias("started_at"), F.col("event_id").alias("id"))
+    cancels = e.filter("event_type = 'error'").select("request_id", F.col("ms").alias("at"))
+    return run_control.cancelled_requests(asked, cancels, keep=("id",)).select("id", "cancelled")
 
 
 #: A graph over the star tables: suppliers and parts are nodes, line items of a supplier and a part are edges.
 STAR_SQL = """nodes AS (SELECT 's' || s_suppkey AS id, s_name AS name FROM supplier UNION ALL SELECT 'p' || p_partkey, p_name FROM part),
-edges AS (SELECT DISTINCT 's' || l_suppkey || 'p' || l_partkey AS id, 's' || l_suppkey AS source, 'p' || l_partkey AS target, 'sells' AS label FROM lineitem WHERE l_orderkey % 10 = 0),
+edges AS (SELECT DISTINCT 's' || l_suppkey || 'p' || l_partkey AS id, 's' || l_suppkey AS source, 'p' || l_partkey AS target, 'sells' AS label FROM lineitem),
 evidence AS (SELECT 'n' || l_orderkey || '_' || l_linenumber || '_' || l_partkey || '_' || l_suppkey || '_' || l_quantity AS id, l_orderkey AS chunk_id, o_custkey AS document_id,
   CASE WHEN l_linenumber % 2 = 0 THEN 'p' || l_partkey END AS node_id, CASE WHEN l_linenumber % 2 = 1 THEN 's' || l_suppkey || 'p' || l_partkey END AS edge_id, l_shipdate::VARCHAR AS q, l_discount AS confidence
-  FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_orderkey % 10 = 0)"""
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
 
 
 @query(f"""WITH {STAR_SQL} SELECT e.id, 'c' || c_custkey AS file_name, CAST(o_orderkey % 100 AS INT) AS chunk_index, l_returnflag_q AS quote, e.confidence, n.name AS node_name, g.label, a.name AS source_name, b.name AS target_name
 FROM (SELECT *, 'q' || chunk_id AS l_returnflag_q FROM evidence) e JOIN orders o ON o.o_orderkey = e.chunk_id JOIN customer c ON c.c_custkey = e.document_id
 LEFT JOIN nodes n ON n.id = e.node_id LEFT JOIN edges g ON g.id = e.edge_id LEFT JOIN nodes a ON a.id = g.source LEFT JOIN nodes b ON b.id = g.target""")
 def evidence_star(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The seven-way star of evidence, over every tenth order's line items."""
-    return _evidence_star(spark, sf_dir, table(spark, sf_dir, "lineitem").filter("l_orderkey % 10 = 0"))
-
-
-@query(ORACLE_SQL["evidence_star"].replace(" WHERE l_orderkey % 10 = 0", ""))
-def evidence_star_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The seven-way star of evidence, over all line items."""
-    return _evidence_star(spark, sf_dir, table(spark, sf_dir, "lineitem"))
-
-
-def _evidence_star(spark: SparkSession, sf_dir: str, li: DataFrame) -> DataFrame:
+    li = table(spark, sf_dir, "lineitem")
     tag = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
     nodes = table(spark, sf_dir, "supplier").select(tag("s", "s_suppkey").alias("id"), F.col("s_name").alias("name")).unionByName(table(spark, sf_dir, "part").select(tag("p", "p_partkey").alias("id"), F.col("p_name").alias("name")))
     edge_id = F.concat(tag("s", "l_suppkey"), tag("p", "l_partkey"))
@@ -118,25 +174,13 @@ def graph_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {MESSAGES_SQL}, t AS (SELECT *, max(CASE WHEN role = 'USER' AND seq % 3 = 0 THEN seq END) OVER (PARTITION BY conv_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM msgs)
 SELECT a.conv_id, a.seq, CASE WHEN b.text IS NULL THEN q ELSE substring(substring({collapse_sql('b.text')}, 1, CAST(greatest(0, 800 - length(q) - 1) AS BIGINT)) || ' ' || q, 1, 800) END AS query
-FROM (SELECT *, {collapse_sql('substring(text, 1, 60)')} AS q FROM t WHERE role = 'USER') a LEFT JOIN msgs b ON a.conv_id = b.conv_id AND a.p = b.seq""")
+FROM (SELECT *, {collapse_sql('text')} AS q FROM t WHERE role = 'USER') a LEFT JOIN msgs b ON a.conv_id = b.conv_id AND a.p = b.seq""")
 def fallback_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The start of each question after the latest earlier topic (here: every third message)."""
-    return _fallback_queries(spark, sf_dir, F.substring("text", 1, 60))
-
-
-@query(ORACLE_SQL["fallback_queries"].replace("substring(text, 1, 60)", "text"))
-def fallback_queries_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each question, whole, after the latest earlier topic."""
-    return _fallback_queries(spark, sf_dir, F.col("text"))
-
-
-def _fallback_queries(spark: SparkSession, sf_dir: str, question: Column) -> DataFrame:
-    from pyspark.sql import Window
-
+    """Each question after the latest earlier topic (here: every third message)."""
     w = Window.partitionBy("conv_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     topic = F.last(F.when((F.col("role") == "USER") & (F.col("seq") % 3 == 0), F.col("text")), ignorenulls=True).over(w)
     rows = adapt.messages(spark, sf_dir).withColumn("topic", topic).filter("role = 'USER'")
-    return rows.select("conv_id", "seq", chat.fallback_query(F.col("topic"), question).alias("query"))
+    return rows.select("conv_id", "seq", chat.fallback_query(F.col("topic"), F.col("text")).alias("query"))
 
 
 @query(f"WITH {MESSAGES_SQL} SELECT conv_id, seq, CASE WHEN role = 'ASSISTANT' AND seq % 4 = 0 THEN 'BACKGROUND' ELSE role END AS role FROM msgs")

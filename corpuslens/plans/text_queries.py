@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from functools import partial
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuslens.functions import text as T
 from corpuslens.operators import chunk, index, search
-from corpuslens.plans.registry import ORACLE_SQL, query
+from corpuslens.plans.registry import query
 from corpuslens.sources import adapt
 from corpuslens.sources.adapt import DOCUMENTS_SQL, table
 
@@ -164,15 +161,13 @@ def code_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.explode(T.code_terms("html")).alias("term")).groupBy("page_id", "term").agg(F.count("*").alias("tf"))
 
 
-#: The query set of the search queries: the first words of every tenth benchmark item.
-def _queries(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    """The terms of the queries; ``whole``: all terms of each text."""
-    b = table(spark, sf_dir, "benchmark").filter("item_id % 10 = 0")
-    terms = T.terms("text") if whole else F.slice(T.terms("text"), 1, 6)
-    return b.select(F.col("item_id").alias("query_id"), F.explode(F.array_distinct(terms)).alias("term"))
+#: The query set of the search queries: every twentieth benchmark item, with all of its terms.
+def _queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = table(spark, sf_dir, "benchmark").filter("item_id % 20 = 0")
+    return b.select(F.col("item_id").alias("query_id"), F.explode(F.array_distinct(T.terms("text"))).alias("term"))
 
 
-QUERIES_SQL = f"qs AS (SELECT DISTINCT item_id AS query_id, unnest({TERMS_SQL.format('text')}[1:6]) AS term FROM benchmark WHERE item_id % 10 = 0)"
+QUERIES_SQL = f"qs AS (SELECT DISTINCT item_id AS query_id, unnest({TERMS_SQL.format('text')}) AS term FROM benchmark WHERE item_id % 20 = 0)"
 BM25_SQL = """lens AS (SELECT field, doc_id, sum(tf) AS dl FROM posts GROUP BY field, doc_id),
 coll AS (SELECT field, count(*) AS n, avg(dl) AS avgdl FROM lens GROUP BY field),
 dfs AS (SELECT field, term, count(*) AS df FROM posts GROUP BY field, term),
@@ -187,8 +182,8 @@ def _top_sql(source: str, k: int, key: str = "doc_id") -> str:
 
 
 @query(f"WITH {DOCUMENTS_SQL}, {POSTINGS_SQL}, {QUERIES_SQL}, {BM25_SQL} SELECT query_id, doc_id, round(score, 6) AS score, CAST(rank AS INT) AS rank FROM {_top_sql('scored', 8)}")
-def bm25_topk(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    scored = search.bm25(_index(spark, sf_dir), _queries(spark, sf_dir, whole), "doc_id")
+def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = search.bm25(_index(spark, sf_dir), _queries(spark, sf_dir), "doc_id")
     return search.top(scored, search.TOP_K, "doc_id").select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
@@ -199,34 +194,34 @@ HYDRATE_SQL = "JOIN docs USING (doc_id) WHERE folder IS NULL OR enabled"
 SELECT query_id, doc_id, file_name, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rank) AS INT) AS rank,
   CASE WHEN length(t) <= 260 THEN t ELSE substring(t, 1, 260) || '...' END AS preview
 FROM (SELECT *, {collapse_sql('text')} AS t FROM {_top_sql('scored', 8)} {HYDRATE_SQL})""")
-def keyword_search(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+def keyword_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """KEYWORD search: top hits of each query, then without the documents of folders that are off."""
-    hits = search.top(search.bm25(_index(spark, sf_dir), _queries(spark, sf_dir, whole), "doc_id"), search.TOP_K, "doc_id")
+    hits = search.top(search.bm25(_index(spark, sf_dir), _queries(spark, sf_dir), "doc_id"), search.TOP_K, "doc_id")
     found = search.rerank(search.hydrate(hits, adapt.documents(spark, sf_dir), "doc_id"))
     return found.select("query_id", "doc_id", "file_name", F.round("score", 6).alias("score"), "rank", T.preview("text").alias("preview"))
 
 
-def _vector_queries(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    v = table(spark, sf_dir, "embeddings").filter("vec_id % 20 = 0" if whole else "vec_id % 50 = 0")
+def _vector_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = table(spark, sf_dir, "embeddings").filter("vec_id % 20 = 0")
     return v.select(F.col("vec_id").alias("query_id"), "embedding")
 
 
-VECTOR_SQL = """vq AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 50 = 0),
+VECTOR_SQL = """vq AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 20 = 0),
 vscored AS (SELECT query_id, vec_id, (1 + list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(q AS DOUBLE[]))) / 2 AS score FROM embeddings, vq)"""
 
 
 @query(f"WITH {VECTOR_SQL} SELECT query_id, vec_id, round(score, 6) AS score, CAST(rank AS INT) AS rank FROM {_top_sql('vscored', 10, 'vec_id')}")
-def vector_topk(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    found = search.vector_topk(table(spark, sf_dir, "embeddings"), _vector_queries(spark, sf_dir, whole), 10, "vec_id")
+def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = search.vector_topk(table(spark, sf_dir, "embeddings"), _vector_queries(spark, sf_dir), 10, "vec_id")
     return found.select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
 
 
-def _channels(spark: SparkSession, sf_dir: str, whole: bool = False) -> tuple[DataFrame, DataFrame]:
+def _channels(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Both channels of hybrid search over documents; the vector of a document is that of its id, queries are item ids."""
     docs, most = adapt.documents(spark, sf_dir), search.candidates(search.TOP_K)
-    key = search.top(search.bm25(_index(spark, sf_dir), _queries(spark, sf_dir, whole), "doc_id"), most, "doc_id")
+    key = search.top(search.bm25(_index(spark, sf_dir), _queries(spark, sf_dir), "doc_id"), most, "doc_id")
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
-    wanted = _queries(spark, sf_dir, whole).select("query_id").distinct().join(vectors.withColumnRenamed("doc_id", "query_id"), "query_id")
+    wanted = _queries(spark, sf_dir).select("query_id").distinct().join(vectors.withColumnRenamed("doc_id", "query_id"), "query_id")
     vec = search.vector_topk(vectors, wanted, most, "doc_id")
     return tuple(search.rerank(search.hydrate(h, docs, "doc_id").select("query_id", "doc_id", "score", "rank")) for h in (key, vec))
 
@@ -244,25 +239,25 @@ fused AS (
 @query(f"""WITH {DOCUMENTS_SQL}, {POSTINGS_SQL}, {QUERIES_SQL}, {BM25_SQL}, {FUSE_SQL}
 SELECT query_id, doc_id, round(score, 6) AS score, CAST(kr AS INT) AS kr, CAST(vr AS INT) AS vr,
   CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, kr NULLS LAST, vr NULLS LAST) AS INT) AS rank FROM fused QUALIFY rank <= 8""")
-def hybrid_rrf(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    out = search.fuse(*_channels(spark, sf_dir, whole), search.TOP_K, "doc_id")
+def hybrid_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = search.fuse(*_channels(spark, sf_dir), search.TOP_K, "doc_id")
     return out.select("query_id", "doc_id", F.round("score", 6).alias("score"), "kr", "vr", "rank")
 
 
 @query(f"""WITH {DOCUMENTS_SQL}, {POSTINGS_SQL}, {QUERIES_SQL}, {BM25_SQL},
 kw AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank FROM {_top_sql('scored', 64)} {HYDRATE_SQL})
 SELECT query_id, doc_id, round(0.45 / (60 + rank), 6) AS score, CAST(rank AS INT) AS rank FROM kw WHERE rank <= 8""")
-def hybrid_missing_channel(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+def hybrid_missing_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fusion with an empty vector channel keeps the keyword channel's order."""
-    kw, ve = _channels(spark, sf_dir, whole)
+    kw, ve = _channels(spark, sf_dir)
     return search.fuse(kw, ve.limit(0), search.TOP_K, "doc_id").select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
 @query(f"""WITH {DOCUMENTS_SQL}, {POSTINGS_SQL}, {QUERIES_SQL}, {BM25_SQL}
 SELECT query_id, string_agg('[' || n || '] ' || file_name || chr(10) || 'path: ' || folder || chr(10) || 'location: none' || chr(10) || text, chr(10) || chr(10) ORDER BY n) AS context
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS n FROM {_top_sql('scored', 3)} {HYDRATE_SQL}) GROUP BY query_id""")
-def rag_context(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    hits = search.top(search.bm25(_index(spark, sf_dir), _queries(spark, sf_dir, whole), "doc_id"), 3, "doc_id")
+def rag_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = search.top(search.bm25(_index(spark, sf_dir), _queries(spark, sf_dir), "doc_id"), 3, "doc_id")
     found = search.rerank(search.hydrate(hits, adapt.documents(spark, sf_dir), "doc_id"))
     none = F.lit(None).cast("string")
     block = search.context_block(F.col("rank"), F.col("file_name"), F.col("folder"), none, none.cast("int"), F.col("text"))
@@ -277,13 +272,28 @@ def indexing_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk.chunk_plain(d).join(d.select("doc_id", "folder"), "doc_id").select("folder", "doc_id", "chunk_index", "content")
 
 
-def _add_whole(f: Callable[..., DataFrame]) -> None:
-    """Register the form of a search that takes whole query texts, and every vector whose id is divisible by 20."""
-    q = partial(f, whole=True)
-    q.__name__ = f"{f.__name__}_whole"
-    terms = TERMS_SQL.format("text")
-    query(ORACLE_SQL[f.__name__].replace(f"{terms}[1:6]", terms).replace("vec_id % 50 = 0", "vec_id % 20 = 0"))(q)
-
-
-for _f in (vector_topk, bm25_topk, keyword_search, hybrid_rrf, hybrid_missing_channel, rag_context):
-    _add_whole(_f)
+@query(f"""WITH {DOCUMENTS_SQL} SELECT doc_id, sha256(file_name || chr(10) || lang || chr(10) || regexp_replace(text, '\\r\\n?', chr(10), 'g') || chr(10) || 'tail' || chr(10)) AS prose,
+  'java' || chr(10) || 'mermaid' || chr(10) || chr(10) || '```java' || chr(10) || 'class Doc_' || doc_id || ' {{ getValue(path/to.File) }}' || chr(10) || '```' || chr(10) || '```mermaid' || chr(10) || 'graph TD' || chr(10) || chr(10)
+  || array_to_string(['java', 'java', 'class', 'class', 'Doc_' || doc_id, 'Doc', doc_id::VARCHAR, 'getValue', 'get', 'Value', 'path/to.File', 'path', 'to', 'File', 'mermaid', 'mermaid', 'graph', 'graph', 'TD', 'TD', 'graph'], chr(10)) AS code FROM docs WHERE text IS NOT NULL""")
+def code_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index fields of texts with blocks of code behind them."""
+    d = adapt.documents(spark, sf_dir).filter("text IS NOT NULL")
+    block = F.concat(F.lit("\n```java\nclass Doc_"), F.col("doc_id").cast("string"), F.lit(" { getValue(path/to.File) }\n```\ntail\n```mermaid\ngraph TD"))
+    rows = index.chunk_texts(d.select("doc_id", "file_name", F.col("lang").alias("heading"), F.concat("text", block).alias("content")))
+    return rows.select("doc_id", F.sha2("prose", 256).alias("prose"), "code")
+
+
+@query(f"""WITH {CHUNKS_SQL}, {DOCUMENTS_SQL}, live AS (SELECT doc_id || '_' || lpad(chunk_index::VARCHAR, 9, '0') AS chunk_id, doc_id, chunk_index, content, file_name, folder, lang FROM chunks JOIN docs USING (doc_id) WHERE enabled AND status = 'PARSED'),
+posts AS (SELECT field, term, chunk_id AS doc_id, count(*) AS tf FROM (
+    SELECT 'content' AS field, chunk_id, unnest({TERMS_SQL.format("file_name || chr(10) || lang || chr(10) || content")}) AS term FROM live
+    UNION ALL SELECT 'heading', chunk_id, unnest({TERMS_SQL.format('lang')}) FROM live UNION ALL SELECT 'fileName', chunk_id, unnest({TERMS_SQL.format('file_name')}) FROM live) GROUP BY ALL),
+{QUERIES_SQL}, {BM25_SQL}
+SELECT query_id, chunk_id, t.rank, round(score, 6) AS score, file_name, content FROM (SELECT query_id, doc_id AS chunk_id, score, CAST(rank AS INT) AS rank FROM {_top_sql('scored', 8)}) t JOIN live USING (chunk_id)""")
+def chunk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """KEYWORD search over the four fields of the chunks of parsed documents in folders that are on; hits are chunks."""
+    d = adapt.documents(spark, sf_dir).filter("enabled AND status = 'PARSED'")
+    chunk_id = F.concat_ws("_", F.col("doc_id").cast("string"), F.lpad(F.col("chunk_index").cast("string"), 9, "0"))
+    chunks = chunk.chunk_plain(d).withColumn("chunk_id", chunk_id).join(d.select("doc_id", "file_name", F.col("lang").alias("heading"), "folder", "enabled"), "doc_id")
+    posts = index.postings(index.chunk_texts(chunks), index.CHUNK_FIELDS)
+    hits = search.top(search.bm25(posts, _queries(spark, sf_dir)), search.TOP_K, "chunk_id")
+    return search.rerank(search.hydrate(hits, chunks, "chunk_id")).select("query_id", "chunk_id", "rank", F.round("score", 6).alias("score"), "file_name", "content")

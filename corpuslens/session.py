@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows of a cheap side, such as a query set, up to which it is broadcast.
+FEW_ROWS = 200_000
 
 
 def ship(spark: SparkSession) -> None:
@@ -16,3 +22,18 @@ def ship(spark: SparkSession) -> None:
     root = str(Path(__file__).resolve().parent.parent)
     if root not in env.get("PYTHONPATH", "").split(":"):
         env["PYTHONPATH"] = ":".join(filter(None, [root, env.get("PYTHONPATH", "")]))
+
+
+def few(df: DataFrame, rows: int = FEW_ROWS) -> DataFrame:
+    """Hint a broadcast if ``df``, which must be cheap to count, has at most so many rows; else leave it to the planner."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def written_once(df: DataFrame) -> DataFrame:
+    """``df`` from a checkpoint in the shared folder; only a session on one machine may have named none."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        if not re.fullmatch(r"local(\[[^-]*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="corpuslens-checkpoint-"))
+    return df.checkpoint()

@@ -10,24 +10,52 @@ from pyspark.sql import functions as F
 SOURCE_TYPE = "array<struct<chunk_id: string, file_name: string, heading: string, content: string, score: double>>"
 
 
+def _place(spark: SparkSession, path: str):
+    """The file system of a table and its path, after a swap that was cut short has been brought to its end.
+
+    The old table is moved away before the new one, which is complete by then, takes its place; where the table is
+    missing, a complete new one (or else the old one) is therefore what should stand there.
+    """
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(target):
+        Path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        for kind in ("new", "old"):
+            beside = fs.globStatus(Path(f"{path}.{kind}-*")) or []
+            whole = sorted((s.getModificationTime(), s.getPath().toString()) for s in beside if fs.exists(Path(s.getPath(), "_SUCCESS")))
+            if whole:
+                _move(fs, Path(whole[-1][1]), target)
+                break
+    return fs, target
+
+
+def _move(fs, source, target) -> None:
+    if not fs.rename(source, target):
+        raise OSError(f"can't move {source} to {target}")
+
+
 def overwrite(df: DataFrame, path: str) -> None:
-    """Replace a Parquet table by rows that may be derived from it: written beside it first, then swapped in."""
+    """Replace a Parquet table by rows that may be derived from it: written beside it first, then swapped in.
+
+    A crash at any step leaves the old or the new table, which :func:`read_or_empty` and the next call find again.
+    """
     spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    new, old = (jvm.org.apache.hadoop.fs.Path(f"{path}.{kind}-{uuid.uuid4().hex}") for kind in ("new", "old"))
-    target = jvm.org.apache.hadoop.fs.Path(path)
+    fs, target = _place(spark, path)
+    Path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    new, old = (Path(f"{path}.{kind}-{uuid.uuid4().hex}") for kind in ("new", "old"))
     df.write.parquet(new.toString())
-    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if fs.exists(target):
-        fs.rename(target, old)
-    fs.rename(new, target)
-    fs.delete(old, True)
+        _move(fs, target, old)
+    _move(fs, new, target)
+    for kind in ("new", "old"):  # with what earlier crashes left
+        for s in fs.globStatus(Path(f"{path}.{kind}-*")) or []:
+            fs.delete(s.getPath(), True)
 
 
 def read_or_empty(spark: SparkSession, path: str, schema) -> DataFrame:
     """A Parquet table, or no rows where it isn't there yet."""
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    if p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
+    fs, target = _place(spark, path)
+    if fs.exists(target):
         return spark.read.schema(schema).parquet(path)
     return spark.createDataFrame([], schema)
 

@@ -40,7 +40,14 @@ def remove_missing(records: DataFrame, scanned: DataFrame) -> DataFrame:
 
 
 def start(spark: SparkSession, folder: str, table: str, checkpoint: str, keep_failed: bool = True) -> StreamingQuery:
-    """Ingest what is there now, batch by batch, into the Parquet table of records; runs again from where it stopped."""
+    """Ingest what is there now, batch by batch, into the Parquet table of records; runs again from where it stopped.
+
+    Records whose file has gone since the last run are removed first.
+    """
+    records = sinks.read_or_empty(spark, table, RECORD)
+    left = remove_missing(records, files.scan(spark, folder))
+    if left.count() < records.count():
+        sinks.overwrite(left, table)
 
     def merge(batch: DataFrame, _: int) -> None:
         rows = batch.select(F.sha2("path", 256).alias("document_id"), "path", files.file_name("path").alias("file_name"), F.col("length").alias("size"), F.unix_millis("modificationTime").alias("modified"), F.sha2("content", 256).alias("hash"), "content")

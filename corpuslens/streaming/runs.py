@@ -61,3 +61,14 @@ def outcome(counts: DataFrame) -> DataFrame:
     warned = (F.col("failed") > 0) & (F.col("parsed") + F.col("skipped") > 0)
     status = F.when(F.col("error").isNotNull(), "FAILED").when(warned, "COMPLETED_WITH_WARNINGS").when(F.col("failed") > 0, "FAILED").otherwise("COMPLETED")
     return counts.withColumns({"status": status, "duration_ms": F.greatest(F.lit(0), F.col("completed_at") - F.col("started_at")), "failures_json": F.to_json("failures")})
+
+
+#: Milliseconds for which a cancellation that comes before its request is kept.
+PENDING_MS = 30_000
+
+
+def cancelled_requests(requests: DataFrame, cancels: DataFrame, pending: int = PENDING_MS, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(request_id, started_at, cancelled): a request is cancelled by a cancel after its start, or within ``pending`` before it."""
+    last = cancels.groupBy(F.col("request_id").alias("_r")).agg(F.max("at").alias("_at"))
+    out = requests.join(last, F.col("request_id") == F.col("_r"), "left")
+    return out.select("request_id", "started_at", *keep, F.coalesce(F.col("_at") >= F.col("started_at") - pending, F.lit(False)).alias("cancelled"))

@@ -286,3 +286,147 @@ def test_event_stream(spark, tmp_path):
 
 def test_blank_helpers(spark):
     assert spark.range(1).select(T.is_blank(F.lit(" \n")).alias("x")).first().x
+
+
+def test_vectors_in_blocks(spark, monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, 8)).round(1)
+    x[50] = x[10]
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(900, [0.0] * 8), (901, None)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    asked = vectors.filter("vec_id % 7 = 0").selectExpr("vec_id AS query_id", "embedding")
+    unit = x.astype(np.float32).astype(float)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    expect = {(q, int(v), r + 1) for q in range(0, 300, 7) for r, v in enumerate(sorted(range(300), key=lambda v: (-round((1 + unit[q] @ unit[v]) / 2, 9), v))[:5])}
+    for block in (2048, 10):
+        monkeypatch.setattr(search, "BLOCK", block)
+        assert {(r.query_id, r.vec_id, r.rank) for r in search.vector_topk(vectors, asked, 5).collect()} == expect
+    assert search.vector_topk(vectors, asked.limit(0), 5).count() == 0 and search.vector_topk(vectors.limit(0), asked, 5).count() == 0
+
+
+def test_swap_that_was_cut_short(spark, tmp_path):
+    """Whatever step of a swap is the last one, the table is there afterwards, old or new."""
+    path = str(tmp_path / "t")
+    sinks.overwrite(spark.range(3), path)
+    read = lambda: sorted(r.id for r in sinks.read_or_empty(spark, path, "id long").collect())
+    spark.range(9).write.parquet(f"{path}.new-a")  # the new one is written, nothing is moved
+    assert read() == [0, 1, 2]
+    (tmp_path / "t").rename(tmp_path / "t.old-a")  # the old one is moved away
+    assert read() == list(range(9))
+    (tmp_path / "t").rename(tmp_path / "t.old-b")
+    (tmp_path / "t.new-half").mkdir()  # a new one that isn't complete doesn't count
+    (tmp_path / "t.old-a" / "_SUCCESS").unlink()
+    assert read() == list(range(9))
+    sinks.overwrite(spark.read.parquet(path).filter("id < 2"), path)
+    assert read() == [0, 1] and [p.name for p in tmp_path.iterdir()] == ["t"]
+
+
+def test_a_crash_between_batches_loses_no_record(spark, tmp_path, monkeypatch):
+    folder, table, check = tmp_path / "in", str(tmp_path / "records"), str(tmp_path / "check")
+    folder.mkdir()
+    for i in range(3):
+        (folder / f"f{i}.md").write_text(f"# title {i}\ntext {i}")
+    ingest.start(spark, str(folder), table, check).awaitTermination(120)
+    (folder / "f9.md").write_text("new")
+    (folder / "f0.md").unlink()
+    move, calls = sinks._move, []
+
+    def broken(*args):
+        calls.append(args)
+        if len(calls) == 4:  # the second swap of the run stops half-way
+            raise OSError("stopped")
+        move(*args)
+
+    monkeypatch.setattr(sinks, "_move", broken)
+    q = ingest.start(spark, str(folder), table, check)
+    try:
+        q.awaitTermination(120)
+    except Exception:  # noqa: BLE001  the stream fails as it should
+        pass
+    monkeypatch.setattr(sinks, "_move", move)
+    ingest.start(spark, str(folder), table, check).awaitTermination(120)
+    got = {r.file_name: r.status for r in sinks.read_or_empty(spark, table, ingest.RECORD).collect()}
+    assert len(calls) == 4 and got == {"f1.md": "PARSED", "f2.md": "PARSED", "f9.md": "PARSED"}
+
+
+def test_readiness(spark):
+    folder = {"enabled": True, "documents": 3, "parsed": 3, "failed": 0, "unindexed": 0, "missing": 0, "stale": 0, "new_files": 0}
+    good, none = spark.createDataFrame([(True,)], "consistent boolean"), spark.createDataFrame([], "copies long")
+
+    def ready(consistent=True, **changes):
+        s = spark.createDataFrame([folder | changes])
+        return health.answer_readiness(s, good.select((F.col("consistent") == consistent).alias("consistent")), none, none, embedding=True).first()
+
+    assert ready().ready and ready().searchable == 3
+    for changes in ({"documents": 0, "parsed": 0}, {"failed": 1}, {"unindexed": 1}, {"missing": 1}, {"stale": 2}, {"new_files": 1}, {"enabled": False}):
+        assert not ready(**changes).ready
+    bad = ready(consistent=False, failed=2)
+    assert not bad.ready and bad.retrieval == 3
+
+
+def test_summary_covers_what_it_cuts(spark):
+    rows = [(1, i, "USER" if i % 2 else "ASSISTANT", "x" * 200 if i != 3 else " ") for i in range(1, 61)]
+    got = chat.rolling_summary(spark.createDataFrame(rows, "conv_id long, seq long, role string, text string")).first()
+    lines = got.summary.split("\n")
+    assert got.up_to == 52 and lines[0] == chat.SUMMARY_HEAD.strip() and lines[-1] == chat.SUMMARY_TAIL.strip()
+    assert lines[3] == "- [UNKNOWN] 用户：" and 10 < len(lines) < 25 and len(got.summary) <= 4000 + len(chat.SUMMARY_TAIL)
+
+
+def test_mind_map_filter(spark):
+    nodes = spark.createDataFrame([("s", "All", "scope", ""), ("d", "Doc", "document", ""), ("h", "Head", "heading", ""), ("e", "Bus", "entity", "T"), ("f", "Car", "entity", "U"), ("g", "Other", "heading", "")], "id string, label string, kind string, type string")
+    edges = spark.createDataFrame([("s", "d"), ("d", "h"), ("d", "g"), ("h", "e"), ("h", "f")], "source string, target string")
+    ids = lambda *a: {r.id for r in graph.mind_map_filter(nodes, edges, *a)[0].collect()}
+    assert ids("bus") == {"s", "d", "h", "e"} and ids("doc") == {"s", "d", "h", "g"} and ids("nothing") == set()
+    assert ids() == set("sdhefg") and ids(None, ["T"]) == set("sdhefg")  # children of headings stay
+    only = nodes.filter("kind = 'entity'")
+    assert {r.id for r in graph.mind_map_filter(only, edges.limit(0), None, ["X"])[0].collect()} == {"e", "f"}
+    assert {tuple(r) for r in graph.mind_map_filter(nodes, edges, "bus")[1].collect()} == {("s", "d"), ("d", "h"), ("h", "e")}
+
+
+def test_search_tool():
+    from corpuslens.operators.peripheral import SearchTool
+
+    def search_web(q):
+        if q == "bad":
+            raise ValueError("down")
+        return [{"title": q}]
+
+    tool = SearchTool(search_web, 3)
+    assert tool(" a  b ")["results"] == [{"title": "a b"}] and not tool(" ")["success"]
+    assert tool("bad") == {"success": False, "message": "down", "results": []}
+    assert tool("c")["success"] and not tool("d")["success"] and len(tool.records) == 5
+
+
+def test_code_fields(spark):
+    text = "Before\n```java\nclass OrderService { load(user_id) }\n```\nAfter\n``` mermaid\nsequenceDiagram\nA->>B: x"
+    rows = spark.createDataFrame([(1, "a.md", "Head", text), (2, "b.md", None, None), (3, "c.md", " ", "```x```\nplain")], "chunk_id int, file_name string, heading string, content string")
+    got = {r.chunk_id: r for r in index.chunk_texts(rows).collect()}
+    assert got[1].prose == "a.md\nHead\nBefore\nAfter\n" and got[2].prose == "b.md" and got[2].code == ""
+    code = got[1].code.split("\n")
+    assert {"java", "mermaid", "OrderService", "Order", "Service", "user_id", "user", "id", "sequencediagram"} <= set(code)
+    assert "After" not in got[1].code and "OrderService" not in got[1].prose and "```x```" in got[3].prose
+
+
+def test_evidence_in_other_forms(spark):
+    from corpuslens.functions import canonical as C
+
+    rows = spark.createDataFrame([("系统使用ＡＰＩ网关", "API网关"), ("plain text here", "TEXT, here"), ("ﬁle", "file"), ("none", ""), (None, "x"), ("abc", None)], "c string, q string")
+    assert [r.f for r in rows.select(C.quote_found(F.col("c"), F.col("q")).alias("f")).collect()] == [True, True, True, False, False, False]
+
+
+def test_pending_cancellations(spark):
+    asked = spark.createDataFrame([("a", 100_000), ("b", 100_000), ("c", 100_000), ("d", 5)], "request_id string, started_at long")
+    cancels = spark.createDataFrame([("a", 70_000), ("b", 69_999), ("c", 200_000)], "request_id string, at long")
+    assert {r.request_id: r.cancelled for r in runs.cancelled_requests(asked, cancels).collect()} == {"a": True, "b": False, "c": True, "d": False}
+
+
+def test_queue_of_many_ranges(spark):
+    from corpuslens.operators import relational
+
+    rows = spark.range(5000).selectExpr("id", "CASE WHEN id % 5 > 0 THEN id * 7919 % 997 END AS queued_at")
+    got = relational.queue_positions(rows, "queued_at", "id").orderBy("position").collect()
+    assert [r.position for r in got] == list(range(1, 5001))
+    keys = [(-1 if r.queued_at is None else r.queued_at, r.id) for r in got]
+    assert keys == sorted(keys)
