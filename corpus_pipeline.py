@@ -44,8 +44,9 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; what a stage keeps is written before the next one reads it."""
+    """All stages over ``documents``; what a stage keeps is written before the next one reads it, its own tables are dropped then."""
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = sparkutil.table(stage(spark, docs, sf_dir), f"stage-{name}")
+        with sparkutil.scratch():
+            docs = sparkutil.table(stage(spark, docs, sf_dir), f"stage-{name}", lasting=True)
     return STAGES[-1][1](spark, docs, sf_dir)
