@@ -42,16 +42,20 @@ _LATIN[0x41:0x5B] = _LATIN[0x61:0x7B] = True
 def vectors(s: tk.Slice) -> np.ndarray:
     """Square-root counts of each row, rows by WIDTH."""
     folded = _FOLD[tk.lower_latin(s.buf)]
-    value, off = tk.chars(s, folded)
-    blank = value == 0x20
-    row = np.repeat(np.arange(s.rows), np.diff(off))
-    one = np.where(value < 128, value, 128 + (value * np.uint32(0x9E3779B1) >> np.uint32(25))).astype(np.int64)
-    out = np.bincount(row[~blank] * WIDTH + DIMS + one[~blank], minlength=s.rows * WIDTH)
-    for k, salt in ((2, 0), (3, 0x51)):
-        gram, at = tk.char_grams(value, off, k)
-        bucket = ((gram + np.uint32(salt)) * np.uint32(0xC2B2AE35) >> np.uint32(21)).astype(np.int64)
-        keep = ~(blank[at] & blank[at + 1])
-        out += np.bincount(row[at[keep]] * WIDTH + bucket[keep], minlength=s.rows * WIDTH)
+    chars = tk.chars(s, folded)
+    out = np.zeros(s.rows * WIDTH)
+    for k, salt in ((1, 0), (2, 0), (3, 0x51)):
+        for value, off in tk.stretches(*chars, k):
+            row = np.repeat(np.arange(s.rows), np.diff(off))
+            blank = value == 0x20
+            if k == 1:
+                keep = ~blank
+                at, bucket = row[keep], DIMS + np.where(value < 128, value, 128 + (value * np.uint32(0x9E3779B1) >> np.uint32(25))).astype(np.int64)[keep]
+            else:
+                gram, place = tk.char_grams(value, off, k)
+                keep = ~(blank[place] & blank[place + 1])
+                at, bucket = row[place[keep]], ((gram + np.uint32(salt)) * np.uint32(0xC2B2AE35) >> np.uint32(21)).astype(np.int64)[keep]
+            out += np.bincount(at * WIDTH + bucket, minlength=s.rows * WIDTH)
     return np.sqrt(out.reshape(s.rows, WIDTH)).astype(np.float32)
 
 

@@ -46,7 +46,7 @@ _SKETCH = "sketches array<long>, n int"
 def shingles(s: tk.Slice) -> tuple[np.ndarray, np.ndarray]:
     """Occurrence-labelled 32-bit shingles of a slice in text order, and the offsets of each row's."""
     start, end, row = tk.find_words(s, tk.ALNUM_SEP)
-    words = tk.span_hash(tk.prefix_hash(tk.LOWER[s.buf]), start, end)
+    words = tk.hash_spans(tk.LOWER[s.buf], start, end)
     gram, at = tk.word_grams(words, row, WORDS)
     own = row[at]
     n_words = np.bincount(row, minlength=s.rows)
@@ -75,18 +75,22 @@ def shingles(s: tk.Slice) -> tuple[np.ndarray, np.ndarray]:
     return label, np.searchsorted(own, np.arange(s.rows + 1))
 
 
-def sketch(label: np.ndarray) -> np.ndarray:
-    """Order MinHash of one document: SKETCHES values, each of ELL shingles in text order."""
-    v = label.astype(np.uint64)[None, :] * _SEEDS[:, None]
+def _least(label: np.ndarray, seeds: np.ndarray, ell: int) -> np.ndarray:
+    """Places of the ``ell`` shingles with the smallest values of each hash function."""
+    if len(label) <= ell:
+        return np.broadcast_to(np.arange(ell), (len(seeds), ell))
+    v = label.astype(np.uint64)[None, :] * seeds[:, None]
     v ^= v >> np.uint64(32)
     v *= np.uint64(0xD6E8FEB86659FD93)
     v ^= v >> np.uint64(29)
+    return np.argpartition(v, ell - 1, axis=1)[:, :ell]
+
+
+def sketch(label: np.ndarray) -> np.ndarray:
+    """Order MinHash of one document: SKETCHES values, each of ELL shingles in text order."""
     ell = min(ELL, len(label))
-    if len(label) > ell:
-        at = np.argpartition(v, ell - 1, axis=1)[:, :ell]
-    else:
-        at = np.broadcast_to(np.arange(ell), (SKETCHES, ell))
-    at = np.sort(at, axis=1)
+    each = max(1, (1 << 20) // max(1, len(label)))  # hash functions at once
+    at = np.sort(np.concatenate([_least(label, _SEEDS[i : i + each], ell) for i in range(0, SKETCHES, each)]), axis=1)
     acc = np.full(SKETCHES, ell, np.uint64)
     for i in range(ell):
         acc = tk.mix(acc + label[at[:, i]].astype(np.uint64) * np.uint64(0xA24BAED4963EE407))

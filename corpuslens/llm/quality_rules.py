@@ -57,18 +57,15 @@ def base_counts(s: tk.Slice):
     inside = ~tk.SPACE_SEP[s.buf]
     word_chars = tk.count_in_rows(s, inside & ((s.buf & 0xC0) != 0x80))
     symbols = tk.count_in_rows(s, _SYMBOL[s.buf])
-    prefix = tk.prefix_hash(s.buf)
-    words = tk.span_hash(prefix, start, end)
+    words = tk.hash_spans(s.buf, start, end)
     # lines
     breaks = np.flatnonzero(s.buf == 0x0A)
     a = np.sort(np.concatenate([s.off[:-1], breaks + 1]), kind="stable")
     b = np.sort(np.concatenate([s.off[1:], breaks]), kind="stable")
-    has = np.zeros(len(s.buf) + 1, np.int64)
-    np.cumsum(inside, out=has[1:])
-    full = has[np.minimum(b, len(s.buf))] > has[np.minimum(a, len(s.buf))]
+    full = np.searchsorted(start, b) > np.searchsorted(start, a)
     a, b = a[full], b[full]
     line_row = np.searchsorted(s.off, a, "right") - 1
-    key = tk.mix(tk.span_hash(prefix, a, b) + line_row.astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
+    key = tk.mix(tk.hash_spans(s.buf, a, b) + line_row.astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
     _, first = np.unique(key, return_index=True)
     dup_lines = np.bincount(line_row, minlength=s.rows) - np.bincount(line_row[first], minlength=s.rows)
     # repeated 5-word windows
@@ -83,31 +80,29 @@ def base_counts(s: tk.Slice):
     return (n_words, word_chars, symbols, dup_lines, repeat), words, row
 
 
-def hashed_features(s: tk.Slice, words, row) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each group of features: the row and the bucket of every occurrence, rows ascending."""
+def hashed_features(s: tk.Slice, words, row) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """The group, the row and the bucket of every occurrence, rows ascending; a group can come in several parts."""
     top = np.uint64(64 - 17)
-    value, off = tk.chars(s, s.buf)
-    gram, at = tk.char_grams(value, off, 4)
-    yield np.searchsorted(off, at, "right") - 1, (gram >> np.uint32(32 - 17)).astype(np.int64)
-    yield row, (tk.mix(words + np.uint64(11)) >> top).astype(np.int64)
-    n = len(words)
-    if n < 2:
-        yield row[:0], np.zeros(0, np.int64)
+    for value, off in tk.stretches(*tk.chars(s, s.buf), 4):
+        gram, at = tk.char_grams(value, off, 4)
+        yield 0, np.searchsorted(off, at, "right") - 1, (gram >> np.uint32(32 - 17)).astype(np.int64)
+    yield 1, row, (tk.mix(words + np.uint64(11)) >> top).astype(np.int64)
+    if len(words) < 2:
         return
     back = np.where(words[1:] == words[:-1], np.uint64(1), words[1:])
     same = np.flatnonzero(row[1:] == row[:-1])
     # the first word of a pair is left out where the pair is a repetition, so that every repetition looks alike
     left = np.where(back == 1, np.uint64(7), words[:-1])
     pair = tk.mix(left * np.uint64(0xD6E8FEB86659FD93) + back)
-    yield row[same], (pair[same] >> top).astype(np.int64)
+    yield 2, row[same], (pair[same] >> top).astype(np.int64)
 
 
 def linear_score(s: tk.Slice, words, row, weights) -> np.ndarray:
-    z = np.zeros(s.rows)
-    for at, bucket in hashed_features(s, words, row):
-        n = np.bincount(at, minlength=s.rows)
-        z += np.bincount(at, weights[bucket], minlength=s.rows) / np.maximum(n, 1)
-    return z
+    total, n = np.zeros((2, _GROUPS, s.rows))
+    for group, at, bucket in hashed_features(s, words, row):
+        n[group] += np.bincount(at, minlength=s.rows)
+        total[group] += np.bincount(at, weights[bucket], minlength=s.rows)
+    return (total / np.maximum(n, 1)).sum(0)
 
 
 def _verdicts(model: QualityModel):
@@ -138,7 +133,11 @@ def _sample_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for s in tk.slices(batch.column("text")):
             _, words, row = base_counts(s)
             idx, val, own = [], [], []
-            for at, bucket in hashed_features(s, words, row):
+            groups: list[list[tuple]] = [[] for _ in range(_GROUPS)]
+            for group, at, bucket in hashed_features(s, words, row):
+                groups[group].append((at, bucket))
+            for parts in filter(None, groups):
+                at, bucket = map(np.concatenate, zip(*parts, strict=True))
                 key, count = np.unique(at * DIMS + bucket, return_counts=True)
                 r = key // DIMS
                 own.append(r)

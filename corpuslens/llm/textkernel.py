@@ -126,6 +126,24 @@ def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return mix((prefix[end] - prefix[start]) * _power("i", _PINV, len(prefix))[start])
 
 
+def hash_spans(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """``span_hash`` of spans that rise and don't overlap; a long text is worked on in stretches."""
+    if len(buf) <= 2 * SLICE_BYTES:
+        return span_hash(prefix_hash(buf), start, end)
+    out = np.empty(len(start), np.uint64)
+    i = 0
+    while i < len(start):
+        j = max(i + 1, int(np.searchsorted(end, start[i] + SLICE_BYTES, "right")))
+        a, b = int(start[i]), int(end[j - 1])
+        if b - a <= SLICE_BYTES:
+            out[i:j] = span_hash(prefix_hash(buf[a:b]), start[i:j] - a, end[i:j] - a)
+        else:  # one long span
+            parts = [int(prefix_hash(buf[c : min(c + SLICE_BYTES, b)])[-1]) * pow(int(_P), c - a, 1 << 64) for c in range(a, b, SLICE_BYTES)]
+            out[i] = mix(np.array([sum(parts) % (1 << 64)], np.uint64))[0]
+        i = j
+    return out
+
+
 def find_words(s: Slice, sep: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, end and row of every maximal run of bytes that aren't separators, in text order."""
     n = len(s.buf)
@@ -146,11 +164,20 @@ def find_words(s: Slice, sep: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nd
 
 def count_in_rows(s: Slice, flags: np.ndarray) -> np.ndarray:
     """How many of the flagged bytes each row has."""
+    if s.rows == 1:
+        return np.array([np.count_nonzero(flags)])
     total = np.zeros(len(flags) + 1, np.int64)
     np.cumsum(flags, out=total[1:])
     return total[s.off[1:]] - total[s.off[:-1]]
 
 
+def running(flags: np.ndarray) -> np.ndarray:
+    """How many flags are set before each place, and in all."""
+    out = np.zeros(len(flags) + 1, np.int32)
+    np.cumsum(flags, out=out[1:])
+    return out
+
+
 def word_grams(hashes: np.ndarray, row: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Hash of each window of ``k`` words within a row, and the index of its first word."""
     n = len(hashes) - k + 1
@@ -180,6 +207,16 @@ def chars(s: Slice, buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return value, np.searchsorted(at, s.off)
 
 
+def stretches(value: np.ndarray, off: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Characters and row offsets as they are, or a long text in parts that hold each window of ``k`` once."""
+    if len(value) <= 2 * SLICE_BYTES or len(off) > 2:
+        yield value, off
+        return
+    for i in range(0, len(value) - k + 1, SLICE_BYTES):
+        part = value[i : i + SLICE_BYTES + k - 1]
+        yield part, np.array([0, len(part)])
+
+
 def char_grams(value: np.ndarray, off: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """32-bit hash of each window of ``k`` characters within a row, and the place of its first one."""
     n = len(value) - k + 1
@@ -196,14 +233,6 @@ def char_grams(value: np.ndarray, off: np.ndarray, k: int) -> tuple[np.ndarray,
     return acc[at] * np.uint32(0x85EBCA6B), at
 
 
-def row_sums(s: Slice, at: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sum of ``values`` (at ascending byte offsets ``at``) in each row, and how many there are."""
-    total = np.zeros(len(values) + 1)
-    np.cumsum(values, out=total[1:])
-    cut = np.searchsorted(at, s.off)
-    return total[cut[1:]] - total[cut[:-1]], np.diff(cut)
-
-
 def lower_latin(buf: np.ndarray) -> np.ndarray:
     """Lower-case ASCII letters and the two-byte letters U+00C0 to U+00DE."""
     out = LOWER[buf]

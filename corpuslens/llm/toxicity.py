@@ -65,32 +65,49 @@ class Lexicon:
 def _tokens(s: tk.Slice):
     low = tk.lower_latin(s.buf)
     start, end, row = tk.find_words(s, tk.ALNUM_SEP)
-    prefix = tk.prefix_hash(low)
-    words = tk.span_hash(prefix, start, end)
+    words = tk.hash_spans(low, start, end)
     long = end - start > PREFIX_BYTES
-    heads = tk.span_hash(prefix, start[long], start[long] + PREFIX_BYTES)
+    heads = tk.hash_spans(low, start[long], start[long] + PREFIX_BYTES)
     return low, start, end, row, words, heads, row[long]
 
 
+def _inside_rows(s: tk.Slice, flags: np.ndarray, *steps: int) -> np.ndarray:
+    """``flags`` without the places so many bytes after (or before) a row's beginning: their neighbours are in other rows."""
+    for step in steps:
+        at = s.off[1:-1] + step
+        flags[at[(at >= 0) & (at < len(flags))]] = False
+    return flags
+
+
 def dense_features(s: tk.Slice, lex: Lexicon) -> np.ndarray:
-    """One row of FEATURES for each text of the slice."""
+    """One row of FEATURES for each text of the slice; large arrays are dropped as soon as they are used."""
     n = s.rows
     low, start, end, row, words, heads, head_row = _tokens(s)
-    count = np.maximum(np.bincount(row, minlength=n), 1)
+    n_words = np.bincount(row, minlength=n)
+    count = np.maximum(n_words, 1)
     size = np.maximum(np.diff(s.off), 1)
+    head_hits = np.bincount(head_row[tk.in_sorted(heads, lex.prefixes) >= 0], minlength=n)
+    del heads, head_row
+    upper = _UPPER[s.buf]
+    letters, capitals = tk.count_in_rows(s, _LETTER[s.buf]), tk.count_in_rows(s, upper)
+    cum = tk.running(upper)
+    caps = np.bincount(row[(cum[end] - cum[start] == end - start) & (end - start > 1)], minlength=n)
+    del upper, cum, start, end
     at = tk.in_sorted(words, lex.words)
+    second = tk.in_sorted(words, _SECOND) >= 0
+    del words
     hit = at >= 0
-    hits = np.bincount(row[hit], minlength=n)
-    odds = lex.odds[at[hit]]
+    hit_row, hit_at = row[hit], at[hit]
+    hits = np.bincount(hit_row, minlength=n)
+    odds = lex.odds[hit_at]
     odds_max = np.zeros(n)
-    np.maximum.at(odds_max, row[hit], odds)
-    distinct = np.unique(row[hit] * (len(lex.words) + 1) + at[hit]) // (len(lex.words) + 1)
-    head_hits = np.bincount(head_row[tk.in_sorted(heads, lex.prefixes) >= 0], minlength=n)
-    second = tk.in_sorted(words, _SECOND) >= 0
-    place = np.flatnonzero(second)
+    np.maximum.at(odds_max, hit_row, odds)
+    distinct = np.unique(hit_row * (len(lex.words) + 1) + hit_at) // (len(lex.words) + 1)
+    place, h = np.flatnonzero(second), np.flatnonzero(hit)
+    n_second = np.bincount(row[second], minlength=n)
+    del at, hit, second
     near = np.zeros(n)
-    if len(place) and hit.any():
-        h = np.flatnonzero(hit)
+    if len(place) and len(h):
         i = np.searchsorted(place, h)
         close = np.zeros(len(h), bool)
         for j in (i - 1, i):
@@ -98,28 +115,26 @@ def dense_features(s: tk.Slice, lex: Lexicon) -> np.ndarray:
             p = place[np.clip(j, 0, len(place) - 1)]
             close |= ok & (np.abs(p - h) <= NEAR) & (row[p] == row[h])
         near = np.bincount(row[h[close]], minlength=n)
-    letters = tk.count_in_rows(s, _LETTER[s.buf])
-    upper = _UPPER[s.buf]
-    cum = np.concatenate([[0], np.cumsum(upper)])
-    caps = (cum[end] - cum[start] == end - start) & (end - start > 1)
+    del row
     inner = np.zeros(len(s.buf), bool)
-    if len(s.buf) > 2:
-        inner[1:-1] = _OBF[s.buf[1:-1]] & _LETTER[s.buf[:-2]] & _LETTER[s.buf[2:]]
     stretched = np.zeros(len(s.buf), bool)
     if len(s.buf) > 2:
+        inner[1:-1] = _OBF[s.buf[1:-1]] & _LETTER[s.buf[:-2]] & _LETTER[s.buf[2:]]
         stretched[2:] = (low[2:] == low[1:-1]) & (low[2:] == low[:-2]) & _LETTER[low[2:]]
+    inner, stretched = tk.count_in_rows(s, _inside_rows(s, inner, -1, 0)), tk.count_in_rows(s, _inside_rows(s, stretched, 0, 1))
     plain = _LEET[low]
-    changed = np.concatenate([[0], np.cumsum(plain != low)])
+    changed = tk.running(plain != low)
     a, b, r = tk.find_words(tk.Slice(0, plain, s.off), _ALPHA_SEP)
     leet = changed[b] > changed[a]
+    del changed
     a, b, r = a[leet], b[leet], r[leet]
-    masked = tk.in_sorted(tk.span_hash(tk.prefix_hash(plain), a, b), lex.words) >= 0 if len(a) else np.zeros(0, bool)
+    masked = tk.in_sorted(tk.hash_spans(plain, a, b), lex.words) >= 0 if len(a) else np.zeros(0, bool)
     out = [
-        100 * hits / count, np.log1p(hits), 100 * head_hits / count, np.log1p(head_hits), np.bincount(row[hit], odds, minlength=n) / count * 10, odds_max,
-        np.log1p(np.bincount(distinct, minlength=n)), np.bincount(row[second], minlength=n) / count, near / np.maximum(hits, 1),
-        tk.count_in_rows(s, upper) / np.maximum(letters, 1), np.bincount(row[caps], minlength=n) / count, tk.count_in_rows(s, s.buf == 0x21) / count,
+        100 * hits / count, np.log1p(hits), 100 * head_hits / count, np.log1p(head_hits), np.bincount(hit_row, odds, minlength=n) / count * 10, odds_max,
+        np.log1p(np.bincount(distinct, minlength=n)), n_second / count, near / np.maximum(hits, 1),
+        capitals / np.maximum(letters, 1), caps / count, tk.count_in_rows(s, s.buf == 0x21) / count,
         tk.count_in_rows(s, s.buf == 0x3F) / count, tk.count_in_rows(s, _PUNCT[s.buf]) / size, tk.count_in_rows(s, _DIGIT[s.buf]) / size,
-        tk.count_in_rows(s, inner) / count, np.log1p(np.bincount(r[masked], minlength=n)), tk.count_in_rows(s, stretched) / size, np.log1p(np.bincount(row, minlength=n)),
+        inner / count, np.log1p(np.bincount(r[masked], minlength=n)), stretched / size, np.log1p(n_words),
     ]
     return np.stack(out, 1).astype(np.float64)
 

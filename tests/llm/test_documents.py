@@ -359,6 +359,28 @@ def test_written_shards_hold_whole_rows(spark, none, tmp_path):
     assert len(files) > 1 and ids == expect
 
 
+def test_cuts_equal_an_independent_count(spark):
+    """Shards from the written order alone: rows in order of (shard, slot) are cut where their middles pass equal parts of all bytes."""
+    rng = random.Random(4)
+    rows = [(i, prose(rng, rng.randint(0, 80))) for i in range(1200)] + [(5000 + i, "one text that comes often") for i in range(300)] + [(9000, "z" * 4000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    for slack in (0.0, sharding.SLACK):
+        got = sharding.assign(df, 24, slack).orderBy("shard", "slot").collect()
+        size = {i: len(t.encode()) + 8 for i, t in rows}
+        total, at, groups = sum(size.values()), 0, defaultdict(set)
+        assert sorted(r.doc_id for r in got) == sorted(size)
+        for r in got:
+            cut = min(23, int((at + size[r.doc_id] // 2) * 24 // total))
+            at += size[r.doc_id]
+            assert r.size == size[r.doc_id] and (r.shard == cut or slack and abs(r.shard - cut) == 1), (r, cut)
+            groups[r.text_hash].add(r.shard)
+        places = [r.text_hash for r in got]
+        assert all(places[i] <= places[i + 1] for i in range(len(places) - 1))  # equal texts lie side by side
+        if slack:  # a text's copies are divided only if they are more than the slack
+            heavy = {h for h in groups if sum(r.size for r in got if r.text_hash == h) > slack * total / 24}
+            assert all(len(s) == 1 for h, s in groups.items() if h not in heavy)
+
+
 def test_copies_with_one_id_fill_many_ranges(spark):
     df = spark.range(3000).selectExpr("CAST(NULL AS BIGINT) AS doc_id", "'one text' AS text")
     got = sharding.shard_law(df).collect()
