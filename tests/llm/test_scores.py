@@ -100,6 +100,19 @@ def test_hundreds_of_languages(spark):
     assert set(language_id.fit(same).languages) == {"fr", "en"}
 
 
+def test_mislabelled_rows_make_no_centroid(spark):
+    rng = np.random.default_rng(5)
+    words = {"aa": ["der", "die", "und", "nicht", "schlich", "einung"], "bb": ["the", "and", "with", "thing", "ough", "eath"]}
+    rows = []
+    for i in range(900):
+        lang = "aa" if i % 2 else "bb"
+        text = " ".join(rng.choice(words[lang], 12))
+        rows.append((i, text, lang if i % 30 else "aa"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = language_id.identify(docs).join(docs.select("doc_id", "text"), "doc_id").collect()
+    assert all(r.lang_pred == ("aa" if r.doc_id % 2 else "bb") for r in got)
+
+
 def grams_of(text, k):
     return [text[i : i + k] for i in range(len(text) - k + 1)]
 
