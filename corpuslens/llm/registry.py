@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpuslens.llm import chat_format, decontamination, language_id, minhash_dedup, packing, quality_classifier, quality_rules, sharding, token_counts, toxicity
+from corpuslens.llm import chat_format, decontamination, language_id, minhash_dedup, packing, quality_classifier, quality_rules, sharding, spelling, token_counts, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -55,12 +55,16 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(read(spark, sf_dir, "documents"))
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants_of_documents(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_quality_rules, op2_minhash_dedup, op3_best_fit_packing, op4_toxicity, op5_token_counts, op6_quality_classifier,
-        op7_decontamination, op8_chat_format, op9_sharding, op10_language_id,
+        op7_decontamination, op8_chat_format, op9_sharding, op10_language_id, op12_spelling_variants,
     )
 }
 #: Where SQL can express the rows; the others are tested against brute force or by held-out accuracy.
-ORACLE_SQL: dict[str, str] = {"op7_decontamination": decontamination.SQL, "op8_chat_format": chat_format.digests_sql()}
+ORACLE_SQL: dict[str, str] = {"op7_decontamination": decontamination.SQL, "op8_chat_format": chat_format.digests_sql(), "op12_spelling_variants": spelling.SQL}
