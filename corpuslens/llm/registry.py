@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpuslens.llm import chat_format, decontamination, language_id, minhash_dedup, packing, quality_classifier, quality_rules, sharding, spelling, token_counts, toxicity
+from corpuslens.llm import chat_format, decontamination, html_text, language_id, minhash_dedup, packing, quality_classifier, quality_rules, sharding, spelling, token_counts, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -55,6 +55,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(read(spark, sf_dir, "documents"))
 
 
+def op11_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.page_texts(read(spark, sf_dir, "pages"))
+
+
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants_of_documents(read(spark, sf_dir, "documents"))
 
@@ -63,7 +67,7 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_quality_rules, op2_minhash_dedup, op3_best_fit_packing, op4_toxicity, op5_token_counts, op6_quality_classifier,
-        op7_decontamination, op8_chat_format, op9_sharding, op10_language_id, op12_spelling_variants,
+        op7_decontamination, op8_chat_format, op9_sharding, op10_language_id, op11_html_text, op12_spelling_variants,
     )
 }
 #: Where SQL can express the rows; the others are tested against brute force or by held-out accuracy.
