@@ -30,9 +30,10 @@ ACTION_WORDS = (
     "怎么配置|怎么部署|怎么排查|怎么修复|怎么优化|怎么办|咋办|咋整|怎么处理|如何处理)"
 )
 ELLIPSIS_WORDS = "(哪个|哪些|哪种|哪一个|更适合|有没有|是否|支持吗|能吗|可以吗|多少钱|价格|费用|证书|退款|试听|分期|有什么影响|怎么治疗|吃什么药|应该怎么|应该吃|怎么做|怎么弄)"
+# word boundaries are those of ASCII words, written out: \b means other things to other Java versions
 ENGLISH_REFINEMENT = (
     r"(?i)(?<![A-Za-z0-9_])((in|for|about|within|on)\s+[A-Za-z][A-Za-z0-9_+#.\-]{2,}|what about|how about|and then|also|more about|continue|details?|example|"
-    r"code sample|implementation|compare|difference|pros and cons|summari[sz]e)(?![A-Za-z0-9_])"
+    r"code sample|implementation|compare|difference|pros and cons|summari[sz]e)((?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
 )
 LATIN_TOPIC = r"[A-Za-z][A-Za-z0-9_+#.\-]{2,}"
 HAN_TOPIC = r"\p{IsHan}{2,}(是什么|怎么|如何|为什么|区别|原理|流程|配置|实现|问题|方案)"

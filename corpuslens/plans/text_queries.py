@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuslens.functions import text as T
-from corpuslens.operators import chunk, index, search
+from corpuslens.operators import chunk, index, index_store, search, vector_index
 from corpuslens.plans.registry import query
+from corpuslens.session import shared_folder
 from corpuslens.sources import adapt
 from corpuslens.sources.adapt import DOCUMENTS_SQL, table
 
@@ -187,6 +188,21 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.top(scored, search.TOP_K, "doc_id").select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
+@query(f"WITH {DOCUMENTS_SQL}, {POSTINGS_SQL}, {QUERIES_SQL}, {BM25_SQL} SELECT query_id, doc_id, round(score, 6) AS score, CAST(rank AS INT) AS rank FROM {_top_sql('scored', 8)}")
+def index_store_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same hits by a stored index: documents came in three segments, some in an older form first, then all were merged."""
+    d = adapt.documents(spark, sf_dir).select("doc_id", "text", "file_name", F.lit(False).alias("gone"))
+    path, fields = shared_folder(spark, "index"), {"content": "text", "fileName": "file_name"}
+    old = d.filter("doc_id % 3 = 0").withColumn("text", F.concat("text", F.lit(" outdated words")))
+    strange = d.filter("doc_id % 50 = 1").withColumn("doc_id", -1 - F.col("doc_id"))
+    index_store.write_segment(old.unionByName(strange), path, 0, fields)
+    index_store.write_segment(d.filter("doc_id % 2 = 0").unionByName(strange.withColumn("gone", F.lit(True))), path, 1, fields, gone="gone")
+    index_store.write_segment(d.filter("doc_id % 2 = 1"), path, 2, fields)
+    index_store.merge(spark, path, f"{path}-merged")
+    found = index_store.topk(spark, f"{path}-merged", _queries(spark, sf_dir), search.TOP_K)
+    return found.select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+
+
 HYDRATE_SQL = "JOIN docs USING (doc_id) WHERE folder IS NULL OR enabled"
 
 
@@ -216,6 +232,26 @@ def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
 
 
+def _ann(spark: SparkSession, sf_dir: str, exact: bool) -> DataFrame:
+    v, path = table(spark, sf_dir, "embeddings"), shared_folder(spark, "vectors")
+    vector_index.build(v, path, vector_index.train(v))
+    probes = 1 if exact else vector_index.probes_for(spark, path, v, 10)
+    found = vector_index.topk(spark, path, _vector_queries(spark, sf_dir), 10, probes=probes, exact=exact)
+    return found.select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query()
+def vector_ann_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nearest neighbours of the query set by the lists of the nearest centers; tests measure their recall."""
+    return _ann(spark, sf_dir, exact=False)
+
+
+@query(f"WITH {VECTOR_SQL} SELECT query_id, vec_id, round(score, 6) AS score, CAST(rank AS INT) AS rank FROM {_top_sql('vscored', 10, 'vec_id')}")
+def vector_ann_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same index with every list asked that can hold a nearer vector."""
+    return _ann(spark, sf_dir, exact=True)
+
+
 def _channels(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Both channels of hybrid search over documents; the vector of a document is that of its id, queries are item ids."""
     docs, most = adapt.documents(spark, sf_dir), search.candidates(search.TOP_K)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,6 +30,16 @@ def few(df: DataFrame, rows: int = FEW_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new, uniquely named folder under the one that the driver and all executors share."""
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not re.fullmatch(r"local(\[[^-]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = tempfile.mkdtemp(prefix="corpuslens-shared-")
+    return f"{found.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def written_once(df: DataFrame) -> DataFrame:
     """``df`` from a checkpoint in the shared folder; only a session on one machine may have named none."""
     context = df.sparkSession.sparkContext

@@ -24,8 +24,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     A quality label of 0 stands for a failed parse, 1 for an indexed document, none for one not indexed yet.
     """
-    d = table(spark, sf_dir, "documents")
-    lab = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    return modelled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def modelled(d: DataFrame, labels: DataFrame) -> DataFrame:
+    """The same of tables of documents and of labels."""
+    lab = labels.groupBy("doc_id").agg(F.max("quality").alias("quality"))
     return d.join(lab, "doc_id", "left").select(
         "doc_id", F.col("source").alias("folder"), F.concat("source", F.lit("_v"), (F.col("doc_id") % 3).cast("string"), F.lit("_"), "lang", F.lit(".md")).alias("file_name"),
         "lang", "text", F.when(F.col("quality") == 0, "FAILED").otherwise("PARSED").alias("status"),

@@ -33,13 +33,15 @@ def file_name(path: str | Column) -> Column:
     return F.regexp_extract(F.col(path) if isinstance(path, str) else path, "([^/]*)$", 1)
 
 
-def scan(spark: SparkSession, folder: str, recursive: bool = True, content: bool = True) -> DataFrame:
+def scan(spark: SparkSession, folder: str, recursive: bool = True, content: bool = True, between: tuple[int, int] | None = None) -> DataFrame:
     """Supported files of a folder: document_id, path, file_name, type, size, modified, hash and content, by path.
 
-    Without ``content`` only the listing is read.
+    Without ``content`` only the listing is read; ``between``: only files modified then, in epoch milliseconds.
     """
     pattern = "*.{" + ",".join(s[1:] for group in SUFFIXES.values() for s in group) + "}"
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).option("pathGlobFilter", pattern).load(folder)
+    if between:
+        rows = rows.filter(F.col("modificationTime").between(F.timestamp_millis(F.lit(between[0])), F.timestamp_millis(F.lit(between[1]))))
     rows = rows.select(F.sha2("path", 256).alias("document_id"), "path", file_name("path").alias("file_name"), F.col("length").alias("size"), F.unix_millis("modificationTime").alias("modified"), "content")
     rows = rows.withColumn("type", file_type("file_name")).filter(F.col("type").isNotNull())
     if not content:

@@ -7,9 +7,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from corpuslens.operators import health, relational
+from corpuslens.session import few, written_once
 from corpuslens.sources import files, sinks
 
 RECORD = "id string, path string, file_name string, size bigint, modified bigint, hash string, status string, indexed_at bigint, error string"
+RECORD_COLUMNS = [c.split()[0] for c in RECORD.split(", ")]
+#: What the record of a file says that isn't there any more; key buckets of the table of records.
+GONE, BUCKETS = "GONE", 64
 
 
 def file_stream(spark: SparkSession, folder: str, recursive: bool = True) -> DataFrame:
@@ -39,20 +43,61 @@ def remove_missing(records: DataFrame, scanned: DataFrame) -> DataFrame:
     return records.join(scanned.select(F.col("document_id").alias("id")), "id", "left_semi")
 
 
+def known(spark: SparkSession, table: str) -> DataFrame:
+    """The records of the files that are there."""
+    return sinks.read_or_empty(spark, table, f"{RECORD}, bucket int").drop("bucket").filter(F.col("status") != GONE)
+
+
+def _put(rows: DataFrame, table: str) -> None:
+    """Put records in place of those of the same ids; only the buckets that they fall into are written.
+
+    Records come from files, so a crash while buckets are replaced costs no more than reading those files again.
+    """
+    spark, bucket = rows.sparkSession, F.pmod(F.xxhash64("id"), F.lit(BUCKETS)).cast("int")
+    rows = written_once(rows.select(*RECORD_COLUMNS, bucket.alias("bucket")))
+    touched = [r[0] for r in rows.select("bucket").distinct().collect()]  # BUCKETS at most
+    if touched:
+        old = sinks.read_or_empty(spark, table, f"{RECORD}, bucket int").filter(F.col("bucket").isin(touched)).join(rows.select("id"), "id", "left_anti")
+        both = old.select(*RECORD_COLUMNS, "bucket").unionByName(rows)
+        both.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(table)
+
+
+def sync(spark: SparkSession, folder: str, table: str, keep_failed: bool = True, recursive: bool = True) -> DataFrame:
+    """Bring the table of records to what a folder holds now, and return what was done: (id, path, change).
+
+    The listing (path, size, time) is compared with the records; contents are read only of files that are new or
+    differ, or that could not be parsed.  Files that have gone leave a record that says so.  A rerun does nothing more.
+    """
+    there = files.scan(spark, folder, recursive, content=False).select("document_id", "path", "size", "modified")
+    had = known(spark, table).select("id", F.col("path").alias("_path"), F.col("size").alias("_size"), F.col("modified").alias("_modified"), "status")
+    both = there.join(had, F.col("document_id") == F.col("id"), "full")
+    same = F.col("size").eqNullSafe(F.col("_size")) & F.col("modified").eqNullSafe(F.col("_modified")) & (F.col("status") == "PARSED")
+    change = F.when(F.col("document_id").isNull(), "gone").when(F.col("id").isNull(), "new").when(~same, "changed")
+    changes = written_once(both.select(F.coalesce("document_id", "id").alias("id"), F.coalesce("path", "_path").alias("path"), change.alias("change"), "modified").filter("change IS NOT NULL"))
+    todo = changes.filter("change <> 'gone'")
+    span = todo.agg(F.min("modified").alias("a"), F.max("modified").alias("b")).first()
+    done = spark.createDataFrame([], RECORD)
+    if span["a"] is not None:
+        # the times of what is read are pushed down to the listing; the join drops the others among them
+        scanned = files.scan(spark, folder, recursive, between=(span["a"], span["b"])).join(few(todo.select(F.col("id").alias("document_id"))), "document_id", "left_semi")
+        done = ingest_batch(scanned, known(spark, table).join(few(todo.select("id")), "id", "left_semi"), keep_failed)
+    gone = known(spark, table).join(few(changes.filter("change = 'gone'").select("id")), "id", "left_semi").withColumn("status", F.lit(GONE))
+    _put(done.select(*RECORD_COLUMNS).unionByName(gone.select(*RECORD_COLUMNS)), table)
+    return changes.select("id", "path", "change")
+
+
 def start(spark: SparkSession, folder: str, table: str, checkpoint: str, keep_failed: bool = True) -> StreamingQuery:
-    """Ingest what is there now, batch by batch, into the Parquet table of records; runs again from where it stopped.
+    """Bring the records to what the folder holds, then go on with files as they come, batch by batch, until none is new.
 
-    Records whose file has gone since the last run are removed first.
+    A file stream knows files by their paths, so those that were edited or removed are what :func:`sync` is for.
     """
-    records = sinks.read_or_empty(spark, table, RECORD)
-    left = remove_missing(records, files.scan(spark, folder))
-    if left.count() < records.count():
-        sinks.overwrite(left, table)
+    sync(spark, folder, table, keep_failed)
 
     def merge(batch: DataFrame, _: int) -> None:
         rows = batch.select(F.sha2("path", 256).alias("document_id"), "path", files.file_name("path").alias("file_name"), F.col("length").alias("size"), F.unix_millis("modificationTime").alias("modified"), F.sha2("content", 256).alias("hash"), "content")
-        rows = rows.withColumn("type", files.file_type("file_name")).filter(F.col("type").isNotNull())
-        sinks.overwrite(ingest_batch(rows, sinks.read_or_empty(spark, table, RECORD), keep_failed), table)
+        rows = written_once(rows.withColumn("type", files.file_type("file_name")).filter(F.col("type").isNotNull()))
+        own = known(spark, table).join(few(rows.select(F.col("document_id").alias("id"))), "id", "left_semi")
+        _put(ingest_batch(rows, own, keep_failed), table)
 
     return file_stream(spark, folder).writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

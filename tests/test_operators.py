@@ -1,6 +1,8 @@
 """Search, graph, chat, health, sinks, files and streams on small cases."""
 
+import hashlib
 import json
+import shutil
 import zipfile
 
 import pytest
@@ -23,6 +25,12 @@ def keys(df):
     return {r.chunk_id for r in df.collect()}
 
 
+def test_refinements_end_at_word_boundaries(spark):
+    want = {"for of. Th": False, "about C++ now": False, "about C++x now": True, "and then?": True, "details": True, "in Rust": True, "in Ru": False, "alsoo": False}
+    rows = spark.createDataFrame([(t,) for t in want], "t string")
+    assert {r.t: r.m for r in rows.select("t", F.col("t").rlike(chat.ENGLISH_REFINEMENT).alias("m")).collect()} == want
+
+
 def test_query_syntax():
     parsed = search.parse_query('+alpha -fileName:two "beta gamma"^2 del* f~ a?b')
     assert [(c.text, c.field, c.occur, c.kind, c.boost) for c in parsed] == [
@@ -229,7 +237,7 @@ def test_streaming_ingest_goes_on_where_it_stopped(spark, tmp_path):
     ingest.start(spark, str(folder), table, check).awaitTermination(120)
     (folder / "b.txt").write_text("two")
     ingest.start(spark, str(folder), table, check).awaitTermination(120)
-    assert {r.file_name: r.status for r in spark.read.parquet(table).collect()} == {"a.txt": "PARSED", "b.txt": "PARSED"}
+    assert {r.file_name: r.status for r in ingest.known(spark, table).collect()} == {"a.txt": "PARSED", "b.txt": "PARSED"}
 
 
 def test_sinks(spark, tmp_path):
@@ -331,24 +339,66 @@ def test_a_crash_between_batches_loses_no_record(spark, tmp_path, monkeypatch):
     ingest.start(spark, str(folder), table, check).awaitTermination(120)
     (folder / "f9.md").write_text("new")
     (folder / "f0.md").unlink()
-    move, calls = sinks._move, []
+    put, calls = ingest._put, []
 
     def broken(*args):
         calls.append(args)
-        if len(calls) == 4:  # the second swap of the run stops half-way
+        if len(calls) == 2:  # the stream's batch, after the changes of the folder
             raise OSError("stopped")
-        move(*args)
+        put(*args)
 
-    monkeypatch.setattr(sinks, "_move", broken)
+    monkeypatch.setattr(ingest, "_put", broken)
     q = ingest.start(spark, str(folder), table, check)
     try:
         q.awaitTermination(120)
     except Exception:  # noqa: BLE001  the stream fails as it should
         pass
-    monkeypatch.setattr(sinks, "_move", move)
+    monkeypatch.setattr(ingest, "_put", put)
     ingest.start(spark, str(folder), table, check).awaitTermination(120)
-    got = {r.file_name: r.status for r in sinks.read_or_empty(spark, table, ingest.RECORD).collect()}
-    assert len(calls) == 4 and got == {"f1.md": "PARSED", "f2.md": "PARSED", "f9.md": "PARSED"}
+    want = {"f1.md": "PARSED", "f2.md": "PARSED", "f9.md": "PARSED"}
+    assert len(calls) == 2 and {r.file_name: r.status for r in ingest.known(spark, table).collect()} == want
+    # a bucket that was taken away but not put back yet
+    shutil.rmtree(next(p for p in (tmp_path / "records").iterdir() if p.name.startswith("bucket=")))
+    ingest.sync(spark, str(folder), table)
+    assert {r.file_name: r.status for r in ingest.known(spark, table).collect()} == want
+
+
+def test_sync_sees_new_changed_and_removed_files(spark, tmp_path):
+    folder, table = tmp_path / "in", str(tmp_path / "records")
+    folder.mkdir()
+    for i in range(6):
+        (folder / f"f{i}.md").write_text(f"text {i}")
+
+    def state():
+        return {r.file_name: (r.size, r.hash) for r in ingest.known(spark, table).collect()}
+
+    def parts():
+        return {p.parent.name: p.name for p in (tmp_path / "records").rglob("part-*.parquet")}
+
+    assert {r.change for r in ingest.sync(spark, str(folder), table).collect()} == {"new"}
+    first, files_before = state(), parts()
+    (folder / "f1.md").write_text("text 1, edited")
+    (folder / "f2.md").rename(folder / "moved.md")
+    (folder / "f3.md").unlink()
+    (folder / "sub").mkdir()
+    (folder / "sub" / "f7.md").write_text("deeper")
+    got = {(r.path.split("/")[-1], r.change) for r in ingest.sync(spark, str(folder), table).collect()}
+    assert got == {("f1.md", "changed"), ("f2.md", "gone"), ("moved.md", "new"), ("f3.md", "gone"), ("f7.md", "new")}
+    now = state()
+    assert set(now) == {"f0.md", "f1.md", "f4.md", "f5.md", "moved.md", "f7.md"}
+    assert now["f1.md"] == (14, hashlib.sha256(b"text 1, edited").hexdigest()) and all(now[f] == first[f] for f in ("f0.md", "f4.md", "f5.md"))
+    after = parts()
+    assert sum(after.get(k) == v for k, v in files_before.items()) >= 1  # buckets without changes are as they were
+    assert ingest.sync(spark, str(folder), table).count() == 0 and parts() == after
+    # a batch run over the same folder gives the same records
+    fresh = str(tmp_path / "fresh")
+    ingest.sync(spark, str(folder), fresh)
+    assert {r.file_name: (r.size, r.hash) for r in ingest.known(spark, fresh).collect()} == now
+    # the file comes back, and an edit is seen by the stream's start as well
+    (folder / "f3.md").write_text("again")
+    (folder / "f4.md").write_text("text 4, edited too")
+    ingest.start(spark, str(folder), table, str(tmp_path / "check")).awaitTermination(120)
+    assert state()["f3.md"][0] == 5 and state()["f4.md"][0] == 18
 
 
 def test_readiness(spark):

@@ -1,4 +1,4 @@
-"""Every query with SQL gives the same rows as DuckDB on the smallest tables."""
+"""Every query with SQL gives the same rows as DuckDB."""
 
 import math
 
@@ -7,7 +7,7 @@ import pytest
 
 from corpuslens.plans.query_set import ORACLE_SQL, QUERIES
 
-SF = "/root/testdata/sf0.001"
+SF = "/root/testdata/sf0.01"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 
 
@@ -25,14 +25,11 @@ def plain(v):
     return v
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_query(name, spark, duck):
     df = QUERIES[name](spark, SF)
     names = sorted(df.columns)
     rows = sorted(repr(tuple(plain(r[c]) for c in names)) for r in df.collect())
-    if name == "ordered_in_lookup":  # its ids go beyond the smallest table
-        assert len(rows) > 0
-        return
     got = duck.execute(ORACLE_SQL[name])
     cols = [d[0] for d in got.description]
     assert sorted(cols) == names
@@ -41,4 +38,4 @@ def test_query(name, spark, duck):
 
 
 def test_every_query_has_sql():
-    assert set(QUERIES) == set(ORACLE_SQL)
+    assert set(QUERIES) - set(ORACLE_SQL) == {"vector_ann_topk"}  # approximate
