@@ -43,10 +43,19 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: What a tokenizer has to give the same ids for whether it sees the text or its chunks.
+PROBE = "The QUICK brown-fox's, 12,5 x. \u0130stanbul \u00c9T\u00c9, e\u0301. a\tb\r\nc  d \u65e5\u672c\u3002 \u0395\u03a3\u039f\u03a3 \u00bd!? snake_case  End"
+
+
+def _stays(c: str) -> bool:
+    """Whether a character is a letter that lower-casing and normal forms leave one letter: a capital I with a dot isn't."""
+    return c.isalpha() and (c.isascii() or c < "\u02b0") and c != "\u0130"
+
+
 class ChunkTokenizer:
     """Ids of whole texts, with a cache for the chunks between blanks.
 
-    Exact for lower-casing tokenizers that drop white space and never join pieces across it.
+    Exact for lower-casing tokenizers that drop white space and never join pieces across it; others are refused.
     """
 
     def __init__(self, path: str):
@@ -60,6 +69,8 @@ class ChunkTokenizer:
         plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         rest = [b for b in range(256) if b not in plain]
         self._byte_chars = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+        if self.ids([PROBE])[0].tolist() != self._tokenizer.encode(PROBE, add_special_tokens=False).ids:
+            raise ValueError(f"{path}: this tokenizer's ids of a text are not those of its parts between blanks")
 
     def _encode(self, chunks: list[str]) -> Iterator[tuple[str, bytes]]:
         """Ids of chunks; a lower-case run of Latin letters is one pre-token and goes straight to the model."""
@@ -92,8 +103,8 @@ class ChunkTokenizer:
             self._cache.clear()
         new = every.difference(self._cache)
         cache = self._cache
-        # a letter and one mark after it are never one pre-token: such a chunk is the ids of both
-        ended = [c for c in new if len(c) > 1 and c[-1] in ",." and c[-2].isalpha() and "<|" not in c]
+        # a letter that stays one letter and a mark after it are never one pre-token: such a chunk is the ids of both
+        ended = [c for c in new if len(c) > 1 and c[-1] in ",." and _stays(c[-2]) and "<|" not in c]
         new.difference_update(ended)
         new.update(c for c in (*",.", *(c[:-1] for c in ended)) if c not in cache)
         new = list(new)
