@@ -6,7 +6,9 @@ same fingerprint in both, at the same place of the span.  A fingerprint that mee
 every window of 13 words around it, and those windows are compared, word by word, with the windows of the items.
 Items shorter than 13 words, for which no fingerprint is guaranteed, are looked up by the hash of their whole word
 sequence, in one pass for all lengths.  What is gathered for a text is the places of its own words, never pairs of
-places in a text and an item, so repetitive texts and items cost no more than their words.
+places in a text and an item: windows that the same items have share one set of items, and a text's sets, not its
+places, meet their items.  So repetitive texts, and passages that many items share, cost no more than their words
+and the items that are found.
 
 Defined cases: a null or empty text has no words, and so no hits; a null doc_id is a document like others; repeated
 rows give repeated results; repeated item rows count once, and rows of one item_id with different texts count as
@@ -119,7 +121,13 @@ def find_hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     # an item shorter than a window has one window: itself
     k = F.least(F.size("iw"), F.lit(WINDOW))
     windows = items.select("item_id", "iw", k.alias("k"), F.explode(F.sequence(F.lit(0), F.size("iw") - k)).alias("start"))
-    windows = sparkutil.small(sparkutil.table(windows.select("item_id", _window("iw", F.col("start"), F.col("k")).alias("window")).distinct(), "windows"))
+    windows = sparkutil.table(windows.select("item_id", _window("iw", F.col("start"), F.col("k")).alias("window")).distinct(), "windows")
+    # windows that the same items have share a set of items, told by hashes that don't depend on an order
+    same = [F.bit_xor(F.xxhash64("item_id", F.lit(salt))) for salt in ("a", "b")]
+    sets = windows.groupBy("window").agg(F.concat_ws("-", F.count("*"), *same).alias("items_of"))
+    sets = sparkutil.small(sparkutil.table(sets, "window-sets"))
+    members = sets.groupBy("items_of").agg(F.min("window").alias("window")).join(windows, "window").select("items_of", "item_id")
+    members = sparkutil.small(sparkutil.table(members, "set-members"))
 
     key = ["doc_id", "text_key"]
     base = docs.select("doc_id", F.xxhash64("text").alias("text_key"), _folded_hashes("text").alias("h"))
@@ -137,14 +145,16 @@ def find_hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     at = lambda m: F.transform(F.filter(F.sequence(m["first"], m["last"]), lambda i: i + m["k"] <= F.size("w")), lambda i: F.struct(i.alias("start"), m["k"].alias("k")))
     rows = rows.select(*key, "w", F.explode(F.array_distinct(F.flatten(F.transform("met", at)))).alias("_a"))
     rows = rows.select(*key, "_a.start", "_a.k", _window("w", F.col("_a.start"), F.col("_a.k")).alias("window"))
-    hits = sparkutil.table(rows.join(windows, "window").select(*key, "start", "k", "item_id").distinct(), "window-hits")
+    # a row for each place of the text, however many items have its window
+    hits = sparkutil.table(rows.join(sets, "window").select(*key, "start", "k", "items_of").distinct(), "window-hits")
 
     # words under any window: each window adds what the ones before it don't reach
     end = F.col("start") + F.col("k")
     before = F.max(end).over(Window.partitionBy(*key).orderBy("start", "k").rowsBetween(Window.unboundedPreceding, -1))
-    added = hits.select(*key, "start", "k").distinct().select(*key, F.greatest(end - F.greatest("start", F.coalesce(before, F.lit(0))), F.lit(0)).alias("added"))
+    added = hits.select(*key, "start", "k").select(*key, F.greatest(end - F.greatest("start", F.coalesce(before, F.lit(0))), F.lit(0)).alias("added"))
     counted = added.groupBy(*key).agg(F.sum("added").alias("n_hit")).withColumn("items", F.lit(None).cast("array<string>"))
-    named = hits.groupBy(*key).agg(F.array_sort(F.collect_set("item_id")).alias("items")).withColumn("n_hit", F.lit(None).cast("long"))
+    found = hits.select(*key, "items_of").distinct().join(members, "items_of")
+    named = found.groupBy(*key).agg(F.array_sort(F.collect_set("item_id")).alias("items")).withColumn("n_hit", F.lit(None).cast("long"))
     return counted.unionByName(named).groupBy(*key).agg(F.max("n_hit").alias("n_hit"), F.first("items", ignorenulls=True).alias("items"))
 
 
