@@ -3,8 +3,10 @@
 A document's pre-tokens are grouped into leaves; a complete binary tree over the leaves keeps, for each subtree,
 its characters, its pre-tokens and its tokens.  An edit finds its leaf by descending on characters, cuts the text
 from that leaf on into pre-tokens again until a pre-token begins where an untouched leaf begins, re-encodes only
-those, and updates the sums on the paths above.  A pre-token depends on its own characters and the two after it,
-so two characters of context before an edit and meeting an old border after it make this exact.
+those, and updates the sums on the paths above.  Leaves are made half full, so most edits leave as many as there
+were; where they don't, the smallest subtree with room is dealt out again, and the whole tree only when it is full.
+A pre-token depends on its own characters and the two after it, so two characters of context before an edit and
+meeting an old border after it make this exact.
 
 Defined cases: a null text is an empty text; an edit's start and length are cut to the text's borders, a null start
 or length counts as 0 and a null insertion as empty, and null or missing edits leave the text as it is; a null
@@ -27,8 +29,8 @@ from pyspark.sql import functions as F
 from corpuslens.llm import sparkutil
 from corpuslens.llm import textkernel as tk
 
-#: Pre-tokens of a leaf when it is made; entries of a worker's count cache.
-LEAF, CACHE = 32, 400_000
+#: Pre-tokens of a leaf when it is made, and at most; entries of a worker's count cache.
+LEAF, FULL, CACHE = 32, 64, 400_000
 #: Characters after its end that a pre-token depends on.
 CONTEXT = 2
 TREE = "chars array<int>, pretokens array<int>, tokens array<int>"
@@ -77,12 +79,13 @@ class SegmentTree:
     def __init__(self, nodes: np.ndarray):
         self.nodes = nodes  # (2 * slots, 3); node 1 is the root, leaves begin at `slots`
         self.slots = len(nodes) // 2
+        self.written = 0  # nodes that edits have written
 
     @classmethod
-    def of_leaves(cls, leaves: np.ndarray) -> SegmentTree:
-        slots = 1 << max(0, (len(leaves) - 1).bit_length())
+    def of_leaves(cls, leaves: np.ndarray, least: int = 1) -> SegmentTree:
+        slots = max(least, 1 << max(0, (len(leaves) - 1).bit_length()))
         nodes = np.zeros((2 * slots, 3), np.int32)
-        nodes[slots : slots + len(leaves)] = leaves
+        nodes[slots + np.arange(len(leaves)) * slots // max(1, len(leaves))] = leaves
         at = slots
         while at > 1:
             nodes[at // 2 : at] = nodes[at : 2 * at : 2] + nodes[at + 1 : 2 * at : 2]
@@ -105,26 +108,49 @@ class SegmentTree:
         return node - self.slots, begin
 
     def replace(self, first: int, end: int, leaves: np.ndarray) -> SegmentTree:
-        """Put ``leaves`` in place of leaves ``first`` to ``end``; only paths above them are summed again."""
-        if len(leaves) <= end - first:
-            block = np.zeros((end - first, 3), np.int32)
-            block[: len(leaves)] = leaves
-            self.nodes[self.slots + first : self.slots + end] = block
-            a, b = (self.slots + first) // 2, (self.slots + end - 1) // 2
-            while a >= 1:
-                self.nodes[a : b + 1] = self.nodes[2 * a : 2 * b + 2 : 2] + self.nodes[2 * a + 1 : 2 * b + 2 : 2]
-                a, b = a // 2, b // 2
-            return self
-        kept = self.nodes[self.slots :]
-        every = np.concatenate([kept[:first], leaves, kept[end:]])
-        return SegmentTree.of_leaves(every[every[:, 0] > 0])
-
-
-def _leaves(pretokens: list[str], counts: list[int], size: int = LEAF) -> np.ndarray:
+        """Put ``leaves`` in place of leaves ``first`` to ``end``; only what lies above changed leaves is summed again.
+
+        Leaves that don't fit there are dealt out evenly over the smallest subtree around them that has room to spare;
+        only a tree that is full as a whole is made anew, twice as large.
+        """
+        if len(leaves) > end - first:
+            width = 1
+            while True:
+                width *= 2
+                if width > self.slots:
+                    grown = SegmentTree.of_leaves(self._with(0, self.slots, first, end, leaves), 2 * self.slots)
+                    grown.written += self.written
+                    return grown
+                low = first // width * width
+                if end <= low + width:
+                    every = self._with(low, low + width, first, end, leaves)
+                    if 4 * len(every) <= 3 * width:
+                        break
+            first, end, leaves = low, low + width, every
+        block = np.zeros((end - first, 3), np.int32)
+        block[np.arange(len(leaves)) * (end - first) // max(1, len(leaves))] = leaves
+        self.nodes[self.slots + first : self.slots + end] = block
+        self.written += end - first
+        a, b = (self.slots + first) // 2, (self.slots + end - 1) // 2
+        while a >= 1:
+            self.nodes[a : b + 1] = self.nodes[2 * a : 2 * b + 2 : 2] + self.nodes[2 * a + 1 : 2 * b + 2 : 2]
+            self.written += b + 1 - a
+            a, b = a // 2, b // 2
+        return self
+
+    def _with(self, low: int, high: int, first: int, end: int, leaves: np.ndarray) -> np.ndarray:
+        """The leaves of a subtree that aren't empty, with ``leaves`` in place of some."""
+        own = self.nodes[self.slots :]
+        every = np.concatenate([own[low:first], leaves, own[end:high]])
+        return every[every[:, 0] > 0]
+
+
+def _leaves(pretokens: list[str], counts: list[int], room: int = 0) -> np.ndarray:
+    """Leaves of the pre-tokens: as many as there is ``room`` for, if that makes none too full, else of ``LEAF`` each."""
     n = len(pretokens)
     if not n:
         return np.zeros((0, 3), np.int32)
-    at = np.arange(0, n, size)
+    at = np.arange(0, n, max(LEAF, -(-n // room) if 0 < n <= FULL * room else 0))
     chars = np.add.reduceat(np.fromiter(map(len, pretokens), np.int64, n), at)
     return np.stack([chars, np.diff(np.append(at, n)), np.add.reduceat(np.array(counts), at)], 1).astype(np.int32)
 
@@ -159,7 +185,7 @@ def edit(text: str, tree: SegmentTree, start: int, length: int, insertion: str,
         at = m.end()
     else:
         last = tree.slots
-    return new, tree.replace(first, last, _leaves(again, counter.counts(again)))
+    return new, tree.replace(first, last, _leaves(again, counter.counts(again), last - first))
 
 
 def build_trees(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:

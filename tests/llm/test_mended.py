@@ -60,3 +60,34 @@ def test_passage_that_many_items_share(spark, written):
     got = {r["doc_id"]: r for r in decontamination.decontaminate(docs, items).collect()}
     assert [(got[i]["n_hit"], got[i]["n_items"]) for i in (1, 2)] == [(1000, 60)] * 2
     assert written["window-hits"] <= 2 * 1000 and written["set-members"] <= 2 * 60
+
+
+def test_insertions_write_paths_of_the_tree():
+    from corpuslens.llm import token_counts
+
+    counter = token_counts.PretokenCounter(token_counts.default_tokenizer())
+    text = " ".join(f"word{i % 700}" for i in range(50_000))
+    tree = token_counts.build(text, counter)
+    nodes = 2 * tree.slots
+    rng = random.Random(3)
+    for _ in range(10):
+        text, tree = token_counts.edit(text, tree, rng.randrange(len(text)), 0, " inserted", counter)
+    assert tree.written < 10 * 40 < nodes / 5
+    assert tree.total().tolist() == token_counts.build(text, counter).total().tolist()
+
+
+def test_many_edits_of_a_long_text():
+    from corpuslens.llm import token_counts
+
+    counter = token_counts.PretokenCounter(token_counts.default_tokenizer())
+    rng = random.Random(4)
+    text = " ".join(f"w{i % 90}" for i in range(20_000))
+    tree = token_counts.build(text, counter)
+    for k in range(400):  # mostly at one place, so that its leaves overflow again and again
+        at = 5000 if k % 4 else rng.randrange(len(text))
+        text, tree = token_counts.edit(text, tree, at, rng.choice([0, 0, 0, 40, 3000 if k % 50 == 9 else 1]), rng.choice(["", " new words here", " a b c d e f g h" * 30]), counter)
+        if k % 40 == 39:
+            whole = token_counts.build(text, counter)
+            assert tree.total().tolist() == whole.total().tolist()
+            assert tree.nodes[1:tree.slots].tolist() == (tree.nodes[2 : 2 * tree.slots : 2] + tree.nodes[3 : 2 * tree.slots : 2]).tolist()
+    assert tree.slots <= 8 * whole.slots
