@@ -97,9 +97,10 @@ def near_pairs(words: DataFrame, split: int = SPLIT) -> DataFrame:
     # the two sides share their exchange: the flags are looked at above the window
     a, b = sizes.filter(~F.col("longer")).alias("a"), sizes.alias("b")
     once = F.col("b.longer") | (F.col("a.word") < F.col("b.word"))
-    met = a.filter(F.col("size") <= split).join(b.filter(F.col("size") <= split), (F.col("a.key") == F.col("b.key")) & (F.col("a.spot") == F.col("b.spot")) & once)
-    # in this order: distances of long words cost the square of their length
-    verified = F.when(~once | (_first_spot(F.length("a.word")) != F.col("a.spot")), False).otherwise(F.levenshtein("a.word", "b.word", 1) == 1)
+    met = a.filter(F.col("size") <= split).join(b.filter(F.col("size") <= split), (F.col("a.key") == F.col("b.key")) & once)
+    # in this order: distances of long words cost the square of their length.  Spots are compared here, as a second
+    # key of the join would have the rows that the window has already dealt out dealt out anew
+    verified = F.when(~once | (F.col("a.spot") != F.col("b.spot")) | (_first_spot(F.length("a.word")) != F.col("a.spot")), False).otherwise(F.levenshtein("a.word", "b.word", 1) == 1)
     pair = [F.col("a.word"), F.col("a.n"), F.col("b.word").alias("near"), F.col("b.n").alias("near_n")]
     common = met.filter(verified).select(*pair)
     crowded = sizes.filter(F.col("size") > split)
@@ -109,7 +110,7 @@ def near_pairs(words: DataFrame, split: int = SPLIT) -> DataFrame:
     parts = crowded.select("word", "n", "mask", "longer", "spot", F.explode(F.array_distinct(left)).alias("part"), "key")
     parts = parts.select("*", F.xxhash64("key", "part").alias("meet"))
     a, b = parts.filter(~F.col("longer")).alias("a"), parts.alias("b")
-    met = a.join(b, (F.col("a.meet") == F.col("b.meet")) & (F.col("a.spot") == F.col("b.spot")) & once)
+    met = a.join(b, (F.col("a.meet") == F.col("b.meet")) & once)
     # a letter of a run of equal ones may be left out at several places
     return common.unionByName(met.filter(verified).select(*pair).distinct())
 
