@@ -88,7 +88,24 @@ def terms(x: str | Column) -> Column:
 
 # fixed values: what an identifier is, and the words that mark diagrams
 IDENTIFIER = r"[A-Za-z_$][A-Za-z0-9_$]*(?:[.:/#\\-][A-Za-z0-9_$]+)*"
-DIAGRAM_WORDS = "graph flowchart sequenceDiagram classDiagram stateDiagram erDiagram journey gantt pie mindmap timeline participant actor subgraph startuml enduml"
+DIAGRAM_WORDS = [
+    "graph",
+    "flowchart",
+    "sequenceDiagram",
+    "classDiagram",
+    "stateDiagram",
+    "erDiagram",
+    "journey",
+    "gantt",
+    "pie",
+    "mindmap",
+    "timeline",
+    "participant",
+    "actor",
+    "subgraph",
+    "startuml",
+    "enduml",
+]
 
 
 def identifiers(x: str | Column) -> Column:
@@ -103,7 +120,7 @@ def identifier_parts(x: str | Column) -> Column:
 
 
 def diagram_words(x: str | Column) -> Column:
-    pattern = rf"(?i)(?<![A-Za-z0-9_])({'|'.join(DIAGRAM_WORDS.split())})(?![A-Za-z0-9_])"
+    pattern = rf"(?i)(?<![A-Za-z0-9_])({'|'.join(DIAGRAM_WORDS)})(?![A-Za-z0-9_])"
     return F.transform(F.regexp_extract_all(F.coalesce(_c(x), F.lit("")), F.lit(pattern), F.lit(1)), lambda v: F.lower(v))
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from corpuslens.functions import text as T
 
 _FENCE = re.compile(r"\s*```.*", re.ASCII)
+# fixed values: what the first line of a diagram begins with
 _DIAGRAM = re.compile(r"\s*(graph|flowchart|sequenceDiagram|classDiagram|stateDiagram(-v2)?|erDiagram|journey|gantt|pie|mindmap|timeline|@startuml)\b.*", re.ASCII)
 _TRIM = "".join(map(chr, range(33)))
 

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuslens.functions import canonical as C
 from corpuslens.functions import text as T
+from corpuslens.session import written_once
 
 MAX_NODES, MAX_EDGES = 24, 32
 NAME_CHARS, DESCRIPTION_CHARS, QUOTE_CHARS = 120, 280, 260
@@ -52,23 +52,37 @@ def parse_extractions(rows: DataFrame) -> DataFrame:
     return rows.select("chunk_id", "document_id", "content", T.let(p, sanitise).alias("payload"))
 
 
-def merge(parsed: DataFrame, canonical=C.canonical_name) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Nodes, edges and evidence of sanitised extractions.
+#: Where quotes are joined, so that all of a chunk's are prepared at once.
+_BETWEEN = "\u0001"
+
+
+def _checked(items: Column, text: Column) -> Column:
+    """Array of (x, found): each item, and whether its quote stands in the text, which is evidence text."""
+    quotes = F.transform(items, lambda x: F.translate(F.coalesce(x["quote"], F.lit("")), _BETWEEN, ""))
+    prepared = F.split(C.evidence_text(F.array_join(quotes, _BETWEEN)), _BETWEEN, -1)
+    pairs = F.zip_with(items, prepared, lambda x, q: F.struct(x.alias("x"), ((q != "") & F.contains(text, q)).alias("found")))
+    return F.slice(pairs, 1, F.size(items))
+
+
+NODE_KEY, EDGE_KEY = ["canonical", "node_type"], ["a_name", "a_type", "b_name", "b_type", "type", "label"]
+_NODE_ORDER, _EDGE_ORDER = ["document_id", "chunk_id", "kind", "pos"], ["document_id", "chunk_id", "pos"]
+
+
+def evidence(parsed: DataFrame, canonical=C.canonical_name) -> tuple[DataFrame, DataFrame]:
+    """Evidence of nodes and of edges of sanitised extractions, each once for a chunk and quote.
 
     A node needs a quote found in its chunk; an edge needs one too, and two different ends that its chunk names.
-    An accepted edge is evidence for its ends.  The evidence of one node is counted once for each chunk and quote.
+    An accepted edge is evidence for its ends.  Quotes are looked for inside their chunk's row, so no text is multiplied.
     """
     order = ["document_id", "chunk_id", "pos"]
-    # contents are prepared once, before their rows are multiplied; kept, as nodes and edges read them several times
-    parsed = parsed.withColumn("_text", C.evidence_text(F.coalesce("content", F.lit("")))).select("document_id", "chunk_id", "_text", "payload").persist(StorageLevel.MEMORY_AND_DISK)
-    nodes = parsed.select("document_id", "chunk_id", "_text", F.posexplode("payload.nodes").alias("pos", "n"))
-    nodes = nodes.select("document_id", "chunk_id", "_text", "pos", "n.*").withColumn("canonical", canonical(F.col("name")))
+    text = C.evidence_text(F.translate(F.coalesce("content", F.lit("")), _BETWEEN, ""))
+    rows = parsed.withColumn("_text", text).select("document_id", "chunk_id", _checked(F.col("payload.nodes"), F.col("_text")).alias("nodes"), _checked(F.col("payload.edges"), F.col("_text")).alias("edges"))
+    rows = written_once(rows)  # nodes and edges read them
+    nodes = rows.select("document_id", "chunk_id", F.posexplode("nodes").alias("pos", "n")).select(*order, "n.x.*", "n.found").withColumn("canonical", canonical(F.col("name")))
     local = nodes.withColumn("_r", F.row_number().over(Window.partitionBy("chunk_id", "canonical").orderBy("pos"))).filter("_r = 1").select("chunk_id", "canonical", F.col("type").alias("node_type"), "name")
-    found = nodes.filter(C.quote_found(F.col("_text"), F.col("quote"), prepared=True))
-    node_ev = found.select(*order, "canonical", F.col("type").alias("node_type"), "name", "description", "confidence", "quote", F.lit(0).alias("kind"))
+    node_ev = nodes.filter("found").select(*order, "canonical", F.col("type").alias("node_type"), "name", "description", "confidence", "quote", F.lit(0).alias("kind"))
 
-    edges = parsed.select("document_id", "chunk_id", "_text", F.posexplode("payload.edges").alias("pos", "e"))
-    edges = edges.select("document_id", "chunk_id", "_text", "pos", "e.*").filter(C.quote_found(F.col("_text"), F.col("quote"), prepared=True)).drop("_text")
+    edges = rows.select("document_id", "chunk_id", F.posexplode("edges").alias("pos", "e")).filter("e.found").select(*order, "e.x.*")
     edges = edges.withColumns({"_s": canonical(F.col("source")), "_t": canonical(F.col("target"))})
 
     def end(c: str) -> DataFrame:
@@ -76,26 +90,74 @@ def merge(parsed: DataFrame, canonical=C.canonical_name) -> tuple[DataFrame, Dat
 
     edges = edges.join(end("a"), (F.col("chunk_id") == F.col("a_chunk")) & (F.col("_s") == F.col("a_name"))).join(end("b"), (F.col("chunk_id") == F.col("b_chunk")) & (F.col("_t") == F.col("b_name")))
     edges = edges.filter((F.col("a_name") != F.col("b_name")) | (F.col("a_type") != F.col("b_type")))
-    ends = None
-    for c in ("a", "b"):
-        one = edges.select(*order, F.col(f"{c}_name").alias("canonical"), F.col(f"{c}_type").alias("node_type"), F.col(f"{c}_shown").alias("name"), F.lit("").alias("description"), "confidence", "quote", F.lit(1).alias("kind"))
-        ends = one if ends is None else ends.unionByName(one)
-    evidence = node_ev.unionByName(ends)
-    w = Window.partitionBy("canonical", "node_type", "chunk_id", "quote").orderBy("kind", "pos")
-    once = evidence.withColumn("_r", F.row_number().over(w)).filter("_r = 1")
-    first = F.struct("document_id", "chunk_id", "kind", "pos")
-    node_rows = once.groupBy("canonical", "node_type").agg(
+    ends = [
+        edges.select(*order, F.col(f"{c}_name").alias("canonical"), F.col(f"{c}_type").alias("node_type"), F.col(f"{c}_shown").alias("name"), F.lit("").alias("description"), "confidence", "quote", F.lit(1).alias("kind"))
+        for c in ("a", "b")
+    ]
+    w = Window.partitionBy(*NODE_KEY, "chunk_id", "quote").orderBy("kind", "pos")
+    node_once = node_ev.unionByName(ends[0]).unionByName(ends[1]).withColumn("_r", F.row_number().over(w)).filter("_r = 1")
+    edge_once = edges.withColumn("_r", F.row_number().over(Window.partitionBy(*EDGE_KEY, "chunk_id", "quote").orderBy("pos"))).filter("_r = 1")
+    return node_once.drop("_r"), edge_once.select(*order, *EDGE_KEY, "description", "confidence", "quote")
+
+
+def _partials(rows: DataFrame, key: list[str], order: list[str], name: str | None) -> DataFrame:
+    at = [F.col(c) for c in order]
+    shown = {"shown": F.min(F.struct(*at, F.col(name).alias("value")))} if name else {}
+    aggs = {"mentions": F.count("*"), "total": F.sum("confidence"), **shown, "described": F.min(F.when(F.col("description") != "", F.struct(*at, F.col("description").alias("value"))))}
+    return rows.groupBy(*key, "document_id").agg(*[c.alias(n) for n, c in aggs.items()])
+
+
+def node_partials(node_evidence: DataFrame) -> DataFrame:
+    """What each document adds to each node: a table that can be kept, and that deltas are made of."""
+    return _partials(node_evidence, NODE_KEY, _NODE_ORDER, "name")
+
+
+def edge_partials(edge_evidence: DataFrame) -> DataFrame:
+    return _partials(edge_evidence, EDGE_KEY, _EDGE_ORDER, None)
+
+
+def _combined(partials: DataFrame, key: list[str]) -> DataFrame:
+    shown = [F.min("shown")["value"].alias("display_name")] if "shown" in partials.columns else []
+    return partials.groupBy(*key).agg(
+        F.sum("mentions").alias("mention_count"), (F.sum("total") / F.sum("mentions")).alias("confidence"), *shown, F.coalesce(F.min("described")["value"], F.lit("")).alias("description"),
+    )
+
+
+def nodes_of(partials: DataFrame) -> DataFrame:
+    return _combined(partials, NODE_KEY).withColumn("id", T.stable_id(F.concat_ws("|", *NODE_KEY)))
+
+
+def edges_of(partials: DataFrame) -> DataFrame:
+    return _combined(partials, EDGE_KEY)
+
+
+def apply_delta(partials: DataFrame, rows: DataFrame, new: DataFrame, changed: DataFrame, key: list[str], rows_of) -> tuple[DataFrame, DataFrame]:
+    """Partials and rows of a graph after documents changed, whose rows elsewhere stay as they are.
+
+    ``new``: partials of the documents as they are now; ``changed``: document_id of all that were added, edited or
+    deleted.  Only keys that one of those documents has, or had, are put together again.
+    """
+    gone = partials.join(changed, "document_id", "left_semi")
+    touched = written_once(gone.select(*key).unionByName(new.select(*key)).distinct())
+    now = partials.join(changed, "document_id", "left_anti").unionByName(new)
+    again = rows_of(now.join(touched, key, "left_semi"))
+    return now, rows.join(touched, key, "left_anti").unionByName(again.select(*rows.columns))
+
+
+def merge(parsed: DataFrame, canonical=C.canonical_name) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Nodes, edges and evidence of sanitised extractions; an edge needs both of its ends among the nodes."""
+    node_evidence, edge_evidence = evidence(parsed, canonical)
+    first = F.struct(*_NODE_ORDER)
+    node_rows = node_evidence.groupBy(*NODE_KEY).agg(
         F.count("*").alias("mention_count"), F.avg("confidence").alias("confidence"), F.min_by("name", first).alias("display_name"),
         F.coalesce(F.min_by("description", F.when(F.col("description") != "", first)), F.lit("")).alias("description"),
     )
-    node_rows = node_rows.withColumn("id", T.stable_id(F.concat_ws("|", "canonical", "node_type")))
-    ekey = ["a_name", "a_type", "b_name", "b_type", "type", "label"]
-    edge_once = edges.withColumn("_r", F.row_number().over(Window.partitionBy(*ekey, "chunk_id", "quote").orderBy("pos"))).filter("_r = 1")
-    at = F.struct("document_id", "chunk_id", "pos")
-    edge_rows = edge_once.groupBy(*ekey).agg(F.count("*").alias("mention_count"), F.avg("confidence").alias("confidence"), F.coalesce(F.min_by("description", F.when(F.col("description") != "", at)), F.lit("")).alias("description"))
-    for c in ("a", "b"):  # both ends must be there
+    node_rows = node_rows.withColumn("id", T.stable_id(F.concat_ws("|", *NODE_KEY)))
+    at = F.struct(*_EDGE_ORDER)
+    edge_rows = edge_evidence.groupBy(*EDGE_KEY).agg(F.count("*").alias("mention_count"), F.avg("confidence").alias("confidence"), F.coalesce(F.min_by("description", F.when(F.col("description") != "", at)), F.lit("")).alias("description"))
+    for c in ("a", "b"):
         edge_rows = edge_rows.join(node_rows.select(F.col("canonical").alias(f"{c}_name"), F.col("node_type").alias(f"{c}_type")), [f"{c}_name", f"{c}_type"], "left_semi")
-    return node_rows, edge_rows.select(*ekey, "mention_count", "confidence", "description"), once.drop("_r", "kind")
+    return node_rows, edge_rows.select(*EDGE_KEY, "mention_count", "confidence", "description"), node_evidence.drop("kind")
 
 
 def degrees(edges: DataFrame, a: str = "source", b: str = "target") -> DataFrame:
@@ -266,6 +328,44 @@ def graph_status(runs: DataFrame, nodes: DataFrame, edges: DataFrame, views: Dat
     return last.withColumns({"nodes": F.coalesce("nodes", F.lit(0)).cast("long"), "edges": F.coalesce("edges", F.lit(0)).cast("long")})
 
 
+#: What stands for a heading that a text doesn't have (a fixed value), and how deep headings go.
+NO_HEADING, LEVELS = "未命名片段", 6
+
+
+def headed_lines(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """(key, n, line, heading, path) of the lines of Markdown texts that aren't headings.
+
+    ``path`` is the stack of headings that are open at the line: of each level the latest, unless one of a higher level
+    came after it.  ``heading`` is its last one, or the default.
+    """
+    lines = docs.select(key, F.posexplode(F.split(T.unify_newlines(F.coalesce(F.col(text), F.lit(""))), "\n", -1)).alias("n", "line"))
+    marks = F.regexp_extract("line", r"^\s*(#{1,6})\s+\S", 1)
+    lines = lines.withColumns({"_level": F.length(marks), "_title": T.trim_ws(F.regexp_replace("line", r"^\s*#{1,6}\s+", ""))})
+    so_far = Window.partitionBy(key).orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
+    last = {f"_h{k}": F.max(F.when(F.col("_level") == k, F.struct("n", "_title"))).over(so_far) for k in range(1, LEVELS + 1)}
+    lines = lines.withColumns(last)
+    at = lambda k: F.coalesce(F.col(f"_h{k}.n"), F.lit(-1))
+    still = [F.when(at(k) > F.greatest(F.lit(-1), F.lit(-1), *[at(j) for j in range(1, k)]), F.col(f"_h{k}._title")) for k in range(1, LEVELS + 1)]
+    path = F.array_compact(F.array(*still))
+    rows = lines.filter("_level = 0").withColumn("path", path)
+    return rows.select(key, "n", "line", F.coalesce(F.get("path", F.size("path") - 1), F.lit(NO_HEADING)).alias("heading"), "path")
+
+
+def entities_by_heading(lines: DataFrame, entity: str = "[A-Z][a-z]{3,}", key: str = "doc_id", most: int = TOP_ENTITIES) -> DataFrame:
+    """(key, heading, place, node, n, rank): the entities named most under each heading; headings in the order in which they come."""
+    first = lines.groupBy(key, "heading").agg(F.min("n").alias("_n"))
+    first = first.select(key, "heading", F.row_number().over(Window.partitionBy(key).orderBy("_n")).alias("place"))
+    found = lines.select(key, "heading", F.explode(F.regexp_extract_all("line", F.lit(entity), F.lit(0))).alias("node")).groupBy(key, "heading", "node").agg(F.count("*").alias("n"))
+    w = Window.partitionBy(key, "heading").orderBy(F.desc("n"), F.lower(F.upper("node")), "node")
+    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= most).join(first, [key, "heading"]).select(key, "heading", "place", "node", "n", "rank")
+
+
+def evidence_places(evidence: DataFrame, of: str) -> DataFrame:
+    """Evidence with its ``place`` in the list of what it is evidence of: most confident first, then newest, then by id."""
+    w = Window.partitionBy(of).orderBy(F.desc("confidence"), F.desc("created_at"), "id")
+    return evidence.withColumn("place", F.row_number().over(w))
+
+
 def _outlines(top: DataFrame, docs: DataFrame) -> DataFrame:
     """(doc_id, file_name, t): the outline of each document: its name, headings in order, entities with counts."""
     entity = F.format_string("#### %s [%s] x%d", F.col("node"), F.col("type"), F.col("n"))

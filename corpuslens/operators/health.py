@@ -9,7 +9,7 @@ from corpuslens.functions import text as T
 
 MAX_EXAMPLES = 5
 
-#: Issue code, severity, action and what counts it, in the order they are reported.
+#: Issue code, severity, action and what counts it, in the order they are reported.
 FOLDER_ISSUES = [
     ("FOLDER_NOT_FOUND", "ERROR", "DELETE_FOLDER", "not_found"),
     ("NO_DOCUMENTS", "WARNING", "SYNC_FOLDER", "no_documents"),

@@ -130,5 +130,5 @@ def topk(spark: SparkSession, path: str, query: DataFrame, k: int, key: str = "d
     first = search.top(bounds.select("query_id", "bound", F.col("bound").alias("score"), F.struct(*place).alias("_place")), k, "_place")
     seeds = first.select("query_id", "_place.*")
     bar = search.top(scored(seeds), k, key).filter(F.col("rank") == k).select("query_id", F.col("score").alias("bar"))
-    left = bounds.join(few(bar), "query_id", "left").filter(F.col("bar").isNull() | (F.col("bound") >= F.col("bar") - SLACK))
+    left = bounds.join(bar, "query_id", "left").filter(F.col("bar").isNull() | (F.col("bound") >= F.col("bar") - SLACK))
     return search.top(scored(left), k, key)

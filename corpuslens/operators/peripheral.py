@@ -48,6 +48,22 @@ def capability(node_fields: Column, model_id: Column, embedding: list[str], chat
     return F.when(has(fields, embedding), "EMBEDDING").when(has(fields, chat), "CHAT").when(has(name, embedding), "EMBEDDING").otherwise("UNKNOWN")
 
 
+#: A string of a JSON text: a name (group 1 is empty then) or a value (group 1, with its escapes).
+_JSON_STRING = r'"(?:[^"\\]|\\.)*"\s*:|"((?:[^"\\]|\\.)*)"'
+
+
+def string_values(json: Column, field: str) -> Column:
+    """All strings that are values in a field of a JSON object, at any depth; none if the text is no JSON or lacks the field."""
+    inside = F.to_json(F.try_variant_get(F.try_parse_json(json), f"$.{field}", "variant"))
+    return F.filter(F.coalesce(F.regexp_extract_all(inside, F.lit(_JSON_STRING), F.lit(1)), F.array().cast("array<string>")), lambda x: x != "")
+
+
+def json_capability(json: Column, fields: list[str], model_id: Column, embedding: list[str], chat: list[str]) -> Column:
+    """:func:`capability` by the strings inside some fields of a catalogue's entry, however deep they are nested."""
+    values = F.array_join(F.concat(*[string_values(json, f) for f in fields]), "\n")
+    return capability(values, model_id, embedding, chat)
+
+
 def frames(lines: DataFrame, stream: str = "stream_id", n: str = "n", line: str = "line") -> DataFrame:
     """Events of event streams given line by line: (stream, frame, event, data), data lines joined.
 

@@ -45,6 +45,24 @@ def bm25(posts: DataFrame, query: DataFrame, key: str = "chunk_id", k1: float =
     return weighted.join(few(query), "term").groupBy("query_id", key).agg(F.sum("w").alias("score"))
 
 
+def bm25_texts(rows: DataFrame, fields: dict[str, str], query: DataFrame, key: str = "chunk_id", k1: float = K1, b: float = B) -> DataFrame:
+    """What :func:`bm25` gives over the postings of ``rows`` (a row for each key), without making them all.
+
+    Lengths are known in each row, so statistics need no shuffle, and only occurrences of the query's terms are grouped.
+    """
+    every = F.array(*[F.struct(F.lit(f).alias("field"), T.terms(c).alias("terms")) for f, c in fields.items()])
+    flat = rows.select(key, F.explode(every).alias("_f")).select(key, "_f.field", F.size("_f.terms").cast("long").alias("dl"), "_f.terms")
+    stats = flat.filter("dl > 0").groupBy("field").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))  # a row for each field
+    words = few(query.select("term").distinct())
+    hit = flat.select(key, "field", "dl", F.explode("terms").alias("term")).join(words, "term", "left_semi").groupBy("field", "term", key, "dl").agg(F.count("*").alias("tf"))
+    df = hit.groupBy("field", "term").agg(F.count("*").alias("df"))
+    # the planner sees the sizes of df, a row for each field and term of the query set, and of the others when they are there
+    weighted = hit.join(df, ["field", "term"]).join(F.broadcast(stats), "field")
+    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weighted = weighted.select(key, "term", (idf * F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))).alias("w"))
+    return weighted.join(few(query), "term").groupBy("query_id", key).agg(F.sum("w").alias("score"))
+
+
 def cosine(a: Column, b: Column) -> Column:
     """Cosine of two arrays, in double precision."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q), F.lit(0.0), lambda s, v: s + v)

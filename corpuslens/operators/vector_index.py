@@ -96,7 +96,7 @@ def probes_for(spark: SparkSession, path: str, vectors: DataFrame, k: int, recal
                 own = near[np.arange(len(near)), np.searchsorted(number, batch.column("cell").to_numpy())]
                 yield pa.RecordBatch.from_arrays([pa.array((near >= own[:, None]).sum(axis=1).astype(np.int32))], ["place"])
 
-    found = search.vector_topk(rows, some, k, key).select("query_id", key)
+    found = written_once(search.vector_topk(rows, some, k, key).select("query_id", key))
     lists = spark.read.parquet(f"{path}/vectors").select(key, "cell")
     places = few(found).join(lists, key).join(few(some), "query_id").select("embedding", "cell").mapInArrow(place, "place int")
     return places.agg(F.percentile("place", F.lit(recall)).alias("p")).select(F.ceil("p").cast("int")).first()[0] or 1
@@ -135,7 +135,7 @@ def topk(spark: SparkSession, path: str, query: DataFrame, k: int, key: str = "v
     if not exact:
         return best
     bar = best.filter(F.col("rank") == k).select("query_id", F.col("score").alias("bar"))
-    more = query.join(few(bar), "query_id", "left").mapInArrow(route, schema)
+    more = query.join(bar, "query_id", "left").mapInArrow(route, schema)
     return search.top(best.drop("rank").unionByName(_meet(lists, more, k, key, ids, kind)), k, key)
 
 

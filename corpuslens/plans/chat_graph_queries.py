@@ -10,6 +10,7 @@ from corpuslens.functions import text as T
 from corpuslens.operators import chat, chunk, graph
 from corpuslens.plans.registry import query
 from corpuslens.plans.text_queries import CHUNKS_SQL, collapse_sql, trim_sql
+from corpuslens.session import written_once
 from corpuslens.sources import adapt
 from corpuslens.sources.adapt import MESSAGES_SQL, table
 
@@ -207,10 +208,11 @@ def adjacency_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("source", "source_type", "target", "target_type", "weight", place.alias("place"))
 
 
-def _extractions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _extractions(spark: SparkSession, sf_dir: str, docs: DataFrame | None = None) -> DataFrame:
     """Stored extractions of all chunks: capitalised words, quoted by themselves, and a relation of each to the next."""
+    docs = table(spark, sf_dir, "documents") if docs is None else docs
     words = F.slice(F.array_distinct(F.regexp_extract_all("content", F.lit("[A-Z][a-z]{3,}"), F.lit(0))), 1, graph.MAX_NODES)
-    d = chunk.chunk_plain(table(spark, sf_dir, "documents")).withColumn("w", words)
+    d = chunk.chunk_plain(docs).withColumn("w", words)
     node = lambda x: F.struct(x.alias("name"), F.lit("word").alias("type"), F.lit("").alias("description"), F.lit(0.5).alias("confidence"), x.alias("quote"))
     edge = lambda x, i: F.struct(
         x.alias("source"), F.get("w", i + 1).alias("target"), F.lit("part of").alias("type"), F.lit("依赖").alias("displayLabel"), F.lit("").alias("description"),
@@ -244,6 +246,33 @@ def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edges.select("a_name", "b_name", "type", "label", "mention_count", F.round("confidence", 6).alias("confidence"))
 
 
+def _delta(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The graph after a delta: some documents were strange to it, some are new, some were edited since."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    added, edited = F.col("doc_id") % 5 == 3, F.col("doc_id") % 7 == 2
+    strange = docs.filter("doc_id % 11 = 4").withColumn("doc_id", -1 - F.col("doc_id"))
+    before = docs.filter(~added).withColumn("text", F.when(edited, F.concat("text", F.lit(" Outdated Wording"))).otherwise(F.col("text"))).unionByName(strange)
+    changed = docs.filter(added | edited).select(F.col("doc_id").alias("document_id")).unionByName(strange.select(F.col("doc_id").alias("document_id")))
+    old = graph.evidence(graph.parse_extractions(_extractions(spark, sf_dir, before)))
+    new = graph.evidence(graph.parse_extractions(_extractions(spark, sf_dir, docs.filter(added | edited))))
+    out = []
+    for k, (partials_of, rows_of, key) in enumerate(((graph.node_partials, graph.nodes_of, graph.NODE_KEY), (graph.edge_partials, graph.edges_of, graph.EDGE_KEY))):
+        partials = written_once(partials_of(old[k]))
+        out.append(graph.apply_delta(partials, rows_of(partials), partials_of(new[k]), changed, key, rows_of)[1])
+    return out[0], out[1]
+
+
+@query(f"WITH {MERGE_SQL} SELECT canonical, count(*) AS mention_count, round(avg(confidence), 6) AS confidence FROM evidence GROUP BY canonical")
+def graph_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes kept up to date by a delta of documents: those of a merge of everything."""
+    return _delta(spark, sf_dir)[0].select("canonical", "mention_count", F.round("confidence", 6).alias("confidence"))
+
+
+@query(f"WITH {MERGE_SQL} SELECT lower(source) AS a_name, lower(target) AS b_name, 'STRUCTURAL' AS type, '依赖' AS label, count(*) AS mention_count, CAST(1.0 AS DOUBLE) AS confidence FROM es GROUP BY 1, 2")
+def graph_delta_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _delta(spark, sf_dir)[1].select("a_name", "b_name", "type", "label", "mention_count", F.round("confidence", 6).alias("confidence"))
+
+
 @query(f"""WITH {MERGE_SQL} SELECT canonical, doc_id AS document_id, d.source AS folder, quote, confidence FROM evidence JOIN documents d USING (doc_id)""")
 def evidence_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, _, evidence = _merged(spark, sf_dir)
@@ -315,3 +344,40 @@ def ingest_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 def message_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = adapt.messages(spark, sf_dir).withColumn("agent", chat.route(F.when(F.col("conv_id") % 2 == 0, True)))
     return rows.groupBy("conv_id", "agent").agg(F.count("*").alias("n"))
+
+
+#: Pages as Markdown: titles and bold paragraphs are headings of two levels.
+HEADED_SQL = """marked AS (SELECT page_id, string_split(regexp_replace(regexp_replace(regexp_replace(html, '<h1[^>]*>', chr(10) || '# ', 'g'), '</h1>|<br>', chr(10), 'g'), '<p><b>', chr(10) || '## ', 'g'), chr(10)) AS ls FROM pages),
+lines AS (SELECT page_id, unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS n FROM marked),
+leveled AS (SELECT *, length(regexp_extract(line, '^\\s*(#{1,6})\\s+\\S', 1)) AS level, trim(regexp_replace(line, '^\\s*#{1,6}\\s+', '')) AS title FROM lines),
+tops AS (SELECT *, max(CASE WHEN level = 1 THEN n END) OVER w AS n1, max(CASE WHEN level = 2 THEN n END) OVER w AS n2 FROM leveled WINDOW w AS (PARTITION BY page_id ORDER BY n ROWS UNBOUNDED PRECEDING)),
+headed AS (SELECT t.page_id, t.n, t.line, t1.title AS h1, CASE WHEN t.n2 > coalesce(t.n1, -1) THEN t2.title END AS h2
+  FROM tops t LEFT JOIN leveled t1 ON t1.page_id = t.page_id AND t1.n = t.n1 LEFT JOIN leveled t2 ON t2.page_id = t.page_id AND t2.n = t.n2 WHERE t.level = 0)"""
+
+
+def _headed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = F.regexp_replace(F.regexp_replace(F.regexp_replace("html", "<h1[^>]*>", "\n# "), "</h1>|<br>", "\n"), "<p><b>", "\n## ")
+    return graph.headed_lines(table(spark, sf_dir, "pages").select("page_id", marked.alias("text")), key="page_id")
+
+
+@query(f"WITH {HEADED_SQL} SELECT page_id, CAST(n AS INT) AS n, concat_ws(' > ', h1, h2) AS path, coalesce(h2, h1, '未命名片段') AS heading FROM headed")
+def heading_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stack of open headings at every line of the pages."""
+    return _headed(spark, sf_dir).select("page_id", "n", F.array_join("path", " > ").alias("path"), "heading")
+
+
+@query(f"""WITH {HEADED_SQL}, h AS (SELECT page_id, n, line, coalesce(h2, h1, '未命名片段') AS heading FROM headed),
+places AS (SELECT page_id, heading, row_number() OVER (PARTITION BY page_id ORDER BY min(n)) AS place FROM h GROUP BY page_id, heading),
+c AS (SELECT page_id, heading, node, count(*) AS n FROM (SELECT page_id, heading, unnest(regexp_extract_all(line, '[A-Z][a-z]{{3,}}')) AS node FROM h) GROUP BY ALL)
+SELECT page_id, heading, CAST(place AS INT) AS place, node, n, CAST(row_number() OVER (PARTITION BY page_id, heading ORDER BY n DESC, lower(upper(node)), node) AS INT) AS rank
+FROM c JOIN places USING (page_id, heading) QUALIFY rank <= 12""")
+def mindmap_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Top entities under each real heading of the pages, headings in page order, text before any of them under the default."""
+    return graph.entities_by_heading(_headed(spark, sf_dir), key="page_id")
+
+
+@query("""SELECT event_id AS id, user_id AS node, round(value, 6) AS confidence, CAST(row_number() OVER (PARTITION BY user_id ORDER BY value DESC, ts DESC, event_id) AS INT) AS place FROM events""")
+def evidence_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as evidence of their users, in the order in which evidence is listed."""
+    rows = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("node"), F.col("value").alias("confidence"), F.col("ts").alias("created_at"))
+    return graph.evidence_places(rows, "node").select("id", "node", F.round("confidence", 6).alias("confidence"), "place")

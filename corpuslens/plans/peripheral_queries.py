@@ -45,6 +45,15 @@ def model_capability(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", P.capability(F.col("p_type"), F.col("p_name"), ["steel"], ["brass"]).alias("capability"))
 
 
+@query("""SELECT p_partkey, CASE WHEN contains(lower(p_type), 'steel') THEN 'EMBEDDING' WHEN contains(lower(p_type), 'brass') OR contains(lower(p_brand), '#3') THEN 'CHAT'
+  WHEN contains(lower(p_name), 'steel') THEN 'EMBEDDING' ELSE 'UNKNOWN' END AS capability FROM part""")
+def nested_capability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hints in strings that lie deep inside an entry's fields; names of fields, numbers and other fields don't count."""
+    deep = F.struct(F.array(F.struct(F.col("p_type").alias("kind"), F.lit(1).alias("steel"))).alias("list"), F.struct(F.array(F.array("p_brand")).alias("brass")).alias("inner"))
+    entry = F.to_json(F.struct(F.col("p_name").alias("id"), deep.alias("capabilities"), F.lit("steel and brass").alias("note")))
+    return table(spark, sf_dir, "part").select("p_partkey", P.json_capability(entry, ["capabilities", "tags"], F.col("p_name"), ["steel"], ["brass", "#3"]).alias("capability"))
+
+
 @query("""WITH n AS (SELECT user_id AS stream_id, event_id AS n, event_type, props FROM events),
 framed AS (SELECT *, CAST(coalesce(sum(CASE WHEN event_type = 'view' THEN 1 ELSE 0 END) OVER (PARTITION BY stream_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS frame FROM n)
 SELECT stream_id, frame, coalesce(max_by(event_type, n) FILTER (WHERE event_type = 'error'), 'message') AS event, string_agg(props, chr(10) ORDER BY n) FILTER (WHERE event_type NOT IN ('view', 'error')) AS data

@@ -141,6 +141,22 @@ def terminal_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy(F.col("status").isin("purchase", "signup").alias("deleted")).agg(F.count("*").alias("n"), F.min("run_id").alias("first_id"))
 
 
+@query("""WITH r AS (SELECT event_id AS run_id, CASE event_type WHEN 'purchase' THEN 'COMPLETED' WHEN 'signup' THEN 'FAILED' WHEN 'click' THEN 'RUNNING' ELSE 'QUEUED' END AS status FROM events),
+asked AS (SELECT run_id + CASE WHEN run_id % 10 = 0 THEN 100000000 ELSE 0 END AS run_id FROM r WHERE run_id % 2 = 0)
+SELECT a.run_id, CASE WHEN r.run_id IS NULL THEN 'missing' WHEN status IN ('COMPLETED', 'FAILED') THEN 'deleted' ELSE 'skipped' END AS outcome FROM asked a LEFT JOIN r USING (run_id)
+UNION ALL SELECT run_id, 'left' FROM r WHERE NOT (status IN ('COMPLETED', 'FAILED') AND run_id % 2 = 0 AND run_id % 10 <> 0)""")
+def run_deletions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What becomes of each run that is to be deleted, and the runs that are left."""
+    from corpuslens.streaming import runs as run_control
+
+    kind = F.col("event_type")
+    status = F.when(kind == "purchase", "COMPLETED").when(kind == "signup", "FAILED").when(kind == "click", "RUNNING").otherwise("QUEUED")
+    rows = table(spark, sf_dir, "events").select(F.col("event_id").alias("run_id"), status.alias("status"))
+    asked = rows.filter("run_id % 2 = 0").select((F.col("run_id") + F.when(F.col("run_id") % 10 == 0, 100_000_000).otherwise(0)).alias("run_id"))
+    left, outcomes = run_control.delete_runs(rows, asked)
+    return outcomes.unionByName(left.select("run_id", F.lit("left").alias("outcome")))
+
+
 @query("""WITH s AS (SELECT o_orderkey + 10 AS o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_custkey END AS o_custkey, 'X' AS o_orderstatus FROM orders WHERE o_orderkey % 2 = 0)
 SELECT coalesce(t.o_orderkey, s.o_orderkey) AS o_orderkey, coalesce(s.o_custkey, t.o_custkey) AS o_custkey,
   CASE WHEN t.o_orderkey IS NOT NULL THEN t.o_orderstatus ELSE s.o_orderstatus END AS o_orderstatus

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuslens.functions import text as T
-from corpuslens.operators import chunk, index, index_store, search, vector_index
+from corpuslens.operators import chunk, index, index_store, search, segment, vector_index
 from corpuslens.plans.registry import query
 from corpuslens.session import shared_folder
 from corpuslens.sources import adapt
@@ -122,6 +122,11 @@ def _index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.postings(d.select("doc_id", "text", "file_name"), {"content": "text", "fileName": "file_name"}, "doc_id")
 
 
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = adapt.documents(spark, sf_dir)
+    return search.bm25_texts(d.select("doc_id", "text", "file_name"), {"content": "text", "fileName": "file_name"}, _queries(spark, sf_dir), "doc_id")
+
+
 POSTINGS_SQL = f"""posts AS (
   SELECT field, term, doc_id, count(*) AS tf FROM (
     SELECT 'content' AS field, doc_id, unnest({TERMS_SQL.format('text')}) AS term FROM docs
@@ -153,6 +158,19 @@ def index_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Fixed letters and the Han characters that stand for them in the derived Han text.
+LATIN, HAN = "abcdefghijklmnopqrstuvwxyz", "天地人山水火木金土日月星云风雨雪花草鸟鱼马牛羊石田心"
+
+
+@query()
+def segmented_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(term, doc_id, tf) of documents written without blanks in Han characters, cut into words that are learned from them; tests hold it against brute force."""
+    han = F.translate(F.regexp_replace(F.lower("text"), " ", ""), LATIN, HAN)
+    d = table(spark, sf_dir, "documents").select("doc_id", han.alias("text"))
+    cut = segment.terms(segment.learn(d))
+    return d.select("doc_id", F.explode(cut("text")).alias("term")).groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
+
+
 @query("""
 WITH ids AS (SELECT page_id, unnest(regexp_extract_all(html, '[A-Za-z_$][A-Za-z0-9_$]*(?:[.:/#\\\\-][A-Za-z0-9_$]+)*')) AS t FROM pages),
 parts AS (SELECT page_id, unnest(regexp_split_to_array(regexp_replace(regexp_replace(regexp_replace(t, '[\\\\.:#/_-]', ' ', 'g'), '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '([A-Z]+)([A-Z][a-z])', '\\1 \\2', 'g'), '\\s+')) AS t FROM ids),
@@ -212,7 +230,7 @@ SELECT query_id, doc_id, file_name, round(score, 6) AS score, CAST(row_number()
 FROM (SELECT *, {collapse_sql('text')} AS t FROM {_top_sql('scored', 8)} {HYDRATE_SQL})""")
 def keyword_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """KEYWORD search: top hits of each query, then without the documents of folders that are off."""
-    hits = search.top(search.bm25(_index(spark, sf_dir), _queries(spark, sf_dir), "doc_id"), search.TOP_K, "doc_id")
+    hits = search.top(_scored(spark, sf_dir), search.TOP_K, "doc_id")
     found = search.rerank(search.hydrate(hits, adapt.documents(spark, sf_dir), "doc_id"))
     return found.select("query_id", "doc_id", "file_name", F.round("score", 6).alias("score"), "rank", T.preview("text").alias("preview"))
 
@@ -255,7 +273,7 @@ def vector_ann_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _channels(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Both channels of hybrid search over documents; the vector of a document is that of its id, queries are item ids."""
     docs, most = adapt.documents(spark, sf_dir), search.candidates(search.TOP_K)
-    key = search.top(search.bm25(_index(spark, sf_dir), _queries(spark, sf_dir), "doc_id"), most, "doc_id")
+    key = search.top(_scored(spark, sf_dir), most, "doc_id")
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
     wanted = _queries(spark, sf_dir).select("query_id").distinct().join(vectors.withColumnRenamed("doc_id", "query_id"), "query_id")
     vec = search.vector_topk(vectors, wanted, most, "doc_id")
@@ -293,7 +311,7 @@ def hybrid_missing_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT query_id, string_agg('[' || n || '] ' || file_name || chr(10) || 'path: ' || folder || chr(10) || 'location: none' || chr(10) || text, chr(10) || chr(10) ORDER BY n) AS context
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS n FROM {_top_sql('scored', 3)} {HYDRATE_SQL}) GROUP BY query_id""")
 def rag_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = search.top(search.bm25(_index(spark, sf_dir), _queries(spark, sf_dir), "doc_id"), 3, "doc_id")
+    hits = search.top(_scored(spark, sf_dir), 3, "doc_id")
     found = search.rerank(search.hydrate(hits, adapt.documents(spark, sf_dir), "doc_id"))
     none = F.lit(None).cast("string")
     block = search.context_block(F.col("rank"), F.col("file_name"), F.col("folder"), none, none.cast("int"), F.col("text"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+import warnings
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,6 +38,7 @@ def shared_folder(spark: SparkSession, name: str) -> str:
         if not re.fullmatch(r"local(\[[^-]*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="corpuslens-shared-")
+        warnings.warn(f"spark.checkpoint.dir isn't set; intermediate tables of this machine go to {found}", stacklevel=2)
     return f"{found.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -46,5 +48,7 @@ def written_once(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         if not re.fullmatch(r"local(\[[^-]*\])?", context.master):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="corpuslens-checkpoint-"))
+        found = tempfile.mkdtemp(prefix="corpuslens-checkpoint-")
+        warnings.warn(f"spark.checkpoint.dir isn't set; checkpoints of this machine go to {found}", stacklevel=2)
+        context.setCheckpointDir(found)
     return df.checkpoint()

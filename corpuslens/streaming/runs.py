@@ -50,6 +50,14 @@ def enqueue(runs: DataFrame, requests: DataFrame) -> DataFrame:
     return first.join(active, same, "left_anti")
 
 
+def delete_runs(runs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The runs that are left, and (run_id, outcome) of each id asked for: deleted, skipped (it hasn't ended) or missing."""
+    asked = ids.select("run_id").distinct()
+    found = asked.join(runs.select("run_id", F.col("status").isin(*TERMINAL).alias("_ended")), "run_id", "left")
+    outcomes = found.select("run_id", F.when(F.col("_ended").isNull(), "missing").when(F.col("_ended"), "deleted").otherwise("skipped").alias("outcome"))
+    return runs.join(outcomes.filter("outcome = 'deleted'"), "run_id", "left_anti"), outcomes
+
+
 def dispatch(runs: DataFrame) -> DataFrame:
     """The queued run that goes next, if none is running."""
     busy = runs.filter(F.col("status").isin("RUNNING", "CANCELLING")).limit(1).select(F.lit(True).alias("busy"))
