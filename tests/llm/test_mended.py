@@ -91,3 +91,63 @@ def test_many_edits_of_a_long_text():
             assert tree.total().tolist() == whole.total().tolist()
             assert tree.nodes[1:tree.slots].tolist() == (tree.nodes[2 : 2 * tree.slots : 2] + tree.nodes[3 : 2 * tree.slots : 2]).tolist()
     assert tree.slots <= 8 * whole.slots
+
+
+def boilerplate_texts(n, rng, shared=65, own=35):
+    """Texts that share most of their words and are no near copies, and a near copy of every tenth."""
+    common = " ".join(f"common{i}" for i in range(shared))
+    texts = []
+    for i in range(n):
+        mine = [f"own{rng.randrange(10**7)}" for _ in range(own)]
+        texts.append((i, f"{common} {' '.join(mine)}"))
+        if i % 10 == 0:
+            mine[-1] = "changed"
+            texts.append((n + i, f"{common} {' '.join(mine)}"))
+    return texts
+
+
+def test_unlike_texts_of_one_boilerplate(spark, written):
+    from corpuslens.llm import minhash_dedup
+
+    texts = boilerplate_texts(1500, random.Random(12))
+    got = minhash_dedup.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.class_id) for r in got} == {(i, i if i < 1500 else i - 1500) for i, _ in texts}
+    # what all have isn't among the rarest
+    assert written["rare-shingles"] <= 40 * len(texts)
+
+
+def test_near_copies_that_rare_shingles_find(spark):
+    """Many alike texts that sketches join in large buckets; all links against brute force."""
+    from corpuslens.llm import minhash_dedup
+
+    rng = random.Random(21)
+    texts = []
+    for i in range(500):
+        common = [f"c{k}" for k in range(70)]
+        for k in rng.sample(range(70), 2):
+            common[k] = f"x{rng.randrange(3)}"
+        texts.append((i, " ".join(common + [f"own{rng.randrange(4)}z{k}" for k in range(12)])))
+
+    def gram(t):
+        w = t.split()
+        return {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+
+    sets = [gram(t) for _, t in texts]
+    parent = list(range(len(texts)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in range(len(texts)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                parent[root(a)] = root(b)
+    want = {}
+    for i in range(len(texts)):
+        want.setdefault(root(i), set()).add(i)
+    got = {}
+    for r in minhash_dedup.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string")).collect():
+        got.setdefault(r.class_id, set()).add(r.doc_id)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
