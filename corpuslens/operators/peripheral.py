@@ -64,6 +64,13 @@ def json_capability(json: Column, fields: list[str], model_id: Column, embedding
     return capability(values, model_id, embedding, chat)
 
 
+def rank_options(options: DataFrame, role: str, group: str) -> DataFrame:
+    """Options of each ``group`` with their ``place``: those that fit the role, those of which nothing is known, the others; then by id."""
+    fits, other = ("EMBEDDING", "CHAT") if role == "EMBEDDING" else ("CHAT", "EMBEDDING")
+    rank = F.when(F.col("capability") == fits, 0).when(F.col("capability") == other, 2).otherwise(1)
+    return options.withColumn("place", F.row_number().over(Window.partitionBy(group).orderBy(rank, "id")))
+
+
 def frames(lines: DataFrame, stream: str = "stream_id", n: str = "n", line: str = "line") -> DataFrame:
     """Events of event streams given line by line: (stream, frame, event, data), data lines joined.
 

@@ -34,6 +34,21 @@ def upsert(target: DataFrame, source: DataFrame, key: str, keep: tuple[str, ...]
     return both.select(*[pick(c).alias(c) for c in target.columns])
 
 
+#: The key of each stored table, and the columns that a row which is there already keeps.
+UPSERTS = {"folders": ("folder_path", ("id", "created_at")), "extractions": ("chunk_id", ("id", "created_at")), "configs": ("id", ("created_at",)), "settings": ("setting_key", ("created_at",))}
+
+
+def upsert_stored(name: str, target: DataFrame, source: DataFrame) -> DataFrame:
+    """:func:`upsert` by the rule of a stored table."""
+    key, keep = UPSERTS[name]
+    return upsert(target, source, key, keep=tuple(c for c in keep if c in target.columns))
+
+
+def defaulted(rows: DataFrame, defaults: dict[str, object]) -> DataFrame:
+    """Rows with defaults in place of nulls, for a list of columns."""
+    return rows.withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in defaults.items()})
+
+
 def insert_ignore(target: DataFrame, source: DataFrame, key: str) -> DataFrame:
     """``target`` and those rows of ``source`` whose key it doesn't have."""
     return target.unionByName(source.join(target.select(key), key, "left_anti").select(*target.columns))

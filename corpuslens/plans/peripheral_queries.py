@@ -54,6 +54,17 @@ def nested_capability(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", P.json_capability(entry, ["capabilities", "tags"], F.col("p_name"), ["steel"], ["brass", "#3"]).alias("capability"))
 
 
+@query("""WITH o AS (SELECT p_brand AS owner, CAST(p_partkey AS VARCHAR) AS id, CASE WHEN contains(lower(p_type), 'steel') THEN 'EMBEDDING' WHEN contains(lower(p_type), 'brass') THEN 'CHAT' ELSE 'UNKNOWN' END AS capability FROM part)
+SELECT 'EMBEDDING' AS role, *, CAST(row_number() OVER (PARTITION BY owner ORDER BY CASE capability WHEN 'EMBEDDING' THEN 0 WHEN 'CHAT' THEN 2 ELSE 1 END, id) AS INT) AS place FROM o
+UNION ALL SELECT 'CHAT', *, CAST(row_number() OVER (PARTITION BY owner ORDER BY CASE capability WHEN 'CHAT' THEN 0 WHEN 'EMBEDDING' THEN 2 ELSE 1 END, id) AS INT) FROM o""")
+def model_options_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each owner's options in the order in which either role is offered them."""
+    entry = F.to_json(F.struct(F.struct(F.array("p_type").alias("kinds")).alias("capabilities")))
+    options = table(spark, sf_dir, "part").select(F.col("p_brand").alias("owner"), F.col("p_partkey").cast("string").alias("id"), P.json_capability(entry, ["capabilities"], F.lit(""), ["steel"], ["brass"]).alias("capability"))
+    both = [P.rank_options(options, role, "owner").select(F.lit(role).alias("role"), "owner", "id", "capability", "place") for role in ("EMBEDDING", "CHAT")]
+    return both[0].unionByName(both[1])
+
+
 @query("""WITH n AS (SELECT user_id AS stream_id, event_id AS n, event_type, props FROM events),
 framed AS (SELECT *, CAST(coalesce(sum(CASE WHEN event_type = 'view' THEN 1 ELSE 0 END) OVER (PARTITION BY stream_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS frame FROM n)
 SELECT stream_id, frame, coalesce(max_by(event_type, n) FILTER (WHERE event_type = 'error'), 'message') AS event, string_agg(props, chr(10) ORDER BY n) FILTER (WHERE event_type NOT IN ('view', 'error')) AS data

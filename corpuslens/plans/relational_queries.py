@@ -38,6 +38,32 @@ def folder_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _summary(spark, sf_dir)
 
 
+@query(f"WITH {FOLDERS_SQL} SELECT * FROM folders ORDER BY documents DESC, folder LIMIT 3 OFFSET 3")
+def folders_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second page of three of the folders with most documents."""
+    return R.page(_summary(spark, sf_dir), 2, 3, F.desc("documents"), F.col("folder"))
+
+
+@query("""WITH old AS (SELECT s_name AS folder_path, s_suppkey AS id, s_nationkey AS enabled, 1 AS created_at, 1 AS updated_at FROM supplier),
+new AS (SELECT CASE WHEN s_suppkey % 3 = 0 THEN s_name ELSE s_name || '/new' END AS folder_path, s_suppkey + 1000000 AS id, -1 AS enabled, 2 AS created_at, 2 AS updated_at FROM supplier WHERE s_suppkey % 2 = 0)
+SELECT coalesce(o.folder_path, n.folder_path) AS folder_path, coalesce(o.id, n.id) AS id, coalesce(n.enabled, o.enabled) AS enabled, coalesce(o.created_at, n.created_at) AS created_at, coalesce(n.updated_at, o.updated_at) AS updated_at
+FROM old o FULL JOIN new n ON o.folder_path = n.folder_path""")
+def folder_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Folders merged by their paths: known ones keep their ids and times of creation."""
+    s = table(spark, sf_dir, "supplier")
+    old = s.select(F.col("s_name").alias("folder_path"), F.col("s_suppkey").alias("id"), F.col("s_nationkey").cast("long").alias("enabled"), F.lit(1).alias("created_at"), F.lit(1).alias("updated_at"))
+    path = F.when(F.col("s_suppkey") % 3 == 0, F.col("s_name")).otherwise(F.concat("s_name", F.lit("/new")))
+    new = s.filter("s_suppkey % 2 = 0").select(path.alias("folder_path"), (F.col("s_suppkey") + 1_000_000).alias("id"), F.lit(-1).cast("long").alias("enabled"), F.lit(2).alias("created_at"), F.lit(2).alias("updated_at"))
+    return R.upsert_stored("folders", old, new)
+
+
+@query("SELECT d.doc_id, coalesce(l.quality, -1) AS quality, coalesce(l.toxic, 0) AS toxic FROM documents d LEFT JOIN (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY doc_id) l USING (doc_id)")
+def defaulted_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A projection with defaults for what is missing."""
+    lab = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
+    return R.defaulted(table(spark, sf_dir, "documents").select("doc_id").join(lab, "doc_id", "left"), {"quality": -1, "toxic": 0})
+
+
 @query("""SELECT c_custkey, count(o.o_orderkey) AS orders, CAST(coalesce(sum(n), 0) AS BIGINT) AS items, CAST(count(*) FILTER (WHERE o_orderstatus = 'F') AS BIGINT) AS finished
 FROM customer LEFT JOIN orders o ON c_custkey = o_custkey LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY l_orderkey) ON l_orderkey = o.o_orderkey GROUP BY c_custkey""")
 def nested_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
