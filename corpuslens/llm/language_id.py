@@ -6,7 +6,7 @@ centroids from spherical k-means, without those that gather mislabelled rows; th
 ``REJECT`` is marked as rejected.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; a text that has no feature in common
-with any centroid gets the most frequent learned language with score 0; repeated rows get equal results; an empty
+with any centroid gets the most frequent learned language with score 0; repeated rows get equal results; very long texts are worked on whole, in stretches that bound memory; an empty
 table gives an empty result; rows of one id and text count once in learning; without learned languages everything is ``und``; other columns are ignored.
 """
 

@@ -4,7 +4,7 @@ Boosted trees over text statistics give conjunctive rules (the paths to their no
 a few of them; what is kept becomes one Spark expression over the statistics of a text.
 
 Defined cases: a null or empty text has all-zero statistics and gets the score of such a text; repeated rows get
-equal scores; an empty table gives an empty result; labels other than 0 and 1 aren't used, nor more than one row of an
+equal scores; very long texts are worked on whole, in stretches that bound memory; an empty table gives an empty result; labels other than 0 and 1 aren't used, nor more than one row of an
 id; without labels of both classes every score is that of the one
 class (1 without labels); other columns are ignored.
 """

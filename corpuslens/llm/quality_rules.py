@@ -5,7 +5,8 @@ the one before it is written as a back reference), each group as shares of its o
 learned from a bounded sample of labelled rows, calibrated on rows left out of the fit, and every text is scored
 whole, in Arrow batches, against fixed thresholds.
 
-Defined cases: a null or empty text has no words, so ``base_failed``; repeated rows give repeated results; an
+Defined cases: a null or empty text has no words, so ``base_failed``; repeated rows give repeated results;
+very long texts are worked on whole, in stretches that bound memory; an
 empty table gives an empty result; labels other than 0 and 1 aren't used, nor more than one row of an id; without labels of both classes the verdict is that of the base rules alone;
 columns of other names are kept by :func:`filter_quality` and ignored by :func:`score_quality`.
 """

@@ -7,7 +7,7 @@ equal part of them its middle lies.  So shards are contiguous, and their bytes d
 A group of equal texts that a cut would divide goes to one side whole if it is within ``slack`` of a shard's size.
 
 Defined cases: a null text has size 8 and the checksum of the empty text; a null doc_id sorts first; repeated rows
-each get a slot, and fill as many ranges as they need; an empty table gives an empty result; shards may stay empty if
+each get a slot, and fill as many ranges as they need; a very long text is a large size and nothing more; an empty table gives an empty result; shards may stay empty if
 there are few rows; other columns are ignored (:func:`write_shards` keeps them, whatever their names).
 """
 

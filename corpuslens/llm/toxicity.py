@@ -6,7 +6,7 @@ punctuation and obfuscation rates.  Lexicons of the training rows are cross-fitt
 lexicon learned without its fold.
 
 Defined cases: a null or empty text has all-zero features and gets the score of such a text; repeated rows get
-equal scores; an empty table gives an empty result; labels other than 0 and 1 aren't used, nor more than one row of an
+equal scores; very long texts are worked on whole, in stretches that bound memory; an empty table gives an empty result; labels other than 0 and 1 aren't used, nor more than one row of an
 id; without labels of both classes every score is 0 (or 1 if all
 labels are 1); other columns are kept by :func:`filter_toxic` and ignored by :func:`score_toxicity`.
 """
