@@ -13,7 +13,7 @@ an earlier one are dropped.  Buckets over a bound are dealt into blocks, and a p
 joins each block; that connects a group of near copies, however large, in work that grows with its size.  Only if
 the members of such a bucket then lie in several components, those meet again where they share one of the rarest fifth
 of their shingles, which texts of similarity 0.8 always do: no link between classes is lost, and texts that share
-no more than what very many have aren't compared.
+no more than what very many have, or of which a fifth is their component's own, aren't compared.
 
 Defined cases: null texts are alone in their class; empty texts (and all texts without words) are alike only if
 they are equal; a null doc_id takes part, and a class whose ids are all null has a null class id; repeated rows are
@@ -37,8 +37,6 @@ WORDS, THRESHOLD = 5, 0.8
 SKETCHES, ELL = 16, 3
 #: Members, and shingles of them all, that one block of a bucket holds on average.
 BLOCK_ROWS, BLOCK_SHINGLES = 200, 1_000_000
-#: Slots of the table in which shingles are counted.
-SLOTS = 1 << 20
 #: Buckets over the bound in which a member meets a pivot; the others are looked at if that left them unconnected.
 PIVOTS = 4
 
@@ -305,50 +303,35 @@ def find_links(docs: DataFrame) -> DataFrame:
 def _rare_links(left: DataFrame, own: DataFrame) -> DataFrame:
     """Links between texts of different components, wherever two of them share rare shingles.
 
-    In any one order of all shingles, texts of similarity 0.8 share one of the first fifth (and one) of their own; in
-    the order from the rarest on, few texts share those.  Rarity is counted in a table of fixed size, in which several
-    shingles may share a slot; that changes the order, not what is found.
+    In any one order of all shingles, texts of similarity 0.8 share one of the first fifth (and one) of their own.  The
+    order taken begins with the shingles that only one component has, which lead to no other, and goes on with the
+    rarest: so a text of which a fifth is its component's own meets no other, and else few share what it has left.
     """
     rows = sparkutil.table(own.select("key", "shingles").join(left, "key"), "unconnected-shingles")
-
-    @tk.tidy
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(SLOTS, np.int64)
-        for batch in batches:
-            seen += np.bincount(batch.column("shingles").flatten().to_numpy().view(np.uint32) % SLOTS, minlength=SLOTS)
-        at = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(seen[at])], ["slot", "n"])
-
-    counted = rows.select("shingles").mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # SLOTS rows at most
-    seen = np.zeros(SLOTS, np.int32)
-    seen[counted["slot"].to_numpy()] = np.minimum(counted["n"].to_numpy(), np.iinfo(np.int32).max)
-
-    @tk.tidy
-    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column("shingles")
-            off, flat = lists.offsets.to_numpy(), lists.values.to_numpy().view(np.uint32)
-            at, values = [], []
-            for i in range(batch.num_rows):
-                x = flat[off[i] : off[i + 1]]
-                n = seen[x % SLOTS]
-                first = np.lexsort((x, n))[: len(x) - int(np.ceil(THRESHOLD * len(x) - 1e-9)) + 1]
-                first = first[n[first] > 1]  # others have it, too
-                at.append(np.full(len(first), i))
-                values.append(x[first])
-            if at:
-                take = pa.array(np.concatenate(at))
-                yield pa.RecordBatch.from_arrays([batch.column("key").take(take), batch.column("root").take(take), pa.array(np.concatenate(values).astype(np.int64)), pa.array(np.diff(off)[take.to_numpy()])], ["key", "root", "bucket", "n"])
-
-    members = sparkutil.table(rows.mapInArrow(rare, "key binary, root binary, bucket long, n int"), "rare-shingles")
-    shared = members.groupBy("bucket").agg(
-        F.count("*").alias("rows"), F.sum(F.col("n").cast("long")).alias("total"), F.min("root").alias("_a"), F.max("root").alias("_b"),
-        F.bit_xor(F.xxhash64("key")).alias("xor"), F.bit_xor(F.xxhash64("key", F.lit(1))).alias("xor2"),
-    ).filter("_a <> _b")
-    same = F.struct("bucket", F.greatest(F.ceil(F.col("rows") / BLOCK_ROWS), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    shared = sparkutil.small(sparkutil.table(shared.groupBy("rows", "xor", "xor2").agg(F.min(same).alias("s")).select("s.*"), "shared-shingles"))
-    met = members.join(shared, "bucket").select("key", "root", "bucket", "blocks", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int").alias("block"))
-    met = met.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    flat = rows.select("key", "root", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
+    several = flat.groupBy("shingle").agg(F.count("*").alias("df"), F.min("root").alias("_a"), F.max("root").alias("_b")).filter("_a <> _b").select("shingle", "df")
+    several = sparkutil.small(sparkutil.table(several, "several-have"))
+    by_key = Window.partitionBy("key")
+    placed = flat.join(several, "shingle").withColumns({"_place": F.row_number().over(by_key.orderBy("df", "shingle")), "_several": F.count("*").over(by_key)})
+    first = F.col("n") - F.ceil(F.col("n") * THRESHOLD - 1e-9) + 1  # of them n - _several are the component's own
+    members = placed.filter(F.col("_place") <= first - (F.col("n") - F.col("_several"))).select("key", "root", "n", F.col("shingle").cast("long").alias("bucket"))
+    members = sparkutil.table(members, "rare-shingles")
+
+    sizes = members.groupBy("bucket", "root").agg(F.count("*").alias("rows"), F.sum(F.col("n").cast("long")).alias("total"), *[F.bit_xor(F.xxhash64("key", F.lit(k))).alias(f"xor{k}") for k in (0, 1)])
+    shared = sizes.groupBy("bucket").agg(
+        F.max_by("root", F.struct("rows", "root")).alias("main"), F.count("*").alias("_parts"), F.sum("rows").alias("all"), F.max("rows").alias("most"), F.sum("total").alias("total"), *[F.bit_xor(f"xor{k}").alias(f"xor{k}") for k in (0, 1)],
+    ).filter("_parts > 1")
+    # of shingles that the same texts have the first one
+    same = F.struct("bucket", "main", "most", F.greatest(F.ceil(F.col("all") / BLOCK_ROWS), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    shared = shared.groupBy("all", "xor0", "xor1").agg(F.min(same).alias("s")).select("all", "s.*")
+    shared = sparkutil.small(sparkutil.table(shared, "shared-shingles"))
+    # blocks of the texts outside the largest component are numbered from 0, that component's go on after them
+    met = members.join(shared, "bucket").withColumn("rest", (F.col("root") != F.col("main")) | (F.col("blocks") == 1))
+    rest_blocks = F.when(F.col("blocks") == 1, 1).otherwise(F.ceil((F.col("all") - F.col("most")) / F.col("all") * F.col("blocks"))).cast("int")
+    met = met.withColumn("_r", rest_blocks)
+    met = met.withColumn("block", F.when(F.col("rest"), F.pmod(F.xxhash64("key"), F.col("_r"))).otherwise(F.col("_r") + F.pmod(F.xxhash64("key"), F.col("blocks"))).cast("int"))
+    last = F.when(F.col("blocks") == 1, 0).when(F.col("rest"), F.col("_r") + F.col("blocks") - 1).otherwise(F.col("_r") - 1)
+    met = met.select("*", F.explode(F.sequence(F.lit(0), last)).alias("other"))
     units = met.select("key", F.lit(SKETCHES).alias("number"), "bucket", "root", "block", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"), F.lit(False).alias("skip"))
     return _work(units, own, "more-links")
 
