@@ -239,11 +239,6 @@ def mind_map_filter(nodes: DataFrame, edges: DataFrame, query: str | None = None
     return shown, induced(edges, shown, "id")
 
 
-def evidence_order(evidence: DataFrame) -> DataFrame:
-    """Evidence as it is listed: most confident first, then newest, then by id."""
-    return evidence.orderBy(F.desc("confidence"), F.desc("created_at"), "id")
-
-
 def explorer_filter(nodes: DataFrame, edges: DataFrame, types: list[str] | None, label: str | None, relations: list[str] | None, min_weight: int) -> tuple[DataFrame, DataFrame]:
     """Nodes by type and label; edges between kept nodes by relation and weight."""
     if types:

@@ -14,7 +14,7 @@ k-th best score there as a bar, and scores only those of the other blocks that c
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as t
 
@@ -74,9 +74,8 @@ def write_segment(rows: DataFrame, path: str, segment: int, fields: dict[str, st
 
 def versions(spark: SparkSession, path: str, key: str = "doc_id") -> DataFrame:
     """(key, segment, gone, lengths, live) of every document of every segment; ``live`` is its newest and not gone."""
-    rows = spark.read.parquet(f"{path}/documents")
-    newest = rows.groupBy(key).agg(F.max("segment").alias("_newest"))
-    return rows.join(newest, key).withColumn("live", (F.col("segment") == F.col("_newest")) & ~F.col("gone")).drop("_newest")
+    newest = F.max("segment").over(Window.partitionBy(key))  # a key has a row for each segment at most
+    return spark.read.parquet(f"{path}/documents").withColumn("live", (F.col("segment") == newest) & ~F.col("gone"))
 
 
 def _live(spark: SparkSession, rows: DataFrame, path: str, key: str) -> DataFrame:
