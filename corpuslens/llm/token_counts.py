@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -73,6 +74,12 @@ class PretokenCounter:
         return found
 
 
+@lru_cache(maxsize=2)
+def _counter(path: str) -> PretokenCounter:
+    """One for each worker process, which runs many tasks: what one of them counted the next ones know."""
+    return PretokenCounter(path)
+
+
 class SegmentTree:
     """Sums of (characters, pre-tokens, tokens) over a complete binary tree; leaves are in text order."""
 
@@ -195,7 +202,7 @@ def build_trees(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
 
     @tk.tidy
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        counter = PretokenCounter(path)
+        counter = _counter(path)
         for texts in batches:
             parts = [build(t or "", counter).nodes for t in texts.to_pylist()]
             ptr = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
@@ -216,7 +223,7 @@ def apply_edits(trees: DataFrame, tokenizer: str | None = None, keep_text: bool
 
     @tk.tidy
     def run(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
-        counter = PretokenCounter(path)
+        counter = _counter(path)
         for texts, chars, pretokens, tokens, edits in batches:
             out_text, out_tree, out_n = [], [], []
             flat = np.stack([x.flatten().to_numpy(zero_copy_only=False) for x in (chars, pretokens, tokens)], 1)
