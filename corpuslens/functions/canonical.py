@@ -79,6 +79,16 @@ def canonical_name(x: str | Column) -> Column:
     return F.lower(collapse_ws(nfkc(x)))
 
 
+def canonical_names(names: Column) -> Column:
+    """:func:`canonical_name` of each of an array of names; Python gets the arrays that aren't all ASCII only."""
+
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda a: None if a is None else [v if v is None else unicodedata.normalize("NFKC", v) for v in a])
+
+    composed = F.pandas_udf(run, "array<string>")(F.when(F.exists(names, lambda v: v.rlike(r"[^\x00-\x7F]")), names))
+    return F.transform(F.coalesce(composed, names), lambda v: F.lower(collapse_ws(v)))
+
+
 def snake_upper(x: str | Column, default: str) -> Column:
     """Letters and digits in capitals, anything between them as one underscore; ``default`` if nothing is left."""
     x = F.col(x) if isinstance(x, str) else x

@@ -30,7 +30,9 @@ def windows(text: str | Column, width: int = T.CHUNK_CHARS, overlap: int = T.OVE
 
 def chunk_plain(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Chunks of unfenced text: key, chunk_index, content, token_count."""
-    out = docs.select(key, windows(T.clean_prose(text)).alias("_w")).select(key, F.posexplode("_w").alias("chunk_index", "content"))
+    out = docs.select(key, windows(T.clean_prose(text)).alias("_w"))
+    # outer, as the optimizer would else clean and cut a text once more to filter by the number of its windows
+    out = out.select(key, F.posexplode_outer("_w").alias("chunk_index", "content")).filter(F.col("content").isNotNull())
     return out.withColumn("token_count", T.chunk_tokens("content"))
 
 

@@ -56,48 +56,100 @@ def parse_extractions(rows: DataFrame) -> DataFrame:
 _BETWEEN = "\u0001"
 
 
-def _checked(items: Column, text: Column) -> Column:
+def _quotes(items: Column) -> Column:
+    """The quotes of all items as evidence text, between marks."""
+    return C.evidence_text(F.array_join(F.transform(items, lambda x: F.translate(F.coalesce(x["quote"], F.lit("")), _BETWEEN, "")), _BETWEEN))
+
+
+def _checked(items: Column, quotes: Column, text: Column) -> Column:
     """Array of (x, found): each item, and whether its quote stands in the text, which is evidence text."""
-    quotes = F.transform(items, lambda x: F.translate(F.coalesce(x["quote"], F.lit("")), _BETWEEN, ""))
-    prepared = F.split(C.evidence_text(F.array_join(quotes, _BETWEEN)), _BETWEEN, -1)
-    pairs = F.zip_with(items, prepared, lambda x, q: F.struct(x.alias("x"), ((q != "") & F.contains(text, q)).alias("found")))
-    return F.slice(pairs, 1, F.size(items))
+    # bound, so that the text is prepared once and not for every item
+    found = lambda b: F.zip_with(items, b["quotes"], lambda x, q: F.struct(x.alias("x"), ((q != "") & F.contains(b["text"], q)).alias("found")))
+    return F.slice(T.let(F.struct(text.alias("text"), F.split(quotes, _BETWEEN, -1).alias("quotes")), found), 1, F.size(items))
 
 
 NODE_KEY, EDGE_KEY = ["canonical", "node_type"], ["a_name", "a_type", "b_name", "b_type", "type", "label"]
 _NODE_ORDER, _EDGE_ORDER = ["document_id", "chunk_id", "kind", "pos"], ["document_id", "chunk_id", "pos"]
 
 
-def evidence(parsed: DataFrame, canonical=C.canonical_name) -> tuple[DataFrame, DataFrame]:
+def _first_of_each(items: Column, *key: str) -> Column:
+    """Items of an array without those whose key an earlier one has."""
+
+    def kept(xs: Column) -> Column:
+        keys = F.transform(xs, lambda x: F.struct(*[x[k] for k in key]))
+        return T.let(keys, lambda ks: F.filter(xs, lambda x, i: F.array_position(ks, F.struct(*[x[k] for k in key])) == i + 1))
+
+    return T.let(items, kept)
+
+
+def _named(parsed: DataFrame, canonical, unique: bool) -> DataFrame:
+    """A row for each chunk: its nodes and edges with canonical names and whether their quotes were found."""
+    text = C.evidence_text(F.translate(F.coalesce("content", F.lit("")), _BETWEEN, ""))
+    p = {c: F.coalesce(F.col(f"payload.{c}"), F.array()) for c in ("nodes", "edges")}
+    names = F.concat(p["nodes"]["name"], p["edges"]["source"], p["edges"]["target"])
+    rows = parsed.select("document_id", "chunk_id", "payload", text.alias("_text"), _quotes(p["nodes"]).alias("_n"), _quotes(p["edges"]).alias("_e"), canonical(names).alias("names"))
+    own = {c: _checked(p[c], F.col(q), F.col("_text")).alias(c) for c, q in (("nodes", "_n"), ("edges", "_e"))}
+    rows = rows.select("document_id", "chunk_id", *own.values(), "names")
+    if unique:
+        return rows
+    every = F.array_sort(F.collect_list(F.struct("nodes", "edges", "names")))
+    rows = rows.groupBy("document_id", "chunk_id").agg(every.alias("_all"))
+    part = lambda f: F.flatten(F.transform("_all", f))
+    ends = lambda k: part(lambda r: F.slice(r["names"], F.size(r["nodes"]) + 1 + k * F.size(r["edges"]), F.size(r["edges"])))
+    named = F.concat(part(lambda r: F.slice(r["names"], 1, F.size(r["nodes"]))), ends(0), ends(1))
+    return rows.select("document_id", "chunk_id", part(lambda r: r["nodes"]).alias("nodes"), part(lambda r: r["edges"]).alias("edges"), named.alias("names"))
+
+
+def _accepted(row: Column) -> Column:
+    """Edges of a chunk whose quote was found and whose two different ends it names; an end is the first node of its name."""
+    n, m = F.size(row["nodes"]), F.size(row["edges"])
+    own = T.let(F.slice(row["names"], 1, n), lambda names: F.transform(row["edges"], lambda e, i: F.struct(
+        e.alias("e"), i.alias("pos"), F.array_position(names, F.get(row["names"], n + i)).alias("_a"), F.array_position(names, F.get(row["names"], n + m + i)).alias("_b"))))
+    met = F.filter(own, lambda e: e["e"]["found"] & (e["_a"] > 0) & (e["_b"] > 0))
+
+    def filled(e: Column) -> Column:
+        ends = []
+        for c in ("a", "b"):
+            at = (e[f"_{c}"] - 1).cast("int")
+            node = F.get(row["nodes"], at)["x"]
+            ends += [F.get(row["names"], at).alias(f"{c}_name"), node["type"].alias(f"{c}_type"), node["name"].alias(f"{c}_shown")]
+        x = e["e"]["x"]
+        return F.struct("document_id", "chunk_id", e["pos"].alias("pos"), *ends, *[x[c].alias(c) for c in ("type", "label", "description", "confidence", "quote")])
+
+    return F.filter(F.transform(met, filled), lambda e: (e["a_name"] != e["b_name"]) | (e["a_type"] != e["b_type"]))
+
+
+def evidence(parsed: DataFrame, canonical=C.canonical_names, unique: bool = False) -> tuple[DataFrame, DataFrame]:
     """Evidence of nodes and of edges of sanitised extractions, each once for a chunk and quote.
 
     A node needs a quote found in its chunk; an edge needs one too, and two different ends that its chunk names.
-    An accepted edge is evidence for its ends.  Quotes are looked for inside their chunk's row, so no text is multiplied.
+    An accepted edge is evidence for its ends.  All of that is decided inside the chunk's row, whose nodes and edges are
+    bounded, so neither text nor evidence is shuffled.  ``canonical`` gives the canonical names of an array of names;
+    ``unique`` says that ``parsed`` has one row for each chunk, else the rows of a chunk are put together first.
     """
-    order = ["document_id", "chunk_id", "pos"]
-    text = C.evidence_text(F.translate(F.coalesce("content", F.lit("")), _BETWEEN, ""))
-    rows = parsed.withColumn("_text", text).select("document_id", "chunk_id", _checked(F.col("payload.nodes"), F.col("_text")).alias("nodes"), _checked(F.col("payload.edges"), F.col("_text")).alias("edges"))
-    rows = written_once(rows)  # nodes and edges read them
-    nodes = rows.select("document_id", "chunk_id", F.posexplode("nodes").alias("pos", "n")).select(*order, "n.x.*", "n.found").withColumn("canonical", canonical(F.col("name")))
-    local = nodes.withColumn("_r", F.row_number().over(Window.partitionBy("chunk_id", "canonical").orderBy("pos"))).filter("_r = 1").select("chunk_id", "canonical", F.col("type").alias("node_type"), "name")
-    node_ev = nodes.filter("found").select(*order, "canonical", F.col("type").alias("node_type"), "name", "description", "confidence", "quote", F.lit(0).alias("kind"))
-
-    edges = rows.select("document_id", "chunk_id", F.posexplode("edges").alias("pos", "e")).filter("e.found").select(*order, "e.x.*")
-    edges = edges.withColumns({"_s": canonical(F.col("source")), "_t": canonical(F.col("target"))})
-
-    def end(c: str) -> DataFrame:
-        return local.select(F.col("chunk_id").alias(f"{c}_chunk"), F.col("canonical").alias(f"{c}_name"), F.col("node_type").alias(f"{c}_type"), F.col("name").alias(f"{c}_shown"))
-
-    edges = edges.join(end("a"), (F.col("chunk_id") == F.col("a_chunk")) & (F.col("_s") == F.col("a_name"))).join(end("b"), (F.col("chunk_id") == F.col("b_chunk")) & (F.col("_t") == F.col("b_name")))
-    edges = edges.filter((F.col("a_name") != F.col("b_name")) | (F.col("a_type") != F.col("b_type")))
-    ends = [
-        edges.select(*order, F.col(f"{c}_name").alias("canonical"), F.col(f"{c}_type").alias("node_type"), F.col(f"{c}_shown").alias("name"), F.lit("").alias("description"), "confidence", "quote", F.lit(1).alias("kind"))
-        for c in ("a", "b")
-    ]
-    w = Window.partitionBy(*NODE_KEY, "chunk_id", "quote").orderBy("kind", "pos")
-    node_once = node_ev.unionByName(ends[0]).unionByName(ends[1]).withColumn("_r", F.row_number().over(w)).filter("_r = 1")
-    edge_once = edges.withColumn("_r", F.row_number().over(Window.partitionBy(*EDGE_KEY, "chunk_id", "quote").orderBy("pos"))).filter("_r = 1")
-    return node_once.drop("_r"), edge_once.select(*order, *EDGE_KEY, "description", "confidence", "quote")
+    rows, row = _named(parsed, canonical, unique), F.struct("nodes", "edges", "names")
+    keep = ["document_id", "chunk_id"]
+    node_schema = [*_NODE_ORDER, *NODE_KEY, "name", "description", "confidence", "quote"]
+
+    def node_items(r: Column) -> Column:
+        def own(n: Column, i: Column) -> Column:
+            x = n["x"]
+            return F.struct(*keep, F.lit(0).alias("kind"), i.alias("pos"), F.get(r["names"], i).alias("canonical"), x["type"].alias("node_type"), x["name"].alias("name"), x["description"].alias("description"), x["confidence"].alias("confidence"), x["quote"].alias("quote"), n["found"].alias("found"))
+
+        def end(e: Column, c: str) -> Column:
+            return F.struct(*keep, F.lit(1).alias("kind"), e["pos"].alias("pos"), e[f"{c}_name"].alias("canonical"), e[f"{c}_type"].alias("node_type"), e[f"{c}_shown"].alias("name"), F.lit("").alias("description"), e["confidence"].alias("confidence"), e["quote"].alias("quote"), F.lit(True).alias("found"))
+
+        mine = F.filter(F.transform(r["nodes"], own), lambda n: n["found"])
+        ends = F.flatten(F.transform(_accepted(r), lambda e: F.array(end(e, "a"), end(e, "b"))))
+        return _first_of_each(F.concat(mine, ends), *NODE_KEY, "quote")
+
+    def flat(items, columns: list[str]) -> DataFrame:
+        # outer, as the optimizer would else evaluate the array once more to filter by its size
+        return rows.select(F.explode_outer(T.let(row, items)).alias("i")).filter(F.col("i").isNotNull()).select(*[F.col(f"i.{c}").alias(c) for c in columns])
+
+    nodes = flat(node_items, node_schema).select("document_id", "chunk_id", "pos", *NODE_KEY, "name", "description", "confidence", "quote", "kind")
+    edges = flat(lambda r: _first_of_each(_accepted(r), *EDGE_KEY, "quote"), [*_EDGE_ORDER, *EDGE_KEY, "description", "confidence", "quote"])
+    return nodes, edges
 
 
 def _partials(rows: DataFrame, key: list[str], order: list[str], name: str | None) -> DataFrame:
@@ -144,9 +196,9 @@ def apply_delta(partials: DataFrame, rows: DataFrame, new: DataFrame, changed: D
     return now, rows.join(touched, key, "left_anti").unionByName(again.select(*rows.columns))
 
 
-def merge(parsed: DataFrame, canonical=C.canonical_name) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Nodes, edges and evidence of sanitised extractions; an edge needs both of its ends among the nodes."""
-    node_evidence, edge_evidence = evidence(parsed, canonical)
+def merge(parsed: DataFrame, canonical=C.canonical_names, unique: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Nodes, edges and evidence of sanitised extractions; both ends of an edge are among the nodes, as it is evidence for them."""
+    node_evidence, edge_evidence = evidence(parsed, canonical, unique)
     first = F.struct(*_NODE_ORDER)
     node_rows = node_evidence.groupBy(*NODE_KEY).agg(
         F.count("*").alias("mention_count"), F.avg("confidence").alias("confidence"), F.min_by("name", first).alias("display_name"),
@@ -155,8 +207,6 @@ def merge(parsed: DataFrame, canonical=C.canonical_name) -> tuple[DataFrame, Dat
     node_rows = node_rows.withColumn("id", T.stable_id(F.concat_ws("|", *NODE_KEY)))
     at = F.struct(*_EDGE_ORDER)
     edge_rows = edge_evidence.groupBy(*EDGE_KEY).agg(F.count("*").alias("mention_count"), F.avg("confidence").alias("confidence"), F.coalesce(F.min_by("description", F.when(F.col("description") != "", at)), F.lit("")).alias("description"))
-    for c in ("a", "b"):
-        edge_rows = edge_rows.join(node_rows.select(F.col("canonical").alias(f"{c}_name"), F.col("node_type").alias(f"{c}_type")), [f"{c}_name", f"{c}_type"], "left_semi")
     return node_rows, edge_rows.select(*EDGE_KEY, "mention_count", "confidence", "description"), node_evidence.drop("kind")
 
 
