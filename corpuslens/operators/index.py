@@ -89,7 +89,12 @@ def term_stats(posts: DataFrame) -> DataFrame:
 
 def collection_stats(posts: DataFrame, key: str = "chunk_id") -> DataFrame:
     """(field, n, avgdl) over the rows that have the field."""
-    return doc_stats(posts, key).groupBy("field").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    return field_stats(doc_stats(posts, key))
+
+
+def field_stats(lengths: DataFrame) -> DataFrame:
+    """The same of (field, key, dl)."""
+    return lengths.groupBy("field").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
 
 
 def replace_documents(posts: DataFrame, new: DataFrame, key: str = "doc_id") -> DataFrame:
