@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuslens.operators import index_store
+from corpuslens.session import few
 from jobs.common import main
 
 log = logging.getLogger(__name__)
@@ -38,7 +39,12 @@ def run(spark: SparkSession, documents: str, index: str, checkpoint: str, **sett
     stream = spark.readStream.schema(table.select(key, *columns).schema).option("maxFilesPerTrigger", s["files"]).parquet(source)
 
     def add(batch: DataFrame, number: int) -> None:
-        rows = batch.filter(F.col(key).isNotNull()).groupBy(key).agg(F.max(F.struct(*columns)).alias("_row")).select(key, "_row.*")
+        rows = batch.filter(F.col(key).isNotNull()).select(key, *columns)
+        again = rows.groupBy(key).agg(F.count("*").alias("_n")).filter("_n > 1").select(key)
+        if not again.isEmpty():  # only keys that come more than once have their texts shuffled
+            again = few(again)
+            most = rows.join(again, key, "left_semi").groupBy(key).agg(F.max(F.struct(*columns)).alias("_row")).select(key, "_row.*")
+            rows = rows.join(again, key, "left_anti").unionByName(most)
         rows = rows.withColumn("_gone", F.coalesce(*columns).isNull())
         index_store.write_segment(rows, index, number, fields, key, gone="_gone", buckets=s["buckets"])
         wrote = {name: spark.read.parquet(f"{index}/{name}/segment={number}").count() for name in ("documents", "postings")}
