@@ -29,6 +29,8 @@ SAMPLE, CELLS, PASSES = 100_000, 1024, 10
 #: Share of the lists that a search asks if it isn't told how many; queries that are looked at to tell.
 PROBE_SHARE, TRIALS = 0.5, 200
 SLACK = 1e-6
+#: Pairs of a query and a list, each with the query's vector, that Python holds at once.
+PAIRS = 1 << 16
 
 
 def usable(vectors: DataFrame, *columns: str) -> DataFrame:
@@ -117,9 +119,8 @@ def topk(spark: SparkSession, path: str, query: DataFrame, k: int, key: str = "v
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The lists of each query: the nearest ones, or, where a bar is known, the others that can reach it."""
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        step = max(1, PAIRS // len(cells))  # every list may be asked by every query
+        for batch in (b.slice(at, step) for b in batches for at in range(0, b.num_rows, step)):
             near = _unit(batch, centers.shape[1]) @ centers.T
             first = np.zeros(near.shape, bool)
             np.put_along_axis(first, np.argpartition(-near, asked - 1, axis=1)[:, :asked], True, axis=1)
