@@ -24,7 +24,8 @@ RUNS = r"\p{IsHan}+"
 
 def grams(texts: DataFrame, text: str = "text", longest: int = LONGEST) -> DataFrame:
     """(word, n) of every run of up to ``longest`` Han characters, counted over all texts."""
-    runs = texts.select(F.explode(F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(RUNS), F.lit(0))).alias("run"))
+    # outer, as the optimizer would else look for runs once more to filter by their number
+    runs = texts.select(F.explode_outer(F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(RUNS), F.lit(0))).alias("run")).filter(F.col("run").isNotNull())
     cut = lambda k: F.transform(F.sequence(F.lit(1), F.length("run") - (k - 1)), lambda i: F.substring(F.col("run"), i, F.lit(k)))
     every = F.concat(*[F.when(F.length("run") >= k, cut(k)).otherwise(F.array().cast("array<string>")) for k in range(1, longest + 1)])
     return runs.select(F.explode(every).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
@@ -71,16 +72,17 @@ def terms(lexicon: DataFrame, mode: str = "words"):
     costs = {r["word"]: r["cost"] for r in rows}
     longest, unknown = max(map(len, costs), default=1), max(costs.values(), default=0.0) + 10.0
 
-    @F.pandas_udf("array<string>")
+    # words go back as one text with blanks between them: a batch of lists of short strings takes fifty times its text
+    @F.pandas_udf("string")
     def cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            yield batch.map(lambda runs: None if runs is None else [w for run in runs.split(" ") for w in best_path(run, costs, longest, unknown)])
+            yield batch.map(lambda runs: None if runs is None else " ".join([" ".join(best_path(run, costs, longest, unknown)) for run in runs.split(" ")]))
 
     def of(x: str | Column) -> Column:
         x = F.col(x) if isinstance(x, str) else x
         # Python sees the Han runs of a text only, all of them joined by blanks
         han = F.array_join(F.regexp_extract_all(F.coalesce(x, F.lit("")), F.lit(RUNS), F.lit(0)), " ")
         other = T.terms(F.regexp_replace(F.coalesce(x, F.lit("")), RUNS, " "))
-        return F.concat(F.coalesce(cut(F.when(han != "", han)), F.array().cast("array<string>")), other)
+        return F.concat(F.coalesce(F.split(cut(F.when(han != "", han)), " ", -1), F.array().cast("array<string>")), other)
 
     return of
