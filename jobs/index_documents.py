@@ -47,8 +47,8 @@ def run(spark: SparkSession, documents: str, index: str, checkpoint: str, **sett
             rows = rows.join(again, key, "left_anti").unionByName(most)
         rows = rows.withColumn("_gone", F.coalesce(*columns).isNull())
         index_store.write_segment(rows, index, number, fields, key, gone="_gone", buckets=s["buckets"])
-        wrote = {name: spark.read.parquet(f"{index}/{name}/segment={number}").count() for name in ("documents", "postings")}
-        log.info("batch %d: read %d rows of %s, wrote %d documents and %d postings to %s", number, batch.count(), documents, wrote["documents"], wrote["postings"], index)
+        wrote = index_store.wrote(spark, index, number)
+        log.info("batch %d: read %d rows of %s, wrote %d documents and %d postings to %s", number, batch.count(), documents, *wrote, index)
 
     query = stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
