@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpuslens.operators import index, index_store, search, segment
+from corpuslens.plans.query_set import ORACLE_SQL, QUERIES
 
 FIELDS = {"content": "text"}
 
@@ -86,3 +87,13 @@ def test_long_runs_cost_no_more_than_short_ones():
     assert len(one) == 7 and sum(n) == len(text) - 1
     words = segment.Cutter({w: 1.0 for w in two} | {w: 2.0 for w in one}, 9.0)([text])[0].split(" ")
     assert "".join(words) == text and len(words) == 150_000
+
+
+@pytest.mark.parametrize("name", ["bm25_topk"])
+def test_every_item_is_asked(spark, name):
+    """A search took every twentieth benchmark item for its queries, in code and SQL."""
+    assert "% 20" not in ORACLE_SQL[name]
+    items = {r.item_id for r in spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").filter("trim(text) <> ''").collect()}
+    got = QUERIES[name](spark, "/root/testdata/sf0.001").groupBy("query_id").agg(F.max("rank").alias("most")).collect()
+    assert {r.query_id for r in got} == items if name != "keyword_search" else {r.query_id % 20 for r in got} > {0}
+    assert max(r.most for r in got) == search.TOP_K or name == "keyword_search"
