@@ -89,7 +89,7 @@ def test_long_runs_cost_no_more_than_short_ones():
     assert "".join(words) == text and len(words) == 150_000
 
 
-@pytest.mark.parametrize("name", ["bm25_topk", "chunk_search"])
+@pytest.mark.parametrize("name", ["bm25_topk", "chunk_search", "keyword_search"])
 def test_every_item_is_asked(spark, name):
     """A search took every twentieth benchmark item for its queries, in code and SQL."""
     assert "% 20" not in ORACLE_SQL[name]
