@@ -250,9 +250,10 @@ def terms(lexicon: DataFrame, mode: str = "words"):
     @F.pandas_udf("string")
     def cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            texts = batch.tolist()
-            words = (x for part in _parts([x for x in texts if x]) for x in cutter(part))
-            yield pd.Series([next(words) if x else None for x in texts], dtype=object)
+            for part in _parts(batch.fillna("").tolist()):  # smaller batches go back than come
+                some = [x for x in part if x]
+                words = iter(cutter(some) if some else [])
+                yield pd.Series([next(words) if x else None for x in part], dtype=object)
 
     def of(x: str | Column) -> Column:
         x = F.col(x) if isinstance(x, str) else x
